@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import bpe, near_dedup
 from .frames import table
 
 
@@ -12,8 +14,17 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary=path, pattern=public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, vocabulary=path)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
