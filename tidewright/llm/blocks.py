@@ -77,7 +77,7 @@ def _rows(ids: list[pa.Array], counts: list[np.ndarray], found: list[pa.Array],
     for k in np.flatnonzero(np.diff(edges)).tolist():
         a, b = edges[k], edges[k + 1]
         yield k, block, pack({"word": entries.slice(a, b - a), "count": pa.array(weighed[a:b])})
-    yield POSITIONS + block, block, pack({"ids": pa.array([pa.concat_arrays(ids).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), "missing": pa.array([pc.is_null(pa.concat_arrays(ids)).to_pylist()], pa.list_(pa.bool_())), "sizes": pa.array([sizes.astype(np.int32)]), "at": planes(number[index]), "order": planes(dealt), "entries": pa.array([len(common)])})
+    yield POSITIONS + block, block, pack({"ids": pa.array([pa.concat_arrays(ids).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), "missing": pa.array([pc.is_null(pa.concat_arrays(ids)).to_pylist()], pa.list_(pa.bool_())), "sizes": pa.array([sizes.astype(np.int32)]), "weights": pa.array([weights.astype(np.int8)]), "at": planes(number[index]), "order": planes(dealt), "entries": pa.array([len(common)])})
 
 
 def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, int, pa.Array, np.ndarray]]], shards: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -136,8 +136,8 @@ def by_shard(packed: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[st
     return packed.groupBy("part").applyInArrow(group, PACKED)
 
 
-def by_block(packed: DataFrame, finish: Callable[[pa.Array, np.ndarray, np.ndarray, dict[str, pa.Array]], pa.Table], schema: str) -> DataFrame:
-    """Rows of all blocks; ``finish`` gets ids, words per document, each word's number and the answers by number."""
+def by_block(packed: DataFrame, finish: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, dict[str, pa.Array]], pa.Table], schema: str) -> DataFrame:
+    """Rows of all blocks; ``finish`` gets ids, weights, words per document, each word's number and the answers by number."""
 
     def group(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part")
@@ -151,6 +151,6 @@ def by_block(packed: DataFrame, finish: Callable[[pa.Array, np.ndarray, np.ndarr
         by_number = {k: pa.chunked_array([x.column(k) for x in answers]).combine_chunks().take(pa.array(place)) for k in names}
         ids = last.column("ids").flatten()
         ids = pc.if_else(last.column("missing").flatten(), None, ids.cast(pa.int64()))
-        return finish(ids, last.column("sizes").flatten().to_numpy(), unplanes(last.column("at")[0]).astype(np.int64), by_number)
+        return finish(ids, last.column("weights").flatten().to_numpy(), last.column("sizes").flatten().to_numpy(), unplanes(last.column("at")[0]).astype(np.int64), by_number)
 
     return packed.groupBy("block").applyInArrow(group, schema)

@@ -66,7 +66,7 @@ def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc
         np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), out=starts[1:])
         return {"ids": pa.ListArray.from_arrays(pa.array(starts), pa.array(np.fromiter((x for xs in ids for x in xs), np.uint32, starts[-1])))}
 
-    def finish(ids, sizes, at, answers) -> pa.Table:
+    def finish(ids, _, sizes, at, answers) -> pa.Table:
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         if answers:
             taken = answers["ids"].take(pa.array(at))

@@ -6,14 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup
-from .frames import table
+from . import bpe, lattice, near_dedup
+from .frames import fold, table
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2, vocabulary=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary=path, pattern=public_tokenizers.PATTERN)
@@ -24,6 +28,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_lattice_lm": op5_lattice_lm,
     "op6_byte_bpe": op6_byte_bpe,
 }
 
