@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytewords import mix
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
@@ -24,6 +27,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def narrow(df: DataFrame, rows: int, per_part: int = 100_000) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more partitions than they fill; small steps then write few files."""
+    return df.coalesce(max(1, -(-rows // per_part)))
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` may be in ``keys`` (one long column): a filter without a shuffle.
+
+    The filter is one bit a key in a broadcast bitmap of a fixed size; with many more keys than bits it passes more
+    rows and never loses one, so a join must follow where exactness matters.
+    """
+    chunk = 1 << 16
+
+    def mark(batches):
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = _bit(batch.column(0), bits)
+            for part in np.unique(at // chunk).tolist():
+                seen.setdefault(part, np.zeros(chunk, bool))[at[at // chunk == part] % chunk] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x).tobytes() for x in seen.values()], pa.binary())], ["part", "bits"])
+
+    def either(rows: pa.Table) -> pa.Table:
+        together = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("bits")])
+        return pa.table({"part": rows.column("part")[:1], "bits": pa.array([together.tobytes()], pa.binary())})
+
+    kind = "part int, bits binary"
+    bitmap = np.zeros(bits, bool)
+    for row in keys.mapInArrow(mark, kind).groupBy("part").applyInArrow(either, kind).toLocalIterator():
+        bitmap[row.part * chunk : (row.part + 1) * chunk] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    at = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            bit = _bit(batch.column(at), bits)
+            hit = (shared.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _bit(values: pa.Array, bits: int) -> np.ndarray:
+    return (mix(values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

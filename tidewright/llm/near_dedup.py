@@ -4,9 +4,10 @@
    fingerprint of the shingle set and ``bands`` band keys.  All signature coordinates come from two permutations
    of the 32-bit universe (C-MinHash): coordinate k is ``min over x of pi((sigma(x) + k) mod 2**32)``.
 2. Documents with equal sets form a class; only its smallest id goes on.
-3. Documents that share a band key are candidates.  A bucket never emits all its pairs: its members are compared
-   with the bucket's most central member first.  What these links leave in other components is compared with the
-   bucket's next central member, for ``pivot_rounds`` rounds, and then with all members of other components.
+3. Documents that share a band key are candidates.  Each is compared with the most central document of its buckets
+   first.  Members of a bucket that this leaves in different components are then compared with each other: in small
+   buckets as pairs, in large ones in blocks that emit only pairs which a compact sketch can't rule out.  The sketch
+   (part sums) never rules out a link.
 4. Links hold where ``100 * intersection >= percent * union`` on the full sets; components are found by minimum
    labels and pointer jumping in Spark joins.
 """
@@ -15,11 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords
-from .frames import cut, map_arrow
+from .frames import cut, map_arrow, maybe_in, narrow
 
 SKETCH = "doc_id long, n_shingles long, fingerprint binary, bands array<long>"
 
@@ -86,17 +87,63 @@ def sketch(docs: DataFrame, *, width: int = 5, bands: int = 26, rows: int = 6) -
     return map_arrow(docs, batch_sketch, SKETCH)
 
 
+def part_sums(shingles: np.ndarray) -> bytes:
+    """One byte for each of 2**k parts (at least as many as shingles, 16 to 65,536): the sum of the part's shingles.
+
+    Sets that differ in d shingles differ in d parts at most; the sums of neighbours add up to those of half the parts.
+    """
+    bits = min(16, max(4, (len(shingles) - 1).bit_length()))
+    mixed = bytewords.mix(shingles ^ np.uint64(0xD6E8FEB86659FD93))
+    return np.bincount((mixed >> np.uint64(64 - bits)).astype(np.int64), (mixed & np.uint64(255)).astype(float), 1 << bits).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def halved(parts: np.ndarray) -> np.ndarray:
+    return parts.reshape(*parts.shape[:-1], -1, 2).sum(axis=-1, dtype=np.uint8)
+
+
+def may_link(one: np.ndarray, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``others`` (rows of part sums; ``sizes``: shingles of both sets together) can still reach ``percent``."""
+    while len(one) > others.shape[1]:
+        one = halved(one)
+    while len(one) < others.shape[1]:
+        others = halved(others)
+    return (others != one).sum(axis=1) * (100 + percent) <= (100 - percent) * sizes
+
+
 def shingle_sets(docs: DataFrame, *, width: int = 5) -> DataFrame:
-    """doc_id and the ascending distinct shingle hashes, eight bytes each, of ``docs`` (doc_id, text)."""
+    """doc_id, the ascending distinct shingle hashes (eight bytes each) and their part sums, of ``docs`` (doc_id, text)."""
 
     def batch_sets(batch: pa.RecordBatch):
         for row, end, data, offsets in bytewords.text_slices(batch.column(1), 1 << 20):
             words = bytewords.words(data, offsets)
             shingles, begin = distinct_per_document(*bytewords.shingle_hashes(words.hashes(), words.first, width))
             sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin * 8), pa.py_buffer(shingles)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), sets.cast(pa.binary())], ["doc_id", "shingles"])
+            parts = pa.array([part_sums(shingles[a:b]) for a, b in zip(begin.tolist(), begin[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), sets.cast(pa.binary()), parts], ["doc_id", "shingles", "parts"])
+
+    return map_arrow(docs, batch_sets, "doc_id long, shingles binary, parts binary")
 
-    return map_arrow(docs, batch_sets, "doc_id long, shingles binary")
+
+def _attach(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, together: sizes of both sets) without those whose part sums rule the link out."""
+
+    def batch_possible(batch: pa.RecordBatch):
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (together, one, two) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4))):
+            one, two = np.frombuffer(one.as_buffer(), np.uint8), np.frombuffer(two.as_buffer(), np.uint8)
+            keep[i] = may_link(one, two[None, :], np.array([together]), percent)[0]
+        kept = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("parts").alias(f"parts_{side}")), side)
+    return map_arrow(pairs.select("a", "b", "together", "parts_a", "parts_b"), batch_possible, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -106,16 +153,48 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         keep = np.zeros(batch.num_rows, bool)
         for i, (one, two) in enumerate(zip(batch.column(2), batch.column(3))):
             one, two = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-            if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
-                both = np.concatenate((one, two))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= percent * (len(both) - shared)
+            both = np.concatenate((one, two))
+            both.sort(kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            keep[i] = 100 * shared >= percent * (len(both) - shared)
         kept = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    return map_arrow(joined.select("a", "b", "left", "right"), batch_confirm, "a long, b long")
+    return map_arrow(_attach(pairs, sets, "shingles"), batch_confirm, "a long, b long")
+
+
+def crowded(members: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """Pairs (a, b) of large buckets that the part sums don't rule out, of different labels.
+
+    A bucket is cut into blocks of about ``block`` members; each pair of blocks is one group, so that a member is sent
+    once a block and no pair becomes a row before it has passed.
+    """
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, sizes, labels, own = (rows.column(k).to_numpy() for k in ("id", "n", "label", "own"))
+        first, second = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+        parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("parts")]
+        widths = np.array([len(x) for x in parts])
+        right = np.flatnonzero(own == second)
+        matrices = [(right[widths[right] == w], np.stack([parts[k] for k in right[widths[right] == w]])) for w in np.unique(widths[right])]
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(own == first).tolist():
+            for where, matrix in matrices:
+                near = 100 * np.minimum(sizes[where], sizes[i]) >= percent * np.maximum(sizes[where], sizes[i])
+                near &= labels[where] != labels[i]
+                if first == second:
+                    near &= ids[where] > ids[i]
+                if near.any():
+                    where, rows_ = where[near], matrix[near]
+                    where = where[may_link(parts[i], rows_, sizes[where] + sizes[i], percent)]
+                    found += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in where.tolist()]
+        return pa.table({"a": pa.array([int(x[0]) for x in found], pa.int64()), "b": pa.array([int(x[1]) for x in found], pa.int64())})
+
+    dealt = members.join(sets.select(F.col("doc_id").alias("id"), "parts"), "id")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "id", "n", "label", "parts")
+    return dealt.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -124,30 +203,34 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     Minimum labels over links, then pointer jumping, until nothing changes; ``labels`` may give a start.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    nodes = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    rows = both.count()
+    both = narrow(both, rows)
+    nodes = narrow(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), rows)
     if labels is not None:
-        nodes = nodes.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
+        nodes = narrow(nodes.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), rows)
     nodes = cut(nodes)
     while True:
-        seen = both.join(nodes.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        seen = narrow(both.join(nodes.select(F.col("node").alias("b"), "label"), "b"), rows).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         # what a node hears also goes to its former label, so that whole trees hook on at once
-        told = nodes.join(seen, "node", "left").select("node", "label", F.least("label", "near").alias("low"))
-        hooked = told.select("node", "low").unionByName(told.filter("low < label").select(F.col("label").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
-        jumped = hooked.join(hooked.select(F.col("node").alias("low"), F.col("low").alias("far")), "low", "left").select("node", F.least("low", "far").alias("fresh"))
-        step = cut(nodes.join(jumped, "node").select("node", F.col("fresh").alias("label"), (F.col("fresh") != F.col("label")).alias("moved")))
+        told = cut(narrow(nodes.join(seen, "node", "left").select("node", "label", F.least("label", "near").alias("low")), rows))
+        hooked = told.select("node", "low").unionByName(told.filter("low < label").select(F.col("label").alias("node"), "low"))
+        hooked = narrow(hooked, rows).groupBy("node").agg(F.min("low").alias("low"))
+        hooked = narrow(hooked, rows)
+        jumped = narrow(hooked.join(hooked.select(F.col("node").alias("low"), F.col("low").alias("far")), "low", "left").select("node", F.least("low", "far").alias("fresh")), rows)
+        step = cut(narrow(told.select("node", "label").join(jumped, "node").select("node", F.col("fresh").alias("label"), (F.col("fresh") != F.col("label")).alias("moved")), rows))
         nodes = step.select("node", "label")
         if step.filter("moved").isEmpty():
             return nodes
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 26, rows: int = 6, pivot_rounds: int = 3, small_bucket: int = 20_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 26, rows: int = 6, small_bucket: int = 64
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept, one row per input row.
 
     Words are runs outside ``\\x20\\x09-\\x0D`` with A-Z lower-cased; a text of fewer words than ``width`` has its whole
     sequence as its one shingle; a null, empty or blank text has none and is linked with nothing.  A null id takes
-    part in nothing: component_id null, kept true.  Rows of one id share its component; where their texts differ, the
+    part in nothing: component_id null, kept true.  Rows of one id share its component; of their texts, where they differ, one is compared, and the
     id is linked through each of them.  Columns other than the two named are ignored; an empty table gives no rows.
     With 26 bands of 6 coordinates a pair at 0.85 is missed with probability under 1e-5.
     """
@@ -156,8 +239,8 @@ def near_duplicates(
     full = sketches.filter("doc_id is not null and fingerprint is not null")
     classes = cut(full.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")))
     keyed = classes.select("class_id", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut(keyed.join(shared, "key").select("key", F.col("class_id").alias("id"), "n", "size"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    members = cut(maybe_in(keyed, "key", shared.select("key")).join(shared, "key").select("key", F.col("class_id").alias("id"), "n", "size"))
     # several fingerprints of one id (rows that repeat an id with other texts) are linked through the id
     again = full.select("doc_id", "fingerprint").join(classes.filter("copies > 1").select("fingerprint", "class_id"), "fingerprint", "left")
     links = again.select(F.col("doc_id").alias("a"), F.coalesce("class_id", "doc_id").alias("b")).filter("a <> b").distinct()
@@ -166,39 +249,31 @@ def near_duplicates(
     if not members.isEmpty():
         central = members.groupBy("id").agg(F.sum("size").alias("central"))
         members = cut(members.join(central, "id"))
-        candidates = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        candidates = maybe_in(docs.filter("doc_id is not null"), "doc_id", members.select("id").distinct())
         sets = cut(shingle_sets(candidates, width=width).dropDuplicates(["doc_id"]))
-        found, asked = links, None
         near = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-        open_members = members.withColumn("label", F.col("id"))
-        for turn in range(pivot_rounds + 1):
-            last = turn == pivot_rounds
-            lead = open_members.groupBy("key").agg(F.max_by(F.struct("id", "n", "label"), F.struct("central", -F.col("id"))).alias("lead"), F.count("*").alias("rest"), F.first("size").alias("size"))
-            # a small bucket, and any bucket in the last round, compares all that is open with all members
-            whole = F.lit(last) | (F.col("rest") * F.col("size") <= small_bucket) if turn else F.lit(False)
-            lead = lead.withColumn("whole", whole)
-            now = open_members if not turn else open_members.join(lead.filter("whole").select("key"), "key", "left_semi")
-            ask = lead.filter("not whole").select("key", F.col("lead.id").alias("id2"), F.col("lead.n").alias("n2"), F.col("lead.label").alias("label2"))
-            if turn:
-                ask = ask.unionByName(now.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2")))
-            current = members.withColumn("label", F.col("id")) if labels is None else members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-            pairs = current.join(ask, "key").filter("id <> id2 and label <> label2").filter(near)
-            pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-            pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
-            asked = pairs if asked is None else asked.unionByName(pairs)
-            found = found.unionByName(cut(confirmed(pairs, sets, percent)))
-            labels = components(found, labels)
-            if last:
-                break
-            marked = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-            done = lead.select("key", F.col("lead.id").alias("lead_id"), F.col("whole"))
-            if turn:
-                marked = marked.join(open_members.select("key", "id"), ["key", "id"], "left_semi")
-            main = marked.join(done, "key").filter("not whole")
-            heads = main.filter("id = lead_id").select("key", F.col("label").alias("head"))
-            open_members = cut(main.join(heads, "key").filter("id <> lead_id and label <> head").select(*members.columns, "label"))
-            if open_members.isEmpty():
-                break
+        # first, each member meets the most central of all leads of its buckets
+        leads = members.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("lead"), F.max("central").alias("lead_central"))
+        best = members.join(leads, "key").filter("id <> lead.id").select("id", "n", F.col("lead.id").alias("id2"), F.col("lead.n").alias("n2"), "lead_central").filter(near)
+        best = best.groupBy("id").agg(F.max_by(F.struct("id2", (F.col("n") + F.col("n2")).alias("together")), F.struct("lead_central", -F.col("id2"))).alias("best"))
+        asked = best.select(F.least("id", "best.id2").alias("a"), F.greatest("id", "best.id2").alias("b"), "best.together").distinct()
+        found = links.unionByName(cut(confirmed(cut(possible(asked, sets, percent)), sets, percent)))
+        labels = components(found)
+        # then members of a bucket that are still in different components meet
+        current = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        mixed = current.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
+        current = cut(current.join(mixed, "key", "left_semi"))
+        few = current.filter(F.col("size") <= small_bucket).select("key", "id", "n", "label")
+        other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+        pairs = few.join(other, "key").filter("id < id2 and label <> label2").filter(near)
+        pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), (F.col("n") + F.col("n2")).alias("together")).distinct()
+        pairs = possible(pairs, sets, percent)
+        many = current.filter(F.col("size") > small_bucket)
+        if not many.isEmpty():
+            pairs = pairs.unionByName(crowded(many, sets, percent))
+        fresh = cut(confirmed(cut(pairs.distinct()), sets, percent))
+        if not fresh.isEmpty():
+            labels = components(found.unionByName(fresh), labels)
     elif not links.isEmpty():
         labels = components(links)
     out = sketches.select("doc_id", "n_shingles", "fingerprint").join(classes.filter("copies > 1").select("fingerprint", "class_id"), "fingerprint", "left")

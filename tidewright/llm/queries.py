@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, near_dedup
+from . import bpe, decontaminate, lattice, near_dedup
 from .frames import fold, table
 
 
@@ -26,10 +26,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), decontaminate.questions(table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_bm25_decontamination": op8_bm25_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
