@@ -42,6 +42,40 @@ def unpack(payload: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(payload).read_next_batch()
 
 
+def pack_rows(columns: dict[str, pa.Array]) -> bytes:
+    """Columns of equal length; binaries and lists as sizes and one flat value, which compress better than offsets."""
+    out: dict[str, pa.Array] = {}
+    for name, column in columns.items():
+        if pa.types.is_large_binary(column.type) or pa.types.is_list(column.type):
+            sizes = pc.binary_length(column) if pa.types.is_large_binary(column.type) else column.value_lengths()
+            out[f"{name}.sizes"] = pa.array([sizes.to_numpy(zero_copy_only=False).astype(np.uint32)])
+            if pa.types.is_large_binary(column.type):
+                offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+                data = column.buffers()[2]
+                out[f"{name}.bytes"] = pa.array([bytes(memoryview(data)[offsets[0] : offsets[-1]]) if data else b""], pa.large_binary())
+            else:
+                out[f"{name}.flat"] = pa.array([column.flatten().to_numpy(zero_copy_only=False)])
+        else:
+            out[name] = pa.array([column.to_numpy(zero_copy_only=False)])
+    return pack(out)
+
+
+def unpack_rows(payload: bytes) -> pa.RecordBatch:
+    found = unpack(payload)
+    columns: dict[str, pa.Array] = {}
+    for name, column in zip(found.schema.names, found.columns):
+        base, _, kind = name.partition(".")
+        if kind == "sizes":
+            offsets = np.concatenate(([0], np.cumsum(column.flatten().to_numpy(), dtype=np.int64)))
+        elif kind == "bytes":
+            columns[base] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), column[0].as_buffer()])
+        elif kind == "flat":
+            columns[base] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), column.flatten())
+        else:
+            columns[name] = column.flatten()
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def planes(values: np.ndarray) -> pa.Array:
     """One row of the four byte planes of uint32 values, which compress well apart."""
     return pa.array([np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()], pa.large_binary())
@@ -58,7 +92,7 @@ def word_array(words: bytewords.Words) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes)))), pa.py_buffer(solid)])
 
 
-def _rows(ids: list[pa.Array], counts: list[np.ndarray], found: list[pa.Array], weights: np.ndarray, block: int, shards: int) -> Iterator[tuple[int, int, bytes]]:
+def _rows(ids: list[pa.Array], counts: list[np.ndarray], found: list[pa.Array], weights: np.ndarray, block: int, shards: int, kinds: str) -> Iterator[tuple[int, int, bytes]]:
     tokens = pa.chunked_array(found, pa.large_binary()).combine_chunks().dictionary_encode()
     index = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     entries = tokens.dictionary
@@ -74,17 +108,19 @@ def _rows(ids: list[pa.Array], counts: list[np.ndarray], found: list[pa.Array],
     entries = entries.take(pa.array(common[dealt]))
     weighed = np.bincount(index, np.repeat(weights, sizes), len(common))[common[dealt]].astype(np.int64) if len(index) else np.zeros(0, np.int64)
     edges = np.searchsorted(shard[dealt], np.arange(shards + 1))
-    for k in np.flatnonzero(np.diff(edges)).tolist():
+    for k in np.flatnonzero(np.diff(edges)).tolist() if "w" in kinds else ():
         a, b = edges[k], edges[k + 1]
-        yield k, block, pack({"word": entries.slice(a, b - a), "count": pa.array(weighed[a:b])})
-    yield POSITIONS + block, block, pack({"ids": pa.array([pa.concat_arrays(ids).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), "missing": pa.array([pc.is_null(pa.concat_arrays(ids)).to_pylist()], pa.list_(pa.bool_())), "sizes": pa.array([sizes.astype(np.int32)]), "weights": pa.array([weights.astype(np.int8)]), "at": planes(number[index]), "order": planes(dealt), "entries": pa.array([len(common)])})
+        yield k, block, pack_rows({"word": entries.slice(a, b - a), "count": pa.array(weighed[a:b])})
+    if "p" in kinds:
+        yield POSITIONS + block, block, pack({"ids": pa.array([pa.concat_arrays(ids).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), "missing": pa.array([pc.is_null(pa.concat_arrays(ids)).to_pylist()], pa.list_(pa.bool_())), "sizes": pa.array([sizes.astype(np.int32)]), "weights": pa.array([weights.astype(np.int8)]), "at": planes(number[index]), "order": planes(dealt), "entries": pa.array([len(common)])})
 
 
-def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, int, pa.Array, np.ndarray]]], shards: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, int, pa.Array, np.ndarray]]], shards: int, *, kinds: str = "wp", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Packed rows (part, block, payload) of ``docs`` (doc_id, text, weight).
 
     ``tokenise`` gives, for slices of a text column, (row, end, words as Arrow large_binary, words per document).
-    ``count`` of an entry sums ``weight`` (0 or 1) over its uses.
+    ``count`` of an entry sums ``weight`` (0 or 1) over its uses.  ``kinds`` says which rows to make: words, positions or
+    both; two calls over the same files agree.
     """
 
     def run(batches):
@@ -92,7 +128,7 @@ def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, i
         ids, counts, found, weights, held = [], [], [], [], 0
 
         def flush():
-            rows = list(_rows(ids, counts, found, np.concatenate(weights), task + seen, shards))
+            rows = list(_rows(ids, counts, found, np.concatenate(weights), task + seen, shards, kinds))
             for start in range(0, len(rows), 64):
                 part, block, payload = zip(*rows[start : start + 64])
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(payload, pa.binary())], ["part", "block", "payload"])
@@ -114,36 +150,37 @@ def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, i
 
 
 def by_shard(packed: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
-    """Packed rows whose entries are replaced by answers.
+    """Packed rows of words whose entries are replaced by answers.
 
     ``answer`` gets the distinct words of a shard with their counts over the corpus and returns columns of as many rows.
     """
 
     def group(rows: pa.Table) -> pa.Table:
-        if rows.column("part")[0].as_py() >= POSITIONS:
-            return rows
-        entries = [unpack(x.as_buffer()) for x in rows.column("payload")]
+        entries = [unpack_rows(x.as_buffer()) for x in rows.column("payload")]
         coded = pa.chunked_array([x.column("word") for x in entries]).combine_chunks().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
         counts = np.bincount(index, np.concatenate([x.column("count").to_numpy() for x in entries]), len(coded.dictionary)).astype(np.int64)
         answers = answer(coded.dictionary, counts)
         payloads, start = [], 0
         for x in entries:
-            payloads.append(pack({k: v.take(pa.array(index[start : start + x.num_rows])) for k, v in answers.items()}))
+            payloads.append(pack_rows({k: v.take(pa.array(index[start : start + x.num_rows])) for k, v in answers.items()}))
             start += x.num_rows
         return rows.set_column(2, "payload", pa.array(payloads, pa.binary()))
 
     return packed.groupBy("part").applyInArrow(group, PACKED)
 
 
-def by_block(packed: DataFrame, finish: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, dict[str, pa.Array]], pa.Table], schema: str) -> DataFrame:
-    """Rows of all blocks; ``finish`` gets ids, weights, words per document, each word's number and the answers by number."""
+def by_block(answered: DataFrame, positions: DataFrame, finish: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, dict[str, pa.Array]], pa.Table], schema: str) -> DataFrame:
+    """Rows of all blocks; ``finish`` gets ids, weights, words per document, each word's number and the answers by number.
 
-    def group(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("part")
-        payloads = rows.column("payload")
-        last = unpack(payloads[-1].as_buffer())
-        answers = [unpack(x.as_buffer()) for x in payloads[: len(payloads) - 1]] if len(payloads) > 1 else []
+    Words and positions are made from the same rows in the same order, or the job stops.
+    """
+
+    def group(rows: pa.Table, last: pa.Table) -> pa.Table:
+        if last.num_rows != 1:
+            raise RuntimeError("a block's words and positions come from different runs of its task")
+        answers = [unpack_rows(x.as_buffer()) for x in rows.sort_by("part").column("payload")]
+        last = unpack(last.column("payload")[0].as_buffer())
         if sum(x.num_rows for x in answers) != last.column("entries")[0].as_py():
             raise RuntimeError("a block's words and positions come from different runs of its task")
         place = np.argsort(unplanes(last.column("order")[0]))
@@ -153,4 +190,5 @@ def by_block(packed: DataFrame, finish: Callable[[pa.Array, np.ndarray, np.ndarr
         ids = pc.if_else(last.column("missing").flatten(), None, ids.cast(pa.int64()))
         return finish(ids, last.column("weights").flatten().to_numpy(), last.column("sizes").flatten().to_numpy(), unplanes(last.column("at")[0]).astype(np.int64), by_number)
 
-    return packed.groupBy("block").applyInArrow(group, schema)
+    # a cogroup, not a union: each side is a stage of its own, whose partitions number the blocks
+    return answered.groupBy("block").cogroup(positions.groupBy("block")).applyInArrow(group, schema)

@@ -77,8 +77,9 @@ def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc
         return pa.table({"doc_id": ids, "token_ids": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), flat)})
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).alias("weight"))
-    packed = blocks.blocks(docs, tokenise, shards or shuffle_partitions(docs.sparkSession))
-    return blocks.by_block(blocks.by_shard(packed, answer), finish, "doc_id long, token_ids array<int>")
+    shards = shards or shuffle_partitions(docs.sparkSession)
+    words, positions = (blocks.blocks(docs, tokenise, shards, kinds=kind) for kind in "wp")
+    return blocks.by_block(blocks.by_shard(words, answer), positions, finish, "doc_id long, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, *, vocabulary: str) -> DataFrame:

@@ -21,6 +21,8 @@ LONG_WORD = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words made of letters and digits alone; any byte beyond ASCII belongs to a word.
+MARKS = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
@@ -79,9 +81,9 @@ class Words:
         return [raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _SPACE) -> Words:
     data = _LOWER[data] if lower else data
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
     closes[:-1] &= ~solid[1:]

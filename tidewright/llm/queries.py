@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lattice, near_dedup
+from . import bpe, decontaminate, lattice, near_dedup, quality_rules, toxicity
 from .frames import fold, table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,11 +34,19 @@ def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), decontaminate.questions(table(spark, sf_dir, "benchmark")))
 
 
+def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) == 2)
+
+
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_bm25_decontamination": op8_bm25_decontamination,
+    "op9_kneser_ney_toxicity": op9_kneser_ney_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality_rules.oracle_sql(),
+}
