@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lattice, near_dedup, quality_rules, toxicity
+from . import bpe, decontaminate, lattice, near_dedup, quality_classifier, quality_rules, toxicity
 from .frames import fold, table
 
 
@@ -38,6 +38,10 @@ def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) == 2)
 
 
+def op10_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=fold(F.col("doc_id"), 4) == 2)
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
@@ -45,6 +49,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_bm25_decontamination": op8_bm25_decontamination,
     "op9_kneser_ney_toxicity": op9_kneser_ney_toxicity,
+    "op10_bayes_quality": op10_bayes_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {

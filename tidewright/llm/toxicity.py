@@ -152,20 +152,26 @@ def normalised_ratios(docs: DataFrame, model, carried: list[str]) -> DataFrame:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Slopes and intercept by Newton steps, with one pseudo-row of either class; columns of ``x`` are scaled by their spread."""
-    spread = np.where(len(x) and x.std(axis=0) > 0, x.std(axis=0), 1.0) if len(x) else np.ones(x.shape[1])
-    middle = np.repeat(x.mean(axis=0)[None, :], 2, axis=0) if len(x) else np.zeros((2, x.shape[1]))
-    z = np.hstack((np.vstack((x, middle)) / spread, np.ones((len(x) + 2, 1))))
+    """Slopes and intercept by damped Newton steps, with one pseudo-row of either class; the ridge is on scaled columns."""
+    if not len(x):
+        return np.zeros(x.shape[1] + 1)
+    centre, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = np.hstack((np.vstack(((x - centre) / spread, np.zeros((2, x.shape[1])))), np.ones((len(x) + 2, 1))))
     y = np.append(y, [0.0, 1.0])
     penalty = np.append(np.full(x.shape[1], ridge), 1e-9)
     w = np.zeros(z.shape[1])
-    for _ in range(100):
+    loss = lambda w: (np.logaddexp(0, z @ w) - y * (z @ w)).sum() + 0.5 * (penalty * w * w).sum()
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return np.append(w[:-1] / spread, w[-1])
+    slopes = w[:-1] / spread
+    return np.append(slopes, w[-1] - slopes @ centre)
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = 20_000, calibration: int = 10_000, cutoff: float = 0.3) -> DataFrame:
