@@ -54,10 +54,15 @@ def repeat_words(words: Column) -> Column:
     return let(words, of_words)
 
 
-def signals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum, counts, base_failed and the rules' shares of whole texts; a null text has no words."""
+def signals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: bool = False) -> DataFrame:
+    """doc_id, stratum, counts, base_failed and the rules' shares of whole texts; a null text has no words.
+
+    With ``carry`` the column row has all columns of ``docs``.
+    """
+    more = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"), *more)
+    more = ["row"] if carry else []
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     without = lambda these: F.length("text") - F.length(F.translate("text", these, ""))
     words = F.array_remove(F.split("text", SPACE), "")
@@ -69,8 +74,9 @@ def signals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         without(SYMBOLS).cast("long").alias("n_symbols"),
         without(UPPER).cast("long").alias("n_upper"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("x"),
+        *more,
     )
-    counted = counted.select("doc_id", "stratum", "w.*", "x.*", "word_chars", "n_symbols", "n_upper")
+    counted = counted.select("doc_id", "stratum", "w.*", "x.*", "word_chars", "n_symbols", "n_upper", *more)
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return counted.select(
         "*",
@@ -127,11 +133,23 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     labels the best counts, null labels do not.  Other columns are ignored; an empty table gives no rows.
     """
     measured = cut(signals(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col))
-    chosen = cutoffs(measured, labels, alpha=alpha, delta=delta)
+    judged = verdicts(measured, cutoffs(measured, labels, alpha=alpha, delta=delta))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def verdicts(measured: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``measured`` with kept: not base_failed, and no rule of its stratum fires."""
     limits = chosen.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"{rule}_cutoff") for rule in GRID))
     fires = reduce(lambda a, b: a | b, (F.coalesce(F.col(rule) > F.col(f"{rule}_cutoff"), F.lit(False)) for rule in GRID))
-    judged = measured.join(limits, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~fires)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return measured.join(limits, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~fires)
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps.  Only labelled rows are measured twice."""
+    names = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
+    labelled = docs.join(labels.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    chosen = cut(cutoffs(cut(signals(labelled, **names)), labels, alpha=alpha, delta=delta))
+    return verdicts(signals(docs, **names, carry=True), chosen).filter("kept").select("row.*")
 
 
 def oracle_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
