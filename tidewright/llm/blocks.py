@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import bytewords
+from .frames import over_texts
 
 PACKED = "part long, block long, payload binary"
 BLOCK_BYTES = 8 << 20
@@ -146,7 +147,7 @@ def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, i
         if ids:
             yield from flush()
 
-    return docs.mapInArrow(run, PACKED)
+    return over_texts(docs, run, PACKED)
 
 
 def by_shard(packed: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str, pa.Array]]) -> DataFrame:

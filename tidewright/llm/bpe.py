@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, bytewords
-from .frames import shuffle_partitions
+from .frames import over_texts, shuffle_partitions
 
 
 @lru_cache(1)
@@ -104,4 +104,4 @@ def decode(encoded: DataFrame, *, vocabulary: str) -> DataFrame:
                     texts = pa.compute.if_else(part.is_null(), None, texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, width), part, texts.cast(pa.binary())], ["doc_id", "token_ids", "decoded"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary")
+    return over_texts(encoded.select("doc_id", "token_ids"), run, "doc_id long, token_ids array<int>, decoded binary")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords
+from .frames import over_texts
 
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 K1, B = 1.2, 0.75
@@ -75,7 +76,7 @@ def segment_terms(items: DataFrame, segment: int) -> DataFrame:
                     terms.append(run_.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(terms, pa.list_(pa.int64()))], ["item_id", "part", "terms"])
 
-    return items.mapInArrow(run, "item_id long, part int, terms array<long>")
+    return over_texts(items, run, "item_id long, part int, terms array<long>")
 
 
 def impacts(segments: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def contaminated(
                 kinds = (pa.int64(), *(pa.float64(),) * 3)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, k) for x, k in zip(others, kinds))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = found.unionByName(docs.mapInArrow(run, HITS))
+        found = found.unionByName(over_texts(docs, run, HITS))
     return found
 
 
@@ -238,7 +239,7 @@ def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", segment:
                 keep[[x[0] for x in scan(batch.column(at), index.value, **options)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = over_texts(docs, run, docs.schema)
     return docs
 
 

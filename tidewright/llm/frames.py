@@ -32,6 +32,11 @@ def narrow(df: DataFrame, rows: int, per_part: int = 100_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_part)))
 
 
+def small_side(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """``df`` (a few short columns, cheap to make again) with a broadcast hint if it has no more rows than that."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
     """The rows of ``df`` whose long ``column`` may be in ``keys`` (one long column): a filter without a shuffle.
 
@@ -80,6 +85,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of rows in an Arrow batch that carries whole texts to Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches stay small from now on, which bounds what a task holds outside the heap; a long text is a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def over_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -87,7 +110,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
         for batch in batches:
             yield from function(batch)
 
-    return df.mapInArrow(run, schema)
+    return over_texts(df, run, schema)
 
 
 def fold(id_column, parts: int):

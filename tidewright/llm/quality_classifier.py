@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytewords
-from .frames import cut
+from .frames import cut, over_texts, small_side
 from .near_dedup import distinct_per_document
 from .toxicity import logistic
 
@@ -53,18 +54,19 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.hstack((x, x * x, np.sqrt(np.maximum(x, 0))))
 
 
-def evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` (whose last column is the text) with evidence instead of the text."""
-    at = len(docs.columns) - 1
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema[:at]) + ", evidence double"
-    names = [*docs.columns[:at], "evidence"]
+def evidence(docs: DataFrame, weights: np.ndarray, text: str, keep: bool) -> DataFrame:
+    """``docs`` with the column evidence after its columns, without the text unless ``keep``."""
+    at = docs.columns.index(text)
+    others = [i for i in range(len(docs.columns)) if keep or i != at]
+    names = [*(docs.columns[i] for i in others), "evidence"]
+    schema = T.StructType([*(docs.schema[i] for i in others), T.StructField("evidence", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             value = np.clip(expand(features(batch.column(at))) @ weights[:-1] + weights[-1], -30, 30)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(value)], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in others), pa.array(value)], names)
 
-    return docs.mapInArrow(run, schema)
+    return over_texts(docs, run, schema)
 
 
 def fit(docs: DataFrame, known: DataFrame, sample: int) -> tuple[np.ndarray, float]:
@@ -77,7 +79,7 @@ def fit(docs: DataFrame, known: DataFrame, sample: int) -> tuple[np.ndarray, flo
             found = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES)), pa.array(found.ravel()))], ["label", "features"])
 
-    rows = texts.mapInArrow(run, "label int, features array<double>").toArrow().sort_by("label")
+    rows = over_texts(texts, run, "label int, features array<double>").toArrow().sort_by("label")
     labels = rows.column("label").to_numpy().astype(float)
     values = np.array(rows.column("features").to_pylist() or np.zeros((0, len(FEATURES)))).reshape(-1, len(FEATURES))
     weights = logistic(expand(values), labels, ridge=1.0)
@@ -111,8 +113,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     A path lies within its host; null hosts and paths are groups of their own.  ``labels`` has doc_id and quality;
     labels of rows for which ``held_out`` is true, and null labels, are not read; of repeated labels the best counts.
     The classifier is fitted on at most ``sample`` labelled texts; group sums cover all documents.  A text without
-    words has only its site to speak for it beyond an empty text's evidence.  With ``carry`` all columns of ``docs``
-    stay and the others are left out but kept.  Other columns are ignored; an empty table gives no rows.
+    words has only its site to speak for it beyond an empty text's evidence.  With ``carry`` the rows kept are returned as they are: all columns of ``docs``
+    stay.  Other columns are ignored; an empty table gives no rows.
     """
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), group_column(host, "host"), group_column(path, "path"), F.col(text_col).cast("string").alias("text"))
@@ -121,7 +123,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     weights, rate = fit(base.select("doc_id", "text"), known, sample)
     prior = float(np.log(rate / (1 - rate)))
     chance = lambda odds: 1 / (1 + F.exp(-odds))
-    read = cut(evidence(base.select("doc_id", "held_out", "host", "path", "text"), weights)).withColumn("p", chance(F.col("evidence") + F.lit(prior)))
+    read = cut(evidence(base.select("doc_id", "held_out", "host", "path", "text"), weights, "text", False)).withColumn("p", chance(F.col("evidence") + F.lit(prior)))
     paths = read.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good"))
     paths = cut(paths)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -131,7 +133,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("good") + to_global * mean) / (F.col("n") + to_global)).alias("expected"))
     grouped = cut(paths.join(hosts, "host"))
     to_host = strength(grouped, F.col("expected"))
-    sites = grouped.select("host", "path", F.col("n").alias("path_n"), F.col("good").alias("path_good"), "host_n", "host_good")
+    sites = small_side(grouped.select("host", "path", F.col("n").alias("path_n"), F.col("good").alias("path_good"), "host_n", "host_good"))
 
     def judged(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("host_rate", (F.col("host_good") - F.col("p") + to_global * mean) / (F.col("host_n") - 1 + to_global))
@@ -142,6 +144,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     if not carry:
         return judged(read.join(sites, ["host", "path"])).select("doc_id", "held_out", "evidence", "host_rate", "path_rate", "score", "kept")
-    whole_rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)), group_column(host, "host"), group_column(path, "path"), F.col(text_col).cast("string").alias("_text"))
-    rows = evidence(whole_rows, weights).withColumn("p", chance(F.col("evidence") + F.lit(prior)))
+    whole_rows = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), group_column(host, "host"), group_column(path, "path"))
+    rows = evidence(whole_rows, weights, f"_{docs.columns.index(text_col)}", True).withColumn("p", chance(F.col("evidence") + F.lit(prior)))
     return judged(rows.join(sites, ["host", "path"])).filter("kept").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))

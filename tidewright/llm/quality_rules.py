@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, small_side
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -133,7 +133,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     labels the best counts, null labels do not.  Other columns are ignored; an empty table gives no rows.
     """
     measured = cut(signals(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col))
-    judged = verdicts(measured, cutoffs(measured, labels, alpha=alpha, delta=delta))
+    judged = verdicts(measured, cut(cutoffs(measured, labels, alpha=alpha, delta=delta)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -141,7 +141,7 @@ def verdicts(measured: DataFrame, chosen: DataFrame) -> DataFrame:
     """``measured`` with kept: not base_failed, and no rule of its stratum fires."""
     limits = chosen.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"{rule}_cutoff") for rule in GRID))
     fires = reduce(lambda a, b: a | b, (F.coalesce(F.col(rule) > F.col(f"{rule}_cutoff"), F.lit(False)) for rule in GRID))
-    return measured.join(limits, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~fires)
+    return measured.join(small_side(limits), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~fires)
 
 
 def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:

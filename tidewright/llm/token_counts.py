@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ranks
+from .frames import over_texts
 
 RANGE = 1024
 
@@ -38,7 +39,7 @@ def lengths(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: str = "
                 sizes[start : start + len(some)] = [len(x) for x in encoder.encode_ordinary_batch(some, num_threads=1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], ["group", "length"])
 
-    return docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("group"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "group string, length long")
+    return over_texts(docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("group"), F.col(text_col).cast("string").alias("text")), run, "group string, length long")
 
 
 def histogram(measured: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords
-from .frames import cut
+from .frames import cut, over_texts
 
 DISCOUNT = 0.75
 #: Ratios (natural log) below this may be chance or topic.
@@ -91,7 +91,7 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
                 sums = [np.add.reduceat(x.astype(np.int64), new) if len(new) else np.zeros(0, np.int64) for x in (toxic, ~toxic)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (before[new].view(np.int64), hashes[new].view(np.int64), *sums)], ["before", "word", "toxic", "ordinary"])
 
-    counted = docs.mapInArrow(run, "before long, word long, toxic long, ordinary long")
+    counted = over_texts(docs, run, "before long, word long, toxic long, ordinary long")
     return counted.groupBy("before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -148,7 +148,7 @@ def normalised_ratios(docs: DataFrame, model, carried: list[str]) -> DataFrame:
             out[1] = np.sqrt(np.maximum(out[1], 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carried))), pa.array(out[0]), pa.array(out[1])], names)
 
-    return docs.select(*carried, "text").mapInArrow(run, schema)
+    return over_texts(docs.select(*carried, "text"), run, schema)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
