@@ -1 +1,157 @@
-"""."""
+"""Queries: the hourly panel and its features (§2.6, 2.12)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import times
+from ..functions.numbers import six
+from ..operators import audit, features
+from .base import MEASURES, PANEL, load, observations, panel, query, s6, sec, seconds
+
+#: The test tables span one month and have gaps, so gates here look back a few hours.
+SHORT = features.Panel(lags={c: (n, tuple(h for h in hs if h <= 6)) for c, (n, hs) in features.LAGS.items()}, roll_hours=(3, 6), depth=6)
+SPLITS = (("TRAIN", None, "2024-01-15"), ("VALIDATION", "2024-01-15", "2024-01-22"), ("TEST", "2024-01-22", None))
+W = "WINDOW w AS (PARTITION BY location_id ORDER BY event_time)"
+
+
+@query(f"WITH {PANEL} SELECT location_id, {sec('event_time')} AS second, {', '.join(MEASURES)} FROM panel")
+def hourly_panel(spark, d):
+    return panel(spark, d).select("location_id", seconds("event_time").alias("second"), *MEASURES)
+
+
+GRID = "g AS (SELECT location_id, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS event_time FROM (SELECT location_id, min(event_time) AS lo, max(event_time) AS hi FROM panel GROUP BY ALL))"
+
+
+@query(f"WITH {PANEL}, {GRID} SELECT g.location_id, {sec('g.event_time')} AS second, p.temperature_c FROM g LEFT JOIN panel p USING (location_id, event_time)")
+def densify_grid(spark, d):
+    """WIN-13."""
+    return features.grid(panel(spark, d), "location_id", "event_time").select("location_id", seconds("event_time").alias("second"), "temperature_c")
+
+
+@query(f"WITH {PANEL}, {GRID} SELECT location_id, {sec('event_time')} AS second FROM g ANTI JOIN panel p USING (location_id, event_time)")
+def missing_hours(spark, d):
+    """SET-07."""
+    return features.missing_hours(panel(spark, d), "location_id", "event_time").select("location_id", seconds("event_time").alias("second"))
+
+
+@query(f"WITH {PANEL}, {GRID}, m AS (SELECT location_id, {sec('event_time')} AS s FROM g ANTI JOIN panel p USING (location_id, event_time)), i AS (SELECT *, s - 3600 * row_number() OVER (PARTITION BY location_id ORDER BY s) AS island FROM m) SELECT location_id, min(s) AS gap_start, max(s) AS gap_end, count(*) AS gap_hours FROM i GROUP BY location_id, island")
+def gap_islands(spark, d):
+    """WIN-17."""
+    g = features.gap_islands(panel(spark, d), "location_id", "event_time")
+    return g.select("location_id", seconds("gap_start").alias("gap_start"), seconds("gap_end").alias("gap_end"), "gap_hours")
+
+
+def _sql_lags() -> str:
+    return ", ".join(f"lag({c}, {n}) OVER w AS {short}_lag_{n}h" for c, (short, ns) in features.LAGS.items() for n in ns)
+
+
+@query(f"WITH {PANEL} SELECT location_id, {sec('event_time')} AS second, {_sql_lags()} FROM panel {W}")
+def lag_features(spark, d):
+    """WIN-01."""
+    made = features.lagged(features.Panel())
+    return panel(spark, d).select("location_id", seconds("event_time").alias("second"), *(v.alias(k) for k, v in made.items()))
+
+
+def _sql_rolls() -> tuple[str, str]:
+    parts, names = [], {"mean": "avg", "std": "stddev_pop", "sum": "sum"}
+    for c, (short, operations) in features.ROLLS.items():
+        for n in features.ROLL_HOURS:
+            for op in operations:
+                name = f"{short}_sum_{n}h" if op == "sum" else f"{short}_roll_{op}_{n}h"
+                frame = f"OVER (PARTITION BY location_id ORDER BY event_time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+                parts.append(f"{s6(f'CASE WHEN count({c}) {frame} = {n} THEN {names[op]}({c}) {frame} END')} AS {name}")
+    return ", ".join(parts), ""
+
+
+@query(f"WITH {PANEL} SELECT location_id, {sec('event_time')} AS second, {_sql_rolls()[0]} FROM panel")
+def rolling_features(spark, d):
+    """WIN-02/03."""
+    made = features.rolled(features.Panel())
+    return panel(spark, d).select("location_id", seconds("event_time").alias("second"), *(six(v).alias(k) for k, v in made.items()))
+
+
+@query(f"WITH {PANEL} SELECT location_id, {sec('event_time')} AS second, " + ", ".join(f"{s6(f'{c} - lag({c}, {n}) OVER w')} AS {short}_delta_{n}h" for c, short, ns in features.DELTAS for n in ns) + f" FROM panel {W}")
+def delta_features(spark, d):
+    """WIN-04."""
+    made = features.differences(features.Panel())
+    return panel(spark, d).select("location_id", seconds("event_time").alias("second"), *(six(v).alias(k) for k, v in made.items()))
+
+
+_PERIOD = {"hour": ("hour(l)", "24.0"), "day_of_week": ("(isodow(l) - 1)", "7.0"), "day_of_year": ("(dayofyear(l) - 1)", "365.25")}
+
+
+@query(f"WITH {PANEL}, x AS (SELECT location_id, event_time, event_time + INTERVAL 7 HOUR AS l FROM panel) SELECT location_id, {sec('event_time')} AS second, CAST(hour(l) AS INTEGER) AS local_hour, CAST(isodow(l) - 1 AS INTEGER) AS local_day_of_week, CAST(month(l) AS INTEGER) AS local_month, CAST(dayofyear(l) AS INTEGER) AS local_day_of_year, " + ", ".join(f"{s6(f'{fn}({v}::DOUBLE * (2.0 * pi() / {p}))')} AS {n}_{fn}" for n, (v, p) in _PERIOD.items() for fn in ("sin", "cos")) + " FROM x")
+def calendar_features(spark, d):
+    """§2.9 calendar."""
+    made = times.local_calendar(F.col("event_time"))
+    return panel(spark, d).select("location_id", seconds("event_time").alias("second"), *((six(v) if k.endswith(("sin", "cos")) else v).alias(k) for k, v in made.items()))
+
+
+GATE = "coalesce(lag(event_time, {n}) OVER w = event_time - INTERVAL {n} HOUR, false) AS history_complete, coalesce(lead(event_time) OVER w = event_time + INTERVAL 1 HOUR, false) AS target_complete"
+
+
+@query(f"WITH {PANEL}, a AS (SELECT *, {GATE.format(n=24)} FROM panel {W}), b AS (SELECT *, {GATE.format(n=6)} FROM panel {W}) SELECT 24 AS depth, location_id, count(*) AS n, count(*) FILTER (history_complete AND target_complete) AS eligible FROM a GROUP BY location_id UNION ALL SELECT 6, location_id, count(*), count(*) FILTER (history_complete AND target_complete) FROM b GROUP BY location_id")
+def label_gate(spark, d):
+    """WIN-05/06 with the contract's look-back of 24 hours and a short one."""
+    p, out = panel(spark, d), None
+    for depth in (24, 6):
+        gate = features.gates(features.Panel(depth=depth))
+        counted = p.select("location_id", *(v.alias(k) for k, v in gate.items())).groupBy(F.lit(depth).alias("depth"), "location_id").agg(F.count("*").alias("n"), F.count_if(F.col("history_complete") & F.col("target_complete")).alias("eligible"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+@query(f"WITH {PANEL}, s AS (SELECT location_id, event_time, lead(event_time) OVER w AS following FROM panel {W}) SELECT location_id, count(*) AS n, count(*) FILTER (following <> event_time + INTERVAL 1 HOUR) AS gap_edges FROM s GROUP BY location_id")
+def gap_edges(spark, d):
+    """WIN-07."""
+    return features.gap_edges(panel(spark, d))
+
+
+
+
+@query(f"WITH {PANEL}, a AS (SELECT *, {GATE.format(n=6)}, lead(temperature_c) OVER w AS label, lag(temperature_c, 1) OVER w AS temp_lag_1h, lag(temperature_c, 6) OVER w AS temp_lag_6h, avg(temperature_c) OVER (PARTITION BY location_id ORDER BY event_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS roll6 FROM panel {W}) SELECT location_id, {sec('event_time')} AS second, {sec("event_time + INTERVAL 1 HOUR")} AS target_second, temp_lag_1h, temp_lag_6h, {s6('roll6')} AS temp_roll_mean_6h, label AS target_1h, CASE WHEN event_time + INTERVAL 1 HOUR < TIMESTAMP '2024-01-15' THEN 'TRAIN' WHEN event_time + INTERVAL 1 HOUR < TIMESTAMP '2024-01-22' THEN 'VALIDATION' ELSE 'TEST' END AS split FROM a WHERE history_complete AND target_complete")
+def feature_frame(spark, d):
+    """CMP-01/02: features, label and split behind the gates (look-back of 6 hours)."""
+    f = features.build(panel(spark, d), SHORT, splits=SPLITS)
+    return f.select("location_id", seconds("event_time").alias("second"), seconds("target_time").alias("target_second"), "temp_lag_1h", "temp_lag_6h", six(F.col("temp_roll_mean_6h")).alias("temp_roll_mean_6h"), "target_1h", "split")
+
+
+@query(f"WITH {PANEL}, s AS (SELECT location_id, event_time, CASE WHEN event_time + INTERVAL 1 HOUR < TIMESTAMP '2024-01-15' THEN 'TRAIN' WHEN event_time + INTERVAL 1 HOUR < TIMESTAMP '2024-01-22' THEN 'VALIDATION' ELSE 'TEST' END AS split FROM panel) SELECT split, location_id, count(*) AS n, {sec('min(event_time)')} AS first_second, {sec('max(event_time)')} AS last_second FROM s GROUP BY ALL")
+def temporal_split_counts(spark, d):
+    """CMP-02, AGG-17."""
+    target = F.col("event_time") + features.hours(1)
+    s = panel(spark, d).withColumn("split", features.split_name(target, SPLITS))
+    return s.groupBy("split", "location_id").agg(F.count("*").alias("n"), seconds(F.min("event_time")).alias("first_second"), seconds(F.max("event_time")).alias("last_second"))
+
+
+@query(f"WITH {PANEL} SELECT a.location_id, {sec('a.event_time')} AS second, b.temperature_c AS label FROM panel a JOIN panel b ON a.location_id = b.location_id AND b.event_time = a.event_time + INTERVAL 2 HOUR")
+def future_label_exact(spark, d):
+    """JON-11."""
+    return features.future_label(panel(spark, d), "location_id", "event_time", "temperature_c", 2).select("location_id", seconds("event_time").alias("second"), "label")
+
+
+@query(f"WITH {PANEL}, l AS (SELECT location_id, event_time + INTERVAL 1 HOUR AS target_time, lead(temperature_c) OVER w AS label FROM panel {W}) SELECT count(*) AS labels, count(*) FILTER (p.temperature_c IS NULL) AS missing, count(*) FILTER (p.temperature_c <> l.label) AS \"different\" FROM l LEFT JOIN panel p ON p.location_id = l.location_id AND p.event_time = l.target_time")
+def label_verify_join(spark, d):
+    """JON-10: positional labels against the source at the target time, gaps left in to be found."""
+    p = panel(spark, d)
+    labels = p.select("location_id", (F.col("event_time") + features.hours(1)).alias("target_time"), F.lead("temperature_c").over(features.Panel().window).alias("label"))
+    return features.label_faults(labels, p, "location_id", "event_time", "target_time", "label", "temperature_c")
+
+
+@query(f"WITH {PANEL} SELECT location_id, CAST(year(event_time) AS INTEGER) AS year, count(*) AS rows, count(DISTINCT event_time) AS hours, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS off_grid, CAST((epoch(max(event_time)) - epoch(min(event_time))) / 3600 + 1 - count(*) AS BIGINT) AS missing_hours FROM panel GROUP BY ALL")
+def dataset_audit(spark, d):
+    """CMP-16/17."""
+    return audit.dataset(panel(spark, d), "location_id", "event_time")
+
+
+@query(f"SELECT count(*) AS total_rows, count(DISTINCT ts) AS distinct_hours FROM (SELECT date_trunc('hour', ts) AS ts FROM events)")
+def truncated_hours(spark, d):
+    return load(spark, d, "events").select(F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("total_rows"), F.countDistinct("h").alias("distinct_hours"))
+
+
+@query("SELECT event_id, " + sec("date_trunc('hour', ts)") + " AS current_second, " + sec("date_trunc('hour', ts) - INTERVAL 1 HOUR") + " AS completed_second, " + sec("date_trunc('hour', ts) + INTERVAL 1 HOUR") + " AS target_second, date_trunc('hour', ts) + INTERVAL 1 HOUR > ts AS prospective FROM events")
+def timing_contract(spark, d):
+    """CMP-08 with a horizon of two hours after the last completed one."""
+    t = times.timing(F.col("ts"), 2)
+    return load(spark, d, "events").select("event_id", seconds(t["current_hour"]).alias("current_second"), seconds(t["completed_hour"]).alias("completed_second"), seconds(t["target_time"]).alias("target_second"), t["prospective"].alias("prospective"))
