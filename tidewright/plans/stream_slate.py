@@ -1 +1,167 @@
-"""."""
+"""Queries: streams run until drained, merges, and micro-batch scoring (§2.2, 2.10, 2.11, 2.12)."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.numbers import six
+from ..operators import features, quality, state, windows
+from ..sources.merge import VersionedTable, log_rows
+from ..sources.readers import file_stream
+from ..streaming import medallion as runs
+from .base import PANEL, load, observations, panel, query, s6, sec, seconds
+from .medallion import RAW, VALID, raw
+
+COLUMNS = ("event_id", "offset", "location_id", "event_time", "temperature_c", "humidity_pct", "precipitation_mm", "latitude", "longitude")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below the shared checkpoint folder, or a temporary one where none is set (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewright-")
+    return f"{shared}/run-{uuid.uuid4().hex}"
+
+
+def arrivals(spark, d, folder: str, batches: int = 4):
+    """The raw records as a stream of files, one a micro-batch, in order of arrival."""
+    r = raw(spark, d).select(*COLUMNS)
+    last = r.agg(F.max("offset")).first()[0] or 0
+    for k in range(batches):
+        r.filter((F.col("offset") > last * k // batches) | F.lit(k == 0)).filter(F.col("offset") <= last * (k + 1) // batches).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return file_stream(spark, f"{folder}/in", r.schema, 1)
+
+
+@query(f"WITH {RAW} SELECT DISTINCT event_id, location_id, temperature_c FROM raw WHERE {VALID}")
+def stream_dedupe(spark, d):
+    """STR-01/02/06/07/12, SRC-05/06, SNK-01: the watermark is wide, so no row is late."""
+    folder = scratch(spark)
+    queries = runs.silver(arrivals(spark, d, folder), quality.valid_observation(), folder, f"{folder}/state", "40 days")
+    runs.drain(*queries)
+    return spark.read.parquet(f"{folder}/silver").select("event_id", "location_id", "temperature_c")
+
+
+@query(f"WITH {RAW} SELECT event_id, \"offset\" FROM raw WHERE {VALID} IS NOT TRUE")
+def stream_dead_letters(spark, d):
+    """STR-12: the other sink."""
+    folder = scratch(spark)
+    runs.drain(*runs.silver(arrivals(spark, d, folder, 2), quality.valid_observation(), folder, f"{folder}/state", "40 days"))
+    return spark.read.parquet(f"{folder}/dead").select("event_id", "offset")
+
+
+@query(f"WITH {RAW} SELECT {sec("date_trunc('hour', event_time)")} AS window_start, location_id, count(*) AS n, {s6('avg(temperature_c)')} AS mean FROM raw WHERE {VALID} GROUP BY ALL")
+def stream_gold(spark, d):
+    """STR-04/05, SNK-02: tumbling windows in update mode, upserted by key; after the drain the table equals a batch."""
+    folder = scratch(spark)
+    good = quality.split_valid(arrivals(spark, d, folder), quality.valid_observation())[0]
+    gold = windows.windowed(good, "event_time", "1 hour", None, ["location_id"], windows.measures("temperature_c"), "40 days")
+    target = VersionedTable(spark, f"{folder}/gold", "window_start long, location_id string, n long, mean double", ["window_start", "location_id"])
+    shape = lambda rows: rows.select(seconds("window_start").alias("window_start"), "location_id", "n", six(F.col("mean")).alias("mean"))
+    runs.drain(runs.upsert(gold, target, f"{folder}/state", "gold", shape=shape))
+    return target.read()
+
+
+@query(f"WITH {RAW} SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM (SELECT DISTINCT event_id FROM raw WHERE {VALID})")
+def stream_restart(spark, d):
+    """STR-13: a second run from the same checkpoint adds nothing."""
+    folder = scratch(spark)
+    source = arrivals(spark, d, folder, 2)
+    for _ in range(2):
+        runs.drain(*runs.silver(source, quality.valid_observation(), folder, f"{folder}/state", "40 days"))
+    return spark.read.parquet(f"{folder}/silver").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+def _orders(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+OLD = "old AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+def _merged(spark, d, mode, when=None):
+    t = VersionedTable(spark, scratch(spark), "o_orderkey long, o_totalprice double, o_orderstatus string", ["o_orderkey"])
+    o = _orders(spark, d)
+    new = o.filter("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
+    t.merge(o.filter("o_orderkey % 2 = 0"), writer="w", batch=0)
+    for _ in range(2):  # the second is a replay
+        t.merge(new, mode, when, writer="w", batch=1)
+    return t
+
+
+@query(f"WITH {OLD} SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus FROM old o FULL OUTER JOIN new n USING (o_orderkey)")
+def merge_upsert(spark, d):
+    """SNK-02/06, CUS-1."""
+    return _merged(spark, d, "upsert").read()
+
+
+@query(f"WITH {OLD} SELECT * FROM old UNION ALL SELECT * FROM new WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old)")
+def merge_insert_only(spark, d):
+    """SNK-03, JON-18."""
+    return _merged(spark, d, "insert_only").read()
+
+
+@query(f"WITH {OLD} SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL OR (n.o_orderkey IS NOT NULL AND o.o_orderstatus <> 'F') THEN n.o_totalprice ELSE o.o_totalprice END AS o_totalprice, CASE WHEN o.o_orderkey IS NULL OR (n.o_orderkey IS NOT NULL AND o.o_orderstatus <> 'F') THEN n.o_orderstatus ELSE o.o_orderstatus END AS o_orderstatus FROM old o FULL OUTER JOIN new n USING (o_orderkey)")
+def merge_update_if(spark, d):
+    """SNK-04: finished rows stay."""
+    return _merged(spark, d, "update_if", F.col("t.o_orderstatus") != "F").read()
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0")
+def merge_delete(spark, d):
+    """SNK-05."""
+    t = VersionedTable(spark, scratch(spark), "o_orderkey long, o_totalprice double, o_orderstatus string", ["o_orderkey"])
+    o = _orders(spark, d)
+    t.merge(o.filter("o_orderkey % 2 = 0"))
+    t.delete_matched(o.filter("o_orderkey % 5 = 0"))
+    return t.read()
+
+
+@query("WITH k AS (SELECT CAST(event_type AS VARCHAR) AS k, count(*) AS n FROM events GROUP BY ALL) SELECT k AS \"key\", n, true AS sorted FROM k")
+def log_sink_rows(spark, d):
+    """SNK-10, SRT-10: keys and JSON values as bytes; a key's rows are in order."""
+    from pyspark.sql import Window
+
+    rows = log_rows(observations(spark, d).select("location_id", "event_time", "event_id"), "location_id", "event_time", 3)
+    placed = rows.select(F.col("key").cast("string").alias("key"), F.get_json_object(F.col("value").cast("string"), "$.event_time").alias("t"), F.monotonically_increasing_id().alias("i"))
+    w = Window.partitionBy("key").orderBy("i")
+    return placed.withColumn("back", F.col("t") < F.lag("t").over(w)).groupBy("key").agg(F.count("*").alias("n"), (F.count_if("back") == 0).alias("sorted"))
+
+
+HOUR = "CAST(epoch(event_time) / 3600 AS BIGINT)"
+SCORING = f"""st AS (SELECT location_id, event_time, temperature_c FROM panel WHERE event_time < TIMESTAMP '2024-01-20' AND {HOUR} % 11 <> 0),
+b0 AS (SELECT location_id, event_time, CASE WHEN event_time < TIMESTAMP '2024-01-12' AND {HOUR} % 3 = 0 THEN temperature_c + 1 ELSE temperature_c END AS t FROM panel WHERE event_time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-11 23:00:00' OR event_time BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-21 23:00:00'),
+b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b0 WHERE {HOUR} % 5 = 0 UNION ALL SELECT location_id, event_time, t + 2 FROM b0 WHERE {HOUR} % 7 = 0),
+k AS (SELECT location_id, event_time, count(*) AS n, count(DISTINCT t) AS v, min(t) AS t FROM b WHERE location_id <> 'view' GROUP BY ALL),
+l AS (SELECT location_id, max(event_time) AS latest FROM st GROUP BY ALL),
+j AS (SELECT k.*, s.temperature_c AS old, latest FROM k LEFT JOIN st s USING (location_id, event_time) LEFT JOIN l USING (location_id))"""
+
+
+@query(f"WITH {PANEL}, {SCORING} SELECT outcome, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'UNKNOWN_LOCATION' AS outcome, count(*) AS n FROM b WHERE location_id = 'view' UNION ALL SELECT 'DUPLICATE_CONFLICT', coalesce(sum(n), 0) FROM j WHERE v > 1 UNION ALL SELECT 'STATE_CONFLICT', count(*) FROM j WHERE v = 1 AND old <> t UNION ALL SELECT 'LATE_BEYOND_RETENTION', count(*) FROM j WHERE v = 1 AND old IS NULL AND event_time < latest - INTERVAL 48 HOUR UNION ALL SELECT 'ACCEPTED', count(*) FROM j WHERE v = 1 AND old IS NULL AND NOT coalesce(event_time < latest - INTERVAL 48 HOUR, false)) GROUP BY ALL HAVING sum(n) > 0")
+def microbatch_classify(spark, d):
+    """CMP-05, JON-03..06: what becomes of the rows of a batch."""
+    p = panel(spark, d).select("location_id", "event_time", "temperature_c", F.lit(10.0).alias("latitude"), F.lit(105.0).alias("longitude"))
+    hour, t = F.floor(F.unix_seconds("event_time") / 3600), lambda s: F.to_timestamp(F.lit(s))
+    shaped = lambda x: x.withColumn("event_id", F.concat_ws("_", "location_id", hour)).withColumn("offset", F.lit(0)).withColumn("payload_hash", F.sha2(F.col("temperature_c").cast("string"), 256))
+    stored = shaped(p.filter((F.col("event_time") < t("2024-01-20")) & (hour % 11 != 0)))
+    old = F.col("event_time").between(t("2024-01-10"), t("2024-01-11 23:00:00"))
+    b0 = p.filter(old | F.col("event_time").between(t("2024-01-20"), t("2024-01-21 23:00:00"))).withColumn("temperature_c", F.when(old & (hour % 3 == 0), F.col("temperature_c") + 1).otherwise(F.col("temperature_c")))
+    batch = shaped(b0.unionByName(b0.filter(hour % 5 == 0)).unionByName(b0.filter(hour % 7 == 0).withColumn("temperature_c", F.col("temperature_c") + 2)))
+    done = state.classify(batch, stored, p.select("location_id").distinct().filter("location_id <> 'view'"), ("temperature_c",))
+    rejected = done.rejected.groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("n"))
+    return rejected.unionByName(done.accepted.agg(F.lit("ACCEPTED").alias("outcome"), F.count("*").alias("n")))
+
+
+class _Blend:
+    def predict(self, frame):
+        return 0.75 * frame["temperature_c"] + 0.25 * frame["temp_lag_1h"]
+
+
+@query(f"WITH {PANEL} SELECT location_id, {sec('event_time')} AS second, {s6('0.75 * temperature_c + 0.25 * before')} AS prediction FROM (SELECT *, lag(temperature_c) OVER (PARTITION BY location_id ORDER BY event_time) AS before FROM panel) WHERE before IS NOT NULL")
+def model_scoring(spark, d):
+    """UDF-01/02: predictions by Arrow batches from a model that each worker loads once."""
+    lag = features.lagged(features.Panel())["temp_lag_1h"]
+    ready = panel(spark, d).select("location_id", seconds("event_time").alias("second"), "temperature_c", lag.alias("temp_lag_1h")).filter("temp_lag_1h is not null")
+    scored = state.score_batches(ready, ["temperature_c", "temp_lag_1h"], "blend", _Blend, ["location_id", "second"])
+    return scored.select("location_id", "second", six(F.col("prediction")).alias("prediction"))
