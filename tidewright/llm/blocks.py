@@ -112,8 +112,9 @@ def _rows(ids: list[pa.Array], counts: list[np.ndarray], found: list[pa.Array],
     for k in np.flatnonzero(np.diff(edges)).tolist() if "w" in kinds else ():
         a, b = edges[k], edges[k + 1]
         yield k, block, pack_rows({"word": entries.slice(a, b - a), "count": pa.array(weighed[a:b])})
+    known = pa.concat_arrays(ids)
     if "p" in kinds:
-        yield POSITIONS + block, block, pack({"ids": pa.array([pa.concat_arrays(ids).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), "missing": pa.array([pc.is_null(pa.concat_arrays(ids)).to_pylist()], pa.list_(pa.bool_())), "sizes": pa.array([sizes.astype(np.int32)]), "weights": pa.array([weights.astype(np.int8)]), "at": planes(number[index]), "order": planes(dealt), "entries": pa.array([len(common)])})
+        yield POSITIONS + block, block, pack({"ids": pa.array([known.fill_null(0).to_numpy()], pa.list_(pa.int64())), "missing": pa.array([known.is_null().to_numpy(zero_copy_only=False)]), "sizes": pa.array([sizes.astype(np.int32)]), "weights": pa.array([weights.astype(np.int8)]), "at": planes(number[index]), "order": planes(dealt), "entries": pa.array([len(common)])})
 
 
 def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, int, pa.Array, np.ndarray]]], shards: int, *, kinds: str = "wp", block_bytes: int = BLOCK_BYTES) -> DataFrame:

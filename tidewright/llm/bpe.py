@@ -94,8 +94,10 @@ def decode(encoded: DataFrame, *, vocabulary: str) -> DataFrame:
             width = max(1, (1 << 20) // max(1, len(lists.values) // max(1, len(lists)) if len(lists) else 1))
             for start in range(0, len(lists), width):
                 part = lists.slice(start, width)
-                joined = token_bytes(vocabulary).take(part.flatten())
-                if joined.null_count:
+                flat, table = part.flatten().to_numpy(zero_copy_only=False), token_bytes(vocabulary)
+                inside = not len(flat) or (flat.min() >= 0 and flat.max() < len(table))
+                joined = table.take(pa.array(flat if inside else flat[:0]))
+                if joined.null_count or not inside:
                     raise ValueError("a token id is outside the vocabulary")
                 sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 offsets = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, joined.offset * 8)[np.concatenate(([0], np.cumsum(sizes)))]
