@@ -27,7 +27,7 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[str]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         return float(f"{v:.10g}") if isinstance(v, float) else v.item() if hasattr(v, "item") else v
 
