@@ -44,12 +44,12 @@ class Model:
     def ratios(self, before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """log P(word | word before, toxic) - log P(.., ordinary) of each word."""
         at, met = _find(self.words, hashes)
-        one = np.where(met[:, None], self.word_chances[at], 1.0)
+        one = np.where(met[:, None], _take(self.word_chances, at), 1.0)
         at, known = _find(self.contexts, before)
         known &= met
-        total, backoff = np.where(known[:, None], self.context_totals[at], 1.0), np.where(known, self.context_backoff[at], 1.0)
+        total, backoff = np.where(known[:, None], _take(self.context_totals, at), 1.0), np.where(known, _take(self.context_backoff, at), 1.0)
         at, counted = _find(self.pairs, pair_hashes(before, hashes))
-        count = np.where((counted & known)[:, None], self.pair_counts[at], 0.0)
+        count = np.where((counted & known)[:, None], _take(self.pair_counts, at), 0.0)
         p = np.maximum(count - DISCOUNT, 0) / total + backoff[:, None] * one
         return np.log(p[:, 0]) - np.log(p[:, 1])
 
@@ -61,6 +61,10 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return values[at] if len(values) else np.zeros((len(at), *values.shape[1:]), values.dtype)
+
+
 def pair_hashes(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bytewords.mix(bytewords.mix(before) ^ hashes)
 
