@@ -3,8 +3,9 @@
 Items are indexed in segments of at most ``segment`` words.  A posting's weight is its BM25 impact divided by the
 segment's score for itself, so 1 means that a passage has all its terms.  Every passage (``segment + stride`` words,
 every ``stride`` words, so that each segment's worth of text lies whole in one passage) asks for all segments of score
-``threshold`` or more, exactly, as block-max WAND does: a passage whose terms' largest weights can't reach the
-threshold is done; else only blocks of segments whose block maxima can reach it have their postings read.  What is
+``threshold`` or more, exactly, as block-max WAND does: a passage whose terms' largest weights, or largest weights in
+any run of segments, can't reach the threshold is done; else only blocks of segments whose block maxima can reach it
+have their postings read.  What is
 retrieved is verified on the words around the passage: shares of the item's question and answer shingles (or of all).
 
 The index is built with Spark and broadcast in parts of at most ``index_bytes``; each part asks over all documents.
@@ -24,8 +25,8 @@ from .frames import over_texts
 
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 K1, B = 1.2, 0.75
-#: Segments in a block of the index.
-BLOCK = 16
+#: Segments in a block of the index, and how many runs of blocks have their maxima in a dense table.
+BLOCK, RUNS = 16, 32
 
 
 @dataclass
@@ -37,7 +38,10 @@ class Item:
 
 @dataclass
 class Index:
-    """Postings by term: ``start[t]:start[t + 1]`` of ``segments`` and ``weights``; block maxima likewise."""
+    """Postings by term: ``start[t]:start[t + 1]`` of ``segments`` and ``weights``; block maxima likewise.
+
+    ``run_best`` has each term's largest weight in each of at most RUNS runs of segments.
+    """
 
     terms: np.ndarray
     maybe: np.ndarray
@@ -48,6 +52,7 @@ class Index:
     block_start: np.ndarray
     blocks: np.ndarray
     block_best: np.ndarray
+    run_best: np.ndarray
     item_of: np.ndarray
     items: list[Item]
 
@@ -109,7 +114,9 @@ def build(postings, items: list) -> Index:
     maybe[(terms >> np.uint64(42)).astype(np.int64)] = True
     best = np.maximum.reduceat(weight, start[:-1]) if len(term) else np.zeros(0)
     block_best = np.maximum.reduceat(weight, block_key) if len(term) else np.zeros(0)
-    return Index(terms, maybe, best, start, segment, weight, np.searchsorted(block_key, start), segment[block_key] // BLOCK, block_best, np.array([place[k[0]] for k in keys], np.int64), known)
+    run_best = np.zeros((len(terms), min(RUNS, max(1, len(keys)))), np.float32)
+    np.maximum.at(run_best, (np.repeat(np.arange(len(terms)), np.diff(start)), segment * run_best.shape[1] // max(1, len(keys))), weight)
+    return Index(terms, maybe, best, start, segment, weight, np.searchsorted(block_key, start), segment[block_key] // BLOCK, block_best, run_best, np.array([place[k[0]] for k in keys], np.int64), known)
 
 
 def _gather(start: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -135,6 +142,24 @@ def retrieve(index: Index, terms: np.ndarray, threshold: float) -> tuple[np.ndar
     return found, score[found]
 
 
+def promising(index: Index, at: np.ndarray, first: np.ndarray, last: np.ndarray, bounds: np.ndarray, threshold: float):
+    """(passage, distinct terms) of the passages that can reach the threshold in some run of segments.
+
+    ``at[first[p]:last[p]]`` are the terms of passage p, ``bounds`` what all of them could add up to.
+    """
+    open_ = np.flatnonzero(bounds >= threshold)
+    if not len(open_):
+        return
+    sizes = last[open_] - first[open_]
+    place = np.arange(sizes.sum()) + np.repeat(first[open_] - (np.cumsum(sizes) - sizes), sizes)
+    keys = np.unique(np.repeat(np.arange(len(open_)), sizes) * len(index.terms) + at[place])
+    owner, terms = np.divmod(keys, len(index.terms))
+    cuts = np.searchsorted(owner, np.arange(len(open_) + 1))
+    reach = np.add.reduceat(index.run_best[terms], cuts[:-1], axis=0).max(axis=1)
+    for k in np.flatnonzero(reach >= threshold - 1e-5).tolist():
+        yield int(open_[k]), terms[cuts[k] : cuts[k + 1]]
+
+
 def overlap(part: np.ndarray, around: np.ndarray, width: int) -> float:
     """Share of the distinct shingles of ``part`` that are in ``around``; a shorter part is one shingle; an empty part is 1."""
     width = min(width, len(part))
@@ -167,9 +192,8 @@ def scan(column: pa.Array, index: Index, *, segment: int, stride: int, threshold
         begin = words.first[:-1][owner] + stride * (np.arange(len(owner)) - np.repeat(np.cumsum(passages) - passages, passages))
         end = np.minimum(begin + segment + stride, words.first[1:][owner])
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for p in np.flatnonzero(sums[end] - sums[begin] >= threshold - slack).tolist():
-            a, b = np.searchsorted(hits, (begin[p], end[p]))
-            segments, scores = retrieve(index, np.unique(at[a:b]), threshold - slack)
+        for p, terms in promising(index, at, *np.searchsorted(hits, (begin, end)), sums[end] - sums[begin], threshold - slack):
+            segments, scores = retrieve(index, terms, threshold - slack)
             for which, value in zip(index.item_of[segments].tolist(), scores.tolist()):
                 doc, item = int(owner[p]), index.items[which]
                 if found.get((doc, which), (0.0,))[0] >= value:
