@@ -12,7 +12,7 @@ from tidewright.operators import features
 SCHEMA = "location_id string, event_time timestamp, temperature_c double, humidity_pct double, precipitation_mm double, pressure_hpa double, wind_speed_kmh double, wind_gust_kmh double, latitude double, longitude double, weather_code int"
 
 
-def hour_rows(start: datetime, n: int, key: str = "VN_A", shift: float = 0.0, skip: set[int] = frozenset()):
+def hour_rows(start: datetime, n: int, key: str = "A", shift: float = 0.0, skip: set[int] = frozenset()):
     return [(key, start + timedelta(hours=i), i + shift, 50.0 + i, float(i), 1000.0 + i, 5.0 + i, 6.0 + i, 21.0, 105.0, 61) for i in range(n) if i not in skip]
 
 
@@ -31,9 +31,9 @@ def test_values_of_one_ready_row(spark):
 
 
 def test_label_stays_within_its_key(spark):
-    rows = hour_rows(datetime(2020, 1, 1), 26) + hour_rows(datetime(2020, 1, 1), 26, "VN_B", 100.0)
+    rows = hour_rows(datetime(2020, 1, 1), 26) + hour_rows(datetime(2020, 1, 1), 26, "B", 100.0)
     out = {r.location_id: r.target_1h for r in features.build(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert out == {"VN_A": 25.0, "VN_B": 125.0}
+    assert out == {"A": 25.0, "B": 125.0}
 
 
 def test_gap_closes_the_gates(spark):
@@ -58,9 +58,9 @@ def test_future_does_not_change_the_past(spark):
 
 
 def test_splits_by_target_time(spark):
-    rows = hour_rows(datetime(2023, 12, 30, 23), 27) + hour_rows(datetime(2024, 12, 30, 23), 27, "VN_B")
+    rows = hour_rows(datetime(2023, 12, 30, 23), 27) + hour_rows(datetime(2024, 12, 30, 23), 27, "B")
     out = features.build(spark.createDataFrame(rows, SCHEMA)).groupBy("location_id").agg(F.array_sort(F.collect_set("split")).alias("s")).collect()
-    assert {r.location_id: r.s for r in out} == {"VN_A": ["VALIDATION"], "VN_B": ["TEST"]}
+    assert {r.location_id: r.s for r in out} == {"A": ["VALIDATION"], "B": ["TEST"]}
 
 
 def test_local_calendar_and_daylight_saving(spark):

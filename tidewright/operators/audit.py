@@ -38,3 +38,20 @@ def allocation(expected: DataFrame, observed: DataFrame, keys: list[str], value:
     a, b = expected.select(*keys, F.col(value).alias("expected")), observed.select(*keys, F.col(value).alias("observed"))
     verdict = F.when(F.col("observed").isNull(), "MISSING").when(F.col("expected").isNull(), "UNEXPECTED").when(F.col("expected") == F.col("observed"), "MATCH").otherwise("DIFFERENT")
     return a.join(b, keys, "full_outer").withColumn("verdict", verdict)
+
+
+def read_back(features: DataFrame, key: str, time: str, label: str, expected_columns: list[str]) -> DataFrame:
+    """CMP-04: assertions over a written feature table in one pass and one grouping."""
+    keys = features.groupBy(key, time).agg(F.count("*").alias("n"))
+    once = keys.agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    one = features.agg(F.count("*").alias("rows"), F.count_if(F.col(label).isNull()).alias("unlabelled"), F.count_if(F.col("split").isNull()).alias("unsplit")).join(once)  # one row each
+    return report(one, {"has_rows": F.col("rows") > 0, "keys_unique": F.col("repeated") == 0, "labels_present": F.col("unlabelled") == 0, "splits_present": F.col("unsplit") == 0, "columns_as_agreed": F.lit(features.columns == expected_columns)})
+
+
+def shift(train: DataFrame, live: DataFrame, columns: list[str]) -> DataFrame:
+    """CMP-29: distributions of training and live rows beside each other, with the shift of means in training deviations."""
+    from .metrics import distributions
+
+    a, b = (distributions(df, columns).select("column", *(F.col(c).alias(f"{side}_{c}") for c in ("count", "mean", "std", "p50"))) for side, df in (("train", train), ("live", live)))
+    gap = (F.col("live_mean") - F.col("train_mean")) / F.nullif(F.col("train_std"), F.lit(0.0))
+    return a.join(b, "column", "full_outer").withColumn("mean_shift", gap)

@@ -161,3 +161,28 @@ def nested_min_max(spark, d):
 def observation_status(spark, d):
     """CMP-06, WIN-14 with a look-back of 6 hours."""
     return state.observed_status(panel(spark, d), depth=6).groupBy("location_id", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PANEL}, {CHANGED}, dirty AS (SELECT DISTINCT p.location_id, p.event_time FROM panel p JOIN changed c ON p.location_id = c.location_id AND p.event_time BETWEEN c.t AND c.t + INTERVAL 24 HOUR) SELECT p.location_id, {sec('p.event_time')} AS second, d.location_id IS NOT NULL AS candidate FROM panel p LEFT JOIN dirty d USING (location_id, event_time)")
+def candidate_mark(spark, d):
+    """JON-08: all history with a mark on the hours to score again."""
+    p = panel(spark, d).select("location_id", "event_time")
+    changed = p.filter(F.floor(F.unix_seconds("event_time") / 3600) % 97 == 0)
+    dirty = joins.dirty_range(p, changed, "location_id", "event_time").withColumn("candidate", F.lit(True))
+    marked = p.join(dirty, ["location_id", "event_time"], "left")
+    return marked.select("location_id", seconds("event_time").alias("second"), F.coalesce("candidate", F.lit(False)).alias("candidate"))
+
+
+@query(f"WITH {OBS} SELECT count(*) = 0 AS empty_before, EXISTS (SELECT 1 FROM obs WHERE humidity_pct > 98) AS found FROM obs WHERE event_id < 0")
+def existence_probes(spark, d):
+    """SRT-04/05."""
+    o = observations(spark, d)
+    empty, found = o.filter("event_id < 0").isEmpty(), not o.filter("humidity_pct > 98").isEmpty()
+    return spark.createDataFrame([(empty, found)], "empty_before boolean, found boolean")
+
+
+@query(f"WITH {OBS} SELECT count(*) FILTER (v IS NOT TRUE) AS strict_violations, count(*) FILTER (NOT v) AS lax_violations FROM (SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE temperature_c > 0 END AS v FROM obs)")
+def strict_violations(spark, d):
+    """FLT-11: null validity is a violation; counting only false ones would miss it."""
+    v = F.when(F.col("event_id") % 11 != 0, F.col("temperature_c") > 0)
+    return observations(spark, d).select(v.alias("v")).agg(F.count_if(~F.coalesce("v", F.lit(False))).alias("strict_violations"), F.count_if(~F.col("v")).alias("lax_violations"))

@@ -155,3 +155,27 @@ def timing_contract(spark, d):
     """CMP-08 with a horizon of two hours after the last completed one."""
     t = times.timing(F.col("ts"), 2)
     return load(spark, d, "events").select("event_id", seconds(t["current_hour"]).alias("current_second"), seconds(t["completed_hour"]).alias("completed_second"), seconds(t["target_time"]).alias("target_second"), t["prospective"].alias("prospective"))
+
+
+@query(f"WITH {PANEL} SELECT location_id, {sec('event_time')} AS second, temperature_c FROM panel WHERE event_time >= TIMESTAMP '2024-01-10' AND event_time < TIMESTAMP '2024-01-12' AND location_id IN ('view', 'click') ORDER BY event_time DESC, location_id LIMIT 50")
+def smoke_slice(spark, d):
+    """FLT-08, SRT-01/03: a half-open range of some keys, newest first."""
+    t = lambda s: F.to_timestamp(F.lit(s))
+    p = panel(spark, d).filter((F.col("event_time") >= t("2024-01-10")) & (F.col("event_time") < t("2024-01-12")) & F.col("location_id").isin("view", "click"))
+    return p.orderBy(F.col("event_time").desc(), "location_id").limit(50).select("location_id", seconds("event_time").alias("second"), "temperature_c")
+
+
+@query("SELECT * FROM (VALUES ('has_rows', 'PASS'), ('keys_unique', 'PASS'), ('labels_present', 'PASS'), ('splits_present', 'PASS'), ('columns_as_agreed', 'PASS')) v(assertion, result)")
+def read_back_suite(spark, d):
+    """CMP-04 over a frame with a look-back of two hours."""
+    two = features.Panel(lags={c: (n, (1,)) for c, (n, _) in features.LAGS.items()}, roll_hours=(), rolls={}, deltas=(), depth=2)
+    f = features.build(panel(spark, d), two, splits=SPLITS)
+    return audit.read_back(f, "location_id", "event_time", "target_1h", f.columns)
+
+
+@query(f"WITH {PANEL}, x AS (SELECT event_time < TIMESTAMP '2024-01-15' AS train, temperature_c AS v FROM panel), a AS (SELECT count(v) AS n, avg(v) AS m, stddev_pop(v) AS s FROM x WHERE train), b AS (SELECT count(v) AS n, avg(v) AS m FROM x WHERE NOT train) SELECT 'temperature_c' AS \"column\", a.n AS train_count, b.n AS live_count, {s6('(b.m - a.m) / nullif(a.s, 0)')} AS mean_shift FROM a, b")
+def distribution_shift(spark, d):
+    """CMP-29."""
+    p, cut = panel(spark, d), F.to_timestamp(F.lit("2024-01-15"))
+    s = audit.shift(p.filter(F.col("event_time") < cut), p.filter(F.col("event_time") >= cut), ["temperature_c"])
+    return s.select("column", "train_count", "live_count", six(F.col("mean_shift")).alias("mean_shift"))
