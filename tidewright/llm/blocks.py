@@ -107,6 +107,9 @@ def _rows(ids: list[pa.Array], counts: list[np.ndarray], found: list[pa.Array],
     shard = (bytewords.hash_spans(data, offsets[:-1], offsets[1:])[common] % np.uint64(shards)).astype(np.int64)
     dealt = np.argsort(shard, kind="stable")
     entries = entries.take(pa.array(common[dealt]))
+    # the block is known by its words in their order, so that rows of another run of the task never pass for its own
+    order = bytewords.hash_spans(data, offsets[:-1], offsets[1:])[common[dealt]] ^ bytewords.mix(np.arange(len(common), dtype=np.uint64))
+    block = int(bytewords.mix(np.array([np.add.reduce(bytewords.mix(order)) ^ np.uint64(block)], np.uint64))[0] >> np.uint64(2))
     weighed = np.bincount(index, np.repeat(weights, sizes), len(common))[common[dealt]].astype(np.int64) if len(index) else np.zeros(0, np.int64)
     edges = np.searchsorted(shard[dealt], np.arange(shards + 1))
     for k in np.flatnonzero(np.diff(edges)).tolist() if "w" in kinds else ():
@@ -114,7 +117,7 @@ def _rows(ids: list[pa.Array], counts: list[np.ndarray], found: list[pa.Array],
         yield k, block, pack_rows({"word": entries.slice(a, b - a), "count": pa.array(weighed[a:b])})
     known = pa.concat_arrays(ids)
     if "p" in kinds:
-        yield POSITIONS + block, block, pack({"ids": pa.array([known.fill_null(0).to_numpy()], pa.list_(pa.int64())), "missing": pa.array([known.is_null().to_numpy(zero_copy_only=False)]), "sizes": pa.array([sizes.astype(np.int32)]), "weights": pa.array([weights.astype(np.int8)]), "at": planes(number[index]), "order": planes(dealt), "entries": pa.array([len(common)])})
+        yield POSITIONS + block % POSITIONS, block, pack({"ids": pa.array([known.fill_null(0).to_numpy()], pa.list_(pa.int64())), "missing": pa.array([known.is_null().to_numpy(zero_copy_only=False)]), "sizes": pa.array([sizes.astype(np.int32)]), "weights": pa.array([weights.astype(np.int8)]), "at": planes(number[index]), "order": planes(dealt), "entries": pa.array([len(common)])})
 
 
 def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, int, pa.Array, np.ndarray]]], shards: int, *, kinds: str = "wp", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -122,7 +125,7 @@ def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, i
 
     ``tokenise`` gives, for slices of a text column, (row, end, words as Arrow large_binary, words per document).
     ``count`` of an entry sums ``weight`` (0 or 1) over its uses.  ``kinds`` says which rows to make: words, positions or
-    both; two calls over the same files agree.
+    both; two calls agree if ``docs`` gives the same rows in the same order again, as files do.
     """
 
     def run(batches):

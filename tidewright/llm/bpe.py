@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, bytewords
-from .frames import over_texts, shuffle_partitions
+from .frames import cut, over_texts, shuffle_partitions
 
 
 @lru_cache(1)
@@ -42,12 +42,15 @@ def token_bytes(path: str) -> pa.Array:
     return pa.array(table, pa.large_binary())
 
 
-def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, from_files: bool = False) -> DataFrame:
     """doc_id and token_ids (array<int>) of whole texts, one row per input row.
 
     ``vocabulary`` is the path of a rank file that every executor has, ``pattern`` cuts texts into pre-tokens that are
     encoded apart; control strings in texts are ordinary text.  A null or empty text has no ids; null and repeated ids
     are carried along; other columns are ignored; an empty table gives no rows.
+
+    With ``from_files``, for rows read from files without a shuffle between, blocks are made twice instead of being kept
+    in the checkpoint folder, which needs half the disk; rows that came in another order the second time would stop the job.
     """
 
     def tokenise(column: pa.Array):
@@ -78,7 +81,11 @@ def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).alias("weight"))
     shards = shards or shuffle_partitions(docs.sparkSession)
-    words, positions = (blocks.blocks(docs, tokenise, shards, kinds=kind) for kind in "wp")
+    if from_files:
+        words, positions = (blocks.blocks(docs, tokenise, shards, kinds=kind) for kind in "wp")
+    else:
+        packed = cut(blocks.blocks(docs, tokenise, shards))
+        words, positions = packed.filter(F.col("part") < blocks.POSITIONS), packed.filter(F.col("part") >= blocks.POSITIONS)
     return blocks.by_block(blocks.by_shard(words, answer), positions, finish, "doc_id long, token_ids array<int>")
 
 
