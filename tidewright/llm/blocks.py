@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import bytewords
-from .frames import over_texts
+from .frames import over_texts, tidy
 
 PACKED = "part long, block long, payload binary"
 BLOCK_BYTES = 8 << 20
@@ -148,6 +148,7 @@ def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, i
                 if held >= block_bytes:
                     yield from flush()
                     ids, counts, found, weights, held, seen = [], [], [], [], 0, seen + 1
+                    tidy()
         if ids:
             yield from flush()
 
@@ -170,6 +171,8 @@ def by_shard(packed: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[st
         for x in entries:
             payloads.append(pack_rows({k: v.take(pa.array(index[start : start + x.num_rows])) for k, v in answers.items()}))
             start += x.num_rows
+        del entries, coded, answers
+        tidy()
         return rows.set_column(2, "payload", pa.array(payloads, pa.binary()))
 
     return packed.groupBy("part").applyInArrow(group, PACKED)
@@ -193,6 +196,7 @@ def by_block(answered: DataFrame, positions: DataFrame, finish: Callable[[pa.Arr
         by_number = {k: pa.chunked_array([x.column(k) for x in answers]).combine_chunks().take(pa.array(place)) for k in names}
         ids = last.column("ids").flatten()
         ids = pc.if_else(last.column("missing").flatten(), None, ids.cast(pa.int64()))
+        tidy()
         return finish(ids, last.column("weights").flatten().to_numpy(), last.column("sizes").flatten().to_numpy(), unplanes(last.column("at")[0]).astype(np.int64), by_number)
 
     # a cogroup, not a union: each side is a stage of its own, whose partitions number the blocks

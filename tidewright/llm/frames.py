@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -97,10 +99,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def tidy() -> None:
+    """Gives free memory of this Python worker back to the system: workers stay for later tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has this
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def over_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` in small batches."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def run_and_tidy(batches):
+        yield from run(batches)
+        tidy()
+
+    return df.mapInArrow(run_and_tidy, schema)
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

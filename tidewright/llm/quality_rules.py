@@ -147,7 +147,9 @@ def verdicts(measured: DataFrame, chosen: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``judge`` keeps.  Only labelled rows are measured twice."""
     names = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
-    labelled = docs.join(labels.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    # texts stay where they are unless there are more labels than may be broadcast
+    known = labels.filter("quality is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    labelled = docs.join(small_side(known, 500_000), id_col, "left_semi")
     chosen = cut(cutoffs(cut(signals(labelled, **names)), labels, alpha=alpha, delta=delta))
     return verdicts(signals(docs, **names, carry=True), chosen).filter("kept").select("row.*")
 
