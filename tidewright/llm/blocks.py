@@ -25,7 +25,7 @@ from . import bytewords
 from .frames import over_texts, tidy
 
 PACKED = "part long, block long, payload binary"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: The positions of a block travel under a part of their own, beyond all shards.
 POSITIONS = 1 << 40
 
