@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,21 @@ def test_toxicity_of_odd_rows(spark, toxic):
     assert toxicity.score(odd.limit(0), labels, F.lit(False)).count() == 0
 
 
+def test_toxicity_reads_every_word_of_a_text(spark):
+    rows = [(1, "people like you are trash")] * 5 + [(0, "you are kind and the trash is collected for people like you")] * 5 + [(1, "you are a solitary case")]
+    model = spark.sparkContext.broadcast(toxicity.fit_models(spark.createDataFrame(rows, "label int, text string")))
+    texts = ["you are kind and trash is collected for people like you are trash", "you are trash " * 50 + "kind", "a solitary case", "", None]
+    got = toxicity.normalised_ratios(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).collect()
+    want = []
+    for text in texts:
+        hashes = [next(toxicity._sequences(pa.array([w])))[2][0] for w in (text or "").split()]
+        ratios = [float(model.value.ratios(np.array([b]), np.array([w]))[0]) for b, w in zip([toxicity.START, *hashes], hashes)]
+        want.append([sum(x) / max(len(x), 1) for x in (ratios, [max(r - toxicity.STRONG, 0) for r in ratios])])
+    got = [(r.ratio, r.strong**2) for r in sorted(got, key=lambda r: r.doc_id)]
+    assert np.allclose(got, want, atol=1e-5)
+    assert got[2][0] > 0  # words met once in training speak too
+
+
 @pytest.fixture(scope="module")
 def sites(spark):
     rng = random.Random(3)

@@ -2,7 +2,7 @@
 
 Toxic and ordinary training texts each have a model.  Discounts and back-off weights come from the pooled counts and
 both models end in one distribution of continuation counts, so an expression that both classes lack says nothing and
-the classes' sizes do not show.  Two means over a text's distinct words, of the log-likelihood ratio and of its part
+the classes' sizes do not show.  Two means over all words of a text, of the log-likelihood ratio and of its part
 beyond ``STRONG`` (topics shift all words of a text a little; its root is taken), become a probability by a logistic fit on training rows that
 the models have not seen.
 
@@ -100,20 +100,19 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_models(sample: DataFrame, least: int = 2) -> Model:
-    """A model of ``sample`` (label, text); pairs of words met fewer than ``least`` times are left to the words."""
+    """A model of all contexts and words of ``sample`` (label, text); pairs met fewer than ``least`` times are left to the words."""
     pairs = bigram_counts(sample).persist()
     sides = ("toxic", "ordinary")
-    both = F.col("toxic") + F.col("ordinary")
     sums = [F.sum(x).alias(x) for x in sides]
     words = pairs.groupBy("word").agg(*sums, F.count("*").alias("kinds"))
     contexts = pairs.groupBy("before").agg(*sums, F.count("*").alias("kinds"))
     totals = words.agg(*sums, F.sum("kinds").alias("kinds"), F.count("*").alias("n")).first()
 
     def collected(df: DataFrame, *columns: str) -> list[np.ndarray]:
-        found = df.filter(both >= least).select(*columns).toArrow()
+        found = df.select(*columns).toArrow()
         return [found.column(x).to_numpy() for x in columns]
 
-    before, after, *counts = collected(pairs, "before", "word", *sides)
+    before, after, *counts = collected(pairs.filter(F.col("toxic") + F.col("ordinary") >= least), "before", "word", *sides)
     pair_keys, pair_counts = pair_hashes(before.view(np.uint64), after.view(np.uint64)), np.stack(counts, axis=1)
     context_keys, *counts, kinds = collected(contexts, "before", *sides, "kinds")
     context_totals = np.stack(counts, axis=1)
@@ -132,7 +131,7 @@ def fit_models(sample: DataFrame, least: int = 2) -> Model:
 
 
 def normalised_ratios(docs: DataFrame, model, carried: list[str]) -> DataFrame:
-    """The carried columns of ``docs`` with a text's mean ratio and the root of its mean ratio beyond STRONG (0 without words)."""
+    """The carried columns of ``docs`` with the mean ratio of all words of a text and the root of their mean ratio beyond STRONG (0 without words)."""
     names = [*carried, "ratio", "strong"]
     schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in docs.select(*carried).schema) + ", ratio double, strong double"
 
@@ -140,15 +139,10 @@ def normalised_ratios(docs: DataFrame, model, carried: list[str]) -> DataFrame:
         for batch in batches:
             out = np.zeros((2, batch.num_rows))
             for row, before, hashes, first in _sequences(batch.column(len(carried))):
-                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                order = np.lexsort((hashes, owner))
-                again = (np.diff(hashes[order]) == 0) & (np.diff(owner[order]) == 0)
-                once = np.sort(np.delete(order, np.flatnonzero(again) + 1))  # a word that a text repeats counts once
-                ratios = model.value.ratios(before[once], hashes[once])
-                cuts = np.searchsorted(owner[once], np.arange(len(first)))
+                ratios = model.value.ratios(before, hashes)
                 for k, x in enumerate((ratios, np.maximum(ratios - STRONG, 0))):
-                    sums = np.concatenate(([0.0], np.cumsum(x, dtype=float)))[cuts]
-                    out[k, row : row + len(first) - 1] = np.diff(sums) / np.maximum(np.diff(cuts), 1)
+                    sums = np.concatenate(([0.0], np.cumsum(x, dtype=float)))[first]
+                    out[k, row : row + len(first) - 1] = np.diff(sums) / np.maximum(np.diff(first), 1)
             out[1] = np.sqrt(np.maximum(out[1], 0))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carried))), pa.array(out[0]), pa.array(out[1])], names)
 
