@@ -110,6 +110,19 @@ def test_expected_uses_add_up():
     assert uses @ sizes == pytest.approx(3 * (3 + 3) + 2 * (5 + 3))  # every byte is in exactly one piece
 
 
+def test_long_words_have_the_expected_uses_of_the_lattice(monkeypatch):
+    known = lattice.pieces(PIECES)
+    scores = lattice.starting_scores(known)
+    texts = [b"internationalisation" * 15, "検索語と文章の長さを数える".encode() * 9, bytes(range(33, 256)) * 2, b"a" * 700, b"https://www.example.org/the/of?q=" + b"aGVsbG8gd29ybGQ" * 30]
+    words, counts = pa.array(texts, pa.large_binary()), np.array([1, 2, 1, 3, 5])
+    with monkeypatch.context() as all_in_one:
+        all_in_one.setattr(lattice, "WIDE", 10**6)
+        want = lattice.expected_uses(words, counts, scores, known)
+    for stretch in (4096, 50, 7, 1):
+        monkeypatch.setattr(lattice, "STRETCH", stretch)
+        assert np.allclose(lattice.expected_uses(words, counts, scores, known), want, rtol=1e-8, atol=1e-10)
+
+
 def test_language_model_counts_and_improves_with_training(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, "")], "doc_id long, text string"))
     out = {r.doc_id: r for r in lattice.score(docs, fold(F.col("doc_id"), 7) == 2, vocabulary=PIECES).collect()}

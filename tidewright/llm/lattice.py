@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from math import exp, inf, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from . import blocks, bytewords
 from .frames import cut, shuffle_partitions
 
 MARK = "▁".encode()
-#: Words of more bytes (with the mark) take the scalar recursion.
-WIDE = 192
+#: Words of more bytes (with the mark) are taken one by one, in stretches of at most so many bytes.
+WIDE, STRETCH = 192, 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FLOOR = -700.0
 
@@ -153,16 +154,80 @@ def word_scores(words: pa.Array, scores: np.ndarray, vocabulary: Pieces) -> np.n
     return out
 
 
-def expected_uses(words: pa.Array, counts: np.ndarray, scores: np.ndarray, vocabulary: Pieces) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of the words, weighed by their counts.
-
-    Words beyond ``WIDE`` bytes count as their bytes, which keeps memory bounded.
+def _stretch_edges(word: np.ndarray, low: int, high: int, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and numbers of all pieces of a word (uint8) that end beyond ``low`` and not beyond ``high``, ends ascending."""
+    first = max(0, low + 1 - vocabulary.longest)
+    key, codes = np.zeros(high - first, np.uint64), word[first:high].astype(np.uint64) + np.uint64(1)
+    starts, sizes, numbers = [np.arange(low, high)], [np.ones(high - low, np.int64)], [vocabulary.size - 256 + word[low:high].astype(np.int64)]
+    for size in range(1, min(vocabulary.longest, high - first) + 1):
+        key = key[: len(codes) - size + 1] * _BASE + codes[size - 1 :]
+        skip = max(0, low + 1 - size - first)
+        wanted = _key(key[skip:], size)
+        rows = np.flatnonzero(vocabulary.maybe[(wanted >> np.uint64(42)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(vocabulary.keys, wanted[rows]), len(vocabulary.keys) - 1)
+        hit = vocabulary.keys[at] == wanted[rows]
+        starts.append(first + skip + rows[hit])
+        sizes.append(np.full(hit.sum(), size))
+        numbers.append(vocabulary.numbers[at[hit]])
+    starts, numbers = np.concatenate(starts), np.concatenate(numbers)
+    ends = starts + np.concatenate(sizes)
+    order = np.argsort(ends, kind="stable")
+    return starts[order], ends[order], numbers[order]
+
+
+def _log_sum(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + log1p(exp(b - a)) if b > -inf else a
+
+
+def _long_uses(word: np.ndarray, scores: np.ndarray, vocabulary: Pieces, out: np.ndarray) -> None:
+    """Adds the expected uses of one long word (uint8) to ``out``.
+
+    Forward values are kept only where a stretch begins, as many as the longest piece has bytes, and are made again
+    stretch by stretch on the way back.
     """
+    length, reach = len(word), vocabulary.longest
+    lows = range(0, length, STRETCH)
+
+    def forward(low: int, window: list[float]) -> tuple[list[float], tuple]:
+        """Forward values from ``low`` - len(window) + 1 to the stretch's end, and the stretch's edges."""
+        starts, ends, numbers = _stretch_edges(word, low, min(low + STRETCH, length), vocabulary)
+        edges = starts.tolist(), ends.tolist(), scores[numbers].tolist()
+        back = low - len(window) + 1
+        alpha = window + [-inf] * (min(low + STRETCH, length) - low)
+        for start, end, score in zip(*edges):
+            alpha[end - back] = _log_sum(alpha[end - back], alpha[start - back] + score)
+        return alpha, (*edges, numbers)
+
+    windows = [[0.0]]
+    for low in lows:
+        alpha, _ = forward(low, windows[-1])
+        windows.append(alpha[-reach:])
+    total = windows.pop()[-1]
+    beta = {length: 0.0}  # of the positions that the edges of this stretch and the next reach
+    for low in reversed(lows):
+        window = windows.pop()
+        back = low - len(window) + 1
+        alpha, (starts, ends, chances, numbers) = forward(low, window)
+        shares = np.zeros(len(starts))
+        for k in range(len(starts) - 1, -1, -1):
+            start, after = starts[k], beta[ends[k]] + chances[k]
+            shares[k] = alpha[start - back] + after - total
+            beta[start] = _log_sum(beta.get(start, -inf), after)
+        out += np.bincount(numbers, np.exp(shares), vocabulary.size)
+        beta = {at: value for at, value in beta.items() if at <= low}
+
+
+def expected_uses(words: pa.Array, counts: np.ndarray, scores: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+    """Expected uses of each piece over all segmentations of the words, weighed by their counts."""
     out = np.zeros(vocabulary.size)
     for rows, matrix in _by_length(words):
         weights = counts[rows].astype(float)
         if matrix.shape[1] > WIDE:
-            out[-256:] += np.bincount(matrix.ravel(), minlength=256) * weights[0]
+            uses = np.zeros(vocabulary.size)
+            _long_uses(matrix[0], scores, vocabulary, uses)
+            out += weights[0] * uses
             continue
         edges = list(_edges(matrix, vocabulary))
         alpha = np.full((matrix.shape[1] + 1, len(rows)), -np.inf)
