@@ -228,6 +228,43 @@ def test_licences_in_order(spark):
     assert out == [("1", "MIT", "3,4,5,6"), ("2", "MIT", "1,1"), ("None", "CC-BY-NC-4.0", "30")]
 
 
+GPL = """This program is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_published_headers_meet_their_rules(spark):
+    texts = {"GPL-3.0": GPL.format(mark=":", version=3), "GPL-2.0": GPL.format(mark=";", version=2), "Apache-2.0": APACHE, "MPL-2.0": MPL}
+    shapes = [str, lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.splitlines()), lambda t: t.replace("\n", "\r\n")]
+    rows = [(i, shape(text)) for i, text in enumerate(texts.values()) for shape in shapes]
+    out = sorted((r.doc_id, r.license, r.sentences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    sentences = ("21,23,24", "22,23,24", "11,12,13,14,15", "60")
+    assert out == [(i, name, found) for i, (name, found) in enumerate(zip(texts, sentences)) for _ in shapes]
+
+
 def test_decontamination_finds_what_brute_force_finds(spark):
     rng = random.Random(6)
     words = ["v%d" % i for i in range(4000)]

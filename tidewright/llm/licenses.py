@@ -73,6 +73,16 @@ RULES = {
 }
 ANCHORS = ("licen", "warrant", "copyright", "permi", "condition", "public domain", "redistribut", "liable")
 END = r"([.!?;:])[ \t\r\n]+"
+#: Ends within known sentences, which are no cuts, and the Apache header's URL line, which is one without a mark.  What may
+#: stand before a line's words is what comments put there.
+_GAP = r"\s+(?:[^A-Za-z0-9\s]+\s+)?"
+WITHIN = [
+    (rf"(?i)(this{_GAP}program{_GAP}is{_GAP}free{_GAP}software)[:;]{_GAP}(you{_GAP}can)", "$1 $2"),
+    (rf"(?i)(free{_GAP}software{_GAP}foundation);{_GAP}(either)", "$1 $2"),
+    (rf"(?i)(without{_GAP}any{_GAP}warranty);{_GAP}(without{_GAP}even)", "$1 $2"),
+    (rf"(?i)(mozilla{_GAP}public{_GAP}license,{_GAP}v)\.{_GAP}(2\.0)", "$1 $2"),
+    (r"(?i)(at:?)[ \t]*[\r\n]+[^A-Za-z0-9]*(https?://www\.apache\.org/licenses/LICENSE-2\.0)[ \t]*[\r\n]", "$1 $2.\n"),
+]
 
 if missing := [i for i, text in SENTENCES.items() if not any(a in text for a in ANCHORS)]:
     raise ValueError(f"sentences without an anchor word: {missing}")
@@ -84,6 +94,8 @@ def pattern(identifiers: tuple[int, ...]) -> str:
 
 def sentence_ids(text: Column, sentences: dict[int, str], wrapped: bool) -> Column:
     """Identifiers of the known sentences of a text, in order; others are left out."""
+    for inside, instead in WITHIN:
+        text = F.regexp_replace(text, inside, instead)
     joined = F.regexp_replace(text, r"[\r\n]+", " ") if wrapped else text
     cut = F.split(F.regexp_replace(joined, END, "$1\n"), "\n")
     known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (s, i)))
