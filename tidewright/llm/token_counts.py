@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ranks
-from .frames import over_texts
+from .frames import cut, over_texts
 
 RANGE = 1024
 
@@ -76,5 +76,9 @@ def answers(counted: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: str = "text", group_col: str = "lang") -> DataFrame:
-    """``answers`` of whole texts by group; a null group is the group ''; other columns are ignored; an empty table gives no rows."""
-    return answers(histogram(lengths(docs, vocabulary=vocabulary, pattern=pattern, text_col=text_col, group_col=group_col)))
+    """``answers`` of whole texts by group; a null group is the group ''; other columns are ignored; an empty table gives no rows.
+
+    The histogram, which both branches of ``answers`` read, is computed once.
+    """
+    measured = lengths(docs, vocabulary=vocabulary, pattern=pattern, text_col=text_col, group_col=group_col)
+    return answers(cut(histogram(measured)))
