@@ -38,17 +38,18 @@ class Item:
 
 @dataclass
 class Index:
-    """Postings by term: ``start[t]:start[t + 1]`` of ``segments`` and ``weights``; block maxima likewise.
+    """Blocks by term: ``block_start[t]:block_start[t + 1]`` of ``blocks`` and ``block_best`` (their largest weights).
 
+    The postings of entry b of ``blocks`` are ``posting_start[b]:posting_start[b + 1]`` of ``segments`` and ``weights``.
     ``run_best`` has each term's largest weight in each of at most RUNS runs of segments.
     """
 
     terms: np.ndarray
     maybe: np.ndarray
     best: np.ndarray
-    start: np.ndarray
     segments: np.ndarray
     weights: np.ndarray
+    posting_start: np.ndarray
     block_start: np.ndarray
     blocks: np.ndarray
     block_best: np.ndarray
@@ -66,77 +67,86 @@ def _word_hashes(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def segment_terms(items: DataFrame, segment: int) -> DataFrame:
-    """item_id, part (of the item) and term hashes (with repeats) of all segments of ``items`` (item_id, question, answer)."""
+    """key, part (of the item) and term hashes (with repeats) of all segments of ``items`` (key, question, answer)."""
 
     def run(batches):
         for batch in batches:
             questions, answers = (_word_hashes(batch.column(k).to_pylist()) for k in (1, 2))
-            ids, parts, terms = [], [], []
-            for item, question, answer in zip(batch.column(0).to_pylist(), questions, answers):
+            keys, parts, terms = [], [], []
+            for key, question, answer in zip(batch.column(0).to_pylist(), questions, answers):
                 words = np.concatenate((question, answer))
                 pieces = -(-len(words) // segment)
                 for part, run_ in enumerate(np.array_split(words, pieces) if pieces else []):
-                    ids.append(item)
+                    keys.append(key)
                     parts.append(part)
                     terms.append(run_.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(terms, pa.list_(pa.int64()))], ["item_id", "part", "terms"])
+            arrays = [pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(terms, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "part", "terms"])
 
-    return over_texts(items, run, "item_id long, part int, terms array<long>")
+    return over_texts(items.select("key", "question", "answer"), run, "key long, part int, terms array<long>")
 
 
 def impacts(segments: DataFrame) -> DataFrame:
-    """item_id, part, term and weight: BM25 impacts over all segments, as shares of the segment's score for itself."""
-    used = segments.select("item_id", "part", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("item_id", "part", "length", "term").agg(F.count("*").alias("tf"))
+    """key, part, term and weight: BM25 impacts over all segments, as shares of the segment's score for itself."""
+    terms = segments.select("key", "part", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    used = terms.groupBy("key", "part", "length", "term").agg(F.count("*").alias("tf"))
     shape = segments.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean")).first()
-    rarity = used.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log1p((shape.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    impact = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(shape.mean or 1.0)))
-    scored = used.join(rarity, "term").withColumn("impact", impact)
-    whole = scored.groupBy("item_id", "part").agg(F.sum("impact").alias("whole"))
-    return scored.join(whole, ["item_id", "part"]).select("item_id", "part", "term", (F.col("impact") / F.col("whole")).alias("weight"))
+    idf = F.log1p((shape.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rarity = used.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    norm = K1 * (1 - B + B * F.col("length") / F.lit(shape.mean or 1.0))
+    scored = used.join(rarity, "term").withColumn("impact", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
+    whole = scored.groupBy("key", "part").agg(F.sum("impact").alias("whole"))
+    return scored.join(whole, ["key", "part"]).select("key", "part", "term", (F.col("impact") / F.col("whole")).alias("weight"))
 
 
-def build(postings, items: list) -> Index:
-    """An index of collected postings (item_id, part, term, weight) and items (item_id, question, answer)."""
+def build(postings: pa.Table, items: list) -> Index:
+    """An index of collected postings (key, part, term, weight) and items (key, item_id, question, answer)."""
     questions, answers = _word_hashes([x.question for x in items]), _word_hashes([x.answer for x in items])
     known = [Item(x.item_id, q, a) for x, q, a in zip(items, questions, answers)]
-    place = {x.item_id: i for i, x in enumerate(known)}
-    keys = sorted({(x.item_id, x.part) for x in postings})
-    number = {k: i for i, k in enumerate(keys)}
-    term = np.array([x.term for x in postings], np.int64).view(np.uint64)
-    segment = np.array([number[x.item_id, x.part] for x in postings], np.int64)
-    weight = np.array([x.weight for x in postings], float)
+    place = {x.key: i for i, x in enumerate(items)}
+    owner, part, term = (postings.column(x).to_numpy() for x in ("key", "part", "term"))
+    term, weight = term.view(np.uint64), postings.column("weight").to_numpy()
+    pairs, segment = np.unique(np.stack((owner, part.astype(np.int64))), axis=1, return_inverse=True)
+    segment, count = segment.ravel(), pairs.shape[1]
     order = np.lexsort((segment, term))
     term, segment, weight = term[order], segment[order], weight[order]
     terms, start = np.unique(term, return_index=True)
     start = np.append(start, len(term))
-    block_key = np.flatnonzero(np.append(True, (np.diff(segment // BLOCK) != 0) | (np.diff(term) != 0))) if len(term) else np.zeros(0, np.int64)
+    some = len(term) > 0
+    opens = np.append(True, (np.diff(segment // BLOCK) != 0) | (np.diff(term) != 0)) if some else np.zeros(0, bool)
+    block_key = np.flatnonzero(opens)
     maybe = np.zeros(1 << 22, bool)
     maybe[(terms >> np.uint64(42)).astype(np.int64)] = True
-    best = np.maximum.reduceat(weight, start[:-1]) if len(term) else np.zeros(0)
-    block_best = np.maximum.reduceat(weight, block_key) if len(term) else np.zeros(0)
-    run_best = np.zeros((len(terms), min(RUNS, max(1, len(keys)))), np.float32)
-    np.maximum.at(run_best, (np.repeat(np.arange(len(terms)), np.diff(start)), segment * run_best.shape[1] // max(1, len(keys))), weight)
-    return Index(terms, maybe, best, start, segment, weight, np.searchsorted(block_key, start), segment[block_key] // BLOCK, block_best, run_best, np.array([place[k[0]] for k in keys], np.int64), known)
+    best = np.maximum.reduceat(weight, start[:-1]) if some else np.zeros(0)
+    block_best = np.maximum.reduceat(weight, block_key) if some else np.zeros(0)
+    run_best = np.zeros((len(terms), min(RUNS, max(1, count))), np.float32)
+    np.maximum.at(run_best, (np.repeat(np.arange(len(terms)), np.diff(start)), segment * run_best.shape[1] // max(1, count)), weight)
+    item_of = np.array([place[k] for k in pairs[0].tolist()], np.int64)
+    return Index(
+        terms, maybe, best, segment, weight, np.append(block_key, len(term)), np.searchsorted(block_key, start), segment[block_key] // BLOCK, block_best, run_best, item_of, known
+    )
 
 
 def _gather(start: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Positions of all entries of the terms ``which``."""
+    """The positions ``start[k]:start[k + 1]`` of all k in ``which``."""
     sizes = start[which + 1] - start[which]
     return np.arange(sizes.sum()) + np.repeat(start[which] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
 
 
 def retrieve(index: Index, terms: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All segments whose score for the distinct ``terms`` (numbers) reaches the threshold, and their scores."""
+    """All segments whose score for the distinct ``terms`` (numbers) reaches the threshold, and their scores.
+
+    The postings of blocks whose block maxima can't add up to the threshold are not read.
+    """
     none = np.zeros(0, np.int64), np.zeros(0)
     if index.best[terms].sum() < threshold:
         return none
-    at = _gather(index.block_start, terms)
-    bound = np.bincount(index.blocks[at], index.block_best[at])
-    open_blocks = bound >= threshold
-    if not open_blocks.any():
+    entries = _gather(index.block_start, terms)
+    bound = np.bincount(index.blocks[entries], index.block_best[entries])
+    entries = entries[bound[index.blocks[entries]] >= threshold]
+    if not len(entries):
         return none
-    at = _gather(index.start, terms)
-    at = at[open_blocks[index.segments[at] // BLOCK]]
+    at = _gather(index.posting_start, entries)
     score = np.bincount(index.segments[at], index.weights[at])
     found = np.flatnonzero(score >= threshold)
     return found, score[found]
@@ -196,32 +206,39 @@ def scan(column: pa.Array, index: Index, *, segment: int, stride: int, threshold
             segments, scores = retrieve(index, terms, threshold - slack)
             for which, value in zip(index.item_of[segments].tolist(), scores.tolist()):
                 doc, item = int(owner[p]), index.items[which]
-                if found.get((doc, which), (0.0,))[0] >= value:
+                if found.get((doc, item.item_id), (0.0,))[0] >= value:
                     continue
                 reach = len(item.question) + len(item.answer)
                 around = hashes[max(words.first[doc], begin[p] - reach) : min(words.first[doc + 1], end[p] + reach)]
                 question, answer = overlap(item.question, around, width), overlap(item.answer, around, width)
                 together = overlap(np.concatenate((item.question, item.answer)), around, width)
                 if (question >= least_question and answer >= least_answer) or together >= least_whole:
-                    found[doc, which] = value, question, answer
-        for (doc, which), values in found.items():
-            yield row + doc, index.items[which].item_id, *values
+                    found[doc, item.item_id] = value, question, answer
+        for (doc, item_id), values in found.items():
+            yield row + doc, item_id, *values
 
 
 def _indexes(items: DataFrame, segment: int, index_bytes: int):
-    """Broadcast indexes of all items with an id and words, each of at most ``index_bytes`` or one share of the items."""
-    items = items.filter("item_id is not null").dropDuplicates(["item_id"])
-    postings = impacts(segment_terms(items, segment)).persist()
+    """Broadcast indexes of all items with an id and words, each of about ``index_bytes`` or one share of the items.
+
+    An item is a text of an id: ids that repeat with other texts are searched by each of them.  All texts of an id are
+    in one index.
+    """
+    items = items.filter("item_id is not null").distinct().withColumn("key", F.xxhash64("item_id", "question", "answer"))
+    items, postings = items.persist(), impacts(segment_terms(items, segment)).persist()
     try:
-        # about what an entry takes in the index, and a word of the texts for verification
-        parts = max(1, -(-postings.count() * 64 // index_bytes))
+        # about what a posting takes in the index, and a byte of the texts that verification needs
+        texts = items.agg(F.sum(F.octet_length(F.concat_ws(" ", "question", "answer")))).first()[0] or 0
+        parts = max(1, -(-(postings.count() * 64 + texts * 8) // index_bytes))
+        shares = items.select("key", F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("share"))
         for k in range(parts):
-            share = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k
-            index = build(postings.filter(share).collect(), items.filter(share).collect())
+            mine = items.join(shares.filter(F.col("share") == k).select("key"), "key", "left_semi")
+            index = build(postings.join(mine.select("key"), "key", "left_semi").toArrow(), mine.collect())
             if len(index.terms):
                 yield items.sparkSession.sparkContext.broadcast(index)
     finally:
         postings.unpersist()
+        items.unpersist()
 
 
 def contaminated(
@@ -231,7 +248,7 @@ def contaminated(
     """doc_id, item_id, score (of the best passage), question_overlap and answer_overlap of all verified pairs.
 
     ``items`` has item_id, question and answer; a null or empty answer always agrees; an item without words or id is
-    never found; of repeated item ids one stays.  A null or empty text has no passage.  Rows that repeat a doc_id
+    never found; an item id that repeats is found by each of its texts.  A null or empty text has no passage.  Rows that repeat a doc_id
     repeat its pairs.  Items that tie are all returned.  Other columns of either table are ignored.
     """
     options = {"segment": segment, "stride": stride, "threshold": threshold, "width": width, "least_question": least_question, "least_answer": least_answer, "least_whole": least_whole}
