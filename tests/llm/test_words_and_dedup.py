@@ -136,3 +136,31 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     labels = {r.node: r.label for r in near_dedup.components(links).collect()}
     assert set(labels.values()) == {0, 1000} and labels[200] == 0 and labels[1001] == 1000
+
+
+def test_ids_that_repeat_with_other_texts_link_through_each(spark):
+    rng = random.Random(21)
+    words = ["v%d" % i for i in range(900)]
+    one, two, three = (rng.choices(words, k=120) for _ in range(3))
+    near = lambda text, at: " ".join([*text[:at], "changed", *text[at + 1 :]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one, 40)), (3, near(two, 70)), (4, near(three, 9)), (5, " ".join(three)), (6, " ".join(two)), (5, " ".join(three))]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in run(spark, order))
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (5, 4, False), (6, 1, False)]
+
+
+def test_a_hot_bucket_with_one_stranger_stays_linear(spark):
+    """One component of 3,000 members and one of another label: blocks of the component don't meet each other."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    nodes = [int(i).to_bytes(16, "big") for i in range(3001)]
+    parts = near_dedup.part_sums(base)
+    rows = [(7, n, 200, 3001, nodes[0] if i < 3000 else n) for i, n in enumerate(nodes)]
+    members = spark.createDataFrame(rows, "key long, id binary, n long, size long, label binary")
+    sets = spark.createDataFrame([(n, b"", parts) for n in nodes], "node binary, shingles binary, parts binary")
+    met = near_dedup.crowded(members, sets, 85, block=50)
+    pairs = {(bytes(r.a), bytes(r.b)) for r in met.collect()}
+    assert pairs == {(n, nodes[3000]) for n in nodes[:3000]}
+    groups = near_dedup.dealt_blocks(members, sets, 50)
+    assert groups.select("key", "one", "two").distinct().count() == 61  # 60 blocks against the stranger's, and that alone
+    assert groups.count() == 3000 + 61

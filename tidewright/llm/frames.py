@@ -39,12 +39,20 @@ def small_side(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+#: The largest bitmap of ``maybe_in``, in bits.
+MOST_BITS = 1 << 30
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int | None = None) -> DataFrame:
     """The rows of ``df`` whose long ``column`` may be in ``keys`` (one long column): a filter without a shuffle.
 
-    The filter is one bit a key in a broadcast bitmap of a fixed size; with many more keys than bits it passes more
-    rows and never loses one, so a join must follow where exactness matters.
+    The filter is one bit a key in a broadcast bitmap of 16 times as many bits as keys; it never loses a row, and a join
+    must follow where exactness matters.  Keys too many for MOST_BITS (128 MB) are joined instead.
     """
+    if bits is None:
+        bits = 1 << max(20, (16 * keys.count() - 1).bit_length())
+    if bits > MOST_BITS:
+        return df.join(keys.withColumnRenamed(keys.columns[0], column), column, "left_semi").select(df.columns)
     chunk = 1 << 16
 
     def mark(batches):

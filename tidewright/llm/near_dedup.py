@@ -3,13 +3,13 @@
 1. ``sketch``: one pass over whole texts gives each document its number of distinct word shingles, a 128-bit
    fingerprint of the shingle set and ``bands`` band keys.  All signature coordinates come from two permutations
    of the 32-bit universe (C-MinHash): coordinate k is ``min over x of pi((sigma(x) + k) mod 2**32)``.
-2. Documents with equal sets form a class; only its smallest id goes on.
+2. Documents with equal sets form a class, which is a node (the fingerprint); only nodes go on.
 3. Documents that share a band key are candidates.  Each is compared with the most central document of its buckets
    first.  Members of a bucket that this leaves in different components are then compared with each other: in small
    buckets as pairs, in large ones in blocks that emit only pairs which a compact sketch can't rule out.  The sketch
-   (part sums) never rules out a link.
-4. Links hold where ``100 * intersection >= percent * union`` on the full sets; components are found by minimum
-   labels and pointer jumping in Spark joins.
+   (part sums) never rules out a link.  Blocks of a bucket's largest component meet only those of the other members.
+4. Links hold where ``100 * intersection >= percent * union`` on the full sets; an id that repeats with other texts
+   links their nodes.  Components are found by minimum labels and pointer jumping in Spark joins.
 """
 
 from __future__ import annotations
@@ -22,7 +22,19 @@ from pyspark.sql import functions as F
 from . import bytewords
 from .frames import cut, map_arrow, maybe_in, narrow
 
-SKETCH = "doc_id long, n_shingles long, fingerprint binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
+PAIRS = "a binary, b binary"
+
+
+def fingerprints(shingles: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Sixteen bytes for each document's set of distinct shingles."""
+    counts, sums = np.diff(begin), np.zeros((len(begin) - 1, 2), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        for side, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            sums[some, side] = np.add.reduceat(bytewords.mix(shingles ^ np.uint64(salt)), begin[some])
+        sums[:, 0] ^= bytewords.mix(counts.astype(np.uint64))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(counts), [None, pa.py_buffer(sums.tobytes())]).cast(pa.binary())
 
 
 def circulant_signature(shingles: np.ndarray, begin: np.ndarray, coordinates: int) -> np.ndarray:
@@ -58,7 +70,7 @@ def distinct_per_document(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.n
 
 
 def sketch(docs: DataFrame, *, width: int = 5, bands: int = 26, rows: int = 6) -> DataFrame:
-    """doc_id, n_shingles, fingerprint and band keys (null without words) of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, node (of the set) and band keys (null without words) of ``docs`` (doc_id, text)."""
 
     def batch_sketch(batch: pa.RecordBatch):
         for row, end, data, offsets in bytewords.text_slices(batch.column(1), 1 << 20):
@@ -66,23 +78,16 @@ def sketch(docs: DataFrame, *, width: int = 5, bands: int = 26, rows: int = 6) -
             shingles, begin = bytewords.shingle_hashes(words.hashes(), words.first, width)
             shingles, begin = distinct_per_document(shingles, begin)
             counts = np.diff(begin)
-            print_ = np.zeros((len(counts), 2), np.uint64)
-            some = np.flatnonzero(counts)
-            if len(some):
-                for side, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-                    print_[some, side] = np.add.reduceat(bytewords.mix(shingles ^ np.uint64(salt)), begin[some])
-                print_[:, 0] ^= bytewords.mix(counts.astype(np.uint64))
             signature = circulant_signature(shingles, begin, bands * rows).reshape(len(counts), bands, rows)
             keys = np.broadcast_to(bytewords.mix(np.arange(bands, dtype=np.uint64)), (len(counts), bands)).copy()
             for k in range(rows):
                 keys = bytewords.mix(keys ^ signature[:, :, k])
             empty = pa.array(counts == 0)
-            prints = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(counts), [None, pa.py_buffer(print_.tobytes())])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, end - row), pa.array(counts.astype(np.int64)), pa.compute.if_else(empty, None, prints.cast(pa.binary())), pa.compute.if_else(empty, None, lists)],
-                ["doc_id", "n_shingles", "fingerprint", "bands"],
-            )
+            nodes = pa.compute.if_else(empty, None, fingerprints(shingles, begin))
+            offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * bands)
+            lists = pa.compute.if_else(empty, None, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())))
+            arrays = [batch.column(0).slice(row, end - row), pa.array(counts.astype(np.int64)), nodes, lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "bands"])
 
     return map_arrow(docs, batch_sketch, SKETCH)
 
@@ -111,7 +116,7 @@ def may_link(one: np.ndarray, others: np.ndarray, sizes: np.ndarray, percent: in
 
 
 def shingle_sets(docs: DataFrame, *, width: int = 5) -> DataFrame:
-    """doc_id, the ascending distinct shingle hashes (eight bytes each) and their part sums, of ``docs`` (doc_id, text)."""
+    """node, the ascending distinct shingle hashes (eight bytes each) and their part sums, of ``docs`` (doc_id, text)."""
 
     def batch_sets(batch: pa.RecordBatch):
         for row, end, data, offsets in bytewords.text_slices(batch.column(1), 1 << 20):
@@ -119,14 +124,14 @@ def shingle_sets(docs: DataFrame, *, width: int = 5) -> DataFrame:
             shingles, begin = distinct_per_document(*bytewords.shingle_hashes(words.hashes(), words.first, width))
             sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin * 8), pa.py_buffer(shingles)])
             parts = pa.array([part_sums(shingles[a:b]) for a, b in zip(begin.tolist(), begin[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), sets.cast(pa.binary()), parts], ["doc_id", "shingles", "parts"])
+            yield pa.RecordBatch.from_arrays([fingerprints(shingles, begin), sets.cast(pa.binary()), parts], ["node", "shingles", "parts"])
 
-    return map_arrow(docs, batch_sets, "doc_id long, shingles binary, parts binary")
+    return map_arrow(docs, batch_sets, "node binary, shingles binary, parts binary")
 
 
 def _attach(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
@@ -142,8 +147,8 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("parts").alias(f"parts_{side}")), side)
-    return map_arrow(pairs.select("a", "b", "together", "parts_a", "parts_b"), batch_possible, "a long, b long")
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}")), side)
+    return map_arrow(pairs.select("a", "b", "together", "parts_a", "parts_b"), batch_possible, PAIRS)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,24 +165,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         kept = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    return map_arrow(_attach(pairs, sets, "shingles"), batch_confirm, "a long, b long")
+    return map_arrow(_attach(pairs, sets, "shingles"), batch_confirm, PAIRS)
 
 
 def crowded(members: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
     """Pairs (a, b) of large buckets that the part sums don't rule out, of different labels.
 
-    A bucket is cut into blocks of about ``block`` members; each pair of blocks is one group, so that a member is sent
-    once a block and no pair becomes a row before it has passed.
+    The members of a bucket's largest component and the others are cut into blocks of about ``block`` members.  A pair
+    of blocks that are not both of the largest component is one group: a member is sent once a block it meets, and no
+    pair becomes a row before it has passed.
     """
 
     def compare(rows: pa.Table) -> pa.Table:
-        ids, sizes, labels, own = (rows.column(k).to_numpy() for k in ("id", "n", "label", "own"))
+        sizes, own = (rows.column(k).to_numpy() for k in ("n", "own"))
+        ids, labels = (np.array(rows.column(k).to_pylist(), object) for k in ("id", "label"))
         first, second = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
         parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("parts")]
         widths = np.array([len(x) for x in parts])
         right = np.flatnonzero(own == second)
         matrices = [(right[widths[right] == w], np.stack([parts[k] for k in right[widths[right] == w]])) for w in np.unique(widths[right])]
-        found: list[tuple[int, int]] = []
+        found: list[tuple[bytes, bytes]] = []
         for i in np.flatnonzero(own == first).tolist():
             for where, matrix in matrices:
                 near = 100 * np.minimum(sizes[where], sizes[i]) >= percent * np.maximum(sizes[where], sizes[i])
@@ -188,13 +195,25 @@ def crowded(members: DataFrame, sets: DataFrame, percent: int, block: int = 1024
                     where, rows_ = where[near], matrix[near]
                     where = where[may_link(parts[i], rows_, sizes[where] + sizes[i], percent)]
                     found += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in where.tolist()]
-        return pa.table({"a": pa.array([int(x[0]) for x in found], pa.int64()), "b": pa.array([int(x[1]) for x in found], pa.int64())})
+        return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
+
+    return dealt_blocks(members, sets, block).groupBy("key", "one", "two").applyInArrow(compare, PAIRS)
 
-    dealt = members.join(sets.select(F.col("doc_id").alias("id"), "parts"), "id")
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "id", "n", "label", "parts")
-    return dealt.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long")
+
+def dealt_blocks(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """A row for each member and pair of blocks (one, two) in which it is compared."""
+    counted = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = F.max_by(F.struct("label", "n"), F.struct("n", "label"))
+    shape = counted.groupBy("key").agg(most.alias("main"), F.sum("n").alias("all"))
+    many = lambda n: F.ceil(n / block).cast("int")
+    shape = shape.select("key", "main.label", many(F.col("all") - F.col("main.n")).alias("rest"), many(F.col("main.n")).alias("mains"))
+    dealt = members.join(shape.withColumnRenamed("label", "_main"), "key").join(sets.select(F.col("node").alias("id"), "parts"), "id")
+    inside, hashed = F.col("label") == F.col("_main"), F.xxhash64("id")
+    # blocks of the others are numbered first, then those of the largest component
+    dealt = dealt.withColumn("own", F.when(inside, F.col("rest") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int"))
+    met = F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("mains"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    return dealt.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "id", "n", "label", "parts")
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -230,32 +249,36 @@ def near_duplicates(
 
     Words are runs outside ``\\x20\\x09-\\x0D`` with A-Z lower-cased; a text of fewer words than ``width`` has its whole
     sequence as its one shingle; a null, empty or blank text has none and is linked with nothing.  A null id takes
-    part in nothing: component_id null, kept true.  Rows of one id share its component; of their texts, where they differ, one is compared, and the
+    part in nothing: component_id null, kept true.  Rows of one id share its component; where their texts differ, the
     id is linked through each of them.  Columns other than the two named are ignored; an empty table gives no rows.
-    With 26 bands of 6 coordinates a pair at 0.85 is missed with probability under 1e-5.
+    With 26 bands of 6 coordinates a pair at 0.85 is missed with probability under 1e-5, with 40 bands one at 0.80.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = cut(sketch(docs, width=width, bands=bands, rows=rows))
-    full = sketches.filter("doc_id is not null and fingerprint is not null")
-    classes = cut(full.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")))
-    keyed = classes.select("class_id", "n", F.explode("bands").alias("key"))
+    full = sketches.filter("doc_id is not null and node is not null")
+    sums = [F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")]
+    classes = cut(full.groupBy("node").agg(*sums))
+    keyed = classes.select("node", "least", "n", F.explode("bands").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = cut(maybe_in(keyed, "key", shared.select("key")).join(shared, "key").select("key", F.col("class_id").alias("id"), "n", "size"))
-    # several fingerprints of one id (rows that repeat an id with other texts) are linked through the id
-    again = full.select("doc_id", "fingerprint").join(classes.filter("copies > 1").select("fingerprint", "class_id"), "fingerprint", "left")
-    links = again.select(F.col("doc_id").alias("a"), F.coalesce("class_id", "doc_id").alias("b")).filter("a <> b").distinct()
-    links = cut(links)
+    members = maybe_in(keyed, "key", shared.select("key")).join(shared, "key")
+    members = cut(members.select("key", F.col("node").alias("id"), "least", "n", "size"))
+    # an id that repeats with other texts links their nodes
+    several = full.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most")
+    links = cut(full.join(several, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
     labels = None
     if not members.isEmpty():
         central = members.groupBy("id").agg(F.sum("size").alias("central"))
-        members = cut(members.join(central, "id"))
-        candidates = maybe_in(docs.filter("doc_id is not null"), "doc_id", members.select("id").distinct())
-        sets = cut(shingle_sets(candidates, width=width).dropDuplicates(["doc_id"]))
+        members, candidates = cut(members.drop("least").join(central, "id")), members.select("least").distinct()
+        candidates = maybe_in(docs.filter("doc_id is not null"), "doc_id", candidates)
+        sets = cut(shingle_sets(candidates, width=width).dropDuplicates(["node"]))
         near = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
         # first, each member meets the most central of all leads of its buckets
-        leads = members.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("lead"), F.max("central").alias("lead_central"))
-        best = members.join(leads, "key").filter("id <> lead.id").select("id", "n", F.col("lead.id").alias("id2"), F.col("lead.n").alias("n2"), "lead_central").filter(near)
-        best = best.groupBy("id").agg(F.max_by(F.struct("id2", (F.col("n") + F.col("n2")).alias("together")), F.struct("lead_central", -F.col("id2"))).alias("best"))
+        rank = F.struct("central", "id")
+        leads = members.groupBy("key").agg(F.max_by(F.struct("id", "n"), rank).alias("lead"), F.max("central").alias("lead_central"))
+        best = members.join(leads, "key").filter("id <> lead.id")
+        best = best.select("id", "n", F.col("lead.id").alias("id2"), F.col("lead.n").alias("n2"), "lead_central").filter(near)
+        lead = F.struct("id2", (F.col("n") + F.col("n2")).alias("together"))
+        best = best.groupBy("id").agg(F.max_by(lead, F.struct("lead_central", "id2")).alias("best"))
         asked = best.select(F.least("id", "best.id2").alias("a"), F.greatest("id", "best.id2").alias("b"), "best.together").distinct()
         found = links.unionByName(cut(confirmed(cut(possible(asked, sets, percent)), sets, percent)))
         labels = components(found)
@@ -276,8 +299,32 @@ def near_duplicates(
             labels = components(found.unionByName(fresh), labels)
     elif not links.isEmpty():
         labels = components(links)
-    out = sketches.select("doc_id", "n_shingles", "fingerprint").join(classes.filter("copies > 1").select("fingerprint", "class_id"), "fingerprint", "left")
-    out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
+    # nodes that stand for more than one row, with the smallest id of their component
+    groups = classes.filter("copies > 1").select("node", F.col("least").alias("component"))
     if labels is not None:
-        out = out.join(labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left").withColumn("class_id", F.coalesce("label", "class_id"))
-    return out.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+        grouped = classes.select("node", "least", "copies").join(labels, "node", "left")
+        grouped = grouped.filter("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
+        least = grouped.groupBy("label").agg(F.min("least").alias("component"))
+        groups = grouped.select("node", "label").join(least, "label").select("node", "component")
+    out = sketches.select("doc_id", "n_shingles", "node").join(groups, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def oracle_sql(percent: int = 85, width: int = 5) -> str:
+    """The same rows in DuckDB SQL over documents: exact similarities of all pairs that share a shingle, and reachability."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE texts AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS i FROM texts WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width - 1}], ' ') AS s FROM windows),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY ALL),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT DISTINCT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+groups AS (SELECT a, min(b) AS component FROM reach GROUP BY ALL)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, d.doc_id = coalesce(component, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN groups ON a = d.doc_id
+"""

@@ -96,4 +96,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": op1_sql(),
     "op2_quality_rules": quality_rules.oracle_sql(),
     "op3_license_scan": licenses.oracle_sql(),
+    "op4_minhash_near_dedup": near_dedup.oracle_sql(),
 }
