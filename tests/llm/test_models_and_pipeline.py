@@ -1,7 +1,9 @@
 """Held-out accuracy of the fitted models, odd rows, and the pipeline stage by stage against brute force."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -146,3 +148,92 @@ def test_pipeline_by_stages(spark):
     whole = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert whole == {r.doc_id for r in five}
     assert decontaminate.contaminated(four, decontaminate.questions(spark.read.parquet(f"{SF}/benchmark.parquet"))).count() == 0
+
+
+def brute_kneser_ney(rows):
+    """log P(w | v, toxic) - log P(w | v, ordinary) of modified Kneser-Ney with shared back-off, from (label, words), with dictionaries."""
+    pair, word, context = ([Counter(), Counter()] for _ in range(3))
+    for label, words in rows:
+        for v, w in zip([None, *words], words):
+            pair[label][v, w] += 1
+            word[label][w] += 1
+            context[label][v] += 1
+    together = lambda cs: cs[0] + cs[1]
+    pairs, words, contexts = map(together, (pair, word, context))
+    kinds = Counter(w for _, w in pairs)
+
+    def lost(counts):
+        n = Counter(counts.values())
+        return toxicity.discounts(n[1], n[2], n[3], n[4])
+
+    def less(count, by):
+        return count and by[min(count, 3) - 1]
+
+    by_word, by_pair = [lost(x) for x in (*word, words)], [lost(x) for x in (*pair, pairs)]
+
+    def chance(w, k):
+        counts = (*word, words)[k]
+        n = sum(counts.values())
+        mass = sum(less(c, by_word[k]) for c in counts.values()) / n
+        return (counts[w] - less(counts[w], by_word[k])) / n + mass * (kinds[w] + 0.5) / (len(pairs) + 0.5 * (len(words) + 1))
+
+    left = [Counter() for _ in range(3)]
+    for k, counts in enumerate((*pair, pairs)):
+        for (v, _), c in counts.items():
+            left[k][v] += less(c, by_pair[k])
+
+    def estimate(v, w, k, lower):
+        n = (*context, contexts)[k][v]
+        c = (*pair, pairs)[k][v, w]
+        return ((c - less(c, by_pair[k])) + left[k][v] * lower) / n if n else lower
+
+    def ratio(v, w):
+        shared = estimate(v, w, 2, chance(w, 2)) / chance(w, 2)
+        one, two = (estimate(v, w, k, shared * chance(w, k)) for k in (1, 0))
+        return math.log(one) - math.log(two)
+
+    return ratio
+
+
+def test_toxicity_scores_equal_a_plain_model(spark):
+    rng = random.Random(17)
+    words = ["w%d" % rng.choice([rng.randrange(30), rng.randrange(300)]) for _ in range(400)]
+    rows = []
+    for i in range(400):
+        label = int(rng.random() < 0.3)
+        text = rng.choices(words, k=rng.randrange(1, 40)) + ["vile", "w1"] * (label * rng.randrange(3))
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = fold(F.col("doc_id"), 4) == 2
+    got = {r.doc_id: r.score for r in toxicity.score(docs, docs.select("doc_id", "toxic"), held).collect()}
+    fourth = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).select("doc_id").collect()}
+    train = [r for r in rows if fold_of(r[0], 4) != 2]
+    ratio = brute_kneser_ney([(label, text.split()) for i, text, label in train if i not in fourth])
+
+    def means(text):
+        w = text.split()
+        ratios = [ratio(*x) for x in zip([None, *w], w)]
+        return [sum(ratios) / len(w), math.sqrt(sum(max(r - toxicity.STRONG, 0) for r in ratios) / len(w))]
+
+    scale = [r for r in train if r[0] in fourth]
+    weights = toxicity.logistic(np.array([means(text) for _, text, _ in scale]), np.array([float(label) for *_, label in scale]))
+    for i, text, _ in rows:
+        one, two = means(text)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(weights[0] * one + weights[1] * two + weights[2]))), abs=1e-4), i
+
+
+def test_words_met_once_move_a_score(spark):
+    rows = [(1, "plain words and one unheard slur")] + [(k % 2, f"plain words and more plain words {k % 7}") for k in range(20)]
+    model = toxicity.fit_models(spark.createDataFrame(rows, "label int, text string"))
+    ratio = lambda text: next(toxicity._sequences(pa.array([text])))
+    _, before, hashes, _ = ratio("never slur")
+    assert model.ratios(before, hashes)[1] > 0.3
+    _, before, hashes, _ = ratio("one unheard")
+    assert model.ratios(before, hashes)[1] > 0.3
+
+
+def test_the_toxicity_sample_is_bounded_in_bytes(spark, toxic):
+    labels = toxic.select("doc_id", "toxic")
+    out = toxicity.score(toxic, labels, F.lit(False), sample_bytes=1).filter("score between 0 and 1")
+    assert out.count() == 1500  # one text of each class is enough to go on

@@ -1,13 +1,18 @@
 """Toxicity from class-conditional Kneser-Ney bigram models.
 
-Toxic and ordinary training texts each have a model.  Discounts and back-off weights come from the pooled counts and
-both models end in one distribution of continuation counts, so an expression that both classes lack says nothing and
-the classes' sizes do not show.  Two means over all words of a text, of the log-likelihood ratio and of its part
-beyond ``STRONG`` (topics shift all words of a text a little; its root is taken), become a probability by a logistic fit on training rows that
-the models have not seen.
-
-The models are fitted on at most ``per_class`` labelled texts of each class (those whose ids hash lowest), which bounds
-the tables that are broadcast; counts are made and summed by Spark.
+Toxic and ordinary training texts each have a model: counts of word pairs, less three discounts that the counts of
+counts give (modified Kneser-Ney), and what the discounts leave for the back-off.  The back-off is shared: it is the
+pair's estimate from both classes together, scaled by how much likelier the class makes the word; words of a class in
+turn back off to the continuation counts of both classes together.  So an expression that is rare in one class gets
+its chance from what both have, and one that both lack says nothing.
+
+A text's log-likelihoods under both models, divided by its number of words, are compared.  As a few strong words drown
+in a long text, a second mean, of the differences beyond ``STRONG`` (its root), goes with the first into a logistic fit
+on training rows that the models have not seen.
+
+The models are fitted on at most ``per_class`` labelled texts of each class, and on no more than ``sample_bytes`` of them
+(those whose ids hash lowest), which bounds the tables that are broadcast.  Spark counts and joins; the driver gets one
+number for each pair, context and word.
 """
 
 from __future__ import annotations
@@ -16,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords
 from .frames import cut, over_texts
 
-DISCOUNT = 0.75
-#: Ratios (natural log) below this may be chance or topic.
+SIDES = ("toxic", "ordinary")
+#: Differences (natural log) below this may be chance or topic.
 STRONG = 2.5
 #: What precedes a text's first word.
 START = np.uint64(0x5354415254)
@@ -31,27 +36,27 @@ START = np.uint64(0x5354415254)
 
 @dataclass
 class Model:
-    """Ascending hashes with what the two-word and one-word estimates of either class (toxic, ordinary) need."""
+    """log P(.. | toxic) - log P(.. | ordinary) by ascending hash: of pairs met, else a word's plus its context's.
+
+    ``unmet`` is that of a word that training lacks.
+    """
 
     pairs: np.ndarray
-    pair_counts: np.ndarray
+    pair_ratios: np.ndarray
     contexts: np.ndarray
-    context_totals: np.ndarray
-    context_backoff: np.ndarray
+    context_ratios: np.ndarray
     words: np.ndarray
-    word_chances: np.ndarray
+    word_ratios: np.ndarray
+    unmet: float
 
     def ratios(self, before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """log P(word | word before, toxic) - log P(.., ordinary) of each word."""
         at, met = _find(self.words, hashes)
-        one = np.where(met[:, None], _take(self.word_chances, at), 1.0)
-        at, known = _find(self.contexts, before)
-        known &= met
-        total, backoff = np.where(known[:, None], _take(self.context_totals, at), 1.0), np.where(known, _take(self.context_backoff, at), 1.0)
-        at, counted = _find(self.pairs, pair_hashes(before, hashes))
-        count = np.where((counted & known)[:, None], _take(self.pair_counts, at), 0.0)
-        p = np.maximum(count - DISCOUNT, 0) / total + backoff[:, None] * one
-        return np.log(p[:, 0]) - np.log(p[:, 1])
+        out = np.where(met, _take(self.word_ratios, at), self.unmet)
+        at, met = _find(self.contexts, before)
+        out += np.where(met, _take(self.context_ratios, at), 0.0)
+        at, met = _find(self.pairs, pair_hashes(before, hashes))
+        return np.where(met, _take(self.pair_ratios, at), out)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,35 +104,65 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def fit_models(sample: DataFrame, least: int = 2) -> Model:
-    """A model of all contexts and words of ``sample`` (label, text); pairs met fewer than ``least`` times are left to the words."""
-    pairs = bigram_counts(sample).persist()
-    sides = ("toxic", "ordinary")
-    sums = [F.sum(x).alias(x) for x in sides]
-    words = pairs.groupBy("word").agg(*sums, F.count("*").alias("kinds"))
-    contexts = pairs.groupBy("before").agg(*sums, F.count("*").alias("kinds"))
-    totals = words.agg(*sums, F.sum("kinds").alias("kinds"), F.count("*").alias("n")).first()
-
-    def collected(df: DataFrame, *columns: str) -> list[np.ndarray]:
-        found = df.select(*columns).toArrow()
-        return [found.column(x).to_numpy() for x in columns]
-
-    before, after, *counts = collected(pairs.filter(F.col("toxic") + F.col("ordinary") >= least), "before", "word", *sides)
-    pair_keys, pair_counts = pair_hashes(before.view(np.uint64), after.view(np.uint64)), np.stack(counts, axis=1)
-    context_keys, *counts, kinds = collected(contexts, "before", *sides, "kinds")
-    context_totals = np.stack(counts, axis=1)
-    backoff = DISCOUNT * kinds / context_totals.sum(axis=1)
-    word_keys, *counts, kinds = collected(words, "word", *sides, "kinds")
-    pairs.unpersist()
-    word_counts = np.stack(counts, axis=1)
-    total = np.array([max(totals[x] or 0, 1) for x in sides], float)
-    shared = (kinds + 0.5) / ((totals.kinds or 0) + 0.5 * ((totals.n or 0) + 1))
-    chances = np.maximum(word_counts - DISCOUNT, 0) / total + DISCOUNT * (totals.n or 0) / total.sum() * shared[:, None]
-    orders = [np.argsort(x.view(np.uint64)) for x in (pair_keys, context_keys, word_keys)]
-    return Model(
-        pair_keys[orders[0]], pair_counts[orders[0]].astype(np.float32), context_keys.view(np.uint64)[orders[1]], np.maximum(context_totals[orders[1]], 1).astype(np.float32), backoff[orders[1]].astype(np.float32),
-        word_keys.view(np.uint64)[orders[2]], chances[orders[2]].astype(np.float32),
-    )
+def discounts(once: int, twice: int, thrice: int, four: int) -> tuple[float, float, float]:
+    """What a count of one, of two, and of more loses, from how many entries have counts of one to four."""
+    if not once or not twice:
+        return 0.5, 0.75, 0.75
+    y = once / (once + 2 * twice)
+    two = 2 - 3 * y * thrice / twice
+    return max(1 - 2 * y * twice / once, 0.0), max(two, 0.0), max(3 - 4 * y * four / thrice, 0.0) if thrice else max(two, 0.0)
+
+
+def counts_of_counts(df: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """The discounts of the columns toxic, ordinary and both (their sum)."""
+    df = df.withColumn("both", F.col("toxic") + F.col("ordinary"))
+    row = df.agg(*(F.count_if(F.col(side) == k).alias(f"{side}{k}") for side in (*SIDES, "both") for k in (1, 2, 3, 4))).first()
+    return {side: discounts(*(row[f"{side}{k}"] for k in (1, 2, 3, 4))) for side in (*SIDES, "both")}
+
+
+def discount(count: Column, by: tuple[float, float, float]) -> Column:
+    return F.when(count == 0, 0.0).when(count == 1, by[0]).when(count == 2, by[1]).otherwise(by[2])
+
+
+def fit_models(sample: DataFrame) -> Model:
+    """A model of all pairs, contexts and words of ``sample`` (label, text)."""
+    pairs = cut(bigram_counts(sample))
+    sums = [F.sum(x).alias(x) for x in SIDES]
+    words = cut(pairs.groupBy("word").agg(*sums, F.count("*").alias("kinds")))
+    totals = words.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in (*SIDES, "kinds")), F.count("*").alias("n")).first()
+    both = lambda: F.col("toxic") + F.col("ordinary")
+    size = {"toxic": max(totals.toxic, 1), "ordinary": max(totals.ordinary, 1), "both": max(totals.toxic + totals.ordinary, 1)}
+    by = counts_of_counts(words)
+    # words: a class's discounted count and what its discounts leave for the shared continuation counts
+    left = words.agg(*(F.coalesce(F.sum(discount(F.col(x), by[x])), F.lit(0.0)).alias(x) for x in SIDES), F.coalesce(F.sum(discount(both(), by["both"])), F.lit(0.0)).alias("both")).first()
+    # without words of a class all of its chance is shared
+    mass = {x: left[x] / size[x] if left[x] else float(not totals[x]) if x in SIDES else 1.0 for x in (*SIDES, "both")}
+    mass = {x: m if m > 0 else 1e-9 for x, m in mass.items()}
+    share = (F.col("kinds") + 0.5) / (totals.kinds + 0.5 * (totals.n + 1))
+    chance = lambda count, x: (count - discount(count, by[x])) / size[x] + mass[x] * share
+    known = words.select("word", *(chance(F.col(x), x).alias(f"word_{x}") for x in SIDES), chance(both(), "both").alias("word_both"))
+    # contexts: how often each class has them, and what the discounts of their pairs leave
+    by_pair = counts_of_counts(pairs)
+    lost = [F.sum(discount(F.col(x), by_pair[x])).alias(f"lost_{x}") for x in SIDES] + [F.sum(discount(both(), by_pair["both"])).alias("lost_both")]
+    contexts = cut(pairs.groupBy("before").agg(*(F.sum(x).alias(f"n_{x}") for x in SIDES), *lost).withColumn("n_both", F.col("n_toxic") + F.col("n_ordinary")))
+    least = 1e-9  # discounts of zero would leave nothing for the back-off
+    backoff = {x: F.when(F.col(f"n_{x}") > 0, F.greatest(F.col(f"lost_{x}") / F.col(f"n_{x}"), F.lit(least))).otherwise(1.0) for x in (*SIDES, "both")}
+    joined = pairs.join(known, "word").join(contexts, "before")
+    kept = lambda count, x: F.when(F.col(f"n_{x}") > 0, (count - discount(count, by_pair[x])) / F.col(f"n_{x}")).otherwise(0.0)
+    shared = kept(both(), "both") + backoff["both"] * F.col("word_both")
+    chances = [kept(F.col(x), x) + backoff[x] * shared * F.col(f"word_{x}") / F.col("word_both") for x in SIDES]
+    ratio = lambda one, two: (F.log(one) - F.log(two)).cast("float").alias("ratio")
+
+    def collected(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+        found = df.toArrow()
+        return [found.column(x).to_numpy().view(np.uint64) for x in found.column_names[:-1]], found.column("ratio").to_numpy()
+
+    (before, after), pair_ratios = collected(joined.select("before", "word", ratio(*chances)))
+    (context_keys,), context_ratios = collected(contexts.select("before", ratio(*(backoff[x] for x in SIDES))))
+    (word_keys,), word_ratios = collected(known.select("word", ratio(*(F.col(f"word_{x}") for x in SIDES))))
+    tables = [(pair_hashes(before, after), pair_ratios), (context_keys, context_ratios), (word_keys, word_ratios)]
+    sorted_ = [(keys[order], values[order]) for keys, values in tables for order in [np.argsort(keys)]]
+    return Model(*(x for pair in sorted_ for x in pair), float(np.log(mass["toxic"]) - np.log(mass["ordinary"])))
 
 
 def normalised_ratios(docs: DataFrame, model, carried: list[str]) -> DataFrame:
@@ -172,7 +207,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return np.append(slopes, w[-1] - slopes @ centre)
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = 20_000, calibration: int = 10_000, cutoff: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text",
+          per_class: int = 5_000, sample_bytes: int = 16 << 20, calibration: int = 10_000, cutoff: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (probability of label 1) and predicted (1 from ``cutoff`` on), one row per input row.
 
     ``labels`` has doc_id and toxic; labels of rows for which ``held_out`` is true, and null labels, are not read; of a
@@ -182,12 +218,20 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, *, id_col: str =
     held = F.coalesce(held_out, F.lit(False))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    ids = docs.filter("not held_out").select("doc_id").join(known, "doc_id").distinct()
+    lengths = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
+    ids = docs.filter("not held_out").select("doc_id", lengths).join(known, "doc_id").groupBy("doc_id", "label").agg(F.sum("size").alias("size"))
     # three parts of four fit the models, the fourth fits the scale
     order = F.xxhash64("doc_id", F.lit(9))
     fourth = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    picked = [ids.filter(~fourth & (F.col("label") == k)).orderBy(order, "doc_id").limit(per_class) for k in (1, 0)]
-    both = picked[0].unionByName(picked[1]).withColumn("fits", F.lit(True)).unionByName(ids.filter(fourth).orderBy(order, "doc_id").limit(calibration).withColumn("fits", F.lit(False)))
+
+    def first(k: int) -> DataFrame:
+        """Of at most ``per_class`` ids, in order, those that fit into ``sample_bytes`` (one at least)."""
+        picked = ids.filter(~fourth & (F.col("label") == k)).select("doc_id", "label", "size", order.alias("rank")).orderBy("rank", "doc_id").limit(per_class)
+        before = Window.partitionBy("label").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        return picked.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter((F.col("before") == 0) | (F.col("before") + F.col("size") <= sample_bytes)).select("doc_id", "label", F.lit(True).alias("fits"))
+
+    measured = ids.filter(fourth).select("doc_id", "label", order.alias("rank")).orderBy("rank", "doc_id").limit(calibration)
+    both = first(1).unionByName(first(0)).unionByName(measured.select("doc_id", "label", F.lit(False).alias("fits")))
     texts = cut(docs.join(F.broadcast(both), "doc_id").select("label", "fits", "text"))  # at most 2 * per_class + calibration ids
     model = docs.sparkSession.sparkContext.broadcast(fit_models(texts.filter("fits").select("label", "text")))
     seen = normalised_ratios(texts.filter("not fits"), model, ["label"]).toArrow()
