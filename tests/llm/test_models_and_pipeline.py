@@ -237,3 +237,71 @@ def test_the_toxicity_sample_is_bounded_in_bytes(spark, toxic):
     labels = toxic.select("doc_id", "toxic")
     out = toxicity.score(toxic, labels, F.lit(False), sample_bytes=1).filter("score between 0 and 1")
     assert out.count() == 1500  # one text of each class is enough to go on
+
+
+def plain_features(text):
+    """The classifier's features in plain Python."""
+    raw = (text or "").encode()
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in raw), raw
+    w = raw[0].split()
+    if not w:
+        return [0.0] * 12
+    count = lambda these: sum(chr(b) in these for b in raw[1])
+    letters = sum(map(len, w))
+    pairs = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)}
+    shares = [count(x) / letters for x in ("#*$%&<>^~=_", "|", "!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:?'\"()-")]
+    return [math.log1p(len(w)), letters / len(w), len(set(w)) / len(w), len(pairs) / len(w), *shares, math.log1p(letters / (count("\n") + 1)), sum(len(x) <= 3 for x in w) / len(w)]
+
+
+def test_quality_scores_equal_a_plain_model(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(500):
+        host, path = "h%d" % (rng.randrange(6) if rng.random() < 0.7 else 0), "p%d" % rng.randrange(3)
+        good = int(rng.random() < (0.3 if host == "h2" else 0.85))
+        words = ["Word%d" % rng.randrange(300) for _ in range(rng.randrange(0, 50))]
+        text = (" " if good or rng.random() < 0.3 else " ## ").join(words) + "!" * rng.randrange(3)
+        rows.append((i, text if rng.random() < 0.97 else None, host, path, good if rng.random() < 0.7 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, quality int")
+    out = {r.doc_id: r for r in quality_classifier.judge(docs, docs.select("doc_id", "quality"), held_out=fold(F.col("doc_id"), 4) == 2).collect()}
+    label = {i: q for i, *_, q in rows if q is not None and fold_of(i, 4) != 2}
+    x = np.array([plain_features(t) for _, t, *_ in rows])
+    x = np.hstack((x, x * x, np.sqrt(x)))
+    chosen = sorted(label, key=lambda i: label[i])
+    weights = toxicity.logistic(x[chosen], np.array([float(label[i]) for i in chosen]), ridge=1.0)
+    rate = (sum(label.values()) + 1) / (len(label) + 2)
+    prior = math.log(rate / (1 - rate))
+    evidence = np.clip(x @ weights[:-1] + weights[-1] - prior, -30, 30)
+    y = [label.get(i, 1 / (1 + math.exp(-(evidence[i] + prior)))) for i in range(len(rows))]
+    paths = {}
+    for (_, _, h, p, _), v in zip(rows, y):
+        paths.setdefault((h, p), []).append(v)
+    hosts = {}
+    for (h, _), v in paths.items():
+        hosts.setdefault(h, []).extend(v)
+    mean = sum(y) / len(y)
+
+    def strength(groups):
+        n = sum(len(v) for v, _ in groups)
+        spread = sum(len(v) * (sum(v) / len(v) - m) ** 2 for v, m in groups)
+        one, weighed = sum(m * (1 - m) for _, m in groups), sum(len(v) * m * (1 - m) for v, m in groups) / n
+        return min(max(weighed / max((spread - one) / n, 1e-6) - 1, 1.0), 1e6)
+
+    a = strength([(v, mean) for v in hosts.values()])
+    b = strength([(v, (sum(hosts[h]) + a * mean) / (len(hosts[h]) + a)) for (h, _), v in paths.items()])
+    for i, (_, _, h, p, _) in enumerate(rows):
+        host = (sum(hosts[h]) - y[i] + a * mean) / (len(hosts[h]) - 1 + a)
+        path = (sum(paths[h, p]) - y[i] + b * host) / (len(paths[h, p]) - 1 + b)
+        want = 1 / (1 + math.exp(-(evidence[i] + math.log(path / (1 - path)))))
+        assert (out[i].host_rate, out[i].path_rate) == pytest.approx((host, path), abs=1e-6)
+        assert out[i].evidence == pytest.approx(evidence[i], abs=1e-5) and out[i].score == pytest.approx(want, abs=1e-6) and out[i].kept == (out[i].score >= 0.5)
+    assert out[next(i for i, r in enumerate(rows) if r[2] == "h2")].host_rate < out[next(i for i, r in enumerate(rows) if r[2] == "h1")].host_rate - 0.2
+
+
+def test_rows_carried_keep_columns_of_any_name(spark, sites):
+    docs = sites.select("doc_id", "text", "source", "lang", *(F.lit(k).alias(name) for k, name in enumerate(("host", "path", "_0", "label", "evidence", "p", "kept", "a.b"))))
+    kept = quality_classifier.judge(docs, sites.select("doc_id", "quality"), carry=True)
+    assert kept.columns == docs.columns
+    assert kept.select("host", "path", "_0", "label", "evidence", "p", "kept", "`a.b`").distinct().collect() == [tuple(range(8))]
+    clean = decontaminate.clean(docs, spark.createDataFrame([(1, "nothing like it here at all", None)], "item_id long, question string, answer string"))
+    assert clean.columns == docs.columns and clean.count() == 3000

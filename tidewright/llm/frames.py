@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder and read again: later steps read only the columns they use."""
+    path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def narrow(df: DataFrame, rows: int, per_part: int = 100_000) -> DataFrame:
     """``df`` of about ``rows`` rows in no more partitions than they fill; small steps then write few files."""
     return df.coalesce(max(1, -(-rows // per_part)))
@@ -80,7 +88,7 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int | None = Non
             hit = (shared.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
             yield batch.filter(pa.array(hit.astype(bool)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, df.schema)
 
 
 def _bit(values: pa.Array, bits: int) -> np.ndarray:
@@ -115,8 +123,9 @@ def tidy() -> None:
 
 
 def over_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` in small batches."""
+    """``mapInArrow`` in small batches; ``run`` gets columns by place, as their names may hold dots."""
     small_batches(df.sparkSession)
+    df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
     def run_and_tidy(batches):
         yield from run(batches)

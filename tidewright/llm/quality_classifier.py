@@ -1,9 +1,10 @@
 """Document quality by hierarchical empirical Bayes.
 
 A logistic classifier on shape features gives each text its evidence, a log likelihood ratio.  Sites say what to expect
-before reading: the rate of good texts of a host is shrunk toward the global rate, that of a path toward its host's,
-each by a strength that empirical Bayes (the spread between groups beyond chance) estimates from grouped sums over all
-documents.  A text's posterior log odds are its path's prior odds, itself left out, plus its evidence.
+before reading: a labelled text counts for its site as its label says, any other by the classifier's probability.  The
+rate of good texts of a host is shrunk toward the global rate, that of a path toward its host's, each by a strength that
+empirical Bayes (the spread between groups beyond chance) estimates from grouped sums over all documents.  A text's
+posterior log odds are its path's prior odds, itself left out, plus its evidence.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords
-from .frames import cut, over_texts, small_side
+from .frames import cut, over_texts, small_side, written
 from .near_dedup import distinct_per_document
 from .toxicity import logistic
 
@@ -112,38 +113,46 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     A path lies within its host; null hosts and paths are groups of their own.  ``labels`` has doc_id and quality;
     labels of rows for which ``held_out`` is true, and null labels, are not read; of repeated labels the best counts.
-    The classifier is fitted on at most ``sample`` labelled texts; group sums cover all documents.  A text without
-    words has only its site to speak for it beyond an empty text's evidence.  With ``carry`` the rows kept are returned as they are: all columns of ``docs``
-    stay.  Other columns are ignored; an empty table gives no rows.
+    The classifier is fitted on at most ``sample`` labelled texts; group sums cover all documents, and all labels that
+    may be read.  A text without words has only its site to speak for it beyond an empty text's evidence.  With
+    ``carry`` the rows kept are returned as they are: all columns of ``docs`` stay, whatever their names.  Other columns
+    are ignored; an empty table gives no rows.
     """
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), group_column(host, "host"), group_column(path, "path"), F.col(text_col).cast("string").alias("text"))
+    own = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)] if carry else []
+    shaped = [F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), group_column(host, "host"), group_column(path, "path")]
+    base = docs.select(*own, *shaped, F.col(text_col).cast("string").alias("text"))
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") == 1).cast("int").alias("label"))
-    known = known.join(base.filter("not held_out").select("doc_id").distinct(), "doc_id", "left_semi")
+    known = cut(known.join(base.filter("not held_out").select("doc_id").distinct(), "doc_id", "left_semi"))
     weights, rate = fit(base.select("doc_id", "text"), known, sample)
     prior = float(np.log(rate / (1 - rate)))
     chance = lambda odds: 1 / (1 + F.exp(-odds))
-    read = cut(evidence(base.select("doc_id", "held_out", "host", "path", "text"), weights, "text", False)).withColumn("p", chance(F.col("evidence") + F.lit(prior)))
-    paths = read.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good"))
-    paths = cut(paths)
+    # texts are read once: what later steps need is written beside the evidence
+    if carry:
+        at = docs.columns.index(text_col)
+        read = written(evidence(base.drop("text"), weights, f"_{at}", True))
+    else:
+        read = written(evidence(base, weights, "text", False))
+    # texts stay where they are unless there are more labels than may be broadcast
+    own_label = F.when(~F.col("held_out"), F.col("label"))
+    read = read.join(small_side(known, 2_000_000), "doc_id", "left")
+    read = read.withColumn("p", F.coalesce(own_label.cast("double"), chance(F.col("evidence") + F.lit(prior)))).drop("label")
+    paths = cut(read.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = float(min(max((whole.good or 0.5) / (whole.n or 1), 1e-6), 1 - 1e-6))
     to_global = strength(hosts, F.lit(mean))
-    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("good") + to_global * mean) / (F.col("n") + to_global)).alias("expected"))
+    expected = (F.col("good") + to_global * mean) / (F.col("n") + to_global)
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), expected.alias("expected"))
     grouped = cut(paths.join(hosts, "host"))
     to_host = strength(grouped, F.col("expected"))
     sites = small_side(grouped.select("host", "path", F.col("n").alias("path_n"), F.col("good").alias("path_good"), "host_n", "host_good"))
-
-    def judged(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("host_rate", (F.col("host_good") - F.col("p") + to_global * mean) / (F.col("host_n") - 1 + to_global))
-        rows = rows.withColumn("path_rate", (F.col("path_good") - F.col("p") + to_host * F.col("host_rate")) / (F.col("path_n") - 1 + to_host))
-        bounded = F.greatest(F.least(F.col("path_rate"), F.lit(1 - 1e-6)), F.lit(1e-6))
-        rows = rows.withColumn("score", chance(F.col("evidence") + F.log(bounded / (1 - bounded))))
-        return rows.withColumn("kept", F.col("score") >= threshold)
-
-    if not carry:
-        return judged(read.join(sites, ["host", "path"])).select("doc_id", "held_out", "evidence", "host_rate", "path_rate", "score", "kept")
-    whole_rows = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), group_column(host, "host"), group_column(path, "path"))
-    rows = evidence(whole_rows, weights, f"_{docs.columns.index(text_col)}", True).withColumn("p", chance(F.col("evidence") + F.lit(prior)))
-    return judged(rows.join(sites, ["host", "path"])).filter("kept").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    rows = read.join(sites, ["host", "path"])
+    rows = rows.withColumn("host_rate", (F.col("host_good") - F.col("p") + to_global * mean) / (F.col("host_n") - 1 + to_global))
+    rows = rows.withColumn("path_rate", (F.col("path_good") - F.col("p") + to_host * F.col("host_rate")) / (F.col("path_n") - 1 + to_host))
+    bounded = F.greatest(F.least(F.col("path_rate"), F.lit(1 - 1e-6)), F.lit(1e-6))
+    rows = rows.withColumn("score", chance(F.col("evidence") + F.log(bounded / (1 - bounded))))
+    rows = rows.withColumn("kept", F.col("score") >= threshold)
+    if carry:
+        return rows.filter("kept").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return rows.select("doc_id", "held_out", "evidence", "host_rate", "path_rate", "score", "kept")
