@@ -60,14 +60,15 @@ def test_small_blocks_agree_with_one(spark):
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         return pa.table({"doc_id": ids, "s": [int(answers["count"].to_numpy()[at[a:b]].sum()) if b > a else 0 for a, b in zip(cuts, cuts[1:])]})
 
-    def sums(size):
+    def sums(size, ranges=1):
         packed = blocks.blocks(docs, tokenise, 5, block_bytes=size)
         words = packed.filter(F.col("part") < blocks.POSITIONS)
-        return sorted(blocks.by_block(blocks.by_shard(words, lambda w, c: {"count": pa.array(c)}), packed.filter(F.col("part") >= blocks.POSITIONS), finish, "doc_id long, s long").collect())
+        shape = blocks.Layout(5, ranges)
+        return sorted(blocks.by_block(blocks.by_shard(words, lambda w, c: {"count": pa.array(c)}, shape), packed.filter(F.col("part") >= blocks.POSITIONS), finish, "doc_id long, s long").collect())
 
     counts = Counter(w for r in docs.collect() for w in r.text.encode().lower().split())
     want = sorted((r.doc_id, sum(counts[w] for w in r.text.encode().lower().split())) for r in docs.collect())
-    assert [tuple(x) for x in sums(1 << 14)] == want == [tuple(x) for x in sums(1 << 30)]
+    assert [tuple(x) for x in sums(1 << 14)] == want == [tuple(x) for x in sums(1 << 30)] == [tuple(x) for x in sums(1 << 14, 3)]
 
 
 def test_an_id_outside_the_vocabulary_stops_decoding(spark):
@@ -138,6 +139,72 @@ def test_language_model_counts_and_improves_with_training(spark):
     assert lattice.score(docs.limit(0), F.lit(False), vocabulary=PIECES).count() == 0
 
 
+def test_language_model_scores_equal_a_plain_model(spark):
+    """The whole score by dictionaries: expectation maximisation over lattices of all words, discounts and sums."""
+    rng = random.Random(12)
+    syllables = ["the", "ing", "and", "st", "o", "er", "é", "x", "qu"]
+    words = ["".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 25)))) for i in range(60)] + [(100, None), (101, "the" * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = lattice.pieces(PIECES)
+    texts = {i: (t or "").encode().lower().split() for i, t in rows}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    counts = Counter(w for i, ws in texts.items() if i not in held for w in ws)
+    scores = lattice.starting_scores(known)
+    starting = np.exp(scores)
+
+    def edges(word):
+        """(start, end, piece) of all pieces in the word and its mark."""
+        raw = lattice.MARK + word
+        for end in range(1, len(raw) + 1):
+            for start in range(max(0, end - known.longest), end):
+                if raw[start:end] in known.texts:
+                    yield start, end, known.texts[raw[start:end]]
+            yield end - 1, end, known.size - 256 + raw[end - 1]
+
+    def forward(word, chances):
+        alpha = [1.0] + [0.0] * len(lattice.MARK + word)
+        for start, end, piece in edges(word):
+            alpha[end] += alpha[start] * chances[piece]
+        return alpha
+
+    for _ in range(2):
+        chances, uses = np.exp(scores), np.zeros(known.size)
+        for word in counts:
+            alpha, found = forward(word, chances), list(edges(word))
+            beta = [0.0] * (len(alpha) - 1) + [1.0]
+            for start, end, piece in sorted(found, key=lambda e: -e[0]):
+                beta[start] += chances[piece] * beta[end]
+            for start, end, piece in found:
+                uses[piece] += alpha[start] * chances[piece] * beta[end] / alpha[-1]
+        scores = np.log((uses + 1000.0 * starting) / (uses.sum() + 1000.0))
+    ends, once, twice = len(texts) - len(held), sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    total = sum(counts.values()) + ends
+    discount = once / (once + 2 * twice) if twice else 0.5
+    escape = max(discount * len(counts), 1.0) / total
+    chances = np.exp(scores)
+    spelled = {w: forward(w, chances)[-1] for ws in texts.values() for w in ws}
+    end = math.log10((ends + 1) / (total + 1))
+    for shape in (None, blocks.Layout(3, 2)):
+        got = {r.doc_id: r for r in lattice.score(docs, fold(F.col("doc_id"), 7) == 2, vocabulary=PIECES, layout=shape).collect()}
+        for i, ws in texts.items():
+            assert got[i].lattice_score == pytest.approx(end + sum(math.log10(spelled[w]) for w in ws), abs=1e-3)
+            assert got[i].score == pytest.approx(end + sum(math.log10(max(counts[w] - discount, 0) / total + escape * spelled[w]) for w in ws), abs=1e-3)
+
+
+def test_layouts_grow_with_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([("x" * 100,)] * 50, "text string")
+    assert blocks.layout(docs) == blocks.Layout(1, 1) == blocks.layout(docs.limit(0))
+    monkeypatch.setattr(blocks, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(blocks, "RANGE_BYTES", 2000)
+    assert blocks.layout(docs) == blocks.Layout(5, 3)
+    rows = [(i, t) for i, t in ODD if i is not None]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i, encoder().encode_ordinary(t or "")) for i, t in rows)
+    out = bpe.encode(odd, vocabulary=RANKS, pattern=public_tokenizers.PATTERN).collect()  # some shards, several ranges
+    assert sorted((r.doc_id, r.token_ids) for r in out) == want
+
+
 def test_chats_read_back(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "user", "<|im_end|>\n<|im_start|>assistant\nno"), (1, 2, "assistant", "%3C|im_next|>%25"), (1, 2, "assistant", "%3C|im_next|>%25"), (1, 3, None, None), (2, 0, "as\nsis<|tant", "x"), (None, None, "assistant", ""), (3, 5, "assistant", "b"), (3, 4, "assistant", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))

@@ -7,29 +7,56 @@
 
 A word that a third of the corpus consists of is still one entry per block.  ``by_shard`` brings all entries of a shard
 together, so that each distinct word is looked at once in the whole corpus, and sends an answer for each entry back to
-its block; ``by_block`` puts the answers in place.  Blocks hold about ``block_bytes`` of text (at least one document),
-shards about ``words / shards`` distinct words: no group grows beyond that when shards grow with the input.
+its block; ``by_block`` puts the answers in place.
+
+No group grows with the input: blocks hold about BLOCK_BYTES of text (at least one document), shards are as many as the
+input has SHARD_BYTES (``layout``), and where the blocks are more than RANGE_BYTES hold, a shard's entries are dealt into
+ranges of blocks, each of which adds its distinct words up before they meet (``distinct``); so a word that every block
+has is an entry a block in its range and an entry a range beyond.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bytewords
-from .frames import over_texts, tidy
+from .frames import cut, over_texts, tidy
 
 PACKED = "part long, block long, payload binary"
 BLOCK_BYTES = 4 << 20
+#: Text that a shard's words come from, and the most of it that one range of blocks holds.
+SHARD_BYTES, RANGE_BYTES = 32 << 20, 16 << 30
+#: More shards than this share partitions; each is still a group of its own.
+MOST_PARTITIONS = 20_000
 #: The positions of a block travel under a part of their own, beyond all shards.
 POSITIONS = 1 << 40
 
 
+@dataclass(frozen=True)
+class Layout:
+    shards: int
+    ranges: int = 1
+
+    @property
+    def partitions(self) -> int:
+        return min(self.shards, MOST_PARTITIONS)
+
+
+def layout(docs: DataFrame, column: str = "text") -> Layout:
+    """Shards and ranges for ``docs``, by the bytes of all its texts."""
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return Layout(max(1, -(-size // SHARD_BYTES)), max(1, -(-size // RANGE_BYTES)))
+
+
 def pack(arrays: dict[str, pa.Array]) -> bytes:
     """An Arrow record batch, compressed."""
     batch = pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
@@ -44,36 +71,43 @@ def unpack(payload: bytes) -> pa.RecordBatch:
 
 
 def pack_rows(columns: dict[str, pa.Array]) -> bytes:
-    """Columns of equal length; binaries and lists as sizes and one flat value, which compress better than offsets."""
-    out: dict[str, pa.Array] = {}
+    """Columns of equal length as plain values after a short head, compressed together: a row of few words stays small.
+
+    Binaries and lists are sizes and one flat value.
+    """
+    parts: list[tuple[str, str, np.ndarray]] = []
     for name, column in columns.items():
-        if pa.types.is_large_binary(column.type) or pa.types.is_list(column.type):
-            sizes = pc.binary_length(column) if pa.types.is_large_binary(column.type) else column.value_lengths()
-            out[f"{name}.sizes"] = pa.array([sizes.to_numpy(zero_copy_only=False).astype(np.uint32)])
-            if pa.types.is_large_binary(column.type):
-                offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-                data = column.buffers()[2]
-                out[f"{name}.bytes"] = pa.array([bytes(memoryview(data)[offsets[0] : offsets[-1]]) if data else b""], pa.large_binary())
-            else:
-                out[f"{name}.flat"] = pa.array([column.flatten().to_numpy(zero_copy_only=False)])
+        if pa.types.is_large_binary(column.type):
+            offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+            data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] else np.zeros(0, np.uint8)
+            parts += [(name, "sizes", np.diff(offsets).astype(np.uint32)), (name, "bytes", data)]
+        elif pa.types.is_list(column.type):
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.uint32)
+            parts += [(name, "sizes", sizes), (name, "flat", column.flatten().to_numpy(zero_copy_only=False))]
         else:
-            out[name] = pa.array([column.to_numpy(zero_copy_only=False)])
-    return pack(out)
+            parts.append((name, "", column.to_numpy(zero_copy_only=False)))
+    head = json.dumps([(name, kind, x.dtype.str, len(x)) for name, kind, x in parts]).encode()
+    body = b"".join([len(head).to_bytes(4, "little"), head, *(np.ascontiguousarray(x).tobytes() for *_, x in parts)])
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
-def unpack_rows(payload: bytes) -> pa.RecordBatch:
-    found = unpack(payload)
+def unpack_rows(payload: pa.Buffer) -> pa.RecordBatch:
+    raw = memoryview(payload)
+    body = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd")
+    raw = memoryview(body)
+    at = 4 + int.from_bytes(raw[:4], "little")
     columns: dict[str, pa.Array] = {}
-    for name, column in zip(found.schema.names, found.columns):
-        base, _, kind = name.partition(".")
+    for name, kind, dtype, n in json.loads(bytes(raw[4:at])):
+        values = np.frombuffer(raw[at : at + n * np.dtype(dtype).itemsize], dtype)
+        at += values.nbytes
         if kind == "sizes":
-            offsets = np.concatenate(([0], np.cumsum(column.flatten().to_numpy(), dtype=np.int64)))
+            offsets = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
         elif kind == "bytes":
-            columns[base] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), column[0].as_buffer()])
+            columns[name] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
         elif kind == "flat":
-            columns[base] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), column.flatten())
+            columns[name] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
         else:
-            columns[name] = column.flatten()
+            columns[name] = pa.array(values)
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
@@ -155,27 +189,89 @@ def blocks(docs: DataFrame, tokenise: Callable[[pa.Array], Iterator[tuple[int, i
     return over_texts(docs, run, PACKED)
 
 
-def by_shard(packed: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
+def _met(rows: pa.Table) -> tuple[list[pa.RecordBatch], pa.Array, np.ndarray, np.ndarray]:
+    """The entries of packed rows, their distinct words, each entry's number among these, and the words' summed counts."""
+    entries = [unpack_rows(x.as_buffer()) for x in rows.column("payload")]
+    coded = pa.chunked_array([x.column("word") for x in entries]).combine_chunks().dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    counts = np.bincount(index, np.concatenate([x.column("count").to_numpy() for x in entries]), len(coded.dictionary))
+    return entries, coded.dictionary, index, counts.astype(np.int64)
+
+
+def _by_part(packed: DataFrame, shape: Layout) -> DataFrame:
+    """``packed`` with each shard in a partition of its own, while there are not too many."""
+    return packed.repartitionById(shape.partitions, F.pmod("part", F.lit(shape.partitions)).cast("int"))
+
+
+def distinct(words: DataFrame, shape: Layout) -> DataFrame:
+    """A packed row (word, count) for each shard: its distinct words and their counts over the corpus."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        _, found, _, counts = _met(rows)
+        out = rows.slice(0, 1).set_column(2, "payload", pa.array([pack_rows({"word": found, "count": pa.array(counts)})], pa.binary()))
+        tidy()
+        return out
+
+    if shape.ranges > 1:
+        ranged = words.withColumn("block", F.pmod("block", F.lit(shape.ranges)))
+        words = ranged.groupBy("part", "block").applyInArrow(add, PACKED)
+    return words.groupBy("part").applyInArrow(add, PACKED)
+
+
+def over_words(vocabulary: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
+    """Rows of ``distinct`` with the answers beside the words; ``answer`` gets a shard's words and counts."""
+
+    def run(batches):
+        for batch in batches:
+            payloads = []
+            for payload in batch.column(2):
+                known = unpack_rows(payload.as_buffer())
+                answers = answer(known.column("word"), known.column("count").to_numpy())
+                payloads.append(pack_rows({"word": known.column("word"), **answers}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(payloads, pa.binary())], ["part", "block", "payload"])
+
+    return over_texts(vocabulary, run, PACKED)
+
+
+def put(words: DataFrame, answered: DataFrame, shape: Layout) -> DataFrame:
+    """Packed rows of ``words`` whose entries are replaced by the answers of ``over_words``."""
+
+    def group(rows: pa.Table, last: pa.Table) -> pa.Table:
+        known = unpack_rows(last.column("payload")[0].as_buffer()) if last.num_rows else None
+        payloads = []
+        for payload in rows.column("payload"):
+            at = pc.index_in(unpack_rows(payload.as_buffer()).column("word"), known.column("word"))
+            payloads.append(pack_rows({k: known.column(k).take(at) for k in known.schema.names if k != "word"}))
+        tidy()
+        return rows.select(["part", "block", "payload"]).set_column(2, "payload", pa.array(payloads, pa.binary()))
+
+    keys = ["part", "range"]
+    ranged = words.withColumn("range", F.pmod("block", F.lit(shape.ranges)))
+    every = answered.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape.ranges - 1).cast("long"))))
+    return ranged.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(group, PACKED)
+
+
+def by_shard(words: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str, pa.Array]], shape: Layout) -> DataFrame:
     """Packed rows of words whose entries are replaced by answers.
 
     ``answer`` gets the distinct words of a shard with their counts over the corpus and returns columns of as many rows.
     """
+    if shape.ranges > 1:
+        words = cut(words)
+        return put(words, over_words(distinct(words, shape), answer), shape)
 
     def group(rows: pa.Table) -> pa.Table:
-        entries = [unpack_rows(x.as_buffer()) for x in rows.column("payload")]
-        coded = pa.chunked_array([x.column("word") for x in entries]).combine_chunks().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        counts = np.bincount(index, np.concatenate([x.column("count").to_numpy() for x in entries]), len(coded.dictionary)).astype(np.int64)
-        answers = answer(coded.dictionary, counts)
+        entries, found, index, counts = _met(rows)
+        answers = answer(found, counts)
         payloads, start = [], 0
         for x in entries:
             payloads.append(pack_rows({k: v.take(pa.array(index[start : start + x.num_rows])) for k, v in answers.items()}))
             start += x.num_rows
-        del entries, coded, answers
+        del entries, found, answers
         tidy()
         return rows.set_column(2, "payload", pa.array(payloads, pa.binary()))
 
-    return packed.groupBy("part").applyInArrow(group, PACKED)
+    return _by_part(words, shape).groupBy("part").applyInArrow(group, PACKED)
 
 
 def by_block(answered: DataFrame, positions: DataFrame, finish: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, dict[str, pa.Array]], pa.Table], schema: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, bytewords
-from .frames import cut, over_texts, shuffle_partitions
+from .frames import cut, over_texts
 
 
 @lru_cache(1)
@@ -42,7 +42,8 @@ def token_bytes(path: str) -> pa.Array:
     return pa.array(table, pa.large_binary())
 
 
-def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, from_files: bool = False) -> DataFrame:
+def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", layout: blocks.Layout | None = None,
+           from_files: bool = False) -> DataFrame:
     """doc_id and token_ids (array<int>) of whole texts, one row per input row.
 
     ``vocabulary`` is the path of a rank file that every executor has, ``pattern`` cuts texts into pre-tokens that are
@@ -80,13 +81,13 @@ def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc
         return pa.table({"doc_id": ids, "token_ids": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), flat)})
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).alias("weight"))
-    shards = shards or shuffle_partitions(docs.sparkSession)
+    shape = layout or blocks.layout(docs)
     if from_files:
-        words, positions = (blocks.blocks(docs, tokenise, shards, kinds=kind) for kind in "wp")
+        words, positions = (blocks.blocks(docs, tokenise, shape.shards, kinds=kind) for kind in "wp")
     else:
-        packed = cut(blocks.blocks(docs, tokenise, shards))
+        packed = cut(blocks.blocks(docs, tokenise, shape.shards))
         words, positions = packed.filter(F.col("part") < blocks.POSITIONS), packed.filter(F.col("part") >= blocks.POSITIONS)
-    return blocks.by_block(blocks.by_shard(words, answer), positions, finish, "doc_id long, token_ids array<int>")
+    return blocks.by_block(blocks.by_shard(words, answer, shape), positions, finish, "doc_id long, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, *, vocabulary: str) -> DataFrame:

@@ -99,10 +99,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: Bytes of rows in an Arrow batch that carries whole texts to Python.
 BATCH_BYTES = 4 << 20
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks, bytewords
-from .frames import cut, shuffle_partitions
+from .frames import cut, over_texts
 
 MARK = "▁".encode()
 #: Words of more bytes (with the mark) are taken one by one, in stretches of at most so many bytes.
@@ -243,8 +243,8 @@ def expected_uses(words: pa.Array, counts: np.ndarray, scores: np.ndarray, vocab
     return out
 
 
-def fit(packed: DataFrame, shards: int, *, vocabulary: str, rounds: int, prior: float) -> np.ndarray:
-    """Natural-log scores of the pieces, from packed training words of ``shards`` shards.
+def fit(words: DataFrame, shards: int, *, vocabulary: str, rounds: int, prior: float) -> np.ndarray:
+    """Natural-log scores of the pieces, from the distinct words of ``shards`` shards (rows of ``blocks.distinct``).
 
     Shards' expected uses are summed in about the root of their number, and those on the driver.
     """
@@ -253,9 +253,9 @@ def fit(packed: DataFrame, shards: int, *, vocabulary: str, rounds: int, prior:
     starting = np.exp(scores)
     size, bundles, kind = known.size, max(1, int(shards**0.5)), "bundle long, uses binary"
 
-    def sparse(bundle: int, uses: np.ndarray) -> pa.Table:
+    def sparse(bundle: int, uses: np.ndarray) -> dict[str, list]:
         some = np.flatnonzero(uses > 0)
-        return pa.table({"bundle": [bundle], "uses": pa.array([some.astype(np.int64).tobytes() + uses[some].tobytes()], pa.binary())})
+        return {"bundle": [bundle], "uses": [some.astype(np.int64).tobytes() + uses[some].tobytes()]}
 
     def add(uses: np.ndarray, packed_uses) -> None:
         half = len(packed_uses) // 2
@@ -264,23 +264,22 @@ def fit(packed: DataFrame, shards: int, *, vocabulary: str, rounds: int, prior:
     for _ in range(rounds):
         shared = scores
 
-        def group(rows: pa.Table) -> pa.Table:
-            entries = [blocks.unpack_rows(x.as_buffer()) for x in rows.column("payload")]
-            coded = pa.chunked_array([x.column("word") for x in entries]).combine_chunks().dictionary_encode()
-            counts = np.bincount(coded.indices.to_numpy(zero_copy_only=False), np.concatenate([x.column("count").to_numpy() for x in entries]), len(coded.dictionary))
-            used = np.flatnonzero(counts > 0)
-            uses = expected_uses(coded.dictionary.take(pa.array(used)), np.ones(len(used)), shared, pieces(vocabulary))
-            return sparse(rows.column("part")[0].as_py() % bundles, uses)
+        def expected(batches):
+            for batch in batches:
+                for part, payload in zip(batch.column(0).to_pylist(), batch.column(2)):
+                    entries = blocks.unpack_rows(payload.as_buffer())
+                    used = entries.column("word").filter(pa.compute.greater(entries.column("count"), 0))
+                    uses = expected_uses(used, np.ones(len(used)), shared, pieces(vocabulary))
+                    yield pa.RecordBatch.from_pydict(sparse(part % bundles, uses), pa.schema([("bundle", pa.int64()), ("uses", pa.binary())]))
 
         def merge(rows: pa.Table) -> pa.Table:
             uses = np.zeros(size)
             for row in rows.column("uses"):
                 add(uses, row.as_buffer())
-            return sparse(rows.column("bundle")[0].as_py(), uses)
+            return pa.table(sparse(rows.column("bundle")[0].as_py(), uses), pa.schema([("bundle", pa.int64()), ("uses", pa.binary())]))
 
-        words = packed.filter(F.col("part") < blocks.POSITIONS)
         uses = np.zeros(size)
-        for row in words.groupBy("part").applyInArrow(group, kind).groupBy("bundle").applyInArrow(merge, kind).toLocalIterator():
+        for row in over_texts(words, expected, kind).groupBy("bundle").applyInArrow(merge, kind).toLocalIterator():
             add(uses, row.uses)
         total = uses.sum() + prior
         scores = np.maximum(np.log((uses + prior * starting) / total), _FLOOR)
@@ -288,13 +287,13 @@ def fit(packed: DataFrame, shards: int, *, vocabulary: str, rounds: int, prior:
 
 
 def score(
-    docs: DataFrame, held_out, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, prior: float = 1000.0, shards: int | None = None
+    docs: DataFrame, held_out, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, prior: float = 1000.0, layout: blocks.Layout | None = None
 ) -> DataFrame:
     """Scores of whole texts under models of the rows for which ``held_out`` (a boolean column) is not true.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens met in training), train_tokens,
-    base_score (add-one unigram words), score (lattice), both log10, one row per input row.  Words are runs outside
-    ``\\x20\\x09-\\x0D`` with A-Z lower-cased; a null or empty text is one end.  Null and repeated ids are carried along, a
+    base_score (add-one unigram words), score (lattice with the word edges), lattice_score (pieces alone), all log10, one
+    row per input row.  Words are runs outside ``\\x20\\x09-\\x0D`` with A-Z lower-cased; a null or empty text is one end.  Null and repeated ids are carried along, a
     null ``held_out`` counts as training; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
@@ -306,23 +305,24 @@ def score(
             words = bytewords.words(data, offsets)
             yield row, end, blocks.word_array(words), np.diff(words.first)
 
-    shards = shards or shuffle_partitions(spark)
-    packed = cut(blocks.blocks(docs, tokenise, shards))
+    shape = layout or blocks.layout(docs)
+    packed = cut(blocks.blocks(docs, tokenise, shape.shards))
     ends = docs.filter("weight = 1").count()
+    words = packed.filter(F.col("part") < blocks.POSITIONS)
+    vocabulary_rows = cut(blocks.distinct(words, shape))  # each distinct word of the corpus once
 
-    def sizes_of(words: pa.Table) -> pa.Table:
-        entries = [blocks.unpack_rows(x.as_buffer()) for x in words.column("payload")]
-        coded = pa.chunked_array([x.column("word") for x in entries]).combine_chunks().dictionary_encode()
-        counts = np.bincount(coded.indices.to_numpy(zero_copy_only=False), np.concatenate([x.column("count").to_numpy() for x in entries]), len(coded.dictionary))
-        return pa.table({"tokens": [int(counts.sum())], "distinct": [int((counts > 0).sum())], "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())]})
+    def sizes_of(batches):
+        for batch in batches:
+            counts = [blocks.unpack_rows(x.as_buffer()).column("count").to_numpy() for x in batch.column(2)]
+            sums = [[int(x) for x in (c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())] for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*sums)] or [pa.array([], pa.int64())] * 4, list(names))
 
-    words = packed.filter(F.col("part") < blocks.POSITIONS)
     names = ("tokens", "distinct", "once", "twice")
-    size = words.groupBy("part").applyInArrow(sizes_of, ", ".join(f"{x} long" for x in names)).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names)).first()
+    size = over_texts(vocabulary_rows, sizes_of, ", ".join(f"{x} long" for x in names)).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names)).first()
     total, distinct = size.tokens + ends, size.distinct + (ends > 0)
     discount = size.once / (size.once + 2 * size.twice) if size.twice else 0.5
     escape = max(discount * size.distinct, 1.0) / max(total, 1)
-    scores = fit(packed, shards, vocabulary=vocabulary, rounds=rounds, prior=prior)
+    scores = fit(vocabulary_rows, shape.shards, vocabulary=vocabulary, rounds=rounds, prior=prior)
     shared = spark.sparkContext.broadcast(scores)  # one number for each piece of the vocabulary
 
     def answer(words: pa.Array, counts: np.ndarray) -> dict[str, pa.Array]:
@@ -330,20 +330,22 @@ def score(
         whole = np.maximum(counts - discount, 0) / max(total, 1)
         with np.errstate(divide="ignore"):
             both = np.logaddexp(np.log(whole), np.log(escape) + spelled * np.log(10)) / np.log(10)
-        return {"count": pa.array(counts), "score": pa.array(both)}
+        return {"count": pa.array(counts), "score": pa.array(both.astype(np.float32)), "spelled": pa.array(spelled.astype(np.float32))}
 
     def finish(ids, weights, sizes, at, answers) -> pa.Table:
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         if answers:
             counts = answers["count"].to_numpy(zero_copy_only=False)
-            columns = (counts > 0).astype(float), np.log10(counts + 1.0), answers["score"].to_numpy(zero_copy_only=False)
+            columns = (counts > 0).astype(float), np.log10(counts + 1.0), *(answers[x].to_numpy(zero_copy_only=False).astype(float) for x in ("score", "spelled"))
         else:
-            columns = (np.zeros(0),) * 3
+            columns = (np.zeros(0),) * 4
         sums = [np.add.reduceat(np.append(x[at], 0.0), np.minimum(cuts[:-1], len(at))) * (sizes > 0) if len(sizes) else np.zeros(0) for x in columns]
-        return pa.table({"doc_id": ids, "held_out": weights == 0, "n_words": sizes.astype(np.int64), "n_known": sums[0].astype(np.int64), "base": sums[1], "lattice": sums[2]})
+        return pa.table({"doc_id": ids, "held_out": weights == 0, "n_words": sizes.astype(np.int64), "n_known": sums[0].astype(np.int64), "base": sums[1], "lattice": sums[2], "spelled": sums[3]})
 
-    done = blocks.by_block(blocks.by_shard(words, answer), packed.filter(F.col("part") >= blocks.POSITIONS), finish, "doc_id long, held_out boolean, n_words long, n_known long, base double, lattice double")
-    tokens = F.col("n_words") + 1
+    answered = blocks.put(words, blocks.over_words(vocabulary_rows, answer), shape)
+    positions = packed.filter(F.col("part") >= blocks.POSITIONS)
+    done = blocks.by_block(answered, positions, finish, "doc_id long, held_out boolean, n_words long, n_known long, base double, lattice double, spelled double")
+    tokens, end = F.col("n_words") + 1, F.log10(F.lit((ends + 1.0) / (total + 1.0)))
     return done.select(
         "doc_id",
         "held_out",
@@ -351,5 +353,6 @@ def score(
         (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.log10(F.lit(ends + 1.0)) - tokens * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
-        (F.col("lattice") + F.log10(F.lit((ends + 1.0) / (total + 1.0)))).alias("score"),
+        (F.col("lattice") + end).alias("score"),
+        (F.col("spelled") + end).alias("lattice_score"),
     )
