@@ -332,6 +332,124 @@ def test_published_headers_meet_their_rules(spark):
     assert out == [(i, name, found) for i, (name, found) in enumerate(zip(texts, sentences)) for _ in shapes]
 
 
+LESSER = GPL.replace("This program", "This library").replace("GNU General", "GNU Lesser General")
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MORE = {
+    ("LGPL-2.1", "26,29,36"): LESSER.format(mark=";", version="2.1"),
+    ("LGPL-3.0", "27,29,36"): LESSER.format(mark=";", version=3),
+    ("AGPL-3.0", "28,23,37"): GPL.format(mark=":", version=3).replace("GNU General", "GNU Affero General").replace("Foundation;", "Foundation,"),
+    ("BSD-2-Clause", "40,41,42,44"): BSD.format(third=""),
+    ("BSD-3-Clause", "40,41,42,43,44"): BSD.format(third=THIRD),
+    ("0BSD", "51"): "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n",
+    ("EPL-2.0", "61"): "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nSPDX-License-Identifier: EPL-2.0\n",
+    ("Zlib", "80,81,82"): "This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. x",
+    ("CC0-1.0", "71,72"): "To the extent possible under law, the author(s) have dedicated all\ncopyright and related and neighboring rights to this software to the\npublic domain worldwide. This software is distributed without any warranty.\n\nYou should have received a copy of the CC0 Public Domain Dedication along\nwith this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>.",
+    ("OFL-1.1", "64"): "This Font Software is licensed under the SIL Open Font License, Version 1.1.\n",
+}
+
+
+def test_the_longest_rule_speaks(spark):
+    rows = list(enumerate(MORE.values()))
+    out = sorted((r.doc_id, r.license, r.sentences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(i, *found) for i, found in enumerate(MORE)]
+    assert licenses.covers(licenses.RULES)["bsd-2-clause"] == ["bsd-2-clause-text", "bsd-3-clause", "bsd-3-clause-text"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows + [(100, APACHE), (101, GPL.format(mark=":", version=3)), (102, MPL), (103, None)])
+    by_sql = con.sql(licenses.oracle_sql()).fetchall()
+    assert sorted((i, name, found) for i, _, name, found in by_sql if i < 100) == out
+    assert sorted((i, found) for i, _, _, found in by_sql if i >= 100) == [(100, "11,12,13,14,15"), (101, "21,23,24"), (102, "60")]
+
+
+def test_licences_of_odd_rows(spark):
+    long = "plain words that say nothing. " * 30_000 + "\nReleased under the MIT License.\n"
+    rows = [(1, long), (2, long), (2, long), (3, "\n" * 1000), (4, "licence " * 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rule", F.lit("clash")).withColumn("found", F.lit(1))
+    out = licenses.scan(df)
+    assert out.columns == ["doc_id", "rule", "license", "sentences"]
+    assert sorted(map(tuple, out.collect())) == [(i, "mit-notice", "MIT", "1") for i in (1, 2, 2)]
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_bm25_equals_an_exhaustive_scorer(spark):
+    """All pairs of passage and segment scored in plain Python, ties included; verified as the operator says."""
+    rng = random.Random(31)
+    words = ["q%d" % min(int(rng.expovariate(0.02)), 400) for _ in range(5000)]
+    say = lambda n: rng.choices(words, k=n)
+    items = [(i, " ".join(say(rng.choice([6, 25, 60, 150]))), " ".join(say(rng.randrange(0, 9))) or None) for i in range(50)]
+    items += [(60, *items[3][1:]), (61, "twin of nothing", None), (3, "another text of the third item " + " ".join(say(20)), None)]
+    docs = []
+    for i in range(90):
+        text = say(rng.randrange(0, 260))
+        if i % 2 == 0:
+            _, question, answer = rng.choice(items)
+            part = f"{question} {answer or ''}".split()
+            lost = rng.sample(range(len(part)), k=len(part) * (i % 3) // 14)
+            text[len(text) // 2 : len(text) // 2] = [w for k, w in enumerate(part) if k not in lost]
+        docs.append((i, " ".join(text)))
+    segment, stride, threshold, width = 40, 24, 0.5, 3
+    segments = []
+    for k, (_, question, answer) in enumerate(items):
+        whole = question.split() + (answer or "").split()
+        segments += [(k, s.tolist()) for s in np.array_split(np.array(whole, object), -(-len(whole) // segment))]
+    n, mean = len(segments), sum(len(s) for _, s in segments) / len(segments)
+    df_of = Counter(t for _, s in segments for t in set(s))
+
+    def impact(t, s):
+        idf, tf = math.log1p((n - df_of[t] + 0.5) / (df_of[t] + 0.5)), s.count(t)
+        return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(s) / mean))
+
+    def shingles(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    def overlap(part, around):
+        k = min(width, len(part))
+        return 1.0 if not k else len(shingles(part, k) & shingles(around, k)) / len(shingles(part, k))
+
+    want = {}
+    weights = [{t: impact(t, s) for t in set(s)} for _, s in segments]
+    for doc, text in docs:
+        w = text.split()
+        for start in range(0, max(1, len(w) - segment) if w else 0, stride):
+            passage = set(w[start : start + segment + stride])
+            for (k, _), weight in zip(segments, weights):
+                score = sum(v for t, v in weight.items() if t in passage) / sum(weight.values())
+                if score < threshold - 1e-9:
+                    continue
+                item, question, answer = items[k][0], items[k][1].split(), (items[k][2] or "").split()
+                reach = len(question) + len(answer)
+                around = w[max(0, start - reach) : min(len(w), start + segment + stride) + reach]
+                shares = overlap(question, around), overlap(answer, around)
+                if min(shares) >= 0.5 or overlap(question + answer, around) >= 0.8:
+                    want[doc, item] = max(want.get((doc, item), 0.0), score)
+    bench = spark.createDataFrame(items, "item_id long, question string, answer string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for options in ({}, {"index_bytes": 30_000}):
+        parts = len(list(decontaminate._indexes(bench, segment, options.get("index_bytes", 64 << 20))))
+        assert (parts > 1) == bool(options)
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(frame, bench, **options).collect()}
+        assert got.keys() == want.keys() and len(want) > 15
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_decontamination_finds_what_brute_force_finds(spark):
     rng = random.Random(6)
     words = ["v%d" % i for i in range(4000)]
@@ -354,21 +472,32 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
-def test_block_max_bounds_lose_nothing(spark):
+def test_block_max_bounds_lose_nothing(spark, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    bench = decontaminate.questions(items)
-    index = decontaminate.build(decontaminate.impacts(decontaminate.segment_terms(bench, 40)).collect(), bench.collect())
+    bench = decontaminate.questions(items).withColumn("key", F.xxhash64("item_id", "question", "answer"))
+    index = decontaminate.build(decontaminate.impacts(decontaminate.segment_terms(bench, 40)).toArrow(), bench.collect())
     rng = np.random.default_rng(1)
+    start = index.posting_start[index.block_start]  # of each term
     for threshold in (0.05, 0.2, 0.6):
         for _ in range(50):
             terms = np.unique(rng.integers(0, len(index.terms), 40))
             scores = np.zeros(len(index.item_of))
             for t in terms:
-                for p in range(index.start[t], index.start[t + 1]):
+                for p in range(start[t], start[t + 1]):
                     scores[index.segments[p]] += index.weights[p]
             found, values = decontaminate.retrieve(index, terms, threshold)
             assert found.tolist() == np.flatnonzero(scores >= threshold).tolist()
             assert values == pytest.approx(scores[found])
+    # a passage that is one segment opens that segment's block and reads no other postings
+    read = []
+    gather = decontaminate._gather
+    monkeypatch.setattr(decontaminate, "_gather", lambda s, which: read.append((s, gather(s, which))) or read[-1][1])
+    for segment in range(len(index.item_of)):
+        terms = np.flatnonzero([segment in index.segments[start[t] : start[t + 1]] for t in range(len(index.terms))])
+        decontaminate.retrieve(index, terms, 0.9)
+        opened = np.unique(index.segments[read[-1][1]] // decontaminate.BLOCK)
+        assert read[-1][0] is index.posting_start and segment // decontaminate.BLOCK in opened
+        assert len(read[-1][1]) < sum(start[t + 1] - start[t] for t in terms) or len(index.item_of) <= decontaminate.BLOCK
 
 
 def test_token_counts_answer_every_limit(spark):

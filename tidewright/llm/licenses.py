@@ -1,15 +1,18 @@
 """Licence scans: known sentences to identifiers, identifier sequences to ordered rules.
 
 A text is cut into lines and sentences, and also into sentences across line ends, as licence texts are often wrapped.
-Each normalised sentence (a-z and 0-9, single spaces) is looked up in a fixed table; the identifiers found, in order,
-are matched against rules, each a list of identifiers that must follow one another, other sentences between them
-allowed.  A row never leaves its task; only texts with one of the anchor words, one of which every known sentence has,
+Each normalised sentence (a-z and 0-9, single spaces) is looked up in a fixed table by its hash; the identifiers found,
+in order, are matched against rules, each a list of identifiers that must follow one another, other sentences between
+them allowed.  The longest rule speaks: a rule whose identifiers are all part of a longer rule that the text meets is
+left out.  A row never leaves its task; only texts with one of the anchor words, one of which every known sentence has,
 are cut up.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,19 +37,40 @@ SENTENCES = {
     23: "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     24: "see the gnu general public license for more details",
     25: "this work is licensed under the gnu general public license version 2",
+    26: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    27: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    28: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    29: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     30: "licensed under cc by nc 4 0",
     31: "licensed under cc by 4 0",
     32: "licensed under cc by sa 4 0",
     33: "this work is licensed under a creative commons attribution 4 0 international license",
     34: "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     35: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    36: "see the gnu lesser general public license for more details",
+    37: "see the gnu affero general public license for more details",
+    38: "licensed under cc by nd 4 0",
     40: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     41: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     42: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     43: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    44: "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     50: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    51: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    52: "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
     60: "this source code form is subject to the terms of the mozilla public license v 2 0",
+    61: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    62: "distributed under the boost software license version 1 0",
+    63: "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    64: "this font software is licensed under the sil open font license version 1 1",
+    65: "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
     70: "this is free and unencumbered software released into the public domain",
+    71: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    72: "you should have received a copy of the cc0 public domain dedication along with this software",
+    73: "licensed under cc0 1 0",
+    80: "this software is provided as is without any express or implied warranty",
+    81: "in no event will the authors be held liable for any damages arising from the use of this software",
+    82: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 # Rules by name, each a licence and the identifiers that follow one another.
 RULES = {
@@ -59,29 +83,46 @@ RULES = {
     "gpl-3.0-header": ("GPL-3.0", (21, 23, 24)),
     "gpl-2.0-header": ("GPL-2.0", (22, 23, 24)),
     "gpl-2.0-notice": ("GPL-2.0", (25,)),
+    "lgpl-2.1-header": ("LGPL-2.1", (26, 29, 36)),
+    "lgpl-3.0-header": ("LGPL-3.0", (27, 29, 36)),
+    "agpl-3.0-header": ("AGPL-3.0", (28, 23, 37)),
     "cc-by-nc-4.0-notice": ("CC-BY-NC-4.0", (30,)),
     "cc-by-nc-4.0-text": ("CC-BY-NC-4.0", (34,)),
     "cc-by-4.0-notice": ("CC-BY-4.0", (31,)),
     "cc-by-4.0-text": ("CC-BY-4.0", (33,)),
     "cc-by-sa-4.0-notice": ("CC-BY-SA-4.0", (32,)),
     "cc-by-sa-4.0-text": ("CC-BY-SA-4.0", (35,)),
+    "cc-by-nd-4.0-notice": ("CC-BY-ND-4.0", (38,)),
     "bsd-2-clause": ("BSD-2-Clause", (40, 41, 42)),
+    "bsd-2-clause-text": ("BSD-2-Clause", (40, 41, 42, 44)),
     "bsd-3-clause": ("BSD-3-Clause", (40, 41, 42, 43)),
+    "bsd-3-clause-text": ("BSD-3-Clause", (40, 41, 42, 43, 44)),
     "isc-text": ("ISC", (50,)),
+    "0bsd-text": ("0BSD", (51,)),
+    "postgresql-text": ("PostgreSQL", (52,)),
     "mpl-2.0-notice": ("MPL-2.0", (60,)),
+    "epl-2.0-notice": ("EPL-2.0", (61,)),
+    "boost-1.0-notice": ("BSL-1.0", (62,)),
+    "boost-1.0-text": ("BSL-1.0", (63,)),
+    "ofl-1.1-notice": ("OFL-1.1", (64,)),
+    "wtfpl-text": ("WTFPL", (65,)),
     "unlicense": ("Unlicense", (70,)),
+    "cc0-1.0-header": ("CC0-1.0", (71, 72)),
+    "cc0-1.0-notice": ("CC0-1.0", (73,)),
+    "zlib-text": ("Zlib", (80, 81, 82)),
 }
 ANCHORS = ("licen", "warrant", "copyright", "permi", "condition", "public domain", "redistribut", "liable")
 END = r"([.!?;:])[ \t\r\n]+"
-#: Ends within known sentences, which are no cuts, and the Apache header's URL line, which is one without a mark.  What may
+#: Ends within known sentences, which are no cuts, and the URL lines of the Apache and Eclipse headers, which are some without a mark.  What may
 #: stand before a line's words is what comments put there.
 _GAP = r"\s+(?:[^A-Za-z0-9\s]+\s+)?"
 WITHIN = [
-    (rf"(?i)(this{_GAP}program{_GAP}is{_GAP}free{_GAP}software)[:;]{_GAP}(you{_GAP}can)", "$1 $2"),
+    (rf"(?i)(this{_GAP}(?:program|library){_GAP}is{_GAP}free{_GAP}software)[:;]{_GAP}(you{_GAP}can)", "$1 $2"),
     (rf"(?i)(free{_GAP}software{_GAP}foundation);{_GAP}(either)", "$1 $2"),
     (rf"(?i)(without{_GAP}any{_GAP}warranty);{_GAP}(without{_GAP}even)", "$1 $2"),
     (rf"(?i)(mozilla{_GAP}public{_GAP}license,{_GAP}v)\.{_GAP}(2\.0)", "$1 $2"),
     (r"(?i)(at:?)[ \t]*[\r\n]+[^A-Za-z0-9]*(https?://www\.apache\.org/licenses/LICENSE-2\.0)[ \t]*[\r\n]", "$1 $2.\n"),
+    (r"(?i)(https?://www\.eclipse\.org/legal/epl-2\.0/?)[ \t]*[\r\n]", "$1.\n"),
 ]
 
 if missing := [i for i, text in SENTENCES.items() if not any(a in text for a in ANCHORS)]:
@@ -92,29 +133,75 @@ def pattern(identifiers: tuple[int, ...]) -> str:
     return ",(?:[0-9]+,)*".join(["", *map(str, identifiers)])[len(",(?:[0-9]+,)*") :].join((",", ","))
 
 
+def covers(rules: dict[str, tuple[str, tuple[int, ...]]]) -> dict[str, list[str]]:
+    """For each rule the longer rules that its identifiers are part of, in their order."""
+
+    def part_of(short: tuple[int, ...], long: tuple[int, ...]) -> bool:
+        left = iter(long)
+        return len(short) < len(long) and all(i in left for i in short)
+
+    return {name: [other for other, (_, long) in rules.items() if part_of(ids, long)] for name, (_, ids) in rules.items()}
+
+
+def lookup(sentences: dict[int, str]) -> tuple[Column, int]:
+    """An array of (sentence, id) by CRC-32 modulo its size, and that size: no two sentences share a place."""
+    hashes = {i: zlib.crc32(s.encode()) for i, s in sentences.items()}
+    size = next(m for m in range(len(hashes), 1 << 24) if len({h % m for h in hashes.values()}) == len(hashes))
+    places = dict.fromkeys(range(size), F.struct(F.lit(None).cast("string").alias("s"), F.lit(None).cast("int").alias("id")))
+    places |= {h % size: F.struct(F.lit(sentences[i]).alias("s"), F.lit(i).alias("id")) for i, h in hashes.items()}
+    return F.array(*places.values()), size
+
+
 def sentence_ids(text: Column, sentences: dict[int, str], wrapped: bool) -> Column:
     """Identifiers of the known sentences of a text, in order; others are left out."""
     for inside, instead in WITHIN:
         text = F.regexp_replace(text, inside, instead)
     joined = F.regexp_replace(text, r"[\r\n]+", " ") if wrapped else text
     cut = F.split(F.regexp_replace(joined, END, "$1\n"), "\n")
-    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (s, i)))
-    ids = F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    return F.filter(ids, lambda i: i.isNotNull())
+    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    known, size = lookup(sentences)
+
+    def find(s: Column) -> Column:
+        place = F.get(known, (F.crc32(s.cast("binary")) % size).cast("int"))
+        return F.when(place["s"] == s, place["id"])
 
+    return F.filter(F.transform(plain, find), lambda i: i.isNotNull())
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[int, str] | None = None, rules: dict[str, tuple[str, tuple[int, ...]]] | None = None) -> DataFrame:
+
+def scan(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sentences: dict[int, str] | None = None,
+    rules: dict[str, tuple[str, tuple[int, ...]]] | None = None,
+) -> DataFrame:
     """doc_id, rule, license and sentences (the identifiers found, comma-separated) for each rule that a text meets.
 
-    A rule is reported once a row, from the cut by lines if that meets it.  Null, empty and unlicensed texts give no
-    row; rows that repeat an id repeat its findings; null ids are carried along; other columns are ignored.
+    A rule is reported once a row, from the cut by lines if that meets it, and not beside a longer rule that it is part
+    of.  Null, empty and unlicensed texts give no row; rows that repeat an id repeat its findings; null ids are carried
+    along; other columns are ignored; an empty table gives no rows.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
     text = F.col(text_col).cast("string")
-    likely = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter(F.lower("text").rlike("|".join(map(re.escape, ANCHORS))))
-    found = likely.select("doc_id", *(F.concat(F.lit(","), F.array_join(sentence_ids(F.col("text"), sentences, wrapped).cast("array<string>"), ","), F.lit(",")).alias(name) for name, wrapped in (("plain", False), ("wrapped", True))))
-    checks = [F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("license"), F.when(F.col("plain").rlike(pattern(ids)), F.col("plain")).when(F.col("wrapped").rlike(pattern(ids)), F.col("wrapped")).alias("found")) for name, (licence, ids) in rules.items()]
-    met = found.filter("plain <> ',,' or wrapped <> ',,'").select("doc_id", F.inline(F.filter(F.array(*checks), lambda x: x["found"].isNotNull())))
+    likely = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    likely = likely.filter(F.lower("text").rlike("|".join(map(re.escape, ANCHORS))))
+
+    def listed(wrapped: bool) -> Column:
+        ids = sentence_ids(F.col("text"), sentences, wrapped).cast("array<string>")
+        return F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
+
+    found = likely.select("doc_id", listed(False).alias("plain"), listed(True).alias("wrapped")).filter("plain <> ',,' or wrapped <> ',,'")
+    hit = {name: F.when(F.col("plain").rlike(pattern(ids)), F.col("plain")).when(F.col("wrapped").rlike(pattern(ids)), F.col("wrapped")) for name, (_, ids) in rules.items()}
+    found = found.select("doc_id", *(h.alias(f"_{k}") for k, h in enumerate(hit.values())))
+    number = {name: k for k, name in enumerate(rules)}
+    longer = covers(rules)
+
+    def check(name: str) -> Column:
+        silent = reduce(lambda a, b: a | b, (F.col(f"_{number[x]}").isNotNull() for x in longer[name]), F.lit(False))
+        return F.struct(F.lit(name).alias("rule"), F.lit(rules[name][0]).alias("license"), F.when(~silent, F.col(f"_{number[name]}")).alias("found"))
+
+    met = found.select("doc_id", F.inline(F.filter(F.array(*map(check, rules)), lambda x: x["found"].isNotNull())))
     return met.select("doc_id", "rule", "license", F.trim(F.col("found"), F.lit(",")).alias("sentences"))
 
 
@@ -122,14 +209,22 @@ def oracle_sql() -> str:
     """The same rows in DuckDB SQL over documents."""
     known = ", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())
     rules = ", ".join(f"('{name}', '{licence}', '{pattern(ids)}')" for name, (licence, ids) in RULES.items())
+    longer = ", ".join(f"('{name}', '{other}')" for name, others in covers(RULES).items() for other in others)
+    text = "text"
+    for inside, instead in WITHIN:
+        instead = instead.replace("$", "\\").replace("\n", "' || chr(10) || '")
+        text = f"regexp_replace({text}, '{inside}', '{instead}', 'g')"
     return f"""
-WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents WHERE text IS NOT NULL),
+WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, {text} AS text FROM documents WHERE text IS NOT NULL),
 cuts AS (SELECT row_id, doc_id, 0 AS way, text FROM texts UNION ALL SELECT row_id, doc_id, 1, regexp_replace(text, '[\\r\\n]+', ' ', 'g') FROM texts),
 parts AS (SELECT row_id, doc_id, way, string_split(regexp_replace(text, '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM cuts),
 pieces AS (SELECT row_id, doc_id, way, unnest(s) AS s, unnest(range(len(s))) AS pos FROM parts),
 known(id, s) AS (VALUES {known}),
 hits AS (SELECT row_id, doc_id, way, pos, id FROM pieces p JOIN known k ON trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g')) = k.s),
 found AS (SELECT row_id, doc_id, way, ',' || string_agg(id::VARCHAR, ',' ORDER BY pos) || ',' AS ids FROM hits GROUP BY ALL),
-rules(rule, license, pattern) AS (VALUES {rules})
-SELECT doc_id, rule, license, trim(ids, ',') AS sentences FROM found JOIN rules ON regexp_matches(ids, pattern) QUALIFY row_number() OVER (PARTITION BY row_id, rule ORDER BY way) = 1
+rules(rule, license, pattern) AS (VALUES {rules}),
+longer(rule, other) AS (VALUES {longer}),
+met AS (SELECT row_id, doc_id, rule, license, trim(ids, ',') AS sentences FROM found JOIN rules ON regexp_matches(ids, pattern) QUALIFY row_number() OVER (PARTITION BY row_id, rule ORDER BY way) = 1),
+silent AS (SELECT m.row_id, l.rule FROM met m JOIN longer l ON l.other = m.rule)
+SELECT doc_id, rule, license, sentences FROM met ANTI JOIN silent USING (row_id, rule)
 """
