@@ -137,7 +137,7 @@ def test_pipeline_by_stages(spark):
     if cut.isEmpty():  # too few labels here to allow any cutoff: the base alone decides
         assert {r.doc_id for r in two.collect()} == {r.doc_id for r in one.collect() if len(r.text.encode().split()) >= 20 and 100 * py_repeat(r.text) <= 30 * len(r.text.encode().split())}
     three = functions["near-duplicates"](spark, two, SF).cache()
-    groups = brute([(r.doc_id, r.text) for r in two.collect()])
+    groups = brute([(r.doc_id, r.text) for r in two.collect()], 80)
     assert {r.doc_id for r in three.collect()} == {i for i, (_, c) in groups.items() if i == c}
     four = functions["decontamination"](spark, three, SF).cache()
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -20,7 +20,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 0))} or ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Smallest reachable id of each document, over all pairs."""
     sets = {i: shingle_set(t) for i, t in rows}
     ids = sorted(sets)
@@ -33,7 +33,7 @@ def brute(rows):
 
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -109,6 +109,21 @@ def test_groups_equal_brute_force(spark, corpus):
     assert {r.doc_id for r in run(spark, corpus) if r.kept} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_pairs_between_80_and_85_link_at_80_alone(spark):
+    rng = random.Random(41)
+    rows = []
+    for i in range(40):  # 204 shingles each; two words changed far apart leave 194 of 214 or so, more leave less
+        text = rng.choices(["z%d" % k for k in range(5000)], k=204)
+        copy = list(text)
+        for k in range(4 + i % 2):
+            copy[10 + 35 * k] = "changed%d" % rng.randrange(10**9)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    for percent, bands in ((80, 40), (85, 26)):
+        want = {i: c for i, (_, c) in brute(rows, percent).items()}
+        assert {r.doc_id: r.component_id for r in run(spark, rows, percent=percent, bands=bands)} == want
+    assert brute(rows, 80) != brute(rows, 85)
+
+
 def test_crowded_buckets_equal_brute_force(spark):
     rng = random.Random(2)
     base = ["b%d" % i for i in range(150)]
