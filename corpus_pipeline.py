@@ -28,8 +28,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate group."""
-    found = near_dedup.near_duplicates(docs)
+    """One document, that of the smallest id, of each group of texts linked by a similarity of 0.8 or more."""
+    found = near_dedup.near_duplicates(docs, percent=80, bands=40)
     return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
@@ -41,11 +41,19 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids and whether decoding gives the text's bytes back."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.decode(bpe.encode(docs, vocabulary=path, pattern=public_tokenizers.PATTERN, from_files=True), vocabulary=path)
-    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-STAGES = [("quality classifier", classify), ("quality rules", rules), ("near-duplicates", deduplicate), ("decontamination", decontaminated), ("byte-level BPE", encode)]
+    encoded = bpe.encode(docs, vocabulary=path, pattern=public_tokenizers.PATTERN, from_files=True)
+    n_tokens = F.size("token_ids").cast("long").alias("n_tokens")
+    decoded = bpe.decode(encoded, vocabulary=path)
+    return decoded.select("doc_id", n_tokens, "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", rules),
+    ("near-duplicates", deduplicate),
+    ("decontamination", decontaminated),
+    ("byte-level BPE", encode),
+]
 
 #: SQL has no way to say these stages; tests hold them against brute force.
 ORACLE_SQL = None
