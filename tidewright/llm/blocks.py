@@ -198,9 +198,11 @@ def _met(rows: pa.Table) -> tuple[list[pa.RecordBatch], pa.Array, np.ndarray, np
     return entries, coded.dictionary, index, counts.astype(np.int64)
 
 
-def _by_part(packed: DataFrame, shape: Layout) -> DataFrame:
-    """``packed`` with each shard in a partition of its own, while there are not too many."""
-    return packed.repartitionById(shape.partitions, F.pmod("part", F.lit(shape.partitions)).cast("int"))
+def _by_part(packed: DataFrame, group: Callable[[pa.Table], pa.Table], shape: Layout) -> DataFrame:
+    """``group`` of each shard's rows, with each shard in a partition of its own while there are not too many."""
+    placed = packed.withColumn("place", F.pmod("part", F.lit(shape.partitions)).cast("int")).repartitionById(shape.partitions, "place")
+    # grouped by the place as well, so that this shuffle is the only one
+    return placed.groupBy("place", "part").applyInArrow(lambda rows: group(rows.select(["part", "block", "payload"])), PACKED)
 
 
 def distinct(words: DataFrame, shape: Layout) -> DataFrame:
@@ -215,7 +217,7 @@ def distinct(words: DataFrame, shape: Layout) -> DataFrame:
     if shape.ranges > 1:
         ranged = words.withColumn("block", F.pmod("block", F.lit(shape.ranges)))
         words = ranged.groupBy("part", "block").applyInArrow(add, PACKED)
-    return words.groupBy("part").applyInArrow(add, PACKED)
+    return _by_part(words, add, shape)
 
 
 def over_words(vocabulary: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
@@ -271,7 +273,7 @@ def by_shard(words: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str
         tidy()
         return rows.set_column(2, "payload", pa.array(payloads, pa.binary()))
 
-    return _by_part(words, shape).groupBy("part").applyInArrow(group, PACKED)
+    return _by_part(words, group, shape)
 
 
 def by_block(answered: DataFrame, positions: DataFrame, finish: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, dict[str, pa.Array]], pa.Table], schema: str) -> DataFrame:
