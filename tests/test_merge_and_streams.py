@@ -13,23 +13,23 @@ from tidewright.streaming import listener, medallion
 from .conftest import SF
 
 
-def make(spark, path):
-    return merge.VersionedTable(spark, str(path), "k string, v int", ["k"])
-
-
 def test_null_keys_match_and_replays_change_nothing(spark, tmp_path):
-    t = make(spark, tmp_path / "t")
-    assert t.read().count() == 0
-    rows = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
-    for batch in (0, 0, 1):
-        t.merge(rows.withColumn("v", F.col("v") + batch), writer="w", batch=batch)
-    assert sorted((r.k or "", r.v) for r in t.read().collect()) == [("", 3), ("a", 2)]
-    assert t.pointer() == {"version": 2, "batches": {"w": 1}}
-
-
-def test_two_source_rows_of_one_key_are_an_error(spark, tmp_path):
+    schema = "k string, v int"
+    rows = spark.createDataFrame([("a", 1), (None, 2)], schema)
+    once = merge.merged(merge.empty(spark, schema), rows, ["k"])
+    more = rows.withColumn("v", F.col("v") + 1)
+    twice = merge.merged(merge.merged(once, more, ["k"]), more, ["k"])
+    assert sorted((r.k or "", r.v) for r in twice.collect()) == [("", 3), ("a", 2)]
+    assert [r.k for r in merge.without(twice, rows.filter("k is null"), ["k"]).collect()] == ["a"]
+    for batch in (0, 1, 1):  # the last is a replay
+        merge.write_changes(rows.withColumn("v", F.col("v") + batch), str(tmp_path / "t"), batch)
+    assert sorted((r.k or "", r.v) for r in merge.newest(spark, str(tmp_path / "t"), schema, ["k"]).collect()) == [("", 3), ("a", 2)]
+
+
+def test_two_source_rows_of_one_key_are_an_error(spark):
+    twice = spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int")
     with pytest.raises(ValueError, match="several source rows"):
-        make(spark, tmp_path / "t").merge(spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int"))
+        merge.merged(merge.empty(spark, "k string, v int"), twice, ["k"])
 
 
 def test_staged_write_moves_only_what_passes(spark, tmp_path):

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import finite
+from ..functions.times import aligned
+from .features import hours
 from .quality import all_errors
 
 LIVE, BACKFILL = "LIVE_PROSPECTIVE", "LIVE_SOURCE_BACKFILL"
@@ -27,9 +30,13 @@ def mode(source: Column, retrieval: Column, origin: Column, live_source: str) ->
 def references(observations: DataFrame) -> DataFrame:
     """One row per source, location and hour: the first payload, and whether payloads differ.
 
-    ``observations`` has source, location_id, event_time, event_id, payload, value, ingestion_time.
+    ``observations`` has source, location_id, event_time, event_id, payload, value, ingestion_time and, if it is known how
+    they were retrieved, retrieval_mode.
     """
-    first = F.min_by(F.struct("event_id", "payload", "value", "ingestion_time"), F.struct("ingestion_time", "payload"))
+    if "retrieval_mode" not in observations.columns:
+        observations = observations.withColumn("retrieval_mode", F.lit(None).cast("string"))
+    kept = F.struct("event_id", "payload", "value", "ingestion_time", "retrieval_mode")
+    first = F.min_by(kept, F.struct("ingestion_time", "payload"))
     grouped = observations.groupBy("source", "location_id", "event_time").agg(first.alias("ref"), (F.countDistinct("payload") > 1).alias("conflict"), F.count("*").alias("copies"))
     return grouped.select("source", "location_id", "event_time", "ref.*", "conflict", "copies")
 
@@ -41,31 +48,60 @@ def forecasts_once(forecasts: DataFrame, key: str = "forecast_id") -> DataFrame:
     return grouped.select(key, "s.*", "conflicting")
 
 
-def evaluate(forecasts: DataFrame, observations: DataFrame, known: DataFrame, now: Column, *, checks: dict[str, Column] | None = None, prior: DataFrame | None = None, live_source: str = "LIVE") -> DataFrame:
+def forecast_errors(horizon_hours: int, expected_id: Column | None, contract: dict[str, str], columns: list[str]) -> dict[str, Column]:
+    """FLT-10: what makes a forecast invalid, by code; a column _known marks known locations.
+
+    ``contract`` names the value that a column must have (model, digests); ``expected_id`` the deterministic id.  Horizon
+    and id are judged only where both times are whole hours.
+    """
+    whole = F.coalesce(aligned(F.col("feature_time")) & aligned(F.col("target_time")), F.lit(False))
+    named = F.coalesce(F.col("forecast_id"), F.lit("")) != ""
+    found = {
+        "UNKNOWN_LOCATION": F.col("_known").isNull(),
+        "MISSING_FORECAST_ID": ~named,
+        "INVALID_FORECAST_TIME": ~whole,
+        "INVALID_FORECAST_HORIZON": whole & (F.col("target_time") != F.col("feature_time") + hours(horizon_hours)),
+        "INVALID_PREDICTION": ~finite(F.col("prediction")),
+        "CONFLICTING_FORECAST_ID": F.col("conflicting"),
+    }
+    if expected_id is not None:
+        found["INVALID_FORECAST_ID"] = whole & named & ~F.coalesce(F.col("forecast_id") == expected_id, F.lit(False))
+    if "inference_time" in columns:
+        found["INVALID_INFERENCE_TIME"] = F.col("inference_time").isNull()
+    for column, value in contract.items():
+        found[f"UNSUPPORTED_{column.upper()}"] = ~F.col(column).eqNullSafe(F.lit(value))
+    return found
+
+
+def evaluate(
+    forecasts: DataFrame,
+    observations: DataFrame,
+    known: DataFrame,
+    now: Column,
+    *,
+    horizon_hours: int = 1,
+    expected_id: Column | None = None,
+    contract: dict[str, str] | None = None,
+    checks: dict[str, Column] | None = None,
+    prior: DataFrame | None = None,
+    live_source: str = "LIVE",
+) -> DataFrame:
     """A current row for each forecast id.
 
     ``forecasts``: forecast_id, location_id, feature_time, target_time, prediction, source_event_id, execution_origin.
-    ``checks`` adds error codes to the unknown location, missing id, missing or reversed times and prediction.
+    ``checks`` adds error codes to those of ``forecast_errors``.
     ``prior``: forecast ids already EVALUATED, which are left out here and kept by the caller's merge.
     """
     once = forecasts_once(forecasts)
     if prior is not None:
         once = once.join(prior.filter("status = 'EVALUATED'").select("forecast_id"), "forecast_id", "left_anti")
     marked = once.join(known.select("location_id").distinct().withColumn("_known", F.lit(True)), "location_id", "left")
-    errors = all_errors({
-        "UNKNOWN_LOCATION": F.col("_known").isNull(),
-        "MISSING_FORECAST_ID": F.coalesce(F.col("forecast_id"), F.lit("")) == "",
-        "INVALID_FORECAST_TIME": F.col("feature_time").isNull() | F.col("target_time").isNull(),
-        "INVALID_FORECAST_HORIZON": F.coalesce(F.col("target_time") <= F.col("feature_time"), F.lit(False)),
-        "INVALID_PREDICTION": F.col("prediction").isNull() | F.isnan("prediction"),
-        "CONFLICTING_FORECAST_ID": F.col("conflicting"),
-        **(checks or {}),
-    })
+    errors = all_errors(forecast_errors(horizon_hours, expected_id, contract or {}, forecasts.columns) | (checks or {}))
     refs = references(observations)
     feature = refs.select("location_id", F.col("event_time").alias("feature_time"), F.col("event_id").alias("source_event_id"), F.struct("source", "payload", "value", "conflict").alias("f"))
     one = feature.groupBy("location_id", "feature_time", "source_event_id").agg(F.min("f").alias("f"), F.count("*").alias("_found")).filter("_found = 1").drop("_found")
     joined = marked.withColumn("errors", errors).join(one, ["location_id", "feature_time", "source_event_id"], "left").withColumn("source", F.col("f.source"))
-    target = refs.select("source", "location_id", F.col("event_time").alias("target_time"), F.struct("event_id", "value", "ingestion_time", "conflict").alias("t"))
+    target = refs.select("source", "location_id", F.col("event_time").alias("target_time"), F.struct("event_id", "value", "ingestion_time", "conflict", "retrieval_mode").alias("t"))
     joined = joined.join(target, ["source", "location_id", "target_time"], "left")
     passed = F.coalesce(F.col("target_time") <= now, F.lit(False))
     there, clash = F.col("t").isNotNull(), F.coalesce(F.col("t.conflict"), F.lit(False))
@@ -96,5 +132,5 @@ def evaluate(forecasts: DataFrame, observations: DataFrame, known: DataFrame, no
         F.when(done, F.col("t.value")).alias("reference"), model_error.alias("model_error"), base_error.alias("persistence_error"),
         F.when(done, F.unix_micros("t.ingestion_time") / 1e6 - F.unix_micros("target_time") / 1e6).alias("arrival_lag_seconds"),
         F.when(done, F.unix_micros(now) / 1e6 - F.unix_micros("target_time") / 1e6).alias("evaluation_lag_seconds"),
-        mode(F.when(clean, F.col("source")), F.lit(None).cast("string"), F.col("execution_origin"), live_source).alias("evaluation_mode"),
+        mode(F.when(clean, F.col("source")), F.when(clean, F.col("t.retrieval_mode")), F.col("execution_origin"), live_source).alias("evaluation_mode"),
     )

@@ -112,25 +112,39 @@ def percentile_approx_lag(spark, d):
     return observations(spark, d).groupBy("location_id").agg(p.alias("percentiles"))
 
 
-FORECASTS = """forecasts AS (SELECT 'F|' || location_id || '|' || CAST(floor(epoch(event_time)) AS BIGINT) AS forecast_id, CASE WHEN CAST(epoch(event_time) / 3600 AS BIGINT) % 31 = 0 THEN 'nowhere' ELSE location_id END AS location_id,
-  event_time AS feature_time, event_time + INTERVAL 1 HOUR AS target_time, CASE WHEN CAST(epoch(event_time) / 3600 AS BIGINT) % 37 = 0 THEN NULL ELSE temperature_c + 0.5 END AS prediction,
-  CASE WHEN CAST(epoch(event_time) / 3600 AS BIGINT) % 29 <> 0 THEN 'O|' || location_id || '|' || CAST(floor(epoch(event_time)) AS BIGINT) END AS source_event_id FROM panel)"""
-REFS = """refs AS (SELECT location_id, event_time, temperature_c AS value, 'O|' || location_id || '|' || CAST(floor(epoch(event_time)) AS BIGINT) AS event_id, CAST(epoch(event_time) / 3600 AS BIGINT) % 23 = 0 AS conflict FROM panel)"""
+H = "CAST(epoch(event_time) / 3600 AS BIGINT)"
+SECOND = "CAST(floor(epoch(event_time)) AS BIGINT)"
+#: Forecasts with faults by hour: places, predictions, events, horizons, times off the hour, ids, digests, inference times.
+FORECASTS = f"""forecasts AS (SELECT CASE WHEN {H} % 53 = 0 THEN 'X|' ELSE 'F|' END || location_id || '|' || {SECOND} AS forecast_id,
+  CASE WHEN {H} % 31 = 0 THEN 'nowhere' ELSE location_id END AS location_id,
+  CASE WHEN {H} % 47 = 0 THEN event_time + INTERVAL 5 MINUTE ELSE event_time END AS feature_time,
+  CASE WHEN {H} % 43 = 0 THEN event_time + INTERVAL 5 HOUR ELSE event_time + INTERVAL 1 HOUR END AS target_time,
+  CASE WHEN {H} % 37 = 0 THEN NULL WHEN {H} % 41 = 0 THEN 'Infinity'::DOUBLE ELSE temperature_c + 0.5 END AS prediction,
+  CASE WHEN {H} % 29 <> 0 THEN 'O|' || location_id || '|' || {SECOND} END AS source_event_id, {H} % 59 = 0 AS other_model, {H} % 61 = 0 AS no_inference, {H} % 53 = 0 AS other_id FROM panel)"""
+REFS = f"""refs AS (SELECT location_id, event_time, temperature_c AS value, 'O|' || location_id || '|' || {SECOND} AS event_id, {H} % 23 = 0 AS conflict, {H} % 3 = 0 AS backfill FROM panel)"""
+CONTRACT = {"model_sha256": "agreed"}
 
 
 def forecasts(spark, d):
-    """Forecasts of the panel's next hour with faults by hour: unknown places, no prediction, no source event."""
-    hour, second = F.floor(F.unix_seconds("event_time") / 3600), F.unix_seconds("event_time").cast("string")
+    """Forecasts of the panel's next hour with faults by hour (see the SQL)."""
+    hour, second, minutes = F.floor(F.unix_seconds("event_time") / 3600), F.unix_seconds("event_time").cast("string"), lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(n))
     return panel(spark, d).select(
-        F.concat_ws("|", F.lit("F"), "location_id", second).alias("forecast_id"), F.when(hour % 31 == 0, "nowhere").otherwise(F.col("location_id")).alias("location_id"), F.col("event_time").alias("feature_time"), (F.col("event_time") + F.expr("INTERVAL 1 HOUR")).alias("target_time"),
-        F.when(hour % 37 != 0, F.col("temperature_c") + 0.5).alias("prediction"), F.when(hour % 29 != 0, F.concat_ws("|", F.lit("O"), "location_id", second)).alias("source_event_id"), F.lit("LIVE_PROSPECTIVE").alias("execution_origin"),
-    )
+        F.concat_ws("|", F.when(hour % 53 == 0, "X").otherwise("F"), "location_id", second).alias("forecast_id"),
+        F.when(hour % 31 == 0, "nowhere").otherwise(F.col("location_id")).alias("location_id"),
+        (F.col("event_time") + F.when(hour % 47 == 0, minutes(5)).otherwise(minutes(0))).alias("feature_time"),
+        (F.col("event_time") + F.when(hour % 43 == 0, minutes(300)).otherwise(minutes(60))).alias("target_time"),
+        F.when(hour % 37 == 0, None).when(hour % 41 == 0, float("inf")).otherwise(F.col("temperature_c") + 0.5).alias("prediction"),
+        F.when(hour % 29 != 0, F.concat_ws("|", F.lit("O"), "location_id", second)).alias("source_event_id"),
+        F.when(hour % 59 == 0, "another").otherwise("agreed").alias("model_sha256"),
+        F.when(hour % 61 != 0, F.col("event_time") + minutes(1)).alias("inference_time"),
+        F.lit("LIVE_PROSPECTIVE").alias("execution_origin"),
+    )
 
 
 def references(spark, d):
     """The panel as archived observations; those of every 23rd hour come twice and differ."""
     hour = F.floor(F.unix_seconds("event_time") / 3600)
-    p = panel(spark, d).select(F.lit("LIVE").alias("source"), "location_id", "event_time", F.concat_ws("|", F.lit("O"), "location_id", F.unix_seconds("event_time").cast("string")).alias("event_id"), F.col("temperature_c").cast("string").alias("payload"), F.col("temperature_c").alias("value"), (F.col("event_time") + F.expr("INTERVAL 3 MINUTES")).alias("ingestion_time"))
+    p = panel(spark, d).select(F.lit("LIVE").alias("source"), "location_id", "event_time", F.concat_ws("|", F.lit("O"), "location_id", F.unix_seconds("event_time").cast("string")).alias("event_id"), F.col("temperature_c").cast("string").alias("payload"), F.col("temperature_c").alias("value"), (F.col("event_time") + F.expr("INTERVAL 3 MINUTES")).alias("ingestion_time"), F.when(hour % 3 == 0, "LIVE_SOURCE_BACKFILL").alias("retrieval_mode"))
     again = p.filter(hour % 23 == 0).withColumn("payload", F.lit("revised")).withColumn("ingestion_time", F.col("ingestion_time") + F.expr("INTERVAL 1 MINUTE"))
     return p.unionByName(again)
 
@@ -140,25 +154,33 @@ NOW = "2024-01-25 00:00:00"
 
 def evaluated(spark, d):
     p = panel(spark, d)
-    return evaluate.evaluate(forecasts(spark, d), references(spark, d), p.select("location_id"), F.to_timestamp(F.lit(NOW)))
+    place = F.element_at(F.split("forecast_id", r"\|"), 2)  # unknown places keep the id of the place they stand for
+    expected = F.concat_ws("|", F.lit("F"), place, F.unix_seconds("feature_time").cast("string"))
+    return evaluate.evaluate(forecasts(spark, d), references(spark, d), p.select("location_id"), F.to_timestamp(F.lit(NOW)), expected_id=expected, contract=CONTRACT)
 
 
-EVALUATED = f"""ev AS (SELECT f.forecast_id, f.location_id, f.target_time, CASE
-  WHEN f.location_id = 'nowhere' OR f.prediction IS NULL THEN 'INVALID_PROVENANCE' WHEN a.event_id IS NULL THEN 'PENDING_BASELINE' WHEN a.conflict THEN 'REFERENCE_CONFLICT'
+EVALUATED = f"""ck AS (SELECT *, date_trunc('hour', feature_time) = feature_time AND date_trunc('hour', target_time) = target_time AS whole FROM forecasts),
+er AS (SELECT *, array_to_string(list_sort(list_filter([CASE WHEN location_id = 'nowhere' THEN 'UNKNOWN_LOCATION' END, CASE WHEN NOT whole THEN 'INVALID_FORECAST_TIME' END,
+  CASE WHEN whole AND target_time <> feature_time + INTERVAL 1 HOUR THEN 'INVALID_FORECAST_HORIZON' END, CASE WHEN whole AND other_id THEN 'INVALID_FORECAST_ID' END,
+  CASE WHEN prediction IS NULL OR isinf(prediction) THEN 'INVALID_PREDICTION' END, CASE WHEN other_model THEN 'UNSUPPORTED_MODEL_SHA256' END, CASE WHEN no_inference THEN 'INVALID_INFERENCE_TIME' END], lambda x: x IS NOT NULL)), ';') AS errors FROM ck),
+ev AS (SELECT f.forecast_id, f.location_id, f.target_time, CASE
+  WHEN errors <> '' THEN 'INVALID_PROVENANCE' WHEN a.event_id IS NULL THEN 'PENDING_BASELINE' WHEN a.conflict THEN 'REFERENCE_CONFLICT'
   WHEN f.target_time > TIMESTAMP '{NOW}' THEN 'PENDING_TARGET_TIME' WHEN b.conflict THEN 'REFERENCE_CONFLICT' WHEN b.event_id IS NULL THEN 'PENDING_REFERENCE' ELSE 'EVALUATED' END AS status,
-  CASE WHEN f.location_id = 'nowhere' AND f.prediction IS NULL THEN 'INVALID_PREDICTION;UNKNOWN_LOCATION' WHEN f.location_id = 'nowhere' THEN 'UNKNOWN_LOCATION' WHEN f.prediction IS NULL THEN 'INVALID_PREDICTION'
+  CASE WHEN errors <> '' THEN errors
   WHEN a.event_id IS NULL AND f.source_event_id IS NULL THEN 'SOURCE_EVENT_ID_MISSING' WHEN a.event_id IS NULL THEN 'FEATURE_TIME_REFERENCE_MISSING_OR_AMBIGUOUS' WHEN a.conflict THEN 'FEATURE_TIME_REFERENCE_REVISION_DETECTED'
   WHEN f.target_time <= TIMESTAMP '{NOW}' AND b.conflict THEN 'TARGET_TIME_REFERENCE_REVISION_DETECTED' END AS invalid_reason,
-  f.target_time <= TIMESTAMP '{NOW}' AS target_time_passed, f.prediction - b.value AS model_error, a.value - b.value AS persistence_error, b.event_id IS NOT NULL AND a.event_id IS NOT NULL AND NOT a.conflict AND f.location_id <> 'nowhere' AND f.prediction IS NOT NULL AND f.target_time <= TIMESTAMP '{NOW}' AS received
-  FROM forecasts f LEFT JOIN refs a ON a.location_id = f.location_id AND a.event_time = f.feature_time AND a.event_id = f.source_event_id
+  f.target_time <= TIMESTAMP '{NOW}' AS target_time_passed, f.prediction - b.value AS model_error, a.value - b.value AS persistence_error,
+  b.event_id IS NOT NULL AND a.event_id IS NOT NULL AND NOT a.conflict AND errors = '' AND f.target_time <= TIMESTAMP '{NOW}' AS received,
+  CASE WHEN errors <> '' OR a.event_id IS NULL THEN 'UNCLASSIFIED' WHEN b.backfill THEN 'LIVE_SOURCE_BACKFILL' ELSE 'LIVE_PROSPECTIVE' END AS evaluation_mode
+  FROM er f LEFT JOIN refs a ON a.location_id = f.location_id AND a.event_time = f.feature_time AND a.event_id = f.source_event_id
   LEFT JOIN refs b ON b.location_id = f.location_id AND b.event_time = f.target_time AND a.event_id IS NOT NULL)"""
 
 
-@query(f"WITH {PANEL}, {FORECASTS}, {REFS}, {EVALUATED} SELECT forecast_id, status, invalid_reason, target_time_passed, CASE WHEN status = 'EVALUATED' THEN {s6('model_error')} END AS model_error, CASE WHEN status = 'EVALUATED' THEN {s6('persistence_error')} END AS persistence_error FROM ev")
+@query(f"WITH {PANEL}, {FORECASTS}, {REFS}, {EVALUATED} SELECT forecast_id, status, invalid_reason, target_time_passed, evaluation_mode, CASE WHEN status = 'EVALUATED' THEN {s6('model_error')} END AS model_error, CASE WHEN status = 'EVALUATED' THEN {s6('persistence_error')} END AS persistence_error FROM ev")
 def eval_status_machine(spark, d):
-    """CMP-10/11/12, JON-12/13/14."""
+    """CMP-10/11/12, FLT-10, JON-12/13/14."""
     e = evaluated(spark, d)
-    return e.select("forecast_id", "status", "invalid_reason", "target_time_passed", six(F.col("model_error")).alias("model_error"), six(F.col("persistence_error")).alias("persistence_error"))
+    return e.select("forecast_id", "status", "invalid_reason", "target_time_passed", "evaluation_mode", six(F.col("model_error")).alias("model_error"), six(F.col("persistence_error")).alias("persistence_error"))
 
 
 @query(f"WITH {PANEL}, {FORECASTS}, {REFS}, {EVALUATED} SELECT location_id, count(*) AS forecasts_total, count(*) FILTER (target_time_passed) AS forecasts_target_time_passed, count(*) FILTER (status = 'EVALUATED') AS evaluated_count, count(*) FILTER (status IN ('PENDING_REFERENCE', 'PENDING_BASELINE')) AS pending_reference_count, count(*) FILTER (received) AS received_references, {s6("100 * count(*) FILTER (status = 'EVALUATED') / nullif(count(*) FILTER (target_time_passed), 0)::DOUBLE")} AS evaluation_coverage_pct FROM ev GROUP BY ALL")

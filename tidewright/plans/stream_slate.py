@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import six
 from ..operators import features, quality, state, windows
-from ..sources.merge import VersionedTable, log_rows
+from ..session import shared_folder
+from ..sources.merge import log_rows, merged, newest, without
 from ..sources.readers import file_stream
 from ..streaming import medallion as runs
 from .base import PANEL, load, observations, panel, query, s6, sec, seconds
@@ -20,18 +20,15 @@ COLUMNS = ("event_id", "offset", "location_id", "event_time", "temperature_c", "
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder, or a temporary one where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewright-")
-    return f"{shared}/run-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
-def arrivals(spark, d, folder: str, batches: int = 4):
-    """The raw records as a stream of files, one a micro-batch, in order of arrival."""
+def arrivals(spark, d, folder: str, batches: int = 4, files: int = 2):
+    """The raw records as a stream of files by ranges of offsets, so many files a micro-batch."""
     r = raw(spark, d).select(*COLUMNS)
-    last = r.agg(F.max("offset")).first()[0] or 0
-    for k in range(batches):
-        r.filter((F.col("offset") > last * k // batches) | F.lit(k == 0)).filter(F.col("offset") <= last * (k + 1) // batches).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return file_stream(spark, f"{folder}/in", r.schema, 1)
+    r.repartitionByRange(batches * files, "offset").write.parquet(f"{folder}/in")
+    return file_stream(spark, f"{folder}/in", r.schema, files)
 
 
 @query(f"WITH {RAW} SELECT DISTINCT event_id, location_id, temperature_c FROM raw WHERE {VALID}")
@@ -57,10 +54,9 @@ def stream_gold(spark, d):
     folder = scratch(spark)
     good = quality.split_valid(arrivals(spark, d, folder), quality.valid_observation())[0]
     gold = windows.windowed(good, "event_time", "1 hour", None, ["location_id"], windows.measures("temperature_c"), "40 days")
-    target = VersionedTable(spark, f"{folder}/gold", "window_start long, location_id string, n long, mean double", ["window_start", "location_id"])
     shape = lambda rows: rows.select(seconds("window_start").alias("window_start"), "location_id", "n", six(F.col("mean")).alias("mean"))
-    runs.drain(runs.upsert(gold, target, f"{folder}/state", "gold", shape=shape))
-    return target.read()
+    runs.drain(runs.upsert(gold, f"{folder}/gold", f"{folder}/state", shape=shape))
+    return newest(spark, f"{folder}/gold", "window_start long, location_id string, n long, mean double", ["window_start", "location_id"])
 
 
 @query(f"WITH {RAW} SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM (SELECT DISTINCT event_id FROM raw WHERE {VALID})")
@@ -81,41 +77,34 @@ OLD = "old AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE
 
 
 def _merged(spark, d, mode, when=None):
-    t = VersionedTable(spark, scratch(spark), "o_orderkey long, o_totalprice double, o_orderstatus string", ["o_orderkey"])
     o = _orders(spark, d)
     new = o.filter("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
-    t.merge(o.filter("o_orderkey % 2 = 0"), writer="w", batch=0)
-    for _ in range(2):  # the second is a replay
-        t.merge(new, mode, when, writer="w", batch=1)
-    return t
+    return merged(o.filter("o_orderkey % 2 = 0"), new, ["o_orderkey"], mode, when)
 
 
 @query(f"WITH {OLD} SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus FROM old o FULL OUTER JOIN new n USING (o_orderkey)")
 def merge_upsert(spark, d):
     """SNK-02/06, CUS-1."""
-    return _merged(spark, d, "upsert").read()
+    return _merged(spark, d, "upsert")
 
 
 @query(f"WITH {OLD} SELECT * FROM old UNION ALL SELECT * FROM new WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old)")
 def merge_insert_only(spark, d):
     """SNK-03, JON-18."""
-    return _merged(spark, d, "insert_only").read()
+    return _merged(spark, d, "insert_only")
 
 
 @query(f"WITH {OLD} SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL OR (n.o_orderkey IS NOT NULL AND o.o_orderstatus <> 'F') THEN n.o_totalprice ELSE o.o_totalprice END AS o_totalprice, CASE WHEN o.o_orderkey IS NULL OR (n.o_orderkey IS NOT NULL AND o.o_orderstatus <> 'F') THEN n.o_orderstatus ELSE o.o_orderstatus END AS o_orderstatus FROM old o FULL OUTER JOIN new n USING (o_orderkey)")
 def merge_update_if(spark, d):
     """SNK-04: finished rows stay."""
-    return _merged(spark, d, "update_if", F.col("t.o_orderstatus") != "F").read()
+    return _merged(spark, d, "update_if", F.col("t.o_orderstatus") != "F")
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0")
 def merge_delete(spark, d):
     """SNK-05."""
-    t = VersionedTable(spark, scratch(spark), "o_orderkey long, o_totalprice double, o_orderstatus string", ["o_orderkey"])
     o = _orders(spark, d)
-    t.merge(o.filter("o_orderkey % 2 = 0"))
-    t.delete_matched(o.filter("o_orderkey % 5 = 0"))
-    return t.read()
+    return without(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 5 = 0"), ["o_orderkey"])
 
 
 @query("WITH k AS (SELECT CAST(event_type AS VARCHAR) AS k, count(*) AS n FROM events GROUP BY ALL) SELECT k AS \"key\", n, true AS sorted FROM k")

@@ -1,92 +1,63 @@
-"""Keyed merges into versioned Parquet tables (SNK-02..07): upsert, insert-only, conditional update and delete.
+"""Keyed merges (SNK-02..07) as DataFrame work, and writers.
 
-A table is a folder of version folders and a pointer file that names the current one.  A merge reads the current
-version, writes the next and moves the pointer, so readers see one version or the other.  The pointer remembers the
-last batch of each writer: a replayed micro-batch changes nothing.  The folder may be on any file system that Spark
-reaches; where a lakehouse format with MERGE is on the class path, use that instead.  One writer at a time.
+``merged`` and ``without`` return the rows of a table after a merge or a delete; where they are kept is the table
+format's business: with a lakehouse format on the class path its own MERGE is the better choice.  Streams of updates are
+kept as they come, a folder a micro-batch (``write_changes``), and read as the newest row of each key (``newest``).
 """
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
-        self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-
-    def _file(self):
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_pointer")
-        return path.getFileSystem(conf), path
-
-    def pointer(self) -> dict:
-        fs, path = self._file()
-        if not fs.exists(path):
-            return {"version": 0, "batches": {}}
-        stream = fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _point(self, pointer: dict) -> None:
-        fs, path = self._file()
-        staged = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_pointer.{pointer['version']}")
-        stream = fs.create(staged, True)
-        stream.write(json.dumps(pointer).encode())
-        stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        if not fs.rename(staged, path):
-            raise OSError(f"could not move the pointer of {self.path}")
-
-    def read(self) -> DataFrame:
-        """The current version; an empty typed frame before the first merge (SNK-07)."""
-        version = self.pointer()["version"]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}") if version else self.spark.createDataFrame([], self.schema)
-
-    def _matched(self, target: DataFrame, source: DataFrame, how: str) -> DataFrame:
-        a, b = target.alias("t"), source.alias("s")
-        return a.join(b, reduce(lambda x, y: x & y, (F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in self.keys)), how)
-
-    def _commit(self, rows: DataFrame, writer: str | None, batch: int | None) -> None:
-        pointer = self.pointer()
-        version = pointer["version"] + 1
-        rows.select(self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        batches = pointer["batches"] | ({writer: batch} if writer is not None else {})
-        self._point({"version": version, "batches": batches})
-
-    def _replayed(self, writer: str | None, batch: int | None) -> bool:
-        return writer is not None and self.pointer()["batches"].get(writer, -1) >= batch
-
-    def merge(self, source: DataFrame, mode: str = "upsert", when: Column | None = None, writer: str | None = None, batch: int | None = None) -> None:
-        """Merge by keys, nulls equal.  ``mode``: upsert, insert_only, or update_if (matched rows change where ``when``,
-        over t. and s. columns, is true).  Two source rows of one key are an error."""
-        if self._replayed(writer, batch):
-            return
-        if not source.groupBy(*self.keys).count().filter("count > 1").isEmpty():
-            raise ValueError(f"several source rows of one key of {self.path}")
-        target = self.read()
-        names = self.schema.fieldNames()
-        if mode == "insert_only":
-            fresh = self._matched(source.select(names), target, "left_anti")
-            return self._commit(target.unionByName(fresh), writer, batch)
-        mine, theirs = target.withColumn("_t", F.lit(True)), source.select(names).withColumn("_s", F.lit(True))
-        take = F.col("s._s").isNotNull() & (F.lit(True) if mode == "upsert" or when is None else F.col("t._t").isNull() | F.coalesce(when, F.lit(False)))
-        both = self._matched(mine, theirs, "full_outer")
-        self._commit(both.select(*(F.when(take, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in names)), writer, batch)
-
-    def delete_matched(self, source: DataFrame, writer: str | None = None, batch: int | None = None) -> None:
-        """SNK-05: without the rows whose keys are in ``source``."""
-        if not self._replayed(writer, batch):
-            self._commit(self._matched(self.read(), source.select(*self.keys), "left_anti"), writer, batch)
+def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
+    """SNK-07: a typed table without rows."""
+    return spark.createDataFrame([], schema)
+
+
+def _matched(target: DataFrame, source: DataFrame, keys: list[str], how: str) -> DataFrame:
+    same = reduce(lambda x, y: x & y, (F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys))
+    return target.alias("t").join(source.alias("s"), same, how)
+
+
+def merged(target: DataFrame, source: DataFrame, keys: list[str], mode: str = "upsert", when: Column | None = None) -> DataFrame:
+    """The rows of ``target`` after merging ``source`` by ``keys``, nulls equal; both have the columns of ``target``.
+
+    ``mode``: upsert, insert_only, or update_if (matched rows change where ``when``, over t. and s. columns, is true).
+    Two source rows of one key are an error.
+    """
+    if not source.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"several source rows of one key ({', '.join(keys)})")
+    names = target.columns
+    source = source.select(names)
+    if mode == "insert_only":
+        return target.unionByName(_matched(source, target, keys, "left_anti"))
+    both = _matched(target.withColumn("_t", F.lit(True)), source.withColumn("_s", F.lit(True)), keys, "full_outer")
+    allowed = F.lit(True) if mode == "upsert" or when is None else F.col("t._t").isNull() | F.coalesce(when, F.lit(False))
+    take = F.col("s._s").isNotNull() & allowed
+    return both.select(*(F.when(take, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in names))
+
+
+def without(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """SNK-05: the rows of ``target`` whose keys are not in ``source``."""
+    return _matched(target, source.select(*keys), keys, "left_anti")
+
+
+def write_changes(rows: DataFrame, path: str, batch: int) -> None:
+    """The changed rows of a micro-batch, in a folder of its own; a batch that is replayed replaces its folder."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def newest(spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str]) -> DataFrame:
+    """The newest row of each key among the changes below ``path``; columns of ``schema``."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    changes = spark.read.schema(T.StructType([*wanted.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("batch").desc()))
+    return changes.withColumn("_last", last).filter("_last = 1").select(wanted.fieldNames())
 
 
 def staged_write(df: DataFrame, final: str, check, partition_by: list[str] | None = None) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import parse_instant
 from ..operators import dedupe, quality
-from ..sources.merge import VersionedTable
+from ..sources.merge import write_changes
 from ..sources.readers import OBSERVATION
 
 
@@ -42,17 +42,11 @@ def silver(observed: DataFrame, valid: Column, path: str, checkpoint: str, water
     return append(unique, f"{path}/silver", f"{checkpoint}/silver", seconds, None), append(bad, f"{path}/dead", f"{checkpoint}/dead", seconds, None)
 
 
-def upsert(df: DataFrame, target: VersionedTable, checkpoint: str, writer: str, mode: str = "upsert", seconds: int | None = None, shape: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """SNK-02, STR-05: updated rows of an aggregate into a keyed table, once each however often a batch is replayed."""
+def upsert(df: DataFrame, path: str, checkpoint: str, seconds: int | None = None, shape: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """SNK-02, STR-05: updated rows of an aggregate as changes below ``path``, once each however often a batch is replayed."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = shape(batch) if shape else batch
-        rows.persist()
-        try:
-            if not rows.isEmpty():
-                target.merge(rows, mode, writer=writer, batch=batch_id)
-        finally:
-            rows.unpersist()
+        write_changes(shape(batch) if shape else batch, path, batch_id)
 
     return trigger(df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink), seconds).start()
 
