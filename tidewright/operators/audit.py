@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import finite
+from .features import SPLITS, hours, label_faults, split_name
+
 
 def report(df: DataFrame, assertions: dict[str, Column]) -> DataFrame:
     """CMP-15: a row for each named assertion over a one-row frame, with PASS or FAIL (null fails)."""
@@ -40,12 +43,43 @@ def allocation(expected: DataFrame, observed: DataFrame, keys: list[str], value:
     return a.join(b, keys, "full_outer").withColumn("verdict", verdict)
 
 
-def read_back(features: DataFrame, key: str, time: str, label: str, expected_columns: list[str]) -> DataFrame:
-    """CMP-04: assertions over a written feature table in one pass and one grouping."""
-    keys = features.groupBy(key, time).agg(F.count("*").alias("n"))
-    once = keys.agg(F.count_if(F.col("n") > 1).alias("repeated"))
-    one = features.agg(F.count("*").alias("rows"), F.count_if(F.col(label).isNull()).alias("unlabelled"), F.count_if(F.col("split").isNull()).alias("unsplit")).join(once)  # one row each
-    return report(one, {"has_rows": F.col("rows") > 0, "keys_unique": F.col("repeated") == 0, "labels_present": F.col("unlabelled") == 0, "splits_present": F.col("unsplit") == 0, "columns_as_agreed": F.lit(features.columns == expected_columns)})
+def read_back(written: DataFrame, source: DataFrame, key: str, time: str, label: str, value: str, features: list[str], horizon_hours: int = 1, splits=SPLITS) -> DataFrame:
+    """CMP-04: assertions over a feature table as it was written, against the source it was made of.
+
+    Columns as the contract has them; unique keys; labels, identities and splits there; every feature finite; targets at
+    the horizon, with the source's value at that time; each split within its bounds.
+    """
+    expected = [key, time, "target_time", *features, label, "split"]
+    if missing := [c for c in expected if c not in written.columns]:
+        return report(written.sparkSession.range(1), {"columns_as_agreed": F.lit(False), **{f"has_{c}": F.lit(False) for c in missing}})
+    once = written.groupBy(key, time).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    infinite = [F.count_if(~finite(F.col(c))).alias(f"_{i}") for i, c in enumerate(features)]
+    bounds = ~F.coalesce(F.col("split") == split_name(F.col("target_time"), splits), F.lit(False))
+    identity = F.col(key).isNull() | F.col(time).isNull() | F.col("target_time").isNull()
+    one = written.agg(
+        F.count("*").alias("rows"),
+        F.count_if(~finite(F.col(label))).alias("unlabelled"),
+        F.count_if(F.col("split").isNull()).alias("unsplit"),
+        F.count_if(identity).alias("nameless"),
+        F.count_if(F.col("target_time") != F.col(time) + hours(horizon_hours)).alias("misaligned"),
+        F.count_if(bounds).alias("beyond"),
+        *infinite,
+    )
+    truth = label_faults(written, source, key, time, "target_time", label, value)
+    row = one.join(once).join(truth)  # one row each
+    checks = {
+        "has_rows": F.col("rows") > 0,
+        "columns_as_agreed": F.lit(written.columns == expected),
+        "keys_unique": F.col("repeated") == 0,
+        "identities_present": F.col("nameless") == 0,
+        "labels_present": F.col("unlabelled") == 0,
+        "splits_present": F.col("unsplit") == 0,
+        "splits_in_bounds": F.col("beyond") == 0,
+        "targets_aligned": F.col("misaligned") == 0,
+        "labels_true": (F.col("missing") == 0) & (F.col("different") == 0),
+        "features_finite": sum((F.col(f"_{i}") for i in range(len(features))), F.lit(0)) == 0,
+    }
+    return report(row, checks)
 
 
 def shift(train: DataFrame, live: DataFrame, columns: list[str]) -> DataFrame:

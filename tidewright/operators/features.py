@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from ..functions.times import local_calendar
+from ..sources.readers import require
 
 # Which lags, rolling operations and differences each measure gets, in the order of the feature contract.
 CURRENT = ("temperature_c", "humidity_pct", "precipitation_mm", "pressure_hpa", "wind_speed_kmh", "wind_gust_kmh")
@@ -21,7 +22,7 @@ LAGS = {"temperature_c": ("temp", (1, 3, 6, 12, 24)), "humidity_pct": ("humidity
 ROLLS = {"temperature_c": ("temp", ("mean", "std")), "humidity_pct": ("humidity", ("mean", "std")), "pressure_hpa": ("pressure", ("mean", "std")), "precipitation_mm": ("precipitation", ("sum",)), "wind_speed_kmh": ("wind_speed", ("mean",))}
 ROLL_HOURS = (3, 6, 24)
 DELTAS = (("temperature_c", "temp", (1, 3)), ("humidity_pct", "humidity", (1, 3)), ("pressure_hpa", "pressure", (1, 3, 6)), ("wind_speed_kmh", "wind_speed", (1,)))
-SPLITS = (("TRAIN", None, "2024-01-01"), ("VALIDATION", "2024-01-01", "2025-01-01"), ("TEST", "2025-01-01", None))
+SPLITS = (("TRAIN", None, "2024-01-01"), ("VALIDATION", "2024-01-01", "2025-01-01"), ("TEST", "2025-01-01", "2026-01-01"))
 
 
 @dataclass(frozen=True)
@@ -88,20 +89,53 @@ def split_name(target: Column, splits=SPLITS) -> Column:
     return chain
 
 
+def columns(panel: Panel = Panel()) -> list[str]:
+    """The model's features in the order of the contract: current values, place, calendar, lags, rolling values, differences."""
+    calendar = ("local_hour", "local_day_of_week", "local_month", "local_day_of_year")
+    cyclic = [f"{x}_{f}" for x in ("hour", "day_of_week", "day_of_year") for f in ("sin", "cos")]
+    lags = [f"{short}_lag_{n}h" for short, ns in panel.lags.values() for n in ns]
+    rolls = [f"{short}_{'sum' if op == 'sum' else f'roll_{op}'}_{n}h" for short, ops in panel.rolls.values() for n in panel.roll_hours for op in ops]
+    deltas = [f"{short}_delta_{n}h" for _, short, ns in panel.deltas for n in ns]
+    return [*CURRENT, *PLACE, *calendar, *cyclic, *lags, *rolls, *deltas]
+
+
+def _shaped(df: DataFrame, panel: Panel, zone: str) -> tuple[DataFrame, Column]:
+    """``df`` with all features and gates, and whether a row's numbers are all finite.  Absent columns are an error."""
+    require(df, [panel.key, panel.time, panel.label, *CURRENT, *PLACE])
+    made = lagged(panel) | rolled(panel) | differences(panel) | gates(panel) | local_calendar(F.col(panel.time), zone)
+    shaped = df.select("*", *(v.alias(k) for k, v in made.items()))
+    return shaped, reduce(lambda a, b: a & b, (finite(F.col(c)) for c in (*columns(panel), "label_value")))
+
+
 def build(df: DataFrame, panel: Panel = Panel(), zone: str = "Asia/Ho_Chi_Minh", splits=SPLITS) -> DataFrame:
     """CMP-01: features, label and split of the rows whose history and target are whole and whose values are finite.
 
     (key, time) has to be unique: with a repeated and a missing hour together positions could pass the gate.
     """
-    made = lagged(panel) | rolled(panel) | differences(panel)
-    shaped = df.select("*", *(v.alias(k) for k, v in {**made, **gates(panel), **local_calendar(F.col(panel.time), zone)}.items()))
-    numeric = [c for c in (*CURRENT, *PLACE) if c in df.columns] + list(made) + ["label_value"]
-    whole = reduce(lambda a, b: a & b, (finite(F.col(c)) for c in numeric), F.col("history_complete") & F.col("target_complete"))
+    shaped, sound = _shaped(df, panel, zone)
     target = F.col(panel.time) + hours(panel.horizon)
-    kept = shaped.filter(whole).withColumn("target_time", target).withColumn("split", split_name(target, splits))
-    calendar = list(local_calendar(F.col(panel.time), zone))
+    kept = shaped.filter(F.col("history_complete") & F.col("target_complete") & sound)
+    kept = kept.withColumn("target_time", target).withColumn("split", split_name(target, splits))
     first = [panel.key, panel.time, "target_time", *(c for c in ("weather_code",) if c in df.columns)]
-    return kept.select(*first, *(c for c in (*CURRENT, *PLACE) if c in df.columns), *calendar, *made, F.col("label_value").alias(f"target_{panel.horizon}h"), "split")
+    return kept.select(*first, *columns(panel), F.col("label_value").alias(f"target_{panel.horizon}h"), "split")
+
+
+def diagnostics(df: DataFrame, panel: Panel = Panel(), zone: str = "Asia/Ho_Chi_Minh") -> DataFrame:
+    """CMP-01: one row of what ``build`` keeps and why it leaves the rest."""
+    shaped, sound = _shaped(df, panel, zone)
+    steps = {"_before": F.lag(panel.time, 1), "_after": F.lead(panel.time, panel.horizon), "_history": F.lag(panel.time, panel.depth)}
+    shaped = shaped.select("*", *(v.over(panel.window).alias(k) for k, v in steps.items()))
+    past, future, one = F.col("history_complete"), F.col("target_complete"), hours(1)
+    return shaped.agg(
+        F.count("*").alias("source_rows"),
+        F.count_if(F.col("_before").isNotNull() & (F.col(panel.time) != F.col("_before") + one)).alias("source_gap_edges"),
+        F.count_if(F.col("_history").isNotNull() & ~past).alias("history_continuity_violations"),
+        F.count_if(~past).alias("history_ineligible_rows"),
+        F.count_if(~future).alias("target_ineligible_rows"),
+        F.count_if(past & future & ~sound).alias("invalid_feature_rows"),
+        F.count_if(past & future & sound).alias("eligible_rows"),
+        F.count_if(F.col("_after").isNotNull() & ~future).alias("target_gap_edges"),
+    )
 
 
 def gap_edges(df: DataFrame, panel: Panel = Panel()) -> DataFrame:

@@ -54,15 +54,30 @@ def classify(batch: DataFrame, state: DataFrame, known: DataFrame, values: tuple
     return Batch(rejected, accepted, history, joins.dirty_range(history, accepted, key, time, reach_hours))
 
 
-def observed_status(history: DataFrame, key: str = "location_id", time: str = "event_time", valid: Column | None = None, depth: int = 24) -> DataFrame:
-    """CMP-06: status of each hour of a history from how many and which of the ``depth`` hours before it are there."""
+def observed_status(
+    history: DataFrame, key: str = "location_id", time: str = "event_time", valid: Column | None = None, depth: int = 24, conflicts: DataFrame | None = None, asked: DataFrame | None = None
+) -> DataFrame:
+    """CMP-06: status of each hour of a history from how many and which of the ``depth`` hours before it are there.
+
+    In this order: an hour of ``conflicts`` (key, time); too few earlier rows; a gap; a conflict among the hours before;
+    values that are not valid.  Hours ``asked`` for (key, time) that the history lacks are rows of their own, without values.
+    """
     w = Window.partitionBy(key).orderBy(F.unix_seconds(time))
-    seen = F.count("*").over(w.rangeBetween(-depth * 3600, 0))
-    rank = F.row_number().over(w)
-    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
-    clean = F.min(ok).over(w.rangeBetween(-depth * 3600, 0))
-    status = F.when(rank <= depth, "INSUFFICIENT_HISTORY").when(seen < depth + 1, "HISTORY_GAP").when(~clean, "INVALID_FEATURES").otherwise("READY")
-    return history.withColumn("status", status)
+    reach = w.rangeBetween(-depth * 3600, 0)
+    seen, rank = F.count("*").over(reach), F.row_number().over(w)
+    clean = F.min(F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))).over(reach)
+    if conflicts is None:
+        marked = history.withColumn("_clash", F.lit(False))
+    else:
+        marked = history.join(conflicts.select(key, time).distinct().withColumn("_clash", F.lit(True)), [key, time], "left")
+        marked = marked.withColumn("_clash", F.coalesce("_clash", F.lit(False)))
+    status = F.when(F.col("_clash"), "DUPLICATE_CONFLICT").when(rank <= depth, "INSUFFICIENT_HISTORY").when(seen < depth + 1, "HISTORY_GAP")
+    status = status.when(F.max("_clash").over(reach), "DUPLICATE_CONFLICT").when(~clean, "INVALID_FEATURES").otherwise("READY")
+    out = marked.withColumn("status", status).drop("_clash").select(*history.columns, "status")
+    if asked is None:
+        return out
+    absent = asked.select(key, time).distinct().join(history.select(key, time), [key, time], "left_anti")
+    return out.unionByName(absent.withColumn("status", F.lit("CURRENT_OBSERVATION_MISSING")), allowMissingColumns=True)
 
 
 def prospective_status(status: Column, target: Column, now: Column, provenance_ok: Column, live: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import six
-from ..session import use_utc
+from ..session import shared_folder, use_utc
 from ..sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +90,8 @@ SCORED = PANEL + """, scored AS (SELECT * FROM (SELECT location_id, event_time,
 def q(df: DataFrame, *exact: str, **rounded: str) -> DataFrame:
     """``exact`` columns as they are and ``rounded`` ones to six decimals."""
     return df.select(*exact, *(six(F.col(c)).alias(n) for n, c in rounded.items()))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"

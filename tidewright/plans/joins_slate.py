@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import haversine_km, six
-from ..operators import joins, state
+from ..operators import joins, quality, state
 from ..sources import readers
 from .base import OBS, PANEL, load, observations, panel, query, s6, sec, seconds
 
@@ -94,10 +94,10 @@ def top_lag(spark, d):
     return observations(spark, d).select("event_id", ((F.col("event_id") * 7919) % 1000003 * 100000 + F.col("event_id") % 100000).alias("arrival")).orderBy(F.col("arrival").desc(), "event_id").limit(20)
 
 
-@query("SELECT o_custkey AS id, 'left' AS side FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, 'right' FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")
+@query("SELECT o_custkey AS id, 'left' AS side FROM (SELECT o_custkey FROM orders EXCEPT SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, 'right' FROM (SELECT p_partkey FROM part EXCEPT SELECT o_custkey FROM orders)")
 def set_difference(spark, d):
     """SET-04."""
-    a, b = load(spark, d, "orders").select(F.col("o_custkey").alias("id")), load(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    a, b = load(spark, d, "orders").select(F.col("o_custkey").alias("id")), load(spark, d, "part").select(F.col("p_partkey").alias("id"))
     return joins.differences(a, b, "id")
 
 
@@ -157,10 +157,42 @@ def nested_min_max(spark, d):
     return observations(spark, d).groupBy("location_id").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("locations"))
 
 
-@query(f"WITH {PANEL}, s AS (SELECT location_id, event_time, row_number() OVER w AS r, count(*) OVER (PARTITION BY location_id ORDER BY CAST(floor(epoch(event_time)) AS BIGINT) RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS seen FROM panel WINDOW w AS (PARTITION BY location_id ORDER BY event_time)) SELECT location_id, CASE WHEN r <= 6 THEN 'INSUFFICIENT_HISTORY' WHEN seen < 7 THEN 'HISTORY_GAP' ELSE 'READY' END AS status, count(*) AS n FROM s GROUP BY ALL")
+_HOUR = "CAST(epoch(event_time) / 3600 AS BIGINT)"
+_REACH = "OVER (PARTITION BY location_id ORDER BY CAST(floor(epoch(event_time)) AS BIGINT) RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW)"
+#: Every 67th hour has payloads that differ and every 71st a value that is not valid; each hour's next one is asked for.
+STATUS = f"""s AS (SELECT location_id, event_time, {_HOUR} % 67 = 0 AS clash, row_number() OVER (PARTITION BY location_id ORDER BY event_time) AS r, count(*) {_REACH} AS seen,
+  max(CASE WHEN {_HOUR} % 67 = 0 THEN 1 ELSE 0 END) {_REACH} AS clashes, max(CASE WHEN {_HOUR} % 71 = 0 THEN 1 ELSE 0 END) {_REACH} AS faults FROM panel),
+status AS (SELECT location_id, event_time, CASE WHEN clash THEN 'DUPLICATE_CONFLICT' WHEN r <= 6 THEN 'INSUFFICIENT_HISTORY' WHEN seen < 7 THEN 'HISTORY_GAP' WHEN clashes = 1 THEN 'DUPLICATE_CONFLICT'
+  WHEN faults = 1 THEN 'INVALID_FEATURES' ELSE 'READY' END AS status FROM s
+  UNION ALL SELECT location_id, event_time + INTERVAL 1 HOUR, 'CURRENT_OBSERVATION_MISSING' FROM panel WHERE (location_id, event_time + INTERVAL 1 HOUR) NOT IN (SELECT (location_id, event_time) FROM panel))"""
+
+
+def _status(spark, d):
+    p, hour = panel(spark, d), F.floor(F.unix_seconds("event_time") / 3600)
+    asked = p.select("location_id", (F.col("event_time") + F.expr("INTERVAL 1 HOUR")).alias("event_time"))
+    return state.observed_status(p, valid=hour % 71 != 0, depth=6, conflicts=p.filter(hour % 67 == 0), asked=asked)
+
+
+@query(f"WITH {PANEL}, {STATUS} SELECT location_id, {sec('event_time')} AS second, status FROM status")
 def observation_status(spark, d):
-    """CMP-06, WIN-14 with a look-back of 6 hours."""
-    return state.observed_status(panel(spark, d), depth=6).groupBy("location_id", "status").agg(F.count("*").alias("n"))
+    """CMP-06, WIN-14 with a look-back of 6 hours: all six statuses."""
+    return _status(spark, d).select("location_id", seconds("event_time").alias("second"), "status")
+
+
+@query(f"WITH {PANEL}, {STATUS} SELECT location_id, {sec('event_time')} AS second, CASE WHEN status = 'HISTORY_GAP' THEN 'GAP_IN_HISTORY' WHEN status <> 'READY' THEN status WHEN {_HOUR} % 41 = 0 THEN 'INVALID_PROVENANCE' WHEN {_HOUR} % 2 = 0 AND event_time + INTERVAL 2 HOUR <= TIMESTAMP '2024-01-20' THEN 'NON_PROSPECTIVE_SKIPPED' ELSE 'READY' END AS outcome FROM status")
+def prospective_outcomes(spark, d):
+    """CMP-07: every second hour is live, every 41st has another source."""
+    hour, target = F.floor(F.unix_seconds("event_time") / 3600), F.col("event_time") + F.expr("INTERVAL 2 HOURS")
+    outcome = state.prospective_status(F.col("status"), target, F.to_timestamp(F.lit("2024-01-20")), hour % 41 != 0, hour % 2 == 0)
+    return _status(spark, d).select("location_id", seconds("event_time").alias("second"), outcome.alias("outcome"))
+
+
+@query(f"WITH {PANEL}, p AS (SELECT * FROM panel UNION ALL SELECT * FROM panel WHERE {_HOUR} % 97 = 0) SELECT (SELECT count(*) FROM (SELECT 1 FROM p GROUP BY location_id, event_time HAVING count(*) > 1)) AS duplicate_keys, count(*) AS total_rows, count(*) FILTER (temperature_c IS NULL) AS null_temperature_c, count(DISTINCT location_id) AS keys, {sec('min(event_time)')} AS first_second, {sec('max(event_time)')} AS last_second FROM p")
+def source_gate(spark, d):
+    """CMP-03 over a panel with repeated keys."""
+    p = panel(spark, d)
+    gate = quality.source_gate(p.unionByName(p.filter(F.floor(F.unix_seconds("event_time") / 3600) % 97 == 0)), "location_id", "event_time", ["temperature_c"])
+    return gate.select("duplicate_keys", "total_rows", "null_temperature_c", "keys", seconds("first_time").alias("first_second"), seconds("last_time").alias("last_second"))
 
 
 @query(f"WITH {PANEL}, {CHANGED}, dirty AS (SELECT DISTINCT p.location_id, p.event_time FROM panel p JOIN changed c ON p.location_id = c.location_id AND p.event_time BETWEEN c.t AND c.t + INTERVAL 24 HOUR) SELECT p.location_id, {sec('p.event_time')} AS second, d.location_id IS NOT NULL AS candidate FROM panel p LEFT JOIN dirty d USING (location_id, event_time)")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..functions.numbers import six
 from ..operators import audit, features
-from .base import MEASURES, PANEL, load, observations, panel, query, s6, sec, seconds
+from .base import MEASURES, PANEL, load, panel, query, s6, scratch, sec, seconds
 
 #: The test tables span one month and have gaps, so gates here look back a few hours.
 SHORT = features.Panel(lags={c: (n, tuple(h for h in hs if h <= 6)) for c, (n, hs) in features.LAGS.items()}, roll_hours=(3, 6), depth=6)
-SPLITS = (("TRAIN", None, "2024-01-15"), ("VALIDATION", "2024-01-15", "2024-01-22"), ("TEST", "2024-01-22", None))
+SPLITS = (("TRAIN", None, "2024-01-15"), ("VALIDATION", "2024-01-15", "2024-01-22"), ("TEST", "2024-01-22", "2024-01-29"))
 W = "WINDOW w AS (PARTITION BY location_id ORDER BY event_time)"
 
 
@@ -109,15 +109,78 @@ def gap_edges(spark, d):
 
 
 
+def _sql_split(target: str) -> str:
+    return f"CASE WHEN {target} < TIMESTAMP '2024-01-15' THEN 'TRAIN' WHEN {target} < TIMESTAMP '2024-01-22' THEN 'VALIDATION' WHEN {target} < TIMESTAMP '2024-01-29' THEN 'TEST' END"
 
-@query(f"WITH {PANEL}, a AS (SELECT *, {GATE.format(n=6)}, lead(temperature_c) OVER w AS label, lag(temperature_c, 1) OVER w AS temp_lag_1h, lag(temperature_c, 6) OVER w AS temp_lag_6h, avg(temperature_c) OVER (PARTITION BY location_id ORDER BY event_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS roll6 FROM panel {W}) SELECT location_id, {sec('event_time')} AS second, {sec("event_time + INTERVAL 1 HOUR")} AS target_second, temp_lag_1h, temp_lag_6h, {s6('roll6')} AS temp_roll_mean_6h, label AS target_1h, CASE WHEN event_time + INTERVAL 1 HOUR < TIMESTAMP '2024-01-15' THEN 'TRAIN' WHEN event_time + INTERVAL 1 HOUR < TIMESTAMP '2024-01-22' THEN 'VALIDATION' ELSE 'TEST' END AS split FROM a WHERE history_complete AND target_complete")
+
+def _sql_frame(p: features.Panel) -> str:
+    """CTEs up to ``frame``: the panel with all features, gates, label and split of every row."""
+    lags = [f"lag({c}, {n}) OVER w AS {short}_lag_{n}h" for c, (short, ns) in p.lags.items() for n in ns]
+    deltas = [f"{s6(f'{c} - lag({c}, {n}) OVER w')} AS {short}_delta_{n}h" for c, short, ns in p.deltas for n in ns]
+    rolls, names = [], {"mean": "avg", "std": "stddev_pop", "sum": "sum"}
+    for c, (short, operations) in p.rolls.items():
+        for n in p.roll_hours:
+            over = f"OVER (PARTITION BY location_id ORDER BY event_time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+            for op in operations:
+                name = f"{short}_sum_{n}h" if op == "sum" else f"{short}_roll_{op}_{n}h"
+                rolls.append(f"{s6(f'CASE WHEN count({c}) {over} = {n} THEN {names[op]}({c}) {over} END')} AS {name}")
+    calendar = ["CAST(hour(l) AS INTEGER) AS local_hour", "CAST(isodow(l) - 1 AS INTEGER) AS local_day_of_week", "CAST(month(l) AS INTEGER) AS local_month", "CAST(dayofyear(l) AS INTEGER) AS local_day_of_year"]
+    calendar += [f"{s6(f'{fn}({v}::DOUBLE * (2.0 * pi() / {period}))')} AS {n}_{fn}" for n, (v, period) in _PERIOD.items() for fn in ("sin", "cos")]
+    made = ", ".join([*calendar, *lags, *rolls, *deltas])
+    return f"""{PANEL}, placed AS (SELECT *, 21.0::DOUBLE AS latitude, 105.0::DOUBLE AS longitude, event_time + INTERVAL 7 HOUR AS l, event_time + INTERVAL 1 HOUR AS target_time FROM panel),
+frame AS (SELECT *, {made}, {GATE.format(n=p.depth)}, lead(temperature_c) OVER w AS target_1h, {_sql_split('target_time')} AS split,
+  lag(event_time) OVER w AS before, lead(event_time) OVER w AS after, lag(event_time, {p.depth}) OVER w AS history FROM placed {W})"""
+
+
+def placed(spark, d):
+    return panel(spark, d).withColumn("latitude", F.lit(21.0)).withColumn("longitude", F.lit(105.0))
+
+
+def _sql_whole_frame(p: features.Panel) -> str:
+    names = ", ".join(features.columns(p))
+    return f"WITH {_sql_frame(p)} SELECT location_id, {sec('event_time')} AS second, {sec('target_time')} AS target_second, {names}, target_1h, split FROM frame WHERE history_complete AND target_complete"
+
+
+def _whole_frame(spark, d, p):
+    f = features.build(placed(spark, d), p, splits=SPLITS)
+    made = {*features.rolled(p), *features.differences(p)}
+    shown = [six(F.col(c)).alias(c) if c in made or c.endswith(("_sin", "_cos")) else F.col(c) for c in features.columns(p)]
+    return f.select("location_id", seconds("event_time").alias("second"), seconds("target_time").alias("target_second"), *shown, "target_1h", "split")
+
+
+@query(_sql_whole_frame(features.Panel()))
 def feature_frame(spark, d):
-    """CMP-01/02: features, label and split behind the gates (look-back of 6 hours)."""
-    f = features.build(panel(spark, d), SHORT, splits=SPLITS)
-    return f.select("location_id", seconds("event_time").alias("second"), seconds("target_time").alias("target_second"), "temp_lag_1h", "temp_lag_6h", six(F.col("temp_roll_mean_6h")).alias("temp_roll_mean_6h"), "target_1h", "split")
+    """CMP-01/02: all 73 features, label and split behind the gates of 24 hours."""
+    return _whole_frame(spark, d, features.Panel())
+
+
+@query(_sql_whole_frame(SHORT))
+def feature_frame_6h(spark, d):
+    """CMP-01/02 with a look-back of six hours, which more rows of a gappy panel have."""
+    return _whole_frame(spark, d, SHORT)
+
 
+def _sql_diagnostics(p: features.Panel) -> str:
+    counts = {
+        "source_rows": "true",
+        "source_gap_edges": "before IS NOT NULL AND event_time <> before + INTERVAL 1 HOUR",
+        "history_continuity_violations": "history IS NOT NULL AND NOT history_complete",
+        "history_ineligible_rows": "NOT history_complete",
+        "target_ineligible_rows": "NOT target_complete",
+        "invalid_feature_rows": "history_complete AND target_complete AND pressure_hpa IS NULL",
+        "eligible_rows": "history_complete AND target_complete AND pressure_hpa IS NOT NULL",
+        "target_gap_edges": "after IS NOT NULL AND NOT target_complete",
+    }
+    return f"WITH {_sql_frame(p)} SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in counts.items()) + " FROM frame"
 
-@query(f"WITH {PANEL}, s AS (SELECT location_id, event_time, CASE WHEN event_time + INTERVAL 1 HOUR < TIMESTAMP '2024-01-15' THEN 'TRAIN' WHEN event_time + INTERVAL 1 HOUR < TIMESTAMP '2024-01-22' THEN 'VALIDATION' ELSE 'TEST' END AS split FROM panel) SELECT split, location_id, count(*) AS n, {sec('min(event_time)')} AS first_second, {sec('max(event_time)')} AS last_second FROM s GROUP BY ALL")
+
+@query(_sql_diagnostics(features.Panel()))
+def feature_diagnostics(spark, d):
+    """CMP-01: the eight counts."""
+    return features.diagnostics(placed(spark, d))
+
+
+@query(f"WITH {PANEL}, s AS (SELECT location_id, event_time, {_sql_split('(event_time + INTERVAL 1 HOUR)')} AS split FROM panel) SELECT split, location_id, count(*) AS n, {sec('min(event_time)')} AS first_second, {sec('max(event_time)')} AS last_second FROM s GROUP BY ALL")
 def temporal_split_counts(spark, d):
     """CMP-02, AGG-17."""
     target = F.col("event_time") + features.hours(1)
@@ -165,12 +228,45 @@ def smoke_slice(spark, d):
     return p.orderBy(F.col("event_time").desc(), "location_id").select("location_id", seconds("event_time").alias("second"), "temperature_c")
 
 
-@query("SELECT * FROM (VALUES ('has_rows', 'PASS'), ('keys_unique', 'PASS'), ('labels_present', 'PASS'), ('splits_present', 'PASS'), ('columns_as_agreed', 'PASS')) v(assertion, result)")
+#: Faults planted into the second table that read_back_suite reads: labels, features, splits and repeated keys by hour.
+_HOUR = "CAST(epoch(event_time) / 3600 AS BIGINT)"
+_READ = {
+    "has_rows": "count(there) > 0",
+    "columns_as_agreed": "true",
+    "keys_unique": "count(there) = count(DISTINCT (location_id, event_time)) FILTER (there)",
+    "identities_present": "count(*) FILTER (there AND (location_id IS NULL OR event_time IS NULL OR target_time IS NULL)) = 0",
+    "labels_present": "count(*) FILTER (there AND target_1h IS NULL) = 0",
+    "splits_present": "count(*) FILTER (there AND split IS NULL) = 0",
+    "splits_in_bounds": f"count(*) FILTER (there AND (split IS DISTINCT FROM {_sql_split('target_time')} OR split IS NULL)) = 0",
+    "targets_aligned": "count(*) FILTER (target_time <> event_time + INTERVAL 1 HOUR) = 0",
+    "labels_true": "count(*) FILTER (there AND (truth IS NULL OR truth <> target_1h)) = 0",
+    "features_finite": "count(*) FILTER (there AND (isnan(temp_lag_1h) OR temp_lag_1h IS NULL)) = 0",
+}
+_FAULTS = f"""sound AS (SELECT location_id, event_time, target_time, temp_lag_1h, target_1h, split FROM frame WHERE history_complete AND target_complete),
+faulty AS (SELECT location_id, event_time, target_time, CASE WHEN {_HOUR} % 13 = 0 THEN 'NaN'::DOUBLE ELSE temp_lag_1h END AS temp_lag_1h, CASE WHEN {_HOUR} % 17 = 0 THEN target_1h + 1 ELSE target_1h END AS target_1h,
+  CASE WHEN {_HOUR} % 19 = 0 THEN 'TEST' ELSE split END AS split FROM sound UNION ALL SELECT * FROM sound WHERE {_HOUR} % 11 = 0),
+both_ AS (SELECT 'sound' AS variant, * FROM sound UNION ALL SELECT 'faulty', * FROM faulty),
+checked AS (SELECT b.*, true AS there, p.temperature_c AS truth FROM both_ b LEFT JOIN (SELECT location_id, event_time AS target_time, temperature_c FROM panel) p USING (location_id, target_time))"""
+
+
+@query(f"WITH {_sql_frame(SHORT)}, {_FAULTS} " + " UNION ALL ".join(f"SELECT variant, '{name}' AS assertion, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS result FROM (VALUES ('sound'), ('faulty')) v(variant) LEFT JOIN checked USING (variant) GROUP BY variant" for name, ok in _READ.items()))
 def read_back_suite(spark, d):
-    """CMP-04 over a frame with a look-back of two hours."""
-    two = features.Panel(lags={c: (n, (1,)) for c, (n, _) in features.LAGS.items()}, roll_hours=(), rolls={}, deltas=(), depth=2)
-    f = features.build(panel(spark, d), two, splits=SPLITS)
-    return audit.read_back(f, "location_id", "event_time", "target_1h", f.columns)
+    """CMP-04: a feature table written, read back and held to its source; and one with planted faults."""
+    p, hour, folder = placed(spark, d), F.floor(F.unix_seconds("event_time") / 3600), scratch(spark)
+    sound = features.build(p, SHORT, splits=SPLITS)
+    faulty = sound.withColumns({
+        "temp_lag_1h": F.when(hour % 13 == 0, float("nan")).otherwise(F.col("temp_lag_1h")),
+        "target_1h": F.when(hour % 17 == 0, F.col("target_1h") + 1).otherwise(F.col("target_1h")),
+        "split": F.when(hour % 19 == 0, "TEST").otherwise(F.col("split")),
+    })
+    faulty = faulty.unionByName(sound.filter(hour % 11 == 0))
+    out = None
+    for name, frame in (("sound", sound), ("faulty", faulty)):
+        frame.write.parquet(f"{folder}/{name}")
+        back = audit.read_back(spark.read.parquet(f"{folder}/{name}"), p, "location_id", "event_time", "target_1h", "temperature_c", features.columns(SHORT), splits=SPLITS)
+        back = back.select(F.lit(name).alias("variant"), "assertion", "result")
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @query(f"WITH {PANEL}, x AS (SELECT event_time < TIMESTAMP '2024-01-15' AS train, temperature_c AS v FROM panel), a AS (SELECT count(v) AS n, avg(v) AS m, stddev_pop(v) AS s FROM x WHERE train), b AS (SELECT count(v) AS n, avg(v) AS m FROM x WHERE NOT train) SELECT 'temperature_c' AS \"column\", a.n AS train_count, b.n AS live_count, {s6('(b.m - a.m) / nullif(a.s, 0)')} AS mean_shift FROM a, b")

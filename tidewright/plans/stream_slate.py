@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import six
 from ..operators import features, quality, state, windows
-from ..session import shared_folder
 from ..sources.merge import log_rows, merged, newest, without
 from ..sources.readers import file_stream
 from ..streaming import medallion as runs
-from .base import PANEL, load, observations, panel, query, s6, sec, seconds
+from .base import PANEL, load, observations, panel, query, s6, scratch, sec, seconds
 from .medallion import RAW, VALID, raw
 
 COLUMNS = ("event_id", "offset", "location_id", "event_time", "temperature_c", "humidity_pct", "precipitation_mm", "latitude", "longitude")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-
-
 def arrivals(spark, d, folder: str, batches: int = 4, files: int = 2):
     """The raw records as a stream of files by ranges of offsets, so many files a micro-batch."""
     r = raw(spark, d).select(*COLUMNS)
