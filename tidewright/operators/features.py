@@ -152,6 +152,14 @@ def grid(df: DataFrame, key: str, time: str) -> DataFrame:
     return every.join(df, [key, time], "left")
 
 
+def rolled_on_grid(df: DataFrame, key: str, time: str, value: str, rows: int, least: int) -> DataFrame:
+    """WIN-12: mean, population deviation and sum of the last ``rows`` hours of the whole grid, null below ``least`` values."""
+    w = Window.partitionBy(key).orderBy(time).rowsBetween(-(rows - 1), 0)
+    enough = F.count(value).over(w) >= least
+    shapes = {"mean": F.avg, "std": F.stddev_pop, "sum": F.sum}
+    return grid(df, key, time).select(key, time, *(F.when(enough, f(value).over(w)).alias(f"{value}_{n}_{rows}") for n, f in shapes.items()))
+
+
 def missing_hours(df: DataFrame, key: str, time: str) -> DataFrame:
     """SET-07."""
     spans = df.groupBy(key).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))

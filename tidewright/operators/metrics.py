@@ -14,9 +14,13 @@ from .joins import small
 SUMS = ("n", "abs_error", "sq_error", "error", "y", "y_sq")
 
 
-def sufficient(prediction: str = "prediction", actual: str = "reference") -> list[Column]:
-    """n, Σ|e|, Σe², Σe, Σy, Σy² with e = prediction - actual."""
-    e, y = F.col(prediction) - F.col(actual), F.col(actual)
+def sufficient(prediction: str = "prediction", actual: str = "reference", centre: float = 0.0) -> list[Column]:
+    """n, Σ|e|, Σe², Σe, Σy, Σy² with e = prediction - actual and y = actual - centre.
+
+    Only the spread of y is ever used, so ``centre`` changes no metric; one near the mean keeps r2 from cancelling where
+    the mean is large beside the spread.  Sums that are added up need the same centre.
+    """
+    e, y = F.col(prediction) - F.col(actual), F.col(actual) - centre
     return [F.count(e).alias("n"), F.sum(F.abs(e)).alias("abs_error"), F.sum(e * e).alias("sq_error"), F.sum(e).alias("error"), F.sum(F.when(e.isNotNull(), y)).alias("y"), F.sum(F.when(e.isNotNull(), y * y)).alias("y_sq")]
 
 
@@ -61,6 +65,14 @@ def distributions(df: DataFrame, columns: list[str], by: list[str] | None = None
     return long.groupBy(*(by or []), "column").agg(*distribution("_value"))
 
 
+def train_bounds(df: DataFrame, columns: list[str], split: str = "split") -> DataFrame:
+    """AGG-13: p01 and p99 of the finite values of each column, of TRAIN rows only."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_value")) for c in columns]
+    long = df.filter(F.col(split) == "TRAIN").select(F.inline(F.array(*cells))).filter(finite(F.col("_value")))
+    p = F.percentile("_value", [0.01, 0.99])
+    return long.groupBy("column").agg(F.count("*").alias("count"), p[0].alias("p01"), p[1].alias("p99"))
+
+
 def nearest_rank(df: DataFrame, value: str, share: float, by: list[str] | None = None) -> DataFrame:
     """AGG-11: the value at index int((n - 1) * share + 0.5) of the sorted values."""
     w = Window.partitionBy(*(by or []))

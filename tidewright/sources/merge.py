@@ -60,17 +60,23 @@ def newest(spark: SparkSession, path: str, schema: str | T.StructType, keys: lis
     return changes.withColumn("_last", last).filter("_last = 1").select(wanted.fieldNames())
 
 
-def staged_write(df: DataFrame, final: str, check, partition_by: list[str] | None = None) -> None:
-    """SNK-09: write beside, read back, ``check`` (raises), then move into place; an existing target is an error."""
+def append_metrics(metrics: DataFrame, path: str) -> None:
+    """SNK-12: a micro-batch's metrics as further JSON lines below ``path``."""
+    metrics.write.mode("append").json(path)
+
+
+def staged_write(df: DataFrame, final: str, check=lambda written: None, partition_by: list[str] | None = None, kind: str = "parquet") -> None:
+    """SNK-09/11: write beside, read back, ``check`` (raises), then move into place; an existing target is an error."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, staging = (jvm.org.apache.hadoop.fs.Path(p) for p in (final, f"{final}._staging"))
     fs = target.getFileSystem(conf)
     if fs.exists(target):
         raise FileExistsError(final)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{final}._staging")
-    check(spark.read.parquet(f"{final}._staging"))
+    header = str(kind == "csv").lower()
+    writer = df.write.mode("overwrite").format(kind).option("header", header)
+    (writer.partitionBy(*partition_by) if partition_by else writer).save(f"{final}._staging")
+    check(spark.read.format(kind).option("header", header).load(f"{final}._staging"))
     if not fs.rename(staging, target):
         raise OSError(f"could not move {staging} into place")
 

@@ -49,6 +49,23 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(f"{schema}, _corrupt_record string") if schema else reader).json(path)
 
 
+def json_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SRC-14: file, line (from 1, blank lines counted) and text of each line that is neither blank nor parses by ``schema``.
+
+    Rows of a file's block are read in order, so a line's number is its place in its block after the lines of the blocks
+    before; only a row for each block is shuffled beside the faulty lines.
+    """
+    from pyspark.sql import Window
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_lines"), F.min("_id").alias("_first"))
+    blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = lines.filter(F.trim("value") != "").filter(parsed["_corrupt_record"].isNotNull())
+    return bad.join(blocks, ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def parquet_tree(spark: SparkSession, path: str, condition: Column | None = None) -> DataFrame:
     """SRC-10: all Parquet files below a folder, filtered at the scan."""
     df = spark.read.option("recursiveFileLookup", "true").parquet(path)
