@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import joins_slate, medallion, metrics_slate, panel_slate, perf_slate, source_slate, stream_slate  # noqa: F401
+from . import joins_slate, medallion, metrics_slate, panel_slate, perf_slate, record_slate, source_slate, stream_slate  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -9,7 +9,7 @@ from ..functions.numbers import finite, six
 from ..operators import features, gates, metrics
 from ..sources import readers
 from ..sources.merge import append_metrics, staged_write
-from .base import OBS, PANEL, load, observations, panel, query, s6, scratch
+from .base import OBS, PANEL, load, observations, panel, query, s6, scratch, sec, seconds
 from .panel_slate import GRID
 
 EVENT = "event_id long, event_type string, value double"
@@ -135,11 +135,11 @@ def raw_completeness(spark, d):
 _ROLLED = {"mean": "avg", "std": "stddev_pop", "sum": "sum"}
 
 
-@query(f"WITH {PANEL}, {GRID} SELECT location_id, event_time, " + ", ".join(f"CASE WHEN count(temperature_c) OVER w >= 3 THEN {s6(f'{f}(temperature_c) OVER w')} END AS temperature_c_{n}_6" for n, f in _ROLLED.items()) + " FROM g LEFT JOIN panel USING (location_id, event_time) WINDOW w AS (PARTITION BY location_id ORDER BY event_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {PANEL}, {GRID} SELECT location_id, {sec('event_time')} AS second, " + ", ".join(f"CASE WHEN count(temperature_c) OVER w >= 3 THEN {s6(f'{f}(temperature_c) OVER w')} END AS temperature_c_{n}_6" for n, f in _ROLLED.items()) + " FROM g LEFT JOIN panel USING (location_id, event_time) WINDOW w AS (PARTITION BY location_id ORDER BY event_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 def rolling_min_periods(spark, d):
     """WIN-12."""
     r = features.rolled_on_grid(panel(spark, d), "location_id", "event_time", "temperature_c", 6, 3)
-    return r.select("location_id", "event_time", *(six(F.col(c)).alias(c) for c in r.columns[2:]))
+    return r.select("location_id", seconds("event_time").alias("second"), *(six(F.col(c)).alias(c) for c in r.columns[2:]))
 
 
 @query(f"WITH {OBS}, t AS (SELECT * FROM obs WHERE event_time < '2024-01-15'), l AS (SELECT 'temperature_c' AS \"column\", temperature_c AS v FROM t UNION ALL SELECT 'humidity_pct', humidity_pct FROM t) SELECT \"column\", count(v) AS count, {s6('quantile_cont(v, 0.01)')} AS p01, {s6('quantile_cont(v, 0.99)')} AS p99 FROM l GROUP BY ALL")
