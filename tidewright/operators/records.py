@@ -68,7 +68,8 @@ def metric_records(df: DataFrame, window_hours: int, by_place: bool, expected_sa
     target_reference_received, reference, model_prediction, persistence_prediction and the two lags in seconds; ``columns``
     are further ones whose distributions go into distribution_json.  Only EVALUATED rows with finite numbers are measured;
     all rows count.  A null source or mode gets its own name, a null place is a place.  Rows are summed by place and hour
-    before they reach the windows they belong to, so a window costs by hours and not by rows.
+    before they reach the windows they belong to, so metrics cost by hours and not by rows.  Distributions count equal
+    values of an hour first; values that seldom repeat cost about rows times ``window_hours``.
     """
     named = df.withColumn("reference_source", F.coalesce("reference_source", F.lit(NO_SOURCE))).withColumn("evaluation_mode", F.coalesce("evaluation_mode", F.lit(NO_MODE)))
     rows = named.withColumn("_place", F.coalesce("location_id", F.lit(""))).withColumn("_hour", F.date_trunc("hour", "target_time"))
