@@ -89,3 +89,24 @@ def shift(train: DataFrame, live: DataFrame, columns: list[str]) -> DataFrame:
     a, b = (distributions(df, columns).select("column", *(F.col(c).alias(f"{side}_{c}") for c in ("count", "mean", "std", "p50"))) for side, df in (("train", train), ("live", live)))
     gap = (F.col("live_mean") - F.col("train_mean")) / F.nullif(F.col("train_std"), F.lit(0.0))
     return a.join(b, "column", "full_outer").withColumn("mean_shift", gap)
+
+
+def late_conservation(sent: DataFrame, gold: DataFrame, fault: str, n: str, keys: list[str]) -> DataFrame:
+    """STR-08: rows sent and counted in ``gold`` by NORMAL and LATE, in one row; a row without a fault is unexpected.
+
+    ``conserved``: every normal row counts, late rows are there, none counts twice, drops add up and no other fault occurs.
+    """
+    kind = F.coalesce(F.col(fault), F.lit("NULL"))
+    a = sent.agg(
+        F.count("*").alias("_sent"), F.count_if(kind == "NORMAL").alias("normal_generated"), F.count_if(kind == "LATE").alias("late_generated"),
+        F.count_if(~kind.isin("NORMAL", "LATE")).alias("unexpected"),
+    )
+    b = gold.agg(*(F.coalesce(F.sum(F.when(kind == k, F.col(n))), F.lit(0)).alias(c) for k, c in (("NORMAL", "normal_accepted"), ("LATE", "late_accepted"))), F.coalesce(F.sum(n), F.lit(0)).alias("_counted"))
+    twice = gold.groupBy(*keys).count().agg(F.count_if(F.col("count") > 1).alias("duplicate_keys"))
+    one = a.join(b).join(twice)  # single rows
+    drops = {f"{k}_dropped": F.col(f"{k}_generated") - F.col(f"{k}_accepted") for k in ("normal", "late")}
+    one = one.select("*", *(v.alias(k) for k, v in drops.items()), (F.col("_sent") - F.col("_counted")).alias("total_dropped"))
+    sums = F.col("total_dropped") == F.col("normal_dropped") + F.col("late_dropped")
+    sound = (F.col("normal_dropped") == 0) & (F.col("late_generated") > 0) & (F.col("late_dropped") >= 0) & sums & (F.col("unexpected") == 0) & (F.col("duplicate_keys") == 0)
+    counts = [f"{k}_{c}" for k in ("normal", "late") for c in ("generated", "accepted", "dropped")]
+    return one.select(*counts, "total_dropped", "unexpected", "duplicate_keys", sound.alias("conserved"))

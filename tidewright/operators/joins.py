@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Dimensions up to so many bytes, by the optimizer's estimate, are broadcast; larger ones are shuffled.
@@ -78,17 +78,31 @@ def common_hour(df: DataFrame, key: str, time: str) -> DataFrame:
     return full.agg(F.max(time).alias("common_hour"))
 
 
+def in_ranges(df: DataFrame, column: str, name: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with the number of the range of ``column`` (numeric) that a row is in, larger values in later ranges.
+
+    The ranges have about equally many rows each unless values repeat; equal values share one.  Their bounds come from a
+    sketch and are fixed once, so that all uses of the result agree; rows find theirs by binary search.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = df.stat.approxQuantile(column, [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
+    inner = sorted({b for b in bounds if abs(b) < float("inf")})
+    if not inner:
+        return df.withColumn(name, F.lit(0))
+    splits = [-float("inf"), *inner, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_cut", outputCol="_place", handleInvalid="keep")
+    placed = cut.transform(df.withColumn("_cut", F.col(column).cast("double")))
+    return placed.withColumn(name, F.col("_place").cast("int")).drop("_cut", "_place")
+
+
 def running_max_before(df: DataFrame, order: str, value: str, name: str, ranges: int | None = None) -> DataFrame:
     """WIN-10: for each row the largest ``value`` of all rows before it in ``order`` (unique), without one task for all.
 
     Rows are range-partitioned by ``order``; ranges carry in the largest value of the ranges before them.
     """
-    spark: SparkSession = df.sparkSession
-    parts = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the range of a row comes from sampled bounds that are fixed once, so that both uses agree
-    bounds = [b for b in df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)] if parts > 1 else []
-    place = reduce(lambda c, b: c + F.when(F.col(order) > b, 1).otherwise(0), sorted(set(bounds)), F.lit(0))
-    placed = df.withColumn("_range", place)
+    placed = in_ranges(df, order, "_range", ranges)
     tops = placed.groupBy("_range").agg(F.max(value).alias("_top"))
     carried = tops.select("_range", F.max("_top").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     inner = F.max(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

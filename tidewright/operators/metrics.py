@@ -5,11 +5,13 @@ Regression metrics are kept as sufficient statistics, so hours add up to days an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, ratio
-from .joins import small
+from .joins import in_ranges, small
 
 SUMS = ("n", "abs_error", "sq_error", "error", "y", "y_sq")
 
@@ -73,11 +75,45 @@ def train_bounds(df: DataFrame, columns: list[str], split: str = "split") -> Dat
     return long.groupBy("column").agg(F.count("*").alias("count"), p[0].alias("p01"), p[1].alias("p99"))
 
 
+def at_ranks(df: DataFrame, value: str, ranks: Callable[[Column], list[Column]], by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Order statistics by group: ``n`` rows and ``values``, those at the ranks (from 0) that ``ranks`` gives for ``n``.
+
+    Counts of ranges say which ranges hold a wanted rank; only their values are counted, then ordered within the range.
+    So no task sees a group, however large, and a value that repeats is one row.  Nulls are left out; groups may be null.
+    """
+    group = F.struct(*by) if by else F.lit(0)
+    rows = df.filter(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).alias("_v"))
+    counted = in_ranges(rows, "_v", "_r", ranges).groupBy("_g", "_r", "_v").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy("_g")
+    sizes = counted.groupBy("_g", "_r").agg(F.sum("_c").alias("_c"))
+    upto = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select("_g", "_r", "_c", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    asked = placed.select("_g", "_r", "_c", "_before", "_n", F.posexplode(F.array(*(k.cast("long") for k in ranks(F.col("_n"))))).alias("_i", "_k"))
+    asked = asked.filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c"))).drop("_c")
+    wanted = counted.join(asked.select("_g", "_r").distinct(), ["_g", "_r"], "left_semi")
+    inside = Window.partitionBy("_g", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    summed = wanted.withColumn("_last", F.sum("_c").over(inside))
+    met = summed.join(asked, ["_g", "_r"]).withColumn("_k", F.col("_k") - F.col("_before"))
+    hit = met.filter((F.col("_k") < F.col("_last")) & (F.col("_k") >= F.col("_last") - F.col("_c")))
+    out = hit.groupBy("_g").agg(F.max("_n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("values"))
+    return out.select(*(F.col("_g")[c].alias(c) for c in by or []), "n", "values")
+
+
 def nearest_rank(df: DataFrame, value: str, share: float, by: list[str] | None = None) -> DataFrame:
-    """AGG-11: the value at index int((n - 1) * share + 0.5) of the sorted values."""
-    w = Window.partitionBy(*(by or []))
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.filter(F.col("_i") == F.floor((F.col("_n") - 1) * share + 0.5)).select(*(by or []), F.col(value).alias("value"))
+    """AGG-11: the value at index int((n - 1) * share + 0.5) of the sorted values; no row where there is none."""
+    found = at_ranks(df, value, lambda n: [F.floor((n - 1) * share + 0.5)], by)
+    return found.select(*(by or []), F.col("values")[0].alias("value"))
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """AGG-10: ``percentiles``, interpolated between ranks as ``F.percentile`` does, of groups too large for one task."""
+    found = at_ranks(df, value, lambda n: [cut((n - 1) * s) for s in shares for cut in (F.floor, F.ceil)], by)
+    out = []
+    for i, share in enumerate(shares):
+        low, high = F.col("values")[2 * i], F.col("values")[2 * i + 1]
+        place = (F.col("n") - 1) * share
+        out.append(low + (high - low) * (place - F.floor(place)))
+    return found.select(*(by or []), F.array(*out).alias("percentiles"))
 
 
 def evaluation_summary(df: DataFrame, by: list[str], model: str = "model_prediction", base: str = "persistence_prediction", actual: str = "reference", least: int = 1) -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import forecast_id
 from . import dedupe, joins
 from .features import hours
 from .quality import reject_reason
@@ -116,3 +117,38 @@ def score_batches(features: DataFrame, columns: list[str], name: str, load, pass
             yield out
 
     return features.select(*dict.fromkeys([*passthrough, *columns])).mapInPandas(run, schema)
+
+
+@dataclass
+class Outcome:
+    """What a micro-batch leaves to be merged: new rows of the state (``batch.accepted``), a status of each candidate hour,
+    forecasts that are not there yet, and keys of the state that expire."""
+
+    batch: Batch
+    statuses: DataFrame
+    forecasts: DataFrame
+    expired: DataFrame
+
+
+def run_batch(
+    batch: DataFrame, stored: DataFrame, known: DataFrame, forecasts: DataFrame, values: tuple[str, ...], features: dict[str, Column], columns: list[str], model: str, load,
+    key: str = "location_id", time: str = "event_time", valid: Column | None = None, depth: int = 24, horizon: int = 1, retention_hours: int = 48,
+) -> Outcome:
+    """CMP-05 whole: classify a batch, join it to the state, find the hours that it changes, build their features, score
+    those that are READY, and give forecasts deterministic ids.
+
+    ``features`` are window expressions over the history, ``columns`` what the model reads.  Forecasts whose id is in
+    ``forecasts`` are left out, so a replay adds none.  The results share their input; persist the batch before using several.
+    """
+    done = classify(batch, stored, known, values, key, time, retention_hours=retention_hours, reach_hours=depth)
+    judged = observed_status(done.history, key, time, valid, depth).select("*", *(v.alias(k) for k, v in features.items()))
+    asked = judged.join(done.candidates.select(key, time), [key, time], "left_semi")
+    ready = asked.filter("status = 'READY'").withColumnRenamed("event_id", "source_event_id")
+    scored = score_batches(ready, columns, model, load, [key, time, "source_event_id"])
+    made = scored.select(
+        forecast_id(F.lit(model), F.col(key), F.col(time), F.lit(horizon)).alias("forecast_id"), key, F.col(time).alias("feature_time"),
+        (F.col(time) + hours(horizon)).alias("target_time"), "prediction", F.lit(model).alias("model_id"), "source_event_id",
+    )
+    fresh = made.join(forecasts.select("forecast_id"), ["forecast_id"], "left_anti")
+    after = stored.select(key, time).unionByName(done.accepted.select(key, time))
+    return Outcome(done, asked.select(key, time, "status"), fresh, expired(after, key, time, retention_hours))

@@ -105,6 +105,14 @@ def percentile_nearest_rank(spark, d):
     return metrics.nearest_rank(observations(spark, d), "temperature_c", 0.95, ["location_id"])
 
 
+@query(f"WITH {OBS}, x AS (SELECT temperature_c AS v FROM obs), n AS (SELECT *, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM x WHERE v IS NOT NULL) SELECT {s6('(SELECT quantile_cont(v, 0.05) FROM x)')} AS p05, {s6('(SELECT quantile_cont(v, 0.5) FROM x)')} AS p50, {s6('(SELECT quantile_cont(v, 0.95) FROM x)')} AS p95, (SELECT v FROM n WHERE i = floor((n - 1) * 0.95 + 0.5)) AS nearest_p95")
+def percentiles_of_all_rows(spark, d):
+    """AGG-10/11 of one group of all rows, which no task sees whole."""
+    o = observations(spark, d).select("temperature_c")
+    p = metrics.percentiles(o, "temperature_c", [0.05, 0.5, 0.95]).select(*(six(F.col("percentiles")[i]).alias(n) for i, n in enumerate(("p05", "p50", "p95"))))
+    return p.join(metrics.nearest_rank(o, "temperature_c", 0.95).select(F.col("value").alias("nearest_p95")))  # single rows
+
+
 @query()
 def percentile_approx_lag(spark, d):
     """AGG-09: a sketch; no SQL gives the same value everywhere."""

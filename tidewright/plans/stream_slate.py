@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ids import forecast_id
 from ..functions.numbers import six
-from ..operators import features, quality, state, windows
+from ..operators import audit, features, quality, state, windows
 from ..sources.merge import log_rows, merged, newest, without
 from ..sources.readers import file_stream
 from ..streaming import medallion as runs
@@ -60,6 +61,25 @@ def stream_restart(spark, d):
     return spark.read.parquet(f"{folder}/silver").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
+@query(f"WITH {RAW}, g AS (SELECT count(*) AS n FROM raw WHERE {VALID}), l AS (SELECT count(*) AS n FROM raw WHERE {VALID} AND event_id % 10 = 0) SELECT g.n AS normal_generated, g.n AS normal_accepted, 0 AS normal_dropped, l.n AS late_generated, 0 AS late_accepted, l.n AS late_dropped, l.n AS total_dropped, 0 AS unexpected, 0 AS duplicate_keys, l.n > 0 AS conserved FROM g, l")
+def stream_late_conservation(spark, d):
+    """STR-08: normal rows come by time and all count; those sent again 60 days back in the last batch are all dropped."""
+    folder = scratch(spark)
+    good = raw(spark, d).select(*COLUMNS).filter(quality.valid_observation()).withColumn("fault", F.lit("NORMAL"))
+    back = good.filter("event_id % 10 = 0").withColumns({"event_time": F.col("event_time") - F.expr("INTERVAL 60 DAYS"), "fault": F.lit("LATE")})
+    first, second = (F.to_timestamp(F.lit(t)) for t in ("2024-01-11", "2024-01-21"))
+    time = F.col("event_time")
+    # files are read in the order of their times; rows are late by the watermark of the batch before the last
+    for rows in (good.filter(time < first), good.filter(time.between(first, second)), good.filter(time > second).unionByName(back)):
+        rows.repartition(2).write.mode("append").parquet(f"{folder}/in")
+    source = file_stream(spark, f"{folder}/in", good.schema, 2)
+    counted = windows.windowed(source, "event_time", "1 hour", None, ["location_id", "fault"], windows.measures("temperature_c"))
+    runs.drain(runs.upsert(counted.select("window_start", "location_id", "fault", "n"), f"{folder}/gold", f"{folder}/state"))
+    keys = ["window_start", "location_id", "fault"]
+    gold = newest(spark, f"{folder}/gold", "window_start timestamp, location_id string, fault string, n long", keys)
+    return audit.late_conservation(good.unionByName(back), gold, "fault", "n", keys)
+
+
 def _orders(spark, d):
     return load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
@@ -118,17 +138,32 @@ l AS (SELECT location_id, max(event_time) AS latest FROM st GROUP BY ALL),
 j AS (SELECT k.*, s.temperature_c AS old, latest FROM k LEFT JOIN st s USING (location_id, event_time) LEFT JOIN l USING (location_id))"""
 
 
+def _batch(spark, d):
+    """A micro-batch with repeats, conflicts and late rows, the state that it meets and the known places (see the SQL)."""
+    p = panel(spark, d).select("location_id", "event_time", "temperature_c", F.lit(10.0).alias("latitude"), F.lit(105.0).alias("longitude"))
+    hour = F.floor(F.unix_seconds("event_time") / 3600)
+
+    def between(first: str, last: str):
+        return F.col("event_time").between(F.to_timestamp(F.lit(first)), F.to_timestamp(F.lit(last)))
+
+    def shaped(rows):
+        named = rows.withColumn("event_id", F.concat_ws("_", "location_id", hour)).withColumn("offset", F.lit(0))
+        return named.withColumn("payload_hash", F.sha2(F.col("temperature_c").cast("string"), 256))
+
+    stored = shaped(p.filter((F.col("event_time") < F.to_timestamp(F.lit("2024-01-20"))) & (hour % 11 != 0)))
+    old = between("2024-01-10", "2024-01-11 23:00:00")
+    changed = F.when(old & (hour % 3 == 0), F.col("temperature_c") + 1).otherwise(F.col("temperature_c"))
+    b0 = p.filter(old | between("2024-01-20", "2024-01-21 23:00:00")).withColumn("temperature_c", changed)
+    other = b0.filter(hour % 7 == 0).withColumn("temperature_c", F.col("temperature_c") + 2)
+    batch = shaped(b0.unionByName(b0.filter(hour % 5 == 0)).unionByName(other))
+    return batch, stored, p.select("location_id").distinct().filter("location_id <> 'view'")
+
+
 @query(f"WITH {PANEL}, {SCORING} SELECT outcome, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'UNKNOWN_LOCATION' AS outcome, count(*) AS n FROM b WHERE location_id = 'view' UNION ALL SELECT 'DUPLICATE_CONFLICT', coalesce(sum(n), 0) FROM j WHERE v > 1 UNION ALL SELECT 'STATE_CONFLICT', count(*) FROM j WHERE v = 1 AND old <> t UNION ALL SELECT 'LATE_BEYOND_RETENTION', count(*) FROM j WHERE v = 1 AND old IS NULL AND event_time < latest - INTERVAL 48 HOUR UNION ALL SELECT 'ACCEPTED', count(*) FROM j WHERE v = 1 AND old IS NULL AND NOT coalesce(event_time < latest - INTERVAL 48 HOUR, false)) GROUP BY ALL HAVING sum(n) > 0")
 def microbatch_classify(spark, d):
     """CMP-05, JON-03..06: what becomes of the rows of a batch."""
-    p = panel(spark, d).select("location_id", "event_time", "temperature_c", F.lit(10.0).alias("latitude"), F.lit(105.0).alias("longitude"))
-    hour, t = F.floor(F.unix_seconds("event_time") / 3600), lambda s: F.to_timestamp(F.lit(s))
-    shaped = lambda x: x.withColumn("event_id", F.concat_ws("_", "location_id", hour)).withColumn("offset", F.lit(0)).withColumn("payload_hash", F.sha2(F.col("temperature_c").cast("string"), 256))
-    stored = shaped(p.filter((F.col("event_time") < t("2024-01-20")) & (hour % 11 != 0)))
-    old = F.col("event_time").between(t("2024-01-10"), t("2024-01-11 23:00:00"))
-    b0 = p.filter(old | F.col("event_time").between(t("2024-01-20"), t("2024-01-21 23:00:00"))).withColumn("temperature_c", F.when(old & (hour % 3 == 0), F.col("temperature_c") + 1).otherwise(F.col("temperature_c")))
-    batch = shaped(b0.unionByName(b0.filter(hour % 5 == 0)).unionByName(b0.filter(hour % 7 == 0).withColumn("temperature_c", F.col("temperature_c") + 2)))
-    done = state.classify(batch, stored, p.select("location_id").distinct().filter("location_id <> 'view'"), ("temperature_c",))
+    batch, stored, known = _batch(spark, d)
+    done = state.classify(batch, stored, known, ("temperature_c",))
     rejected = done.rejected.groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("n"))
     return rejected.unionByName(done.accepted.agg(F.lit("ACCEPTED").alias("outcome"), F.count("*").alias("n")))
 
@@ -138,6 +173,54 @@ class _Blend:
         return 0.75 * frame["temperature_c"] + 0.25 * frame["temp_lag_1h"]
 
 
+#: With a look-back of two hours: rows taken into the state, the history of their places, the hours they change.
+OUTCOME = f"""a AS (SELECT location_id, event_time, t FROM j WHERE v = 1 AND old IS NULL AND NOT coalesce(event_time < latest - INTERVAL 48 HOUR, false)),
+h AS (SELECT location_id, event_time, temperature_c AS t FROM st WHERE location_id IN (SELECT location_id FROM a) UNION ALL SELECT location_id, event_time, t FROM a),
+c AS (SELECT DISTINCT h.location_id, h.event_time FROM h JOIN a ON h.location_id = a.location_id AND h.event_time BETWEEN a.event_time AND a.event_time + INTERVAL 2 HOUR),
+hs AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY event_time) AS r, lag(t) OVER (PARTITION BY location_id ORDER BY event_time) AS before,
+  count(*) OVER (PARTITION BY location_id ORDER BY {sec('event_time')} RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS seen FROM h),
+judged AS (SELECT hs.*, CASE WHEN r <= 2 THEN 'INSUFFICIENT_HISTORY' WHEN seen < 3 THEN 'HISTORY_GAP' ELSE 'READY' END AS status FROM hs JOIN c USING (location_id, event_time)),
+made AS (SELECT sha256('blend|' || location_id || '|' || strftime(event_time, '%Y-%m-%dT%H:%M:%SZ') || '|1') AS forecast_id, *, location_id || '_' || {HOUR} AS source_event_id FROM judged WHERE status = 'READY')"""
+
+
+def _outcome(spark, d):
+    """The batch as a whole; forecasts of every fourth hour are there already."""
+    batch, stored, known = _batch(spark, d)
+    hour = F.floor(F.unix_seconds("event_time") / 3600)
+    there = forecast_id(F.lit("blend"), F.col("location_id"), F.col("event_time"), F.lit(1))
+    forecasts = panel(spark, d).filter(hour % 4 == 0).select(there.alias("forecast_id"))
+    lag = {"temp_lag_1h": features.lagged(features.Panel())["temp_lag_1h"]}
+    reads = ["temperature_c", "temp_lag_1h"]
+    return state.run_batch(batch, stored, known, forecasts, ("temperature_c",), lag, reads, "blend", _Blend, depth=2)
+
+
+@query(f"WITH {PANEL}, {SCORING}, {OUTCOME} SELECT location_id, {sec('event_time')} AS second, {s6('t')} AS temperature_c FROM a")
+def microbatch_accepted(spark, d):
+    """CMP-05: rows that a batch adds to the state."""
+    done = _outcome(spark, d).batch.accepted
+    return done.select("location_id", seconds("event_time").alias("second"), six(F.col("temperature_c")).alias("temperature_c"))
+
+
+@query(f"WITH {PANEL}, {SCORING}, {OUTCOME} SELECT location_id, {sec('event_time')} AS second, status FROM judged")
+def microbatch_statuses(spark, d):
+    """CMP-05/06, WIN-09, STR-11: the hours that a batch changes, with the status of each."""
+    return _outcome(spark, d).statuses.select("location_id", seconds("event_time").alias("second"), "status")
+
+
+@query(f"WITH {PANEL}, {SCORING}, {OUTCOME} SELECT forecast_id, location_id, {sec('event_time')} AS second, {sec('event_time')} + 3600 AS target_second, source_event_id, {s6('0.75 * t + 0.25 * before')} AS prediction FROM made WHERE {HOUR} % 4 <> 0")
+def microbatch_forecasts(spark, d):
+    """CMP-05, JON-18, UDF-01/02: new forecasts of the hours that are ready."""
+    made = _outcome(spark, d).forecasts
+    times = [seconds("feature_time").alias("second"), seconds("target_time").alias("target_second")]
+    return made.select("forecast_id", "location_id", *times, "source_event_id", six(F.col("prediction")).alias("prediction"))
+
+
+@query(f"WITH {PANEL}, {SCORING}, {OUTCOME}, after AS (SELECT location_id, event_time FROM st UNION ALL SELECT location_id, event_time FROM a), top AS (SELECT location_id, max(event_time) AS latest FROM after GROUP BY ALL) SELECT location_id, {sec('event_time')} AS second FROM after JOIN top USING (location_id) WHERE event_time < top.latest - INTERVAL 48 HOUR")
+def microbatch_expired(spark, d):
+    """STR-10, SNK-05: keys of the state that expire with a batch."""
+    return _outcome(spark, d).expired.select("location_id", seconds("event_time").alias("second"))
+
+
 @query(f"WITH {PANEL} SELECT location_id, {sec('event_time')} AS second, {s6('0.75 * temperature_c + 0.25 * before')} AS prediction FROM (SELECT *, lag(temperature_c) OVER (PARTITION BY location_id ORDER BY event_time) AS before FROM panel) WHERE before IS NOT NULL")
 def model_scoring(spark, d):
     """UDF-01/02: predictions by Arrow batches from a model that each worker loads once."""
