@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +25,25 @@ class Candidate:
     rate: float = 0.1
 
 
+def fit(train: DataFrame, features: list[str], label: str, candidate: Candidate, seed: int = 42):
+    """A pipeline of gradient-boosted trees."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    vector = VectorAssembler(inputCols=features, outputCol="_features")
+    trees = GBTRegressor(featuresCol="_features", labelCol=label, maxIter=candidate.trees, maxDepth=candidate.depth, stepSize=candidate.rate, seed=seed)
+    return Pipeline(stages=[vector, trees]).fit(train)
+
+
 def search(train: DataFrame, valid: DataFrame, features: list[str], label: str, candidates: list[Candidate], seed: int = 42):
     """CMP-28: (name of the winner, its model, a row of metrics for each candidate).
 
     Ranked by error, then squared error, then size, then name; TEST rows are not looked at here (CMP-31).
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     fitted, rows = {}, None
     for c in candidates:
-        stages = [VectorAssembler(inputCols=features, outputCol="_features"), GBTRegressor(featuresCol="_features", labelCol=label, maxIter=c.trees, maxDepth=c.depth, stepSize=c.rate, seed=seed)]
-        fitted[c.name] = Pipeline(stages=stages).fit(train)
+        fitted[c.name] = fit(train, features, label, c, seed)
         scored = fitted[c.name].transform(valid).agg(*sufficient("prediction", label))
         row = scored.select(F.lit(c.name).alias("candidate"), F.lit(c.trees * c.depth).alias("size"), *(v.alias(k) for k, v in regression().items()))
         rows = row if rows is None else rows.unionByName(row)
@@ -43,6 +51,33 @@ def search(train: DataFrame, valid: DataFrame, features: list[str], label: str,
     return winner, fitted[winner], rows
 
 
+def frozen(train: DataFrame, valid: DataFrame, test: DataFrame, features: list[str], label: str, candidates: list[Candidate], folder: str, seed: int = 42) -> DataFrame:
+    """CMP-28/31: choose, freeze, refit, reload, and only then read TEST, once.  One row of what came out.
+
+    The winner with its parameters, features and their SHA-256 is written to ``folder``/frozen before TEST is read; a
+    folder that has one already is an error, so nothing can be chosen again after TEST was seen.  The winner is refitted on
+    TRAIN and VALIDATION, saved to ``folder``/model, and the saved model is read back and held to the fitted one.
+    """
+    from pyspark.ml import PipelineModel
+
+    spark = train.sparkSession
+    name, _, _ = search(train, valid, features, label, candidates, seed)
+    winner = next(c for c in candidates if c.name == name)
+    text = json.dumps({**asdict(winner), "features": features, "label": label, "seed": seed}, sort_keys=True)
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    spark.createDataFrame([(text, digest)], "parameters string, sha256 string").write.mode("errorifexists").json(f"{folder}/frozen")
+    both = train.unionByName(valid)
+    refitted = fit(both, features, label, winner, seed)
+    refitted.write().save(f"{folder}/model")
+    reloaded = PipelineModel.load(f"{folder}/model")
+    again = reloaded.transform(refitted.transform(valid).withColumnRenamed("prediction", "_first").drop("_features"))
+    parity = again.agg(F.max(F.abs(F.col("prediction") - F.col("_first"))).alias("reload_difference"))
+    agreed = spark.read.json(f"{folder}/frozen").select("parameters", (F.sha2("parameters", 256) == F.col("sha256")).alias("frozen_unchanged"))
+    seen = reloaded.transform(test).agg(*sufficient("prediction", label))
+    metrics = seen.select(*(v.alias(f"test_{k}") for k, v in regression().items()), F.col("n").alias("test_rows"))
+    return agreed.join(parity).join(metrics).withColumn("winner", F.lit(name))  # single rows
+
+
 def ranked(metrics: DataFrame) -> DataFrame:
     """SRT-07."""
     return metrics.orderBy("mae", "rmse", "size", "candidate")
