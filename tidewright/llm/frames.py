@@ -47,6 +47,26 @@ def small_side(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def looked_up(rows: DataFrame, column: str, facts: DataFrame, weight: str, spread: str, how: str = "inner", most: int = 20_000, least: int = 1000) -> DataFrame:
+    """``rows`` joined to ``facts`` (one row for each ``column``; ``weight``: how many rows have it), wherever rows crowd.
+
+    Keys of more than ``least`` rows and of more than their share in ``most`` are broadcast, which are ``most`` keys at most;
+    their rows then go by ``spread``.  The others are joined by key, in groups that are no larger than that.  ``column``
+    is text or bytes without nulls.
+    """
+    own = [c for c in facts.columns if c != column]
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(least, total // most)
+    kind = rows.schema[column].dataType
+    first = rows.join(F.broadcast(facts.filter(hot).select(column, F.struct(*own).alias("_hot"))), column, "left")
+    apart = F.concat(F.lit("row of a frequent key "), F.xxhash64(spread).cast("string")).cast(kind)
+    first = first.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(column)).otherwise(apart))
+    both = first.join(facts.filter(~hot).select(F.col(column).alias("_key"), F.struct(*own).alias("_rare")), "_key", "left")
+    both = both.withColumn("_fact", F.coalesce("_hot", "_rare"))
+    found = both if how == "left" else both.filter("_fact is not null")
+    return found.select(*rows.columns, *(F.col(f"_fact.{c}").alias(c) for c in own))
+
+
 #: The largest bitmap of ``maybe_in``, in bits.
 MOST_BITS = 1 << 30
 

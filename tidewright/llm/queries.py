@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice, licenses, near_dedup, quality_classifier, quality_rules, token_counts, toxicity
-from .frames import fold, table
+from . import bpe, chat, decontaminate, lattice, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, token_counts, toxicity
+from .frames import checkpoint_dir, fold, table
 
 
 #: A conversation of control strings, which op1 adds to those of the table.
@@ -79,6 +81,11 @@ def op10_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=fold(F.col("doc_id"), 4) == 2)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicate(table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -90,6 +97,7 @@ QUERIES = {
     "op8_bm25_decontamination": op8_bm25_decontamination,
     "op9_kneser_ney_toxicity": op9_kneser_ney_toxicity,
     "op10_bayes_quality": op10_bayes_quality,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,4 +105,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle_sql(),
     "op3_license_scan": licenses.oracle_sql(),
     "op4_minhash_near_dedup": near_dedup.oracle_sql(),
+    "op11_line_dedup": line_dedup.oracle_sql(),
 }
