@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, token_counts, toxicity
+from . import bpe, chat, decontaminate, lattice, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, token_counts, toxicity, vector_codes
 from .frames import checkpoint_dir, fold, table
 
 
@@ -86,6 +86,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    if made is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    rows = vector_codes.with_label_error(made.rows)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(made.digest()).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -98,6 +106,7 @@ QUERIES = {
     "op9_kneser_ney_toxicity": op9_kneser_ney_toxicity,
     "op10_bayes_quality": op10_bayes_quality,
     "op11_line_dedup": op11_line_dedup,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -106,4 +115,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": licenses.oracle_sql(),
     "op4_minhash_near_dedup": near_dedup.oracle_sql(),
     "op11_line_dedup": line_dedup.oracle_sql(),
+    "op12_vector_codes": vector_codes.oracle_sql(),
 }
