@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, token_counts, toxicity, vector_codes
+from . import bpe, chat, decontaminate, hard_negatives, lattice, licenses, line_dedup, near_dedup, quality_classifier, quality_rules, token_counts, toxicity, vector_codes
 from .frames import checkpoint_dir, fold, table
 
 
@@ -94,6 +94,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(made.digest()).alias("codebooks_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    made = hard_negatives.approximation_file(vectors.withColumn("label", moved))
+    if made is None:
+        return spark.createDataFrame([], hard_negatives.NEGATIVES)
+    return hard_negatives.mine(*made, made[0].filter("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +116,7 @@ QUERIES = {
     "op10_bayes_quality": op10_bayes_quality,
     "op11_line_dedup": op11_line_dedup,
     "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,4 +126,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_near_dedup": near_dedup.oracle_sql(),
     "op11_line_dedup": line_dedup.oracle_sql(),
     "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_hard_negatives": hard_negatives.oracle_sql(),
 }
