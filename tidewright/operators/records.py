@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id, utc_text
 from ..functions.numbers import finite, ratio
+from . import sketches
 from .features import hours
 from .metrics import SUMS, quality_status, regression, sufficient
 
@@ -56,12 +57,35 @@ def _distributions(rows: DataFrame, ends: DataFrame, by: list[str], columns: lis
         p[2].alias("p95"),
         F.max("_value").alias("max"),
     )
-    each = counted.groupBy(*by, "_column").agg(stats.alias("_stats"))
+    return _mapped(counted.groupBy(*by, "_column").agg(stats.alias("_stats")), by)
+
+
+def _sketched(rows: DataFrame, ends: DataFrame, by: list[str], columns: list[str], window_hours: int, k: int) -> DataFrame:
+    """``_distributions`` with percentiles from hourly sketches of ``k``, which windows merge; no value spreads over hours."""
+    cells = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]
+    long = rows.select(*GROUP, "_place", "_hour", F.inline(F.array(*cells)))
+    keys = [*GROUP, "_column", *(["_place"] if "_place" in by else [])]
+    merged = sketches.blocks(sketches.hourly(long, keys, "_hour", "_value", k), keys, window_hours, k)
+    asked = ends.select(*GROUP, F.floor(F.unix_seconds("target_time") / 3600).alias("end"))
+    found = sketches.windows(merged, keys, asked, window_hours, GROUP, k)
+    p = {name: sketches.quantile(share) for name, share in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))}
+    stats = F.struct(
+        F.col("n").alias("count"),
+        (F.col("total") / F.col("n")).alias("mean"),
+        F.col("least").alias("min"),
+        *(v.alias(name) for name, v in p.items()),
+        F.col("most").alias("max"),
+    )
+    return _mapped(found.withColumn("target_time", F.timestamp_seconds(F.col("end") * 3600)).select(*by, "_column", stats.alias("_stats")), by)
+
+
+def _mapped(each: DataFrame, by: list[str]) -> DataFrame:
+    """``_shapes``: from a column's name to its statistics."""
     entries = F.array_sort(F.collect_list(F.struct("_column", "_stats")))  # one for each of the columns
     return each.groupBy(*by).agg(F.map_from_entries(entries).alias("_shapes"))
 
 
-def metric_records(df: DataFrame, window_hours: int, by_place: bool, expected_samples: int, expected_places: int | None = None, columns: tuple[str, ...] = (), version: str = "1", least: int = 1) -> DataFrame:
+def metric_records(df: DataFrame, window_hours: int, by_place: bool, expected_samples: int, expected_places: int | None = None, columns: tuple[str, ...] = (), version: str = "1", least: int = 1, sketch_k: int | None = None) -> DataFrame:
     """The 53 columns of a record for each source, mode and target hour (and place) over the ``window_hours`` that end there.
 
     ``df`` has reference_source, evaluation_mode, location_id, target_time, status, target_time_passed,
@@ -69,7 +93,8 @@ def metric_records(df: DataFrame, window_hours: int, by_place: bool, expected_sa
     are further ones whose distributions go into distribution_json.  Only EVALUATED rows with finite numbers are measured;
     all rows count.  A null source or mode gets its own name, a null place is a place.  Rows are summed by place and hour
     before they reach the windows they belong to, so metrics cost by hours and not by rows.  Distributions count equal
-    values of an hour first; values that seldom repeat cost about rows times ``window_hours``.
+    values of an hour first; values that seldom repeat cost about rows times ``window_hours``.  With ``sketch_k`` percentiles
+    come from mergeable sketches instead (``sketches.rank_error``), which cost by hours and not by rows or windows.
     """
     named = df.withColumn("reference_source", F.coalesce("reference_source", F.lit(NO_SOURCE))).withColumn("evaluation_mode", F.coalesce("evaluation_mode", F.lit(NO_MODE)))
     rows = named.withColumn("_place", F.coalesce("location_id", F.lit(""))).withColumn("_hour", F.date_trunc("hour", "target_time"))
@@ -113,7 +138,9 @@ def metric_records(df: DataFrame, window_hours: int, by_place: bool, expected_sa
     out = out.withColumn("quality_status", quality_status(F.col("model_mae"), F.col("persistence_mae"), F.col("sample_count"), least))
 
     shown = ["reference", "model_prediction", "persistence_prediction", *columns]
-    out = out.join(_distributions(rows.filter(good), ends, by, [*LAGS, *shown], window_hours), by, "left")
+    measured, wanted = rows.filter(good), [*LAGS, *shown]
+    shapes = _distributions(measured, ends, by, wanted, window_hours) if sketch_k is None else _sketched(measured, ends, by, wanted, window_hours, sketch_k)
+    out = out.join(shapes, by, "left")
     scope, place = ("LOCATION", F.col("_place")) if by_place else ("GLOBAL", F.lit(None).cast("string"))
     out = out.withColumns({f"{to}_{name}_seconds": F.col("_shapes")[lag][part] for lag, to in LAGS.items() for name, part in (("median", "p50"), ("p95", "p95"), ("max", "max"))})
     out = out.withColumns({

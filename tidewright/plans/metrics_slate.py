@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.numbers import six
-from ..operators import evaluate, metrics, model
+from ..operators import evaluate, metrics, model, sketches
 from .base import OBS, PANEL, SCORED, observations, panel, query, s6, scored, scratch, sec, seconds
 
 MODEL, BASE = "model_prediction", "persistence_prediction"
@@ -113,11 +113,41 @@ def percentiles_of_all_rows(spark, d):
     return p.join(metrics.nearest_rank(o, "temperature_c", 0.95).select(F.col("value").alias("nearest_p95")))  # single rows
 
 
-@query()
+SHARES = (0.5, 0.95, 0.99)
+
+
+@query(f"WITH {OBS} SELECT location_id, share, count(temperature_c) AS n, true AS within FROM obs, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) s(share) WHERE temperature_c IS NOT NULL GROUP BY ALL")
 def percentile_approx_lag(spark, d):
-    """AGG-09: a sketch; no SQL gives the same value everywhere."""
-    p = numbers.percentile_approx(F.col("temperature_c"), 0.5, 0.95, 0.99)
-    return observations(spark, d).groupBy("location_id").agg(p.alias("percentiles"))
+    """AGG-09: whether each sketched percentile has the rank that it should have, within 1 / accuracy; SQL says that it has."""
+    rows = observations(spark, d).select("location_id", "temperature_c").filter("temperature_c is not null")
+    p = numbers.percentile_approx(F.col("temperature_c"), *SHARES)
+    shares = F.array(*map(F.lit, SHARES))
+    found = rows.groupBy("location_id").agg(p.alias("p")).select("location_id", F.inline(F.arrays_zip(shares.alias("share"), F.col("p").alias("quantile"))))
+    met = sketches.ranks(rows, ["location_id"], "temperature_c", found)
+    return met.select("location_id", "share", "n", sketches.within(1e-4).alias("within"))
+
+
+def _windows_sql(span: int) -> str:
+    return f"""SELECT {span} AS span, e.location_id, e.hour * 3600 AS second, share, count(*) AS n, true AS within FROM ends e JOIN v ON e.location_id = v.location_id AND v.hour BETWEEN e.hour - {span - 1} AND e.hour,
+  (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) s(share) GROUP BY ALL"""
+
+
+@query(f"""WITH {OBS}, v AS (SELECT l AS location_id, CAST(floor(epoch(event_time) / 3600) AS BIGINT) AS hour FROM (SELECT unnest(['all', location_id]) AS l, event_time FROM obs WHERE temperature_c IS NOT NULL)),
+ends AS (SELECT DISTINCT location_id, hour FROM v) {' UNION ALL '.join(_windows_sql(n) for n in (24, 168))}""")
+def sketch_window_ranks(spark, d):
+    """AGG-09, CMP-13: quantiles of the last 24 and 168 hours, for each place and for all, from merged sketches; their exact ranks."""
+    rows = observations(spark, d).filter("temperature_c is not null").select(F.explode(F.array(F.lit("all"), "location_id")).alias("location_id"), "event_time", "temperature_c")
+    by, cells = ["location_id"], [F.struct(F.lit(s).alias("share"), sketches.quantile(s).alias("quantile")) for s in (0.05, 0.5, 0.95)]
+    hours = sketches.hourly(rows, by, "event_time", "temperature_c", k=200)
+    merged, ends, out = sketches.blocks(hours, by, 168, k=200), hours.select("location_id", F.col("hour").alias("end")), None
+    for span in (24, 168):
+        found = sketches.windows(merged, by, ends, span, k=200).select("location_id", "end", F.inline(F.array(*cells)))
+        hour = F.floor(F.unix_seconds("event_time") / 3600)
+        spread = rows.withColumn("end", F.explode(F.sequence(hour, hour + span - 1)))  # the check alone repeats values
+        met = sketches.ranks(spread, ["location_id", "end"], "temperature_c", found)
+        told = met.select(F.lit(span).alias("span"), "location_id", (F.col("end") * 3600).alias("second"), "share", "n", sketches.within(3 * sketches.rank_error(200)).alias("within"))
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 H = "CAST(epoch(event_time) / 3600 AS BIGINT)"

@@ -9,6 +9,7 @@ from ..functions.numbers import six
 from ..operators import audit, features, quality, state, windows
 from ..sources.merge import log_rows, merged, newest, without
 from ..sources.readers import file_stream
+from ..streaming import history
 from ..streaming import medallion as runs
 from .base import PANEL, load, observations, panel, query, s6, scratch, sec, seconds
 from .medallion import RAW, VALID, raw
@@ -221,6 +222,31 @@ def microbatch_expired(spark, d):
     return _outcome(spark, d).expired.select("location_id", seconds("event_time").alias("second"))
 
 
+@query(f"""WITH {PANEL}, {SCORING}, {OUTCOME}, after AS (SELECT location_id, event_time FROM st UNION ALL SELECT location_id, event_time FROM a),
+top AS (SELECT location_id, max(event_time) AS last FROM after GROUP BY ALL),
+told AS (SELECT 'ACCEPTED' AS kind, location_id, event_time, CAST(NULL AS VARCHAR) AS outcome, t FROM a
+  UNION ALL SELECT 'STATUS', location_id, event_time, status, t FROM judged
+  UNION ALL SELECT 'EXPIRED', location_id, event_time, 'RETENTION', NULL FROM after JOIN top USING (location_id) WHERE event_time < top.last - INTERVAL 48 HOUR
+  UNION ALL SELECT 'REJECTED', location_id, event_time, 'DUPLICATE_CONFLICT', NULL FROM b JOIN (SELECT location_id, event_time FROM j WHERE v > 1) USING (location_id, event_time)
+  UNION ALL SELECT 'REJECTED', location_id, event_time, CASE WHEN old IS NULL THEN 'LATE_BEYOND_RETENTION' ELSE 'STATE_CONFLICT' END, NULL FROM j
+    WHERE v = 1 AND (old <> t OR old IS NULL AND event_time < latest - INTERVAL 48 HOUR))
+SELECT kind, location_id, {sec('event_time')} AS second, outcome, {s6('t')} AS temperature_c FROM told""")
+def stream_history(spark, d):
+    """CMP-05, STR-09/10/11: the batch as a stream over keyed state, stopped and started again between two halves of the places."""
+    batch, stored, known = _batch(spark, d)
+    folder = scratch(spark)
+    half = F.crc32(F.col("location_id").cast("binary")) % 2
+    source = file_stream(spark, f"{folder}/in/*", batch.schema)
+    for k in range(2):
+        batch.filter(half == k).write.parquet(f"{folder}/in/{k}")
+        sound, _ = history.with_reason(source, known, ("temperature_c",))
+        told = history.keyed_history(sound, ("temperature_c",), stored, depth=2)
+        with history.state_store(spark, until_drained=True):
+            runs.drain(runs.append(told, f"{folder}/told", f"{folder}/state"))
+    told = spark.read.parquet(f"{folder}/told")
+    return told.select("kind", F.col("key").alias("location_id"), "second", "outcome", six(F.col("temperature_c")).alias("temperature_c"))
+
+
 @query(f"WITH {PANEL} SELECT location_id, {sec('event_time')} AS second, {s6('0.75 * temperature_c + 0.25 * before')} AS prediction FROM (SELECT *, lag(temperature_c) OVER (PARTITION BY location_id ORDER BY event_time) AS before FROM panel) WHERE before IS NOT NULL")
 def model_scoring(spark, d):
     """UDF-01/02: predictions by Arrow batches from a model that each worker loads once."""
