@@ -83,7 +83,42 @@ def ranked(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy("mae", "rmse", "size", "candidate")
 
 
-def importance(model, features: list[str], spark) -> DataFrame:
-    """SRT-09: gain by feature, largest first, ties by name."""
-    gains = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(features, gains)), "feature string, gain double").orderBy(F.col("gain").desc(), "feature")
+def fit_until(train: DataFrame, valid: DataFrame, features: list[str], label: str, candidate: Candidate, seed: int = 42, tolerance: float = 0.01):
+    """CMP-28: ``fit`` that adds trees only while the error of ``valid`` falls by more than ``tolerance``, ``candidate.trees`` at most."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    names = [*features, label]
+    both = train.select(*names, F.lit(False).alias("_held")).unionByName(valid.select(*names, F.lit(True).alias("_held")))
+    trees = GBTRegressor(featuresCol="_features", labelCol=label, maxIter=candidate.trees, maxDepth=candidate.depth, stepSize=candidate.rate, seed=seed, validationIndicatorCol="_held", validationTol=tolerance)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), trees]).fit(both)
+
+
+def nodes(spark, path: str) -> DataFrame:
+    """The nodes of a tree ensemble that was saved to ``path`` (a pipeline that ends with it), as rows.
+
+    tree, node, rows, prediction, impurity, gain (the fall of squared error, summed over the node's rows; null for a
+    leaf), feature (its index; null for a leaf), threshold, left and right.
+    """
+    # the last stage's folder is known by its number, which the pipeline pads to one width
+    stages = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/stages").select("path")
+    last = stages.filter(F.col("path").rlike("/data/[^/]*$")).agg(F.max(F.regexp_extract("path", "(.*/data)/[^/]*$", 1))).first()[0]
+    n = F.col("nodeData")
+    inner = n["leftChild"] >= 0
+    return spark.read.parquet(last).select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), n["rawCount"].alias("rows"), n["prediction"].alias("prediction"), n["impurity"].alias("impurity"),
+        F.when(inner, n["gain"] * n["rawCount"]).alias("gain"), F.when(inner, n["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"), F.when(inner, n["leftChild"]).alias("left"), F.when(inner, n["rightChild"]).alias("right"),
+    )
+
+
+def importance(spark, path: str, features: list[str]) -> DataFrame:
+    """SRT-09 of a saved ensemble: of each feature weight (how many nodes split by it), total_gain and gain (of a split, on average).
+
+    In order of gain, then weight, both downwards, then name; features that no node uses come last with zeros.
+    """
+    named = spark.createDataFrame(list(enumerate(features)), "feature int, name string")
+    used = nodes(spark, path).filter("feature is not null").groupBy("feature").agg(F.count("*").alias("weight"), F.sum("gain").alias("total_gain"))
+    out = named.join(used, "feature", "left").fillna(0).withColumn("gain", F.coalesce(F.col("total_gain") / F.nullif("weight", F.lit(0)), F.lit(0.0)))
+    return out.select(F.col("name").alias("feature"), "gain", "weight", "total_gain").orderBy(F.col("gain").desc(), F.col("weight").desc(), "feature")

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OBSERVATION = T.StructType([T.StructField(n, T.StringType()) for n in ("event_id", "event_type", "location_id", "city")] + [T.StructField(n, T.DoubleType()) for n in ("latitude", "longitude")] + [T.StructField(n, T.StringType()) for n in ("event_time", "ingestion_time")] + [T.StructField(n, T.DoubleType()) for n in ("temperature_c", "humidity_pct", "precipitation_mm", "pressure_hpa", "wind_speed_kmh", "wind_gust_kmh", "weather_code")] + [T.StructField(n, T.StringType()) for n in ("source", "simulation_run_id", "simulation_fault")])
+# Names and types of an observation as the feed sends it.
+OBSERVATION = (
+    "event_id string, event_type string, location_id string, city string, latitude double, longitude double, "
+    "event_time string, ingestion_time string, temperature_c double, humidity_pct double, precipitation_mm double, "
+    "pressure_hpa double, wind_speed_kmh double, wind_gust_kmh double, weather_code double, "
+    "source string, simulation_run_id string, simulation_fault string"
+)
 LOG = "message_key string, payload string, topic string, partition int, offset long, kafka_timestamp timestamp, spark_processing_time timestamp"
 
 
@@ -80,9 +89,88 @@ def partitioned(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(*columns) if columns else df
 
 
-def inventory(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """SRC-12: rows and nulls of each file."""
-    return df.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns or []))
+@contextmanager
+def footers(spark: SparkSession) -> Iterator[None]:
+    """Counts, minima and maxima that are computed inside come from Parquet footers where these have them; settings are as before afterwards."""
+    sources = "spark.sql.sources.useV1SourceList"
+    wanted = {sources: ",".join(x for x in spark.conf.get(sources).split(",") if x.strip() != "parquet"), "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _inventory(df: DataFrame, by: list[str], ends: list[str]) -> DataFrame:
+    """by, rows, n_ and, for ``ends``, least_ and most_ of each column; inside ``footers`` all is pushed into the scan."""
+    counts = [F.count(c).alias(f"n_{c}") for c in df.columns if c not in by]
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), *counts, *(f(c).alias(f"{name}_{c}") for c in ends for name, f in (("least", F.min), ("most", F.max))))
+
+
+def _found(df: DataFrame, by: list[str], ends: list[str]) -> DataFrame | None:
+    """``_inventory`` computed from footers, None where a file's footer has no ends of a column (one without values)."""
+    try:
+        with footers(df.sparkSession):
+            plan = _inventory(df, by, ends)
+            found = plan.collect()
+    except Exception as error:  # the job's error names what its executors met
+        if "No min/max found" not in str(error):
+            raise
+        return None
+    told = df.sparkSession.createDataFrame(found, T.StructType([T.StructField(f.name, f.dataType) for f in plan.schema]))
+    return told.fillna(0, [c for c in plan.columns if c == "rows" or c.startswith("n_")])  # no file, no footer, no count
+
+
+def inventory(spark: SparkSession, path: str, by: list[str] | None = None) -> DataFrame:
+    """SRC-12: of each partition (``by``: all partition columns) rows, and of each column nulls, least and most value, from footers.
+
+    A row (by, rows, column, nulls, least, most) for each column; least and most are text, null for types whose footers
+    have no exact ends (text, times) and for columns without values.  No value is read, but for the ends of a column that
+    has no value in some file: such a file's footer has none.  The result has a row a partition and column; the listing
+    of files on the driver is larger anyway.
+    """
+    by = by or []
+    with footers(spark):
+        df = spark.read.parquet(path)
+    exact = (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.BooleanType)
+    ends = [f.name for f in df.schema if f.name not in by and isinstance(f.dataType, exact)]
+    rows = _found(df, by, ends)
+    if rows is None:
+        rows = _found(df, by, [])
+        for c in ends:
+            one = _found(df.select(*by, c), by, [c])
+            if one is None:
+                one = _inventory(spark.read.parquet(path).select(*by, c), by, [c])
+            one = one.select(F.struct(*by, F.lit(0)).alias("_of"), f"least_{c}", f"most_{c}")
+            rows = rows.withColumn("_by", F.struct(*by, F.lit(0))).join(one, F.col("_by").eqNullSafe(F.col("_of"))).drop("_of", "_by")
+    end = lambda kind, c: F.col(f"{kind}_{c}").cast("string") if c in ends else F.lit(None).cast("string")
+    names = [c for c in df.columns if c not in by]
+    cells = [F.struct(F.lit(c).alias("column"), (F.col("rows") - F.col(f"n_{c}")).alias("nulls"), end("least", c).alias("least"), end("most", c).alias("most")) for c in names]
+    return rows.select(*by, "rows", F.inline(F.array(*cells)))
+
+
+def from_version(start: int) -> str:
+    """A path pattern of the folder names ``batch=N`` with N of ``start`` or more, however long the log becomes."""
+    digits, found = str(max(start, 0)), []
+    for i, d in enumerate(digits):  # the same digits so far, then a larger one
+        if d != "9":
+            found.append(digits[:i] + f"[{int(d) + 1}-9]" + "[0-9]" * (len(digits) - i - 1))
+    found += [digits, "[1-9]" + "[0-9]" * len(digits) + "*"]
+    return "batch={" + ",".join(found) + "}"
+
+
+def change_stream(spark: SparkSession, path: str, schema: str | T.StructType, start: int = 0, files_per_trigger: int | None = None) -> DataFrame:
+    """SRC-06: a log of change folders (``batch=N``, as ``merge.write_changes`` makes them) as a stream from version ``start`` on.
+
+    Earlier versions are not even listed.  ``batch`` is the version of a row; a restart from a checkpoint goes on after
+    what it has seen, whatever ``start`` says then.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    reader = spark.readStream.format("parquet").schema(T.StructType([*wanted.fields, T.StructField("batch", T.LongType())])).option("basePath", path)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(f"{path}/{from_version(start)}")
 
 
 def snapshot(spark: SparkSession, path: str) -> str:
