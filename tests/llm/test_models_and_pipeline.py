@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,11 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewright.llm import decontaminate, quality_classifier, quality_rules, toxicity
+from tidewright.llm import decontaminate, frames, near_dedup, quality_classifier, quality_rules, toxicity
 from tidewright.llm.frames import fold, maybe_in
 
 from ..conftest import SF
-from .test_text_operators import encoder, py_repeat
+from .test_text_operators import binomial_tail, encoder, py_repeat
 from .test_words_and_dedup import brute
 
 BAD = ("vile", "rotten", "foul")
@@ -115,6 +116,28 @@ def test_quality_of_odd_rows(spark, sites):
     assert quality_classifier.judge(odd.limit(0), labels).count() == 0
 
 
+def test_keys_too_many_for_a_bitmap_are_joined(spark):
+    df = spark.range(5000).select((F.col("id") % 1000).alias("k"), "id")
+    keys = spark.range(0, 2000, 7).union(spark.range(0, 70, 7))
+    joined = maybe_in(df, "k", keys, most_bits=1 << 10)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, df.filter("k % 7 = 0").collect()))
+    exact = maybe_in(df, "k", keys, bits=1 << 26).join(keys.distinct().withColumnRenamed("id", "k"), "k")  # what follows a bitmap
+    assert sorted(tuple(r) for r in exact.select("k", "id").collect()) == sorted(map(tuple, joined.collect()))
+
+
+def test_a_task_of_a_large_bitmap_stays_small():
+    keys = np.random.default_rng(1).integers(0, 1 << 62, 200_000)
+    batches = [pa.record_batch([pa.array(keys[a : a + 10_000])], ["k"]) for a in range(0, len(keys), 10_000)]
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in frames._places(iter(batches), 1 << 30))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 199_000 and peak < 5 << 20  # all 16,384 pieces are touched
+    piece = frames._piece(pa.table({"piece": pa.array([3, 3], pa.int32()), "place": pa.array([0, 65_535], pa.int32())}))
+    bits = np.unpackbits(np.frombuffer(piece.column("bits")[0].as_py(), np.uint8))
+    assert np.flatnonzero(bits).tolist() == [0, 65_535] and piece.column("piece").to_pylist() == [3]
+
+
 def test_the_bitmap_loses_no_key(spark):
     df, keys = spark.range(5000).withColumnRenamed("id", "k"), spark.range(0, 5000, 7)
     for bits in (1 << 26, 1 << 16):
@@ -130,7 +153,8 @@ def test_pipeline_by_stages(spark):
     functions = dict(corpus_pipeline.STAGES)
     assert list(functions) == ["quality classifier", "quality rules", "near-duplicates", "decontamination", "byte-level BPE"]
     one = functions["quality classifier"](spark, docs, SF).cache()
-    want = {r.doc_id for r in quality_classifier.judge(docs, labels).filter("kept").collect()}
+    rows = [(r.doc_id, r.text, r.source, r.lang, r.quality) for r in docs.join(labels, "doc_id", "left").collect()]
+    want = {i for i, (*_, score) in plain_quality(rows).items() if score >= 0.5}
     assert {r.doc_id for r in one.collect()} == want and one.columns == docs.columns
     two = functions["quality rules"](spark, one, SF).cache()
     cut = quality_rules.cutoffs(quality_rules.signals(one), labels)
@@ -253,30 +277,20 @@ def plain_features(text):
     return [math.log1p(len(w)), letters / len(w), len(set(w)) / len(w), len(pairs) / len(w), *shares, math.log1p(letters / (count("\n") + 1)), sum(len(x) <= 3 for x in w) / len(w)]
 
 
-def test_quality_scores_equal_a_plain_model(spark):
-    rng = random.Random(23)
-    rows = []
-    for i in range(500):
-        host, path = "h%d" % (rng.randrange(6) if rng.random() < 0.7 else 0), "p%d" % rng.randrange(3)
-        good = int(rng.random() < (0.3 if host == "h2" else 0.85))
-        words = ["Word%d" % rng.randrange(300) for _ in range(rng.randrange(0, 50))]
-        text = (" " if good or rng.random() < 0.3 else " ## ").join(words) + "!" * rng.randrange(3)
-        rows.append((i, text if rng.random() < 0.97 else None, host, path, good if rng.random() < 0.7 else None))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, quality int")
-    out = {r.doc_id: r for r in quality_classifier.judge(docs, docs.select("doc_id", "quality"), held_out=fold(F.col("doc_id"), 4) == 2).collect()}
-    label = {i: q for i, *_, q in rows if q is not None and fold_of(i, 4) != 2}
+def plain_quality(rows, held_out=lambda i: False):
+    """{id: (host rate, path rate, evidence, score)} of rows (id, text, host, path, label or None)."""
+    label = {i: q for i, *_, q in rows if q is not None and not held_out(i)}
     x = np.array([plain_features(t) for _, t, *_ in rows])
     x = np.hstack((x, x * x, np.sqrt(x)))
-    chosen = sorted(label, key=lambda i: label[i])
-    weights = toxicity.logistic(x[chosen], np.array([float(label[i]) for i in chosen]), ridge=1.0)
+    chosen = [k for k, (i, *_) in enumerate(rows) if i in label]
+    weights = toxicity.logistic(x[chosen], np.array([float(label[rows[k][0]]) for k in chosen]), ridge=1.0)
     rate = (sum(label.values()) + 1) / (len(label) + 2)
     prior = math.log(rate / (1 - rate))
     evidence = np.clip(x @ weights[:-1] + weights[-1] - prior, -30, 30)
-    y = [label.get(i, 1 / (1 + math.exp(-(evidence[i] + prior)))) for i in range(len(rows))]
-    paths = {}
+    y = [label.get(i, 1 / (1 + math.exp(-(evidence[k] + prior)))) for k, (i, *_) in enumerate(rows)]
+    paths, hosts = {}, {}
     for (_, _, h, p, _), v in zip(rows, y):
         paths.setdefault((h, p), []).append(v)
-    hosts = {}
     for (h, _), v in paths.items():
         hosts.setdefault(h, []).extend(v)
     mean = sum(y) / len(y)
@@ -289,12 +303,28 @@ def test_quality_scores_equal_a_plain_model(spark):
 
     a = strength([(v, mean) for v in hosts.values()])
     b = strength([(v, (sum(hosts[h]) + a * mean) / (len(hosts[h]) + a)) for (h, _), v in paths.items()])
-    for i, (_, _, h, p, _) in enumerate(rows):
-        host = (sum(hosts[h]) - y[i] + a * mean) / (len(hosts[h]) - 1 + a)
-        path = (sum(paths[h, p]) - y[i] + b * host) / (len(paths[h, p]) - 1 + b)
-        want = 1 / (1 + math.exp(-(evidence[i] + math.log(path / (1 - path)))))
+    out = {}
+    for k, (i, _, h, p, _) in enumerate(rows):
+        host = (sum(hosts[h]) - y[k] + a * mean) / (len(hosts[h]) - 1 + a)
+        path = (sum(paths[h, p]) - y[k] + b * host) / (len(paths[h, p]) - 1 + b)
+        out[i] = host, path, evidence[k], 1 / (1 + math.exp(-(evidence[k] + math.log(path / (1 - path)))))
+    return out
+
+
+def test_quality_scores_equal_a_plain_model(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(500):
+        host, path = "h%d" % (rng.randrange(6) if rng.random() < 0.7 else 0), "p%d" % rng.randrange(3)
+        good = int(rng.random() < (0.3 if host == "h2" else 0.85))
+        words = ["Word%d" % rng.randrange(300) for _ in range(rng.randrange(0, 50))]
+        text = (" " if good or rng.random() < 0.3 else " ## ").join(words) + "!" * rng.randrange(3)
+        rows.append((i, text if rng.random() < 0.97 else None, host, path, good if rng.random() < 0.7 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, quality int")
+    out = {r.doc_id: r for r in quality_classifier.judge(docs, docs.select("doc_id", "quality"), held_out=fold(F.col("doc_id"), 4) == 2).collect()}
+    for i, (host, path, evidence, want) in plain_quality(rows, lambda i: fold_of(i, 4) == 2).items():
         assert (out[i].host_rate, out[i].path_rate) == pytest.approx((host, path), abs=1e-6)
-        assert out[i].evidence == pytest.approx(evidence[i], abs=1e-5) and out[i].score == pytest.approx(want, abs=1e-6) and out[i].kept == (out[i].score >= 0.5)
+        assert out[i].evidence == pytest.approx(evidence, abs=1e-5) and out[i].score == pytest.approx(want, abs=1e-6) and out[i].kept == (out[i].score >= 0.5)
     assert out[next(i for i, r in enumerate(rows) if r[2] == "h2")].host_rate < out[next(i for i, r in enumerate(rows) if r[2] == "h1")].host_rate - 0.2
 
 
@@ -305,3 +335,58 @@ def test_rows_carried_keep_columns_of_any_name(spark, sites):
     assert kept.select("host", "path", "_0", "label", "evidence", "p", "kept", "`a.b`").distinct().collect() == [tuple(range(8))]
     clean = decontaminate.clean(docs, spark.createDataFrame([(1, "nothing like it here at all", None)], "item_id long, question string, answer string"))
     assert clean.columns == docs.columns and clean.count() == 3000
+
+
+A, B = "one two three four five six seven eight nine ten", "a b c d e f g h i j k l m n o p"
+
+
+def test_one_row_of_repeated_documents_stays(spark):
+    rows = [(1, A, "x"), (1, A, "w"), (2, A, "v"), (None, A, "u"), (None, A, "u"), (3, B, "t"), (3, B, "t"), (3, "other words " * 9, "s"), (None, None, "r"), (None, None, "q"), (None, "", "p"), (4, None, "o"), (4, None, "n"), (None, "only nameless here " * 4, "m"), (None, "only nameless here " * 4, "l"), (5, "lone", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("a.b", F.lit(1)).withColumn("row", F.lit(2)).repartition(3)
+    kept = near_dedup.keep_one(docs, percent=80, bands=40)
+    assert kept.columns == docs.columns
+    want = [(1, A, "w"), (3, B, "t"), (3, "other words " * 9, "s"), (None, None, "q"), (None, "", "p"), (4, None, "n"), (None, "only nameless here " * 4, "l"), (5, "lone", "k")]
+    assert sorted(map(str, ((r.doc_id, r.text, r.key) for r in kept.collect()))) == sorted(map(str, want))
+    assert near_dedup.keep_one(docs.limit(0)).count() == 0
+    stage = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, SF)
+    assert sorted(r.key for r in stage.collect()) == sorted(r[2] for r in want)
+
+
+def test_rules_with_cutoffs_in_force(spark, tmp_path):
+    rng = random.Random(31)
+    rows, grades = [], []
+    for i in range(9000):
+        lang, good = rng.choice(["en", "de"]), rng.random() < 0.7
+        words = ["word%d" % rng.randrange(400) for _ in range(rng.randrange(15, 40))]
+        if not good and rng.random() < 0.8:
+            words = [w + "##$" if lang == "en" else w.upper() for w in words]
+        rows.append((i, " ".join(words), lang, "s", 1))
+        if i % 5 < 4:
+            grades.append((i, int(good)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(grades, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality rules"](spark, docs, str(tmp_path)).collect()}
+
+    def shares(text):
+        solid = "".join(text.split())
+        lines = [x for x in text.split("\n") if x.split()]
+        return {"symbol_share": sum(c in quality_rules.SYMBOLS for c in text) / len(solid), "upper_share": sum(c.isupper() for c in text) / len(solid), "dup_line_share": 1 - len(set(lines)) / len(lines), "repeat_share": py_repeat(text) / len(text.split())}
+
+    base = {i: len(t.split()) >= 20 and 100 * py_repeat(t) <= 30 * len(t.split()) for i, t, *_ in rows}
+    measured, lang_of, chosen = {i: shares(t) for i, t, *_ in rows}, {r[0]: r[2] for r in rows}, {}
+    tests = sum(map(len, quality_rules.GRID.values())) * 2
+    for lang in ("en", "de"):
+        held = [(measured[i], g) for i, g in grades if base[i] and lang_of[i] == lang]
+        n, m = sum(g == 1 for _, g in held), sum(g != 1 for _, g in held)
+        for rule, cutoffs in quality_rules.GRID.items():
+            for c in cutoffs:
+                k, caught = (sum(x[rule] > c for x, g in held if (g == 1) == side) for side in (True, False))
+                rate = 0.02 / len(quality_rules.GRID)
+                tail = binomial_tail(n, k, rate) if k < n * rate else 1.0
+                gain = caught / max(m, 1) - k / max(n, 1)
+                if tail * tests <= 0.05 and gain > 0:
+                    chosen[lang, rule] = max(chosen.get((lang, rule), (0, 0)), (gain, c))
+    assert ("en", "symbol_share") in chosen and ("de", "upper_share") in chosen
+    fires = lambda i: any(measured[i][rule] > c for (lang, rule), (_, c) in chosen.items() if lang == lang_of[i])
+    assert kept == {i for i in base if base[i] and not fires(i)} and len(kept) < sum(base.values()) - 200

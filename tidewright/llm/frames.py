@@ -71,35 +71,22 @@ def looked_up(rows: DataFrame, column: str, facts: DataFrame, weight: str, sprea
 MOST_BITS = 1 << 30
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int | None = None) -> DataFrame:
-    """The rows of ``df`` whose long ``column`` may be in ``keys`` (one long column): a filter without a shuffle.
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` may be in ``keys`` (one long column): a filter without a shuffle of ``df``.
 
     The filter is one bit a key in a broadcast bitmap of 16 times as many bits as keys; it never loses a row, and a join
-    must follow where exactness matters.  Keys too many for MOST_BITS (128 MB) are joined instead.
+    must follow where exactness matters.  Keys too many for ``most_bits`` (128 MB) are joined instead.  Keys go by pieces
+    of PIECE bits: a task sends their places on as they come, and each piece is built once, in its group.
     """
     if bits is None:
         bits = 1 << max(20, (16 * keys.count() - 1).bit_length())
-    if bits > MOST_BITS:
-        return df.join(keys.withColumnRenamed(keys.columns[0], column), column, "left_semi").select(df.columns)
-    chunk = 1 << 16
-
-    def mark(batches):
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = _bit(batch.column(0), bits)
-            for part in np.unique(at // chunk).tolist():
-                seen.setdefault(part, np.zeros(chunk, bool))[at[at // chunk == part] % chunk] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x).tobytes() for x in seen.values()], pa.binary())], ["part", "bits"])
-
-    def either(rows: pa.Table) -> pa.Table:
-        together = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("bits")])
-        return pa.table({"part": rows.column("part")[:1], "bits": pa.array([together.tobytes()], pa.binary())})
-
-    kind = "part int, bits binary"
-    bitmap = np.zeros(bits, bool)
-    for row in keys.mapInArrow(mark, kind).groupBy("part").applyInArrow(either, kind).toLocalIterator():
-        bitmap[row.part * chunk : (row.part + 1) * chunk] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    if bits > most_bits:
+        return df.join(keys.withColumnRenamed(keys.columns[0], column).distinct(), column, "left_semi").select(df.columns)
+    bitmap = np.zeros(bits >> 3, np.uint8)
+    places = keys.mapInArrow(lambda batches: _places(batches, bits), "piece int, place int")
+    for row in places.groupBy("piece").applyInArrow(_piece, "piece int, bits binary").toLocalIterator():
+        bitmap[row.piece * PIECE >> 3 : (row.piece + 1) * PIECE >> 3] = np.frombuffer(row.bits, np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
     at = df.columns.index(column)
 
     def run(batches):
@@ -111,6 +98,23 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int | None = Non
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, df.schema)
 
 
+#: Bits of a bitmap that are built together, 8 KB.
+PIECE = 1 << 16
+
+
+def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Piece and place within it of each key's bit."""
+    for batch in batches:
+        at = np.unique(_bit(batch.column(0), bits))
+        yield pa.RecordBatch.from_arrays([pa.array((at // PIECE).astype(np.int32)), pa.array((at % PIECE).astype(np.int32))], ["piece", "place"])
+
+
+def _piece(rows: pa.Table) -> pa.Table:
+    marked = np.zeros(PIECE, bool)
+    marked[rows.column("place").to_numpy()] = True
+    return pa.table({"piece": rows.column("piece")[:1], "bits": pa.array([np.packbits(marked).tobytes()], pa.binary())})
+
+
 def _bit(values: pa.Array, bits: int) -> np.ndarray:
     return (mix(values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 

@@ -312,6 +312,31 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+#: Rows without an id are known by their text, with numbers from here on.
+NAMELESS = 1 << 62
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each near-duplicate group stays: that of the smallest id.
+
+    Rows without an id are documents too, known by their text and after all others.  Of rows that repeat an id and a text
+    the first by all columns stays; an id's other texts are documents of its group, which stay if the id does.  Texts
+    without words are in no group, but rows that repeat one of an id, or of none, are one.  ``options`` are those of
+    ``near_duplicates``.
+    """
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("row")[text_col].cast("string")
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
+    named = whole.withColumn("key", F.coalesce(F.col("row")[id_col].cast("long"), nameless))
+    found = cut(near_duplicates(named.select("key", text.alias("text")), id_col="key", **options).select("doc_id", "kept"))
+    stay = named.join(found.filter("not kept").select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti")
+    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("key"))
+    if repeated.isEmpty():
+        return stay.select("row.*")
+    once = stay.join(repeated, "key", "left_semi").groupBy("key", F.sha2(text, 256)).agg(F.min("row").alias("row"))
+    return stay.join(repeated, "key", "left_anti").select("row.*").unionByName(once.select("row.*"))
+
+
 def oracle_sql(percent: int = 85, width: int = 5) -> str:
     """The same rows in DuckDB SQL over documents: exact similarities of all pairs that share a shingle, and reachability."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
