@@ -28,9 +28,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of texts linked by a similarity of 0.8 or more."""
-    found = near_dedup.near_duplicates(docs, percent=80, bands=40)
-    return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One document, that of the smallest id, of each group of texts linked by a similarity of 0.8 or more; repeated rows are one."""
+    return near_dedup.keep_one(docs, percent=80, bands=40)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
