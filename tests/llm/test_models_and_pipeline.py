@@ -175,16 +175,17 @@ def test_pipeline_by_stages(spark):
 
 
 def brute_kneser_ney(rows):
-    """log P(w | v, toxic) - log P(w | v, ordinary) of modified Kneser-Ney with shared back-off, from (label, words), with dictionaries."""
-    pair, word, context = ([Counter(), Counter()] for _ in range(3))
+    """chance(w, v, class) of (label, words) rows with dictionaries; any word that isn't among them stands for all others."""
+    pair = [Counter(), Counter()]
     for label, words in rows:
         for v, w in zip([None, *words], words):
             pair[label][v, w] += 1
-            word[label][w] += 1
-            context[label][v] += 1
-    together = lambda cs: cs[0] + cs[1]
-    pairs, words, contexts = map(together, (pair, word, context))
-    kinds = Counter(w for _, w in pairs)
+    pair.append(pair[0] + pair[1])
+    kinds = [Counter(w for _, w in p) for p in pair]
+    context = [Counter() for _ in pair]
+    for k, p in enumerate(pair):
+        for (v, _), c in p.items():
+            context[k][v] += c
 
     def lost(counts):
         n = Counter(counts.values())
@@ -193,30 +194,56 @@ def brute_kneser_ney(rows):
     def less(count, by):
         return count and by[min(count, 3) - 1]
 
-    by_word, by_pair = [lost(x) for x in (*word, words)], [lost(x) for x in (*pair, pairs)]
-
-    def chance(w, k):
-        counts = (*word, words)[k]
-        n = sum(counts.values())
-        mass = sum(less(c, by_word[k]) for c in counts.values()) / n
-        return (counts[w] - less(counts[w], by_word[k])) / n + mass * (kinds[w] + 0.5) / (len(pairs) + 0.5 * (len(words) + 1))
-
-    left = [Counter() for _ in range(3)]
-    for k, counts in enumerate((*pair, pairs)):
-        for (v, _), c in counts.items():
-            left[k][v] += less(c, by_pair[k])
-
-    def estimate(v, w, k, lower):
-        n = (*context, contexts)[k][v]
-        c = (*pair, pairs)[k][v, w]
-        return ((c - less(c, by_pair[k])) + left[k][v] * lower) / n if n else lower
-
-    def ratio(v, w):
-        shared = estimate(v, w, 2, chance(w, 2)) / chance(w, 2)
-        one, two = (estimate(v, w, k, shared * chance(w, k)) for k in (1, 0))
-        return math.log(one) - math.log(two)
-
-    return ratio
+    by_word, by_pair = [lost(x) for x in kinds[:2]], [lost(x) for x in pair]
+    vocabulary = sorted(kinds[2])
+
+    def shared(w):
+        return (kinds[2][w] + 0.5) / (sum(kinds[2].values()) + 0.5 * (len(kinds[2]) + 1))
+
+    def word(w, k):
+        n = sum(kinds[k].values())
+        if not n:
+            return shared(w)
+        return (kinds[k][w] - less(kinds[k][w], by_word[k]) + sum(less(c, by_word[k]) for c in kinds[k].values()) * shared(w)) / n
+
+    def interpolated(w, v, k, lower):
+        n = context[k][v]
+        left = sum(less(c, by_pair[k]) for (u, _), c in pair[k].items() if u == v)
+        c = pair[k][v, w]
+        return (c - less(c, by_pair[k]) + left * lower) / n if n else lower
+
+    def adapted(w, v, k):
+        return interpolated(w, v, 2, shared(w)) * word(w, k) / shared(w)
+
+    norms = {}
+
+    def chance(w, v, k):
+        if (v, k) not in norms:
+            norms[v, k] = sum(adapted(x, v, k) for x in [*vocabulary, "a word never met"])
+        return interpolated(w, v, k, adapted(w, v, k) / norms[v, k])
+
+    return chance, vocabulary
+
+
+def test_the_chances_after_any_word_add_up_to_one(spark):
+    rng = random.Random(4)
+    rows = [(int(rng.random() < 0.3), [rng.choice("abcdefghij") if rng.random() < 0.7 else "r%d" % rng.randrange(40) for _ in range(rng.randrange(1, 12))]) for _ in range(60)]
+    docs = spark.createDataFrame([(label, " ".join(w)) for label, w in rows], "label int, text string")
+    pairs, contexts, words, unmet = (x.collect() if hasattr(x, "collect") else x for x in toxicity.estimates(docs))
+    for side, other in zip(toxicity.SIDES, range(2)):
+        word = {r.word: r[f"c_{side}"] for r in words}
+        assert sum(word.values()) + unmet[other] == pytest.approx(1, abs=1e-9)
+        met = {}
+        for r in pairs:
+            met.setdefault(r.before, {})[r.word] = r[f"c_{side}"]
+        for r in contexts:  # words met after it, and all others by their own chances
+            others = sum(c for w, c in word.items() if w not in met[r.before]) + unmet[other]
+            assert sum(met[r.before].values()) + r[f"c_{side}"] * others == pytest.approx(1, abs=1e-9)
+            assert all(0 < c < 1 for c in met[r.before].values())
+    chance, vocabulary = brute_kneser_ney(rows)
+    for v in (None, "a", "b", "r1", "nowhere"):
+        for k in range(2):
+            assert sum(chance(w, v, k) for w in [*vocabulary, "a word never met"]) == pytest.approx(1, abs=1e-9)
 
 
 def test_toxicity_scores_equal_a_plain_model(spark):
@@ -233,7 +260,14 @@ def test_toxicity_scores_equal_a_plain_model(spark):
     got = {r.doc_id: r.score for r in toxicity.score(docs, docs.select("doc_id", "toxic"), held).collect()}
     fourth = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).select("doc_id").collect()}
     train = [r for r in rows if fold_of(r[0], 4) != 2]
-    ratio = brute_kneser_ney([(label, text.split()) for i, text, label in train if i not in fourth])
+    chance, _ = brute_kneser_ney([(label, text.split()) for i, text, label in train if i not in fourth])
+    known = {}
+
+    def ratio(v, w):
+        if (v, w) not in known:
+            known[v, w] = math.log(chance(w, v, 1)) - math.log(chance(w, v, 0))
+        return known[v, w]
+
 
     def means(text):
         w = text.split()

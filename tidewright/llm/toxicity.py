@@ -1,18 +1,20 @@
 """Toxicity from class-conditional Kneser-Ney bigram models.
 
-Toxic and ordinary training texts each have a model: counts of word pairs, less three discounts that the counts of
-counts give (modified Kneser-Ney), and what the discounts leave for the back-off.  The back-off is shared: it is the
-pair's estimate from both classes together, scaled by how much likelier the class makes the word; words of a class in
-turn back off to the continuation counts of both classes together.  So an expression that is rare in one class gets
-its chance from what both have, and one that both lack says nothing.
+Toxic and ordinary training texts each have a model P(word | word before), modified Kneser-Ney.  A class's words have
+continuation estimates: how many different words they follow there, less discounts, completed by the continuation counts
+of both classes together, which leave something for words never seen.  A class's pairs have their counts less three
+discounts that the counts of counts give, completed by shared back-off counts: the pair's own Kneser-Ney estimate from
+both classes together, adapted to the class by how much likelier that makes the word, and divided by what all words
+after that context get so, which makes each model a distribution: its chances after any word add up to one.  So a rare
+expression gets its chance from what both classes have, and one that neither has says nothing.
 
 A text's log-likelihoods under both models, divided by its number of words, are compared.  As a few strong words drown
 in a long text, a second mean, of the differences beyond ``STRONG`` (its root), goes with the first into a logistic fit
 on training rows that the models have not seen.
 
 The models are fitted on at most ``per_class`` labelled texts of each class, and on no more than ``sample_bytes`` of them
-(those whose ids hash lowest), which bounds the tables that are broadcast.  Spark counts and joins; the driver gets one
-number for each pair, context and word.
+(those whose ids hash lowest), which bounds the tables that are broadcast: a pair, context or word takes some 20 bytes,
+and 16 MB of texts have fewer than 3 million words.  Spark counts and joins; the driver gets the tables.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .frames import cut, over_texts
 SIDES = ("toxic", "ordinary")
 #: Differences (natural log) below this may be chance or topic.
 STRONG = 2.5
+#: A discount is this at least, so that each context leaves something.
+LEAST = 0.05
 #: What precedes a text's first word.
 START = np.uint64(0x5354415254)
 
@@ -38,7 +42,7 @@ START = np.uint64(0x5354415254)
 class Model:
     """log P(.. | toxic) - log P(.. | ordinary) by ascending hash: of pairs met, else a word's plus its context's.
 
-    ``unmet`` is that of a word that training lacks.
+    ``unmet`` is that of a word that training lacks; a context that it lacks adds nothing.
     """
 
     pairs: np.ndarray
@@ -105,64 +109,84 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def discounts(once: int, twice: int, thrice: int, four: int) -> tuple[float, float, float]:
-    """What a count of one, of two, and of more loses, from how many entries have counts of one to four."""
-    if not once or not twice:
+    """What a count of one, of two, and of more loses, from how many entries have counts of one to four; fixed where one of these is missing."""
+    if not (once and twice and thrice and four):
         return 0.5, 0.75, 0.75
     y = once / (once + 2 * twice)
-    two = 2 - 3 * y * thrice / twice
-    return max(1 - 2 * y * twice / once, 0.0), max(two, 0.0), max(3 - 4 * y * four / thrice, 0.0) if thrice else max(two, 0.0)
+    return max(1 - 2 * y * twice / once, LEAST), max(2 - 3 * y * thrice / twice, LEAST), max(3 - 4 * y * four / thrice, LEAST)
 
 
-def counts_of_counts(df: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """The discounts of the columns toxic, ordinary and both (their sum)."""
-    df = df.withColumn("both", F.col("toxic") + F.col("ordinary"))
-    row = df.agg(*(F.count_if(F.col(side) == k).alias(f"{side}{k}") for side in (*SIDES, "both") for k in (1, 2, 3, 4))).first()
-    return {side: discounts(*(row[f"{side}{k}"] for k in (1, 2, 3, 4))) for side in (*SIDES, "both")}
+def counts_of_counts(df: DataFrame, columns: list[str]) -> list[tuple[float, float, float]]:
+    """The discounts of each column."""
+    row = df.agg(*(F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in columns for k in (1, 2, 3, 4))).first()
+    return [discounts(*(row[f"{c}{k}"] for k in (1, 2, 3, 4))) for c in columns]
 
 
 def discount(count: Column, by: tuple[float, float, float]) -> Column:
     return F.when(count == 0, 0.0).when(count == 1, by[0]).when(count == 2, by[1]).otherwise(by[2])
 
 
+def word_chances(pairs: DataFrame) -> tuple[DataFrame, list[float]]:
+    """word, p_toxic, p_ordinary (continuation estimates of the classes) and p_both (shared), and those of an unmet word.
+
+    All three are distributions over the words met and one that stands for all others.
+    """
+    kinds = pairs.groupBy("word").agg(*(F.count_if(F.col(x) > 0).alias(x) for x in SIDES), F.count("*").alias("both"))
+    kinds = cut(kinds)
+    by = counts_of_counts(kinds, list(SIDES))
+    lost = [F.coalesce(F.sum(discount(F.col(x), d)), F.lit(0.0)).alias(f"lost_{x}") for x, d in zip(SIDES, by)]
+    sums = kinds.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in (*SIDES, "both")), *lost, F.count("*").alias("n")).first()
+    total = sums.both + 0.5 * (sums.n + 1)
+    shared, unmet = (F.col("both") + 0.5) / total, 0.5 / total
+    chances, rest = [], []
+    for x, d in zip(SIDES, by):
+        left = sums[f"lost_{x}"] / sums[x] if sums[x] else 1.0  # a class without words has the shared estimate
+        own = (F.col(x) - discount(F.col(x), d)) / sums[x] if sums[x] else F.lit(0.0)
+        chances.append((own + left * shared).alias(f"p_{x}"))
+        rest.append(left * unmet)
+    return kinds.select("word", *chances, shared.alias("p_both")), [*rest, unmet]
+
+
+def estimates(sample: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
+    """Pairs with the chance of their word in each class, contexts with what a pair not met gets of its word's chance, words and unmet ones.
+
+    The shared estimate S(w | v) of both classes together is adapted to a class by how much likelier that makes w:
+    S(w | v) * P(w) / Pboth(w) / Z(v), where Z(v) adds up to one what all words get, exactly: over the words met after v,
+    and over all others by the part that S leaves to them, in which Pboth cancels and P adds up to one.
+    """
+    sides = [*SIDES, "both"]
+    pairs = cut(bigram_counts(sample).withColumn("both", F.col("toxic") + F.col("ordinary")))
+    words, unmet = word_chances(pairs)
+    words = cut(words)
+    by = counts_of_counts(pairs, sides)
+    joined = pairs.join(words, "word")
+    adapted = {x: F.col(f"p_{x}") / F.col("p_both") for x in SIDES}
+    lost = [F.sum(discount(F.col(x), d)).alias(f"lost_{x}") for x, d in zip(sides, by)]
+    met = [F.sum((F.col("both") - discount(F.col("both"), by[2])) * adapted[x]).alias(f"met_{x}") for x in SIDES]
+    contexts = joined.groupBy("before").agg(*(F.sum(x).alias(f"n_{x}") for x in sides), *lost, *met)
+    leaves = {x: F.when(F.col(f"n_{x}") > 0, F.col(f"lost_{x}") / F.col(f"n_{x}")).otherwise(1.0) for x in sides}
+    norms = [((F.col(f"met_{x}") + F.col("lost_both")) / F.col("n_both")).alias(f"norm_{x}") for x in SIDES]
+    contexts = cut(contexts.select("before", *(F.col(f"n_{x}") for x in sides), *(v.alias(f"leaves_{x}") for x, v in leaves.items()), *norms))
+    joined = joined.join(contexts, "before")
+    kept = {x: F.when(F.col(f"n_{x}") > 0, (F.col(x) - discount(F.col(x), d)) / F.col(f"n_{x}")).otherwise(0.0) for x, d in zip(sides, by)}
+    shared = kept["both"] + F.col("leaves_both") * F.col("p_both")
+    chances = [(kept[x] + F.col(f"leaves_{x}") * shared * adapted[x] / F.col(f"norm_{x}")).alias(f"c_{x}") for x in SIDES]
+    rest = [(F.col(f"leaves_{x}") * F.col("leaves_both") / F.col(f"norm_{x}")).alias(f"c_{x}") for x in SIDES]
+    return joined.select("before", "word", *chances), contexts.select("before", *rest), words.select("word", *(F.col(f"p_{x}").alias(f"c_{x}") for x in SIDES)), unmet
+
+
 def fit_models(sample: DataFrame) -> Model:
     """A model of all pairs, contexts and words of ``sample`` (label, text)."""
-    pairs = cut(bigram_counts(sample))
-    sums = [F.sum(x).alias(x) for x in SIDES]
-    words = cut(pairs.groupBy("word").agg(*sums, F.count("*").alias("kinds")))
-    totals = words.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in (*SIDES, "kinds")), F.count("*").alias("n")).first()
-    both = lambda: F.col("toxic") + F.col("ordinary")
-    size = {"toxic": max(totals.toxic, 1), "ordinary": max(totals.ordinary, 1), "both": max(totals.toxic + totals.ordinary, 1)}
-    by = counts_of_counts(words)
-    # words: a class's discounted count and what its discounts leave for the shared continuation counts
-    left = words.agg(*(F.coalesce(F.sum(discount(F.col(x), by[x])), F.lit(0.0)).alias(x) for x in SIDES), F.coalesce(F.sum(discount(both(), by["both"])), F.lit(0.0)).alias("both")).first()
-    # without words of a class all of its chance is shared
-    mass = {x: left[x] / size[x] if left[x] else float(not totals[x]) if x in SIDES else 1.0 for x in (*SIDES, "both")}
-    mass = {x: m if m > 0 else 1e-9 for x, m in mass.items()}
-    share = (F.col("kinds") + 0.5) / (totals.kinds + 0.5 * (totals.n + 1))
-    chance = lambda count, x: (count - discount(count, by[x])) / size[x] + mass[x] * share
-    known = words.select("word", *(chance(F.col(x), x).alias(f"word_{x}") for x in SIDES), chance(both(), "both").alias("word_both"))
-    # contexts: how often each class has them, and what the discounts of their pairs leave
-    by_pair = counts_of_counts(pairs)
-    lost = [F.sum(discount(F.col(x), by_pair[x])).alias(f"lost_{x}") for x in SIDES] + [F.sum(discount(both(), by_pair["both"])).alias("lost_both")]
-    contexts = cut(pairs.groupBy("before").agg(*(F.sum(x).alias(f"n_{x}") for x in SIDES), *lost).withColumn("n_both", F.col("n_toxic") + F.col("n_ordinary")))
-    least = 1e-9  # discounts of zero would leave nothing for the back-off
-    backoff = {x: F.when(F.col(f"n_{x}") > 0, F.greatest(F.col(f"lost_{x}") / F.col(f"n_{x}"), F.lit(least))).otherwise(1.0) for x in (*SIDES, "both")}
-    joined = pairs.join(known, "word").join(contexts, "before")
-    kept = lambda count, x: F.when(F.col(f"n_{x}") > 0, (count - discount(count, by_pair[x])) / F.col(f"n_{x}")).otherwise(0.0)
-    shared = kept(both(), "both") + backoff["both"] * F.col("word_both")
-    chances = [kept(F.col(x), x) + backoff[x] * shared * F.col(f"word_{x}") / F.col("word_both") for x in SIDES]
-    ratio = lambda one, two: (F.log(one) - F.log(two)).cast("float").alias("ratio")
-
-    def collected(df: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-        found = df.toArrow()
-        return [found.column(x).to_numpy().view(np.uint64) for x in found.column_names[:-1]], found.column("ratio").to_numpy()
-
-    (before, after), pair_ratios = collected(joined.select("before", "word", ratio(*chances)))
-    (context_keys,), context_ratios = collected(contexts.select("before", ratio(*(backoff[x] for x in SIDES))))
-    (word_keys,), word_ratios = collected(known.select("word", ratio(*(F.col(f"word_{x}") for x in SIDES))))
-    tables = [(pair_hashes(before, after), pair_ratios), (context_keys, context_ratios), (word_keys, word_ratios)]
-    sorted_ = [(keys[order], values[order]) for keys, values in tables for order in [np.argsort(keys)]]
-    return Model(*(x for pair in sorted_ for x in pair), float(np.log(mass["toxic"]) - np.log(mass["ordinary"])))
+    *tables, unmet = estimates(sample)
+    ratio = (F.log("c_toxic") - F.log("c_ordinary")).cast("float").alias("ratio")
+    found = []
+    for df in tables:
+        rows = df.select(*(c for c in df.columns if not c.startswith("c_")), ratio).toArrow()
+        keys = [rows.column(c).to_numpy().view(np.uint64) for c in rows.column_names[:-1]]
+        key = pair_hashes(*keys) if len(keys) == 2 else keys[0]
+        order = np.argsort(key)
+        found += [key[order], rows.column("ratio").to_numpy()[order]]
+    return Model(*found, float(np.log(unmet[0]) - np.log(unmet[1])))
 
 
 def normalised_ratios(docs: DataFrame, model, carried: list[str]) -> DataFrame:
