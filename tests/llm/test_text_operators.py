@@ -519,3 +519,95 @@ def test_digests_of_the_bpe_query(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").limit(50).collect():
         ids = own.encode_ordinary(r.text)
         assert (out[r.doc_id].n_tokens, out[r.doc_id].ids_sha256, out[r.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest())
+
+
+FOURTH = """3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement: This product includes software developed by the Example Group.
+
+4. Neither the name of the Example Group nor the
+   names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission.
+"""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+"""
+GPL3_TEXT = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+GPL2_TEXT = """ Copyright (C) 1989, 1991 Free Software Foundation, Inc.,
+ 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The licenses for most software are designed to take away your
+freedom to share and change it.  By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free
+software--to make sure the software is free for all its users.  This
+"""
+MPL_TEXT = """1. Definitions
+--------------
+
+1.1. "Contributor"
+    means each individual or legal entity that creates, contributes to
+    the creation of, or owns Covered Software.
+
+1.4. "Covered Software"
+    means Source Code Form to which the initial Contributor has attached
+    the notice in Exhibit A, the Executable Form of such Source Code
+    Form, and Modifications of such Source Code Form, in each case
+    including portions thereof.
+"""
+NAMED = [
+    (["BSD-3-Clause"], BSD.format(third=THIRD.replace("the copyright holder", "Google Inc."))),
+    (["BSD-3-Clause"], BSD.format(third=THIRD.replace("its", "any").replace("the copyright holder", "the University of Somewhere, its parts and friends,")).replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS")),
+    (["BSD-3-Clause"], BSD.format(third="\n3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n")),
+    (["BSD-3-Clause"], BSD.format(third=THIRD).replace("1. ", "(1) ").replace("2. ", "* ").replace("3. ", "c) ")),
+    ([], BSD.format(third="\n3. Our name must never be used to endorse or promote products made with it.\n")),
+    ([], BSD.format(third="\n3. You may not use this on Sundays without asking us for permission first.\n")),
+    (["BSD-4-Clause"], BSD.format(third="\n" + FOURTH)),
+    (["BSD-2-Clause"], BSD.format(third="")),
+    (["MIT"], "The project is licensed under the MIT License.\n"),
+    (["MIT"], "All of this code is released under the terms of the MIT license. Enjoy."),
+    (["GPL-3.0"], "This work is licensed under the GNU General Public License, version 3."),
+    (["MIT"], "// SPDX-License-Identifier: MIT\nint main() {}"),
+    (["GPL-2.0"], "/* SPDX-License-Identifier: GPL-2.0-only */\ncode"),
+    (["Apache-2.0"], "# SPDX-License-Identifier: Apache-2.0"),
+    (["Apache-2.0"], APACHE + "\nSPDX-License-Identifier: Apache-2.0\n"),
+    ([], "# SPDX-License-Identifier: MIT OR Apache-2.0"),
+    ([], "Not every license is the MIT license, and the licence of this text is none of them."),
+    (["Apache-2.0"], APACHE_TEXT), (["GPL-3.0"], GPL3_TEXT), (["GPL-2.0"], GPL2_TEXT), (["MPL-2.0"], MPL_TEXT), (["GPL-3.0"], GPL3_TEXT.replace("\n", "\r\n")),
+]
+
+
+def test_names_are_slots_and_no_shorter_rule_stands_for_a_longer_one(spark):
+    rows = [(i, text) for i, (_, text) in enumerate(NAMED)]
+    got = {i: [] for i, _ in rows}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append(r.license)
+    assert got == {i: names for i, (names, _) in enumerate(NAMED)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    by_sql = sorted((i, name) for i, _, name, _ in con.sql(licenses.oracle_sql()).fetchall())
+    assert by_sql == sorted((i, name) for i, names in got.items() for name in names)
