@@ -31,8 +31,12 @@ def out_of_order(df: DataFrame, key: str, arrival: str, time: str) -> DataFrame:
 def dataset(df: DataFrame, key: str, time: str, hours_expected: bool = True) -> DataFrame:
     """CMP-16/17: per key and year, rows, distinct hours, duplicates, hours off the grid and hours missing within its span."""
     second = F.unix_seconds(time)
-    grouped = df.groupBy(key, F.year(time).alias("year")).agg(F.count("*").alias("rows"), F.countDistinct(time).alias("hours"), F.count_if(second % 3600 != 0).alias("off_grid"), F.min(second).alias("lo"), F.max(second).alias("hi"))
-    missing = (F.col("hi") - F.col("lo")) / 3600 + 1 - F.col("hours")
+    on_grid, hour = second % 3600 == 0, F.floor(second / 3600)
+    grouped = df.groupBy(key, F.year(time).alias("year")).agg(
+        F.count("*").alias("rows"), F.countDistinct(time).alias("hours"), F.count_if(~on_grid).alias("off_grid"),
+        F.countDistinct(F.when(on_grid, hour)).alias("whole"), F.min(hour).alias("lo"), F.max(hour).alias("hi"),
+    )
+    missing = F.col("hi") - F.col("lo") + 1 - F.col("whole")
     return grouped.select(key, "year", "rows", "hours", (F.col("rows") - F.col("hours")).alias("duplicates"), "off_grid", (missing if hours_expected else F.lit(0)).cast("long").alias("missing_hours"))
 
 

@@ -7,6 +7,8 @@ REFERENCE_CONFLICT (target hour), PENDING_REFERENCE, EVALUATED.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,85 @@ def forecast_errors(horizon_hours: int, expected_id: Column | None, contract: di
     return found
 
 
+@dataclass(frozen=True)
+class Provenance:
+    """What the two-hour contract fixes beside the model: how forecasts are made, by whom, and from which sources."""
+
+    feature_count: int
+    horizon_hours: int
+    provider: str
+    provider_model: str
+    live_source: str
+    live_endpoint: str
+    replay_source: str
+    replay_endpoint: str
+
+
+# Origins of a forecast, and the codes of forecasts and observations.
+ORIGINS = (LIVE, "REPLAY_VALIDATION", "BACKFILL")
+NO_SOURCE, NO_EVENT, BAD_TIME, BAD_PAYLOAD = "MISSING_SOURCE", "MISSING_EVENT_ID", "INVALID_EVENT_TIME", "INVALID_WEATHER_PAYLOAD"
+
+
+def lead_seconds(target: Column, now: Column) -> Column:
+    """CMP-07: how long before its target a forecast is made, with fractions."""
+    return (F.unix_micros(target) - F.unix_micros(now)) / 1e6
+
+
+def provenance_errors(told: Provenance, applies: Column) -> dict[str, Column]:
+    """FLT-10, the codes of the two-hour contract, where ``applies`` is true and both times are whole hours.
+
+    Columns: feature_count, forecast_horizon_hours, execution_origin, provider, provider_model, provider_endpoint,
+    source, source_event_id, source_retrieved_at, inference_time and forecast_lead_seconds.  Without a readable
+    inference time, lead and retrieval time the lead is invalid and nothing that rests on them is judged.
+    """
+    on = F.coalesce(applies & aligned(F.col("feature_time")) & aligned(F.col("target_time")), F.lit(False))
+    c, empty = F.col, lambda name: F.coalesce(F.col(name), F.lit("")) == ""
+    differs = lambda name, value: ~c(name).eqNullSafe(F.lit(value))
+    lead, made, seen = c("forecast_lead_seconds"), c("inference_time"), c("source_retrieved_at")
+    readable = made.isNotNull() & finite(lead) & seen.isNotNull()
+    due = lead_seconds(c("target_time"), made)
+    live, replay = on & readable & c("execution_origin").eqNullSafe(F.lit(LIVE)), on & readable & c("execution_origin").eqNullSafe(F.lit("REPLAY_VALIDATION"))
+    return {
+        "INVALID_FEATURE_COUNT": on & differs("feature_count", told.feature_count),
+        "INVALID_FORECAST_HORIZON_HOURS": on & differs("forecast_horizon_hours", told.horizon_hours),
+        "INVALID_EXECUTION_ORIGIN": on & ~F.coalesce(c("execution_origin").isin(*ORIGINS), F.lit(False)),
+        "INVALID_T2H_PROVIDER": on & (differs("provider", told.provider) | differs("provider_model", told.provider_model)),
+        "INVALID_T2H_PROVENANCE": on & (empty("provider_endpoint") | empty("source_event_id")),
+        "INVALID_FORECAST_LEAD": on & (~readable | F.coalesce(lead != due, F.lit(True))),
+        "INVALID_SOURCE_RETRIEVAL_TIME": on & readable & (seen > made),
+        "INVALID_LIVE_SOURCE": live & (differs("source", told.live_source) | differs("provider_endpoint", told.live_endpoint)),
+        "NON_POSITIVE_LIVE_FORECAST_LEAD": live & ((c("target_time") <= made) | (lead <= 0)),
+        "INVALID_COMPLETED_SAFE_HOUR": live & (c("feature_time") > F.date_trunc("hour", made) - hours(1)),
+        "INVALID_REPLAY_SOURCE": replay & (differs("source", told.replay_source) | differs("provider_endpoint", told.replay_endpoint)),
+    }
+
+
+def observation_errors(known: Column, values: list[str], required: str = "temperature_c", code: str = "weather_code", time: str = "event_time") -> dict[str, Column]:
+    """FLT-10 of observations, by code; a column for each of ``values`` and ``code`` (may be null, else a whole number).
+
+    A payload's code names the first of ``values``, in their order, that is wrong: ``required`` is there, all are finite.
+    """
+    empty = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
+    faults = []
+    for v in values:
+        if v == required:
+            faults.append((F.col(v).isNull(), f"{v} is required"))
+        faults.append((F.col(v).isNotNull() & ~finite(F.col(v)), f"{v} must be finite"))
+    faults.append((F.col(code).isNotNull() & ~finite(F.col(code)), f"{code} must be finite"))
+    faults.append((F.col(code).isNotNull() & (F.col(code).cast("double") != F.floor(F.col(code).cast("double"))), f"{code} must be an integer"))
+    first, found = F.lit(False), {}
+    for fault, told in faults:
+        found[f"{BAD_PAYLOAD}:{told}"] = fault & ~first
+        first = first | fault
+    return {
+        NO_SOURCE: empty("source"),
+        "UNKNOWN_LOCATION": empty("location_id") | ~F.coalesce(known, F.lit(False)),
+        NO_EVENT: empty("event_id"),
+        BAD_TIME: ~F.coalesce(aligned(F.col(time)), F.lit(False)),
+        **found,
+    }
+
+
 def evaluate(
     forecasts: DataFrame,
     observations: DataFrame,

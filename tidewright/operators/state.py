@@ -86,6 +86,11 @@ def prospective_status(status: Column, target: Column, now: Column, provenance_o
     return F.when(status == "HISTORY_GAP", "GAP_IN_HISTORY").when(status != "READY", status).when(~F.coalesce(provenance_ok, F.lit(False)), "INVALID_PROVENANCE").when(live & (target <= now), "NON_PROSPECTIVE_SKIPPED").otherwise("READY")
 
 
+def useful_lead(lead_seconds: Column, least_seconds: float | None) -> Column:
+    """CMP-07: whether a forecast comes early enough to be of use; null where no least lead is agreed."""
+    return F.lit(None).cast("boolean") if least_seconds is None else lead_seconds >= least_seconds
+
+
 def expired(state: DataFrame, key: str = "location_id", time: str = "event_time", retention_hours: int = 48) -> DataFrame:
     """SNK-05, STR-10: keys and times of stored rows beyond the retention of their key's latest row."""
     latest = state.groupBy(key).agg(F.max(time).alias("_latest"))

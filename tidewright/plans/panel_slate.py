@@ -202,10 +202,18 @@ def label_verify_join(spark, d):
     return features.label_faults(labels, p, "location_id", "event_time", "target_time", "label", "temperature_c")
 
 
-@query(f"WITH {PANEL} SELECT location_id, CAST(year(event_time) AS INTEGER) AS year, count(*) AS rows, count(DISTINCT event_time) AS hours, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS off_grid, CAST((epoch(max(event_time)) - epoch(min(event_time))) / 3600 + 1 - count(*) AS BIGINT) AS missing_hours FROM panel GROUP BY ALL")
+@query(f"""WITH {PANEL}, faulty AS (SELECT location_id, event_time FROM panel UNION ALL SELECT location_id, event_time FROM panel WHERE CAST(epoch(event_time) / 3600 AS BIGINT) % 19 = 0
+  UNION ALL SELECT location_id, event_time + INTERVAL 30 MINUTE FROM panel WHERE CAST(epoch(event_time) / 3600 AS BIGINT) % 23 = 0)
+SELECT location_id, CAST(year(event_time) AS INTEGER) AS year, count(*) AS rows, count(DISTINCT event_time) AS hours, count(*) - count(DISTINCT event_time) AS duplicates,
+  count(*) FILTER (date_trunc('hour', event_time) <> event_time) AS off_grid,
+  CAST((epoch(max(date_trunc('hour', event_time))) - epoch(min(date_trunc('hour', event_time)))) / 3600 + 1 - count(DISTINCT event_time) FILTER (date_trunc('hour', event_time) = event_time) AS BIGINT) AS missing_hours
+FROM faulty GROUP BY ALL""")
 def dataset_audit(spark, d):
-    """CMP-16/17."""
-    return audit.dataset(panel(spark, d), "location_id", "event_time")
+    """CMP-16/17 over a panel with repeated hours and hours off the grid."""
+    p = panel(spark, d).select("location_id", "event_time")
+    hour = F.floor(F.unix_seconds("event_time") / 3600)
+    off = p.filter(hour % 23 == 0).withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 30 MINUTES"))
+    return audit.dataset(p.unionByName(p.filter(hour % 19 == 0)).unionByName(off), "location_id", "event_time")
 
 
 @query(f"SELECT count(*) AS total_rows, count(DISTINCT ts) AS distinct_hours FROM (SELECT date_trunc('hour', ts) AS ts FROM events)")

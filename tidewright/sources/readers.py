@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,6 +193,57 @@ def catalog(spark: SparkSession, path: str, membership: str | None = None, expec
     return df
 
 
+@dataclass(frozen=True)
+class CatalogRules:
+    """What a catalog of places must be: fields, names by kind, fixed values, bounds of coordinates and members of datasets."""
+
+    required: tuple[str, ...]
+    kinds: dict[str, int]
+    fixed: dict[str, str]
+    latitude: tuple[float, float]
+    longitude: tuple[float, float]
+    whole_set: str
+    subset: str
+    subset_ids: tuple[str, ...]
+    prefix: str = ""
+    id_col: str = "location_id"
+    name_col: str = "province_name"
+    kind_col: str = "admin_type"
+
+
+def catalog_errors(df: DataFrame, rules: CatalogRules) -> DataFrame:
+    """SRC-15: (location_id, code) of each rule that a record breaks, and (null, code) of each that the catalog breaks as a whole.
+
+    The catalog is valid where this is empty.  Ids, names and coordinates are unique; each kind has its number of places;
+    each record has the required fields, fixed values and plausible coordinates and belongs to the whole set; the subset
+    has exactly its ids.
+    """
+    place, lat, lon = F.col(rules.id_col), F.col("latitude").cast("double"), F.col("longitude").cast("double")
+    within = lambda x, ends: F.coalesce(x.between(*ends), F.lit(False))
+    member = lambda name: F.coalesce(F.array_contains("dataset_memberships", name), F.lit(False))
+    checks = {f"MISSING_{c.upper()}": F.col(c).isNull() | (F.col(c).cast("string") == "") for c in rules.required}
+    checks |= {f"INVALID_{c.upper()}": F.coalesce(F.col(c) != v, F.lit(False)) for c, v in rules.fixed.items()}
+    checks["INVALID_LOCATION_ID"] = ~F.coalesce(place.startswith(rules.prefix), F.lit(False))
+    checks[f"INVALID_{rules.kind_col.upper()}"] = ~F.coalesce(F.col(rules.kind_col).isin(*rules.kinds), F.lit(False))
+    checks["COORDINATE_NOT_NUMERIC"] = lat.isNull() | lon.isNull()
+    checks["COORDINATE_OUT_OF_RANGE"] = lat.isNotNull() & lon.isNotNull() & ~(within(lat, (-90, 90)) & within(lon, (-180, 180)))
+    checks["COORDINATE_OUT_OF_ENVELOPE"] = lat.isNotNull() & lon.isNotNull() & ~(within(lat, rules.latitude) & within(lon, rules.longitude))
+    checks["NOT_IN_WHOLE_SET"] = ~member(rules.whole_set)
+    checks["WRONG_SUBSET"] = member(rules.subset) != F.coalesce(place.isin(*rules.subset_ids), F.lit(False))
+    codes = F.array_compact(F.array(*(F.when(broken, code) for code, broken in checks.items())))
+    records = df.select(place.alias(rules.id_col), F.explode(codes).alias("code"))
+    whole = {
+        "WRONG_COUNT": F.count("*") != sum(rules.kinds.values()),
+        "REPEATED_LOCATION_ID": F.countDistinct(place) != F.count("*"),
+        "REPEATED_NAME": F.countDistinct(rules.name_col) != F.count("*"),
+        "REPEATED_COORDINATE": F.countDistinct(F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat, lon))) != F.count(F.when(lat.isNotNull() & lon.isNotNull(), 1)),
+        "SUBSET_INCOMPLETE": F.countDistinct(F.when(place.isin(*rules.subset_ids), place)) != len(set(rules.subset_ids)),
+        **{f"WRONG_COUNT_{kind}": F.count_if(F.col(rules.kind_col) == kind) != n for kind, n in rules.kinds.items()},
+    }
+    one = df.agg(F.array_compact(F.array(*(F.when(broken, code) for code, broken in whole.items()))).alias("_codes"))
+    return records.unionByName(one.select(F.lit(None).cast("string").alias(rules.id_col), F.explode("_codes").alias("code")))
+
+
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """SRC-16."""
     return spark.createDataFrame(rows, schema)
