@@ -71,8 +71,9 @@ def train_bounds(df: DataFrame, columns: list[str], split: str = "split") -> Dat
     """AGG-13: p01 and p99 of the finite values of each column, of TRAIN rows only."""
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_value")) for c in columns]
     long = df.filter(F.col(split) == "TRAIN").select(F.inline(F.array(*cells))).filter(finite(F.col("_value")))
-    p = F.percentile("_value", [0.01, 0.99])
-    return long.groupBy("column").agg(F.count("*").alias("count"), p[0].alias("p01"), p[1].alias("p99"))
+    found = at_ranks(long, "_value", lambda n: [cut((n - 1) * s) for s in (0.01, 0.99) for cut in (F.floor, F.ceil)], ["column"])
+    p01, p99 = (_between(i, share) for i, share in enumerate((0.01, 0.99)))
+    return found.select("column", F.col("n").alias("count"), p01.alias("p01"), p99.alias("p99"))
 
 
 def at_ranks(df: DataFrame, value: str, ranks: Callable[[Column], list[Column]], by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
@@ -108,12 +109,14 @@ def nearest_rank(df: DataFrame, value: str, share: float, by: list[str] | None =
 def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
     """AGG-10: ``percentiles``, interpolated between ranks as ``F.percentile`` does, of groups too large for one task."""
     found = at_ranks(df, value, lambda n: [cut((n - 1) * s) for s in shares for cut in (F.floor, F.ceil)], by)
-    out = []
-    for i, share in enumerate(shares):
-        low, high = F.col("values")[2 * i], F.col("values")[2 * i + 1]
-        place = (F.col("n") - 1) * share
-        out.append(low + (high - low) * (place - F.floor(place)))
-    return found.select(*(by or []), F.array(*out).alias("percentiles"))
+    return found.select(*(by or []), F.array(*(_between(i, share) for i, share in enumerate(shares))).alias("percentiles"))
+
+
+def _between(i: int, share: float) -> Column:
+    """The ``i``-th of shares whose lower and upper ranks ``at_ranks`` found as ``values``, interpolated."""
+    low, high = F.col("values")[2 * i], F.col("values")[2 * i + 1]
+    place = (F.col("n") - 1) * share
+    return low + (high - low) * (place - F.floor(place))
 
 
 def evaluation_summary(df: DataFrame, by: list[str], model: str = "model_prediction", base: str = "persistence_prediction", actual: str = "reference", least: int = 1) -> DataFrame:

@@ -52,14 +52,41 @@ def write_changes(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def newest(spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str]) -> DataFrame:
-    """The newest row of each key among the changes below ``path``; columns of ``schema``."""
+def newest(spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str], upto: int | None = None) -> DataFrame:
+    """The newest row of each key among the changes below ``path``, up to batch ``upto``; columns of ``schema``."""
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     changes = spark.read.schema(T.StructType([*wanted.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    changes = changes if upto is None else changes.filter(F.col("batch") <= upto)
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("batch").desc()))
     return changes.withColumn("_last", last).filter("_last = 1").select(wanted.fieldNames())
 
 
+def compact(spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str], upto: int) -> None:
+    """Leaves one folder of the changes below ``path`` up to batch ``upto``: the newest row of each key, under that number.
+
+    ``newest`` gives the same rows before and after, and reads as much as there are keys instead of all that ever changed.
+    The folder is made beside and moved into place before older ones go; a run that broke off is finished by the next.
+    Only batches that no stream will replay may be compacted, and by one run at a time.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    at = lambda name: hadoop.Path(f"{path}/{name}")
+    fs = at("").getFileSystem(conf)
+    versions = sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(hadoop.Path(path)) if s.getPath().getName().startswith("batch="))
+    old = [n for n in versions if n <= upto]
+    whole = fs.exists(at(f"_compacted-{upto}/_SUCCESS"))
+    if not whole and len(old) > 1:
+        rows = newest(spark, path, schema, keys, upto)
+        rows.write.mode("overwrite").parquet(f"{path}/_compacted-{upto}")
+        whole = True
+    if whole:
+        fs.delete(at(f"batch={upto}"), True)
+        if not fs.rename(at(f"_compacted-{upto}"), at(f"batch={upto}")):
+            raise OSError(f"could not move the compacted batch {upto} into place")
+        for n in old:
+            if n < upto:
+                fs.delete(at(f"batch={n}"), True)
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """SNK-12: a micro-batch's metrics as further JSON lines below ``path``."""
     metrics.write.mode("append").json(path)
