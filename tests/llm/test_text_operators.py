@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewright.llm import blocks, bpe, chat, decontaminate, lattice, licenses, quality_rules, queries, token_counts
@@ -611,3 +612,49 @@ def test_names_are_slots_and_no_shorter_rule_stands_for_a_longer_one(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     by_sql = sorted((i, name) for i, _, name, _ in con.sql(licenses.oracle_sql()).fetchall())
     assert by_sql == sorted((i, name) for i, names in got.items() for name in names)
+
+
+def _by_spaces(column):
+    from tidewright.llm import bytewords
+
+    for row, end, data, offsets in bytewords.text_slices(column, 1 << 12):
+        words = bytewords.words(data, offsets)
+        yield row, end, blocks.word_array(words), np.diff(words.first)
+
+
+def test_a_block_makes_few_rows_however_many_shards_there_are(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(1).alias("weight"))
+    shape = blocks.Layout(10_048, 3)
+    rows = blocks.blocks(docs, _by_spaces, shape.bundles, block_bytes=1 << 15).groupBy("block").count()
+    assert rows.count() > 5 and rows.agg(F.max("count")).first()[0] <= blocks.BUNDLES + 1
+    with pytest.raises(ValueError):
+        blocks.Layout(100)
+
+
+def test_bundles_of_shards_give_the_same_answers(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BUNDLES", 4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(1).alias("weight")).unionByName(spark.createDataFrame([(-1, None, 1), (None, "", 1)], "doc_id long, text string, weight int"))
+
+    def finish(ids, weights, sizes, at, answers):
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        sums = np.concatenate(([0], np.cumsum(answers["count"].to_numpy()[at] if len(at) else np.zeros(0, np.int64))))
+        return pa.table({"doc_id": ids, "s": pa.array(np.diff(sums[cuts]))})
+
+    def run(shape):
+        packed = blocks.blocks(docs, _by_spaces, shape.bundles, block_bytes=1 << 15).persist()
+        words, positions = packed.filter(F.col("part") < blocks.POSITIONS), packed.filter(F.col("part") >= blocks.POSITIONS)
+        answer = lambda w, c: {"count": pa.array(c)}
+        at_once = blocks.by_shard(words, answer, shape)
+        kept = blocks.put(words, blocks.over_words(blocks.distinct(words, shape), answer), shape)
+        told = [sorted(map(str, blocks.by_block(x, positions, finish, "doc_id long, s long").collect())) for x in (at_once, kept)]
+        assert told[0] == told[1] and blocks.distinct(words, shape).count() <= shape.shards
+        packed.unpersist()
+        return told[0]
+
+    want = Counter()
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
+    for _, w in rows:
+        want.update(w)
+    plain = sorted(str(Row(doc_id=i, s=sum(want[x] for x in w))) for i, w in rows)
+    for shape in (blocks.Layout(1), blocks.Layout(4), blocks.Layout(3, 2), blocks.Layout(12), blocks.Layout(16, 3)):
+        assert run(shape) == plain, shape

@@ -9,10 +9,12 @@ A word that a third of the corpus consists of is still one entry per block.  ``b
 together, so that each distinct word is looked at once in the whole corpus, and sends an answer for each entry back to
 its block; ``by_block`` puts the answers in place.
 
-No group grows with the input: blocks hold about BLOCK_BYTES of text (at least one document), shards are as many as the
-input has SHARD_BYTES (``layout``), and where the blocks are more than RANGE_BYTES hold, a shard's entries are dealt into
-ranges of blocks, each of which adds its distinct words up before they meet (``distinct``); so a word that every block
-has is an entry a block in its range and an entry a range beyond.
+No group grows with the input: blocks hold about BLOCK_BYTES of text (at least one document) and shards are as many as
+the input has SHARD_BYTES (``layout``).  A block makes BUNDLES rows of words at most, however many shards there are: beyond
+that many, shards travel in bundles (a shard's number modulo BUNDLES).  Bundles of a range of blocks (RANGE_BYTES of
+text) meet first, add their distinct words up and are cut into shards, which meet then (``distinct``).  So a block's rows
+are bounded, a shard gets a row a range, and a word that every block has is an entry a block in its range and an entry a
+range beyond.  Answers go back the same way, and each range gets those of its own words alone (``put``).
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ BLOCK_BYTES = 4 << 20
 SHARD_BYTES, RANGE_BYTES = 32 << 20, 16 << 30
 #: More shards than this share partitions; each is still a group of its own.
 MOST_PARTITIONS = 20_000
+#: Rows of words that a block makes at most.
+BUNDLES = 64
 #: The positions of a block travel under a part of their own, beyond all shards.
 POSITIONS = 1 << 40
 
@@ -46,6 +50,20 @@ class Layout:
     shards: int
     ranges: int = 1
 
+    def __post_init__(self):
+        if self.shards > BUNDLES and self.shards % BUNDLES:
+            raise ValueError(f"more than {BUNDLES} shards have to be a multiple of that")
+
+    @property
+    def bundles(self) -> int:
+        """What a block's words are dealt into: shards while they are few."""
+        return min(self.shards, BUNDLES)
+
+    @property
+    def direct(self) -> bool:
+        """Whether rows of blocks meet in their shard at once."""
+        return self.ranges == 1 and self.shards == self.bundles
+
     @property
     def partitions(self) -> int:
         return min(self.shards, MOST_PARTITIONS)
@@ -54,7 +72,8 @@ class Layout:
 def layout(docs: DataFrame, column: str = "text") -> Layout:
     """Shards and ranges for ``docs``, by the bytes of all its texts."""
     size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return Layout(max(1, -(-size // SHARD_BYTES)), max(1, -(-size // RANGE_BYTES)))
+    shards = max(1, -(-size // SHARD_BYTES))
+    return Layout(shards if shards <= BUNDLES else -(-shards // BUNDLES) * BUNDLES, max(1, -(-size // RANGE_BYTES)))
 
 
 def pack(arrays: dict[str, pa.Array]) -> bytes:
@@ -214,10 +233,25 @@ def distinct(words: DataFrame, shape: Layout) -> DataFrame:
         tidy()
         return out
 
-    if shape.ranges > 1:
-        ranged = words.withColumn("block", F.pmod("block", F.lit(shape.ranges)))
-        words = ranged.groupBy("part", "block").applyInArrow(add, PACKED)
-    return _by_part(words, add, shape)
+    return _by_part(words if shape.direct else ranged(words, shape), add, shape)
+
+
+def ranged(words: DataFrame, shape: Layout) -> DataFrame:
+    """Packed rows (shard, range, payload) of the distinct words, with their counts, of each range of blocks."""
+
+    def cut_up(rows: pa.Table) -> pa.Table:
+        _, found, _, counts = _met(rows)
+        offsets = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8)
+        data = np.frombuffer(found.buffers()[2], np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+        shard = (bytewords.hash_spans(data, offsets[:-1], offsets[1:]) % np.uint64(shape.shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        parts, first = np.unique(shard[order], return_index=True)
+        payloads = [pack_rows({"word": found.take(pa.array(mine)), "count": pa.array(counts[mine])}) for mine in np.split(order, first[1:])]
+        tidy()
+        return pa.table({"part": pa.array(parts), "block": pa.array(np.full(len(parts), rows.column("block")[0].as_py())), "payload": pa.array(payloads, pa.binary())})
+
+    dealt = words.withColumn("block", F.pmod("block", F.lit(shape.ranges)))
+    return dealt.groupBy("part", "block").applyInArrow(cut_up, PACKED)
 
 
 def over_words(vocabulary: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
@@ -235,22 +269,37 @@ def over_words(vocabulary: DataFrame, answer: Callable[[pa.Array, np.ndarray], d
     return over_texts(vocabulary, run, PACKED)
 
 
+def _answers(asked: pa.LargeBinaryArray, known: pa.RecordBatch, words: bool = False) -> bytes:
+    """The answers of ``known`` to the words that are asked for, in their order; with the words before them if wanted."""
+    at = pc.index_in(asked, known.column("word"))
+    told = {k: known.column(k).take(at) for k in known.schema.names if k != "word"}
+    return pack_rows({"word": asked, **told} if words else told)
+
+
 def put(words: DataFrame, answered: DataFrame, shape: Layout) -> DataFrame:
     """Packed rows of ``words`` whose entries are replaced by the answers of ``over_words``."""
 
     def group(rows: pa.Table, last: pa.Table) -> pa.Table:
-        known = unpack_rows(last.column("payload")[0].as_buffer()) if last.num_rows else None
-        payloads = []
-        for payload in rows.column("payload"):
-            at = pc.index_in(unpack_rows(payload.as_buffer()).column("word"), known.column("word"))
-            payloads.append(pack_rows({k: known.column(k).take(at) for k in known.schema.names if k != "word"}))
+        some = [unpack_rows(x.as_buffer()) for x in last.column("payload")]
+        known = pa.Table.from_batches(some).combine_chunks().to_batches()[0] if sum(x.num_rows for x in some) else some[0]
+        payloads = [_answers(unpack_rows(x.as_buffer()).column("word"), known) for x in rows.column("payload")]
+        tidy()
+        return rows.select(["part", "block", "payload"]).set_column(2, "payload", pa.array(payloads, pa.binary()))
+
+    if shape.direct:
+        return words.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(group, PACKED)
+
+    def told(rows: pa.Table, last: pa.Table) -> pa.Table:
+        known = unpack_rows(last.column("payload")[0].as_buffer())
+        payloads = [_answers(unpack_rows(x.as_buffer()).column("word"), known, words=True) for x in rows.column("payload")]
         tidy()
         return rows.select(["part", "block", "payload"]).set_column(2, "payload", pa.array(payloads, pa.binary()))
 
-    keys = ["part", "range"]
-    ranged = words.withColumn("range", F.pmod("block", F.lit(shape.ranges)))
-    every = answered.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape.ranges - 1).cast("long"))))
-    return ranged.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(group, PACKED)
+    # each range gets the answers to its own distinct words, from all shards of a bundle
+    back = ranged(words, shape).groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(told, PACKED)
+    back = back.select(F.pmod("part", F.lit(shape.bundles)).alias("part"), "block", "payload", F.col("block").alias("range"))
+    mine = words.withColumn("range", F.pmod("block", F.lit(shape.ranges)))
+    return mine.groupBy("part", "range").cogroup(back.groupBy("part", "range")).applyInArrow(group, PACKED)
 
 
 def by_shard(words: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str, pa.Array]], shape: Layout) -> DataFrame:
@@ -258,7 +307,7 @@ def by_shard(words: DataFrame, answer: Callable[[pa.Array, np.ndarray], dict[str
 
     ``answer`` gets the distinct words of a shard with their counts over the corpus and returns columns of as many rows.
     """
-    if shape.ranges > 1:
+    if not shape.direct:
         words = cut(words)
         return put(words, over_words(distinct(words, shape), answer), shape)
 

@@ -83,9 +83,9 @@ def encode(docs: DataFrame, *, vocabulary: str, pattern: str, id_col: str = "doc
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).alias("weight"))
     shape = layout or blocks.layout(docs)
     if from_files:
-        words, positions = (blocks.blocks(docs, tokenise, shape.shards, kinds=kind) for kind in "wp")
+        words, positions = (blocks.blocks(docs, tokenise, shape.bundles, kinds=kind) for kind in "wp")
     else:
-        packed = cut(blocks.blocks(docs, tokenise, shape.shards))
+        packed = cut(blocks.blocks(docs, tokenise, shape.bundles))
         words, positions = packed.filter(F.col("part") < blocks.POSITIONS), packed.filter(F.col("part") >= blocks.POSITIONS)
     return blocks.by_block(blocks.by_shard(words, answer, shape), positions, finish, "doc_id long, token_ids array<int>")
 

@@ -306,7 +306,7 @@ def score(
             yield row, end, blocks.word_array(words), np.diff(words.first)
 
     shape = layout or blocks.layout(docs)
-    packed = cut(blocks.blocks(docs, tokenise, shape.shards))
+    packed = cut(blocks.blocks(docs, tokenise, shape.bundles))
     ends = docs.filter("weight = 1").count()
     words = packed.filter(F.col("part") < blocks.POSITIONS)
     vocabulary_rows = cut(blocks.distinct(words, shape))  # each distinct word of the corpus once
