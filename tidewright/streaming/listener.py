@@ -6,7 +6,7 @@ import json
 import threading
 from datetime import UTC, datetime
 
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 class ProgressLog(StreamingQueryListener):
@@ -31,3 +31,9 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         self._add("query_terminated", query_id=str(event.id), exception=event.exception)
+
+
+def progress_rows(query: StreamingQuery) -> list[tuple[int, int]]:
+    """(batch, rows read) of a query's micro-batches once it has stopped by itself; Spark keeps the last hundred."""
+    query.awaitTermination()
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
