@@ -49,7 +49,7 @@ NEAR = [n for n in features.columns() if any(f"_{part}_" in n for part in ("lag"
 
 @query(f"""WITH {PANEL}, {SLOTS}, whole AS (SELECT location_id, event_time FROM slots WHERE k <= 6 GROUP BY ALL HAVING count(*) FILTER (there) = 7),
 names AS (SELECT unnest({NEAR}) AS feature)
-SELECT feature, count(*) AS rows, CAST(0 AS BIGINT) AS "different" FROM names, whole GROUP BY feature""")
+SELECT feature, count(whole.location_id) AS rows, CAST(0 AS BIGINT) AS "different" FROM names LEFT JOIN whole ON true GROUP BY feature""")
 def online_offline_parity(spark, d):
     """WIN-14, JON-19: where the last six hours are whole, slots by time and lags by position agree in every feature they reach."""
     short = {c: (s, tuple(n for n in ns if n <= 6)) for c, (s, ns) in features.LAGS.items()}
