@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords
-from .frames import cut, over_texts
+from .frames import cut, over_texts, tidy
 
 SIDES = ("toxic", "ordinary")
 #: Differences (natural log) below this may be chance or topic.
@@ -176,16 +176,24 @@ def estimates(sample: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[
 
 
 def fit_models(sample: DataFrame) -> Model:
-    """A model of all pairs, contexts and words of ``sample`` (label, text)."""
+    """A model of all pairs, contexts and words of ``sample`` (label, text); the driver gets 12 bytes for each."""
     *tables, unmet = estimates(sample)
+
+    def hashed(batches):
+        for batch in batches:
+            keys = [batch.column(i).to_numpy().view(np.uint64) for i in range(batch.num_columns - 1)]
+            key = pair_hashes(*keys) if len(keys) == 2 else keys[0]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(batch.num_columns - 1)], ["key", "ratio"])
+
     ratio = (F.log("c_toxic") - F.log("c_ordinary")).cast("float").alias("ratio")
     found = []
     for df in tables:
-        rows = df.select(*(c for c in df.columns if not c.startswith("c_")), ratio).toArrow()
-        keys = [rows.column(c).to_numpy().view(np.uint64) for c in rows.column_names[:-1]]
-        key = pair_hashes(*keys) if len(keys) == 2 else keys[0]
+        rows = df.select(*(c for c in df.columns if not c.startswith("c_")), ratio).mapInArrow(hashed, "key long, ratio float").toArrow()
+        key, ratios = rows.column("key").to_numpy().view(np.uint64), rows.column("ratio").to_numpy()
+        del rows
         order = np.argsort(key)
-        found += [key[order], rows.column("ratio").to_numpy()[order]]
+        found += [key[order], ratios[order]]
+    tidy()
     return Model(*found, float(np.log(unmet[0]) - np.log(unmet[1])))
 
 
