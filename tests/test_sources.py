@@ -1,5 +1,9 @@
 """File sources, gates of raw sets and centred metrics on small hand-made rows."""
 
+import random
+import time
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +76,25 @@ def test_a_centre_keeps_r2_of_large_means(spark):
     r = sums.select(*(v.alias(k) for k, v in metrics.regression().items())).first()
     assert r.r2 == pytest.approx(1 - 2.5 / 82.5)
     assert r.mae == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize("kind, make", [("long", int), ("decimal(38,2)", lambda x: Decimal(x).scaleb(-2)), ("double", lambda x: x / 4)])
+def test_a_ledger_adds_up_what_is_in_reach(spark, kind, make):
+    dice = random.Random(3)
+    rows = [(i, dice.choice([None, dice.randrange(-200_000, 400_000), 86_400 * dice.randrange(4)]), dice.choice([None, make(dice.randrange(-9, 100))])) for i in range(400)]
+    spans = {"second": 1, "hour": 3600, "day": 86_400, "long": 200_000}
+    df = spark.createDataFrame(rows, f"id int, s long, units {kind}").withColumn("t", F.timestamp_seconds("s"))
+    got = readers.call_units(df, "t", "units", spans)
+    assert got.columns == [*df.columns, *spans] and got.count() == len(rows)
+    for r in got.collect():
+        for name, n in spans.items():
+            near = [u for _, s, u in rows if u is not None and (s is None if r.s is None else s is not None and r.s - n < s <= r.s)]
+            assert r[name] == (sum(near) if near else None)
+
+
+def test_a_busy_day_of_a_ledger_is_one_pass(spark):
+    n, start = 432_000, time.monotonic()  # 86,400 seconds of five; a sum over all before for each takes minutes
+    df = spark.range(n).select("id", F.timestamp_seconds(F.col("id") % 86_400).alias("t"), F.lit(1).alias("units"))
+    got = readers.call_units(df, "t", "units", {"day": 86_400}).agg(F.count("*").alias("rows"), F.max("day").alias("most"), F.min("day").alias("least")).first()
+    assert (got.rows, got.most, got.least) == (n, n, 5)
+    assert time.monotonic() - start < 60

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -259,13 +259,39 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 def call_units(requests: DataFrame, time: str, units: str, spans: dict[str, int]) -> DataFrame:
     """SRC-18: units spent in the trailing spans (seconds) of each request of a quota ledger, by range and not by rows.
 
-    Requests are bucketed by day first; a bucket carries in the last span's worth of the day before.
+    Requests of a second are added up first.  Seconds are bucketed by day (by the longest span, if that is more), and
+    each is carried into the bucket after it while it is in reach.  Requests without a time see each other alone.
     """
-    from pyspark.sql import Window
-
     longest = max(spans.values())
-    second = F.unix_seconds(time)
-    reach = F.sequence(F.floor(second / 86400), F.floor((second + longest) / 86400))
-    carried = requests.withColumn("_s", second).withColumn("_day", F.explode(reach)).withColumn("_own", F.col("_day") == F.floor(F.col("_s") / 86400))
-    window = Window.partitionBy("_day").orderBy("_s")
-    return carried.select("*", *(F.sum(units).over(window.rangeBetween(-(n - 1), 0)).alias(name) for name, n in spans.items())).filter("_own").drop("_s", "_day", "_own")
+    width = max(86400, longest)
+    requests = requests.withColumn("_s", F.unix_seconds(time))
+    spent = requests.groupBy("_s").agg(F.sum(units).alias("_sum"), F.count(units).alias("_n"))
+    own = F.floor(F.col("_s") / width)
+    carried = spent.select("*", F.explode_outer(F.sequence(own, F.floor((F.col("_s") + longest) / width))).alias("_bucket"))
+    carried = carried.withColumn("_own", F.col("_s").isNull() | (F.col("_bucket") == own))
+    told = _trailing(carried, spans).filter("_own").select(F.col("_s").alias("_at"), *spans)
+    return requests.join(told, F.col("_s").eqNullSafe(F.col("_at")), "left").drop("_s", "_at")
+
+
+def _trailing(seconds: DataFrame, spans: dict[str, int]) -> DataFrame:
+    """_s, _own and the trailing sums of ``seconds`` (_bucket, _s, _own, _sum, _n: values that are not null).
+
+    A second's sum counts from then on and is taken off when it falls out of a span, so one running sum gives a span
+    in one pass, however many seconds it holds.  Sums with fractions would be rounded by that; they are added up by window.
+    """
+    kind, bucket = seconds.schema["_sum"].dataType, Window.partitionBy("_bucket").orderBy("_s")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return seconds.select("_s", "_own", *(F.sum("_sum").over(bucket.rangeBetween(-(n - 1), 0)).alias(name) for name, n in spans.items()))
+    zero = F.lit(0).cast(kind)
+    total = F.coalesce("_sum", zero)
+    sums, counts = {1: total, 0: zero, -1: -total}, {1: F.col("_n"), 0: F.lit(0).cast("long"), -1: -F.col("_n")}
+
+    def change(at: Column, own: Column, signs: dict[str, int]) -> Column:
+        return F.struct(at.alias("_s"), own.alias("_own"), *(x for name, sign in signs.items() for x in (sums[sign].alias(f"_sum_{name}"), counts[sign].alias(f"_n_{name}"))))
+
+    spend = change(F.col("_s"), F.col("_own"), dict.fromkeys(spans, 1))
+    expire = [change(F.col("_s") + n, F.lit(False), {other: -(other == name) for other in spans}) for name, n in spans.items()]
+    changes = seconds.select("_bucket", F.inline(F.when(F.col("_s").isNull(), F.array(spend)).otherwise(F.array(spend, *expire))))
+    so_far = bucket.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = {name: F.when(F.sum(f"_n_{name}").over(so_far) > 0, F.sum(f"_sum_{name}").over(so_far)).cast(kind) for name in spans}
+    return changes.select("_s", "_own", *(c.alias(name) for name, c in found.items()))
