@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import sketches
 from tidewright.operators.records import metric_records
+from tidewright.plans.base import QUERIES
 from tidewright.plans.record_slate import rated
 
 from .conftest import SF
@@ -61,6 +62,29 @@ def test_wrong_quantiles_are_out_of_bounds(spark):
     assert got == {500.0: True, 520.0: False, 940.0: False}
 
 
+@pytest.mark.parametrize("span", [1, 5, 8, 20, 168])
+def test_tiles_hold_each_hour_of_a_window_once(spark, span):
+    ends = spark.range(-30, 60).select(F.col("id").alias("end"))
+    for r in ends.select("end", sketches.tiles(F.col("end"), F.lit(span)).alias("parts")).collect():
+        assert sorted(h for p in r.parts for h in range(p.at * p.size, (p.at + 1) * p.size)) == list(range(r.end - span + 1, r.end + 1))
+
+
+def test_ranks_of_windows_are_those_of_their_values(spark):
+    rows, df = made(spark, 3000)
+    asked = [(k, e, s, share, q) for k in "abc" for e in (0, 30, 77, 199, 230) for s in (1, 24, 100) for share, q in ((0.1, -3.0), (0.5, 2.0), (0.5, 2.5), (0.9, -0.0))]
+    found = spark.createDataFrame(asked, "k string, end long, span int, share double, quantile double")
+    got = {(r.k, r.end, r.span, r.share, r.quantile): (r.n, r.below, r.up_to) for r in sketches.window_ranks(df, ["k"], "t", "v", found).collect()}
+    assert len(got) == len(asked)
+    for k, e, s, share, q in asked:
+        inside = [v for key, t, v in rows if key == k and e - s < t // 3600 <= e and v is not None and abs(v) < float("inf")]
+        assert got[k, e, s, share, q] == (len(inside), sum(v < q for v in inside), sum(v <= q for v in inside))
+
+
+def test_neither_values_nor_covers_are_broadcast(spark):
+    plan = QUERIES["sketch_window_ranks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
 @pytest.mark.parametrize("by_place", [False, True])
 def test_records_with_sketches_differ_in_percentiles_alone(spark, by_place):
     df = rated(spark, SF).persist()

@@ -7,12 +7,14 @@ Each hour keeps a KLL sketch beside its count, sum and extremes.  Hours are merg
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 
 K = 800
+#: Hours that exact ranks of windows take together.
+TILE = 8
 
 
 def rank_error(k: int = K) -> float:
@@ -66,6 +68,7 @@ def windows(merged: DataFrame, by: list[str], ends: DataFrame, span_hours: int,
     """
     keys = by if keys is None else keys
     asked = ends.select(*keys, "end", F.inline(cover(F.col("end"), span_hours)))
+    asked = asked.hint("merge")  # the optimizer takes the exploded covers for as small as the ends and would broadcast them
     return asked.join(merged, [*keys, "level", "block"]).groupBy(*by, "end").agg(*_merged(k))
 
 
@@ -81,6 +84,35 @@ def ranks(values: DataFrame, by: list[str], value: str, found: DataFrame) -> Dat
     return met.groupBy(*by, "share", "quantile").agg(F.count("*").alias("n"), F.count_if(x < q).alias("below"), F.count_if(x <= q).alias("up_to"))
 
 
+def tiles(end: Column, span: Column) -> Column:
+    """Tiles (size, at) of TILE hours and single hours that cover the ``span`` hours up to ``end``, each hour once."""
+    low = end - span + 1
+    first, last = F.ceil(low / TILE), F.floor((end + 1) / TILE)  # whole tiles: first up to last, without last
+    hours = F.filter(F.sequence(low, end), lambda h: (F.floor(h / TILE) < first) | (F.floor(h / TILE) >= last))
+    whole = F.filter(F.sequence(F.floor(low / TILE), F.floor(end / TILE)), lambda t: (t >= first) & (t < last))
+    return F.concat(F.transform(hours, lambda h: F.struct(F.lit(1).alias("size"), h.alias("at"))), F.transform(whole, lambda t: F.struct(F.lit(TILE).alias("size"), t.alias("at"))))
+
+
+def window_ranks(values: DataFrame, by: list[str], time: str, value: str, found: DataFrame) -> DataFrame:
+    """``ranks`` of moving windows: ``found`` (by, end, span, share, quantile) with n, below and up_to of its ``span`` hours' values.
+
+    No value is repeated for the windows that hold it: it lies in its hour and its tile, where quantiles are put among
+    the values in order, and running counts tell how many are before them.  A window's counts are those of its parts.
+    """
+    hour, x = F.floor(F.unix_seconds(time) / 3600), F.col(value).cast("double")
+    part = F.array(F.struct(F.lit(1).alias("size"), hour.alias("at")), F.struct(F.lit(TILE).alias("size"), F.floor(hour / TILE).alias("at")))
+    met = values.filter(finite(x)).select(*by, x.alias("quantile"), F.lit(1).alias("kind"), F.inline(part))
+    asked = found.select(*by, "end", "span", "share", "quantile", F.inline(tiles(F.col("end"), F.col("span"))))
+    asked = asked.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(2))))  # before and after the values that equal it
+    order = Window.partitionBy(*by, "size", "at").orderBy("quantile", "kind")
+    counted = F.count_if(F.col("kind") == 1)
+    placed = asked.unionByName(met, allowMissingColumns=True).withColumn("here", counted.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = placed.withColumn("all", counted.over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("kind <> 1")
+    below, after = F.col("kind") == 0, F.col("kind") == 2
+    sums = [F.sum(F.when(side, F.col(c))).alias(name) for name, side, c in (("n", below, "all"), ("below", below, "here"), ("up_to", after, "here"))]
+    return placed.groupBy(*by, "end", "span", "share", "quantile").agg(*sums)
+
+
 def within(error: float) -> Column:
     """Whether the share is within ``error`` of the ranks that ``ranks`` found for its quantile; a value's own step is allowed."""
     low, high = (F.col("below") - 1) / F.col("n") - error, (F.col("up_to") + 1) / F.col("n") + error

@@ -139,15 +139,12 @@ def sketch_window_ranks(spark, d):
     rows = observations(spark, d).filter("temperature_c is not null").select(F.explode(F.array(F.lit("all"), "location_id")).alias("location_id"), "event_time", "temperature_c")
     by, cells = ["location_id"], [F.struct(F.lit(s).alias("share"), sketches.quantile(s).alias("quantile")) for s in (0.05, 0.5, 0.95)]
     hours = sketches.hourly(rows, by, "event_time", "temperature_c", k=200)
-    merged, ends, out = sketches.blocks(hours, by, 168, k=200), hours.select("location_id", F.col("hour").alias("end")), None
+    merged, ends, found = sketches.blocks(hours, by, 168, k=200), hours.select("location_id", F.col("hour").alias("end")), None
     for span in (24, 168):
-        found = sketches.windows(merged, by, ends, span, k=200).select("location_id", "end", F.inline(F.array(*cells)))
-        hour = F.floor(F.unix_seconds("event_time") / 3600)
-        spread = rows.withColumn("end", F.explode(F.sequence(hour, hour + span - 1)))  # the check alone repeats values
-        met = sketches.ranks(spread, ["location_id", "end"], "temperature_c", found)
-        told = met.select(F.lit(span).alias("span"), "location_id", (F.col("end") * 3600).alias("second"), "share", "n", sketches.within(3 * sketches.rank_error(200)).alias("within"))
-        out = told if out is None else out.unionByName(told)
-    return out
+        told = sketches.windows(merged, by, ends, span, k=200).select("location_id", "end", F.lit(span).alias("span"), F.inline(F.array(*cells)))
+        found = told if found is None else found.unionByName(told)
+    met = sketches.window_ranks(rows, by, "event_time", "temperature_c", found)
+    return met.select("span", "location_id", (F.col("end") * 3600).alias("second"), "share", "n", sketches.within(3 * sketches.rank_error(200)).alias("within"))
 
 
 H = "CAST(epoch(event_time) / 3600 AS BIGINT)"
