@@ -40,9 +40,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids and whether decoding gives the text's bytes back."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs, vocabulary=path, pattern=public_tokenizers.PATTERN, from_files=True)
+    decoded = bpe.encode(docs, vocabulary=path, pattern=public_tokenizers.PATTERN, from_files=True, decoded=True)
     n_tokens = F.size("token_ids").cast("long").alias("n_tokens")
-    decoded = bpe.decode(encoded, vocabulary=path)
     return decoded.select("doc_id", n_tokens, "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

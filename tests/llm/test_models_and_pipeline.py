@@ -147,6 +147,18 @@ def test_the_bitmap_loses_no_key(spark):
     assert maybe_in(df, "k", keys.limit(0)).count() == 0
 
 
+def test_rows_that_may_be_in_go_on_in_the_same_worker(spark):
+    df, keys = spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("text "), "id").alias("text")), spark.range(0, 1000, 7)
+
+    def lengths(batch):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.utf8_length(batch.column(1)).cast(pa.int64())], ["k", "n"])
+
+    for most in (frames.MOST_BITS, 1 << 10):
+        found = maybe_in(df, "k", keys, most_bits=most, then=lengths, schema="k long, n long")
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert {(k, len(f"text {k}")) for k in range(0, 1000, 7)} <= {tuple(r) for r in found.collect()} <= {(k, len(f"text {k}")) for k in range(1000)}
+
+
 def test_pipeline_by_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

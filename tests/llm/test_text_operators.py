@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -47,6 +48,17 @@ def test_encoding_equals_the_library_and_decoding_gives_the_text_back(spark, odd
     assert bpe.encode(odd.limit(0), vocabulary=RANKS, pattern=public_tokenizers.PATTERN).count() == 0
 
 
+def test_ids_are_decoded_where_they_are_put_in_place(spark, odd):
+    options = {"vocabulary": RANKS, "pattern": public_tokenizers.PATTERN}
+    ours = bpe.encode(odd, **options, decoded=True).collect()
+    apart = bpe.decode(bpe.encode(odd, **options), vocabulary=RANKS).collect()
+    assert sorted(ours, key=str) == sorted(apart, key=str)
+    assert bpe.encode(odd.limit(0), **options, decoded=True).count() == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.encode(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and plan.count("MapInArrow") == 2  # words and positions; each task has one Python worker
+
+
 def test_small_blocks_agree_with_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(1).alias("weight"))
 

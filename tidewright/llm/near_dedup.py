@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,8 +117,11 @@ def may_link(one: np.ndarray, others: np.ndarray, sizes: np.ndarray, percent: in
     return (others != one).sum(axis=1) * (100 + percent) <= (100 - percent) * sizes
 
 
-def shingle_sets(docs: DataFrame, *, width: int = 5) -> DataFrame:
-    """node, the ascending distinct shingle hashes (eight bytes each) and their part sums, of ``docs`` (doc_id, text)."""
+SETS = "node binary, shingles binary, parts binary"
+
+
+def shingle_sets(width: int = 5) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """A function of a batch (doc_id, text): node, the ascending distinct shingle hashes (eight bytes each) and their part sums."""
 
     def batch_sets(batch: pa.RecordBatch):
         for row, end, data, offsets in bytewords.text_slices(batch.column(1), 1 << 20):
@@ -126,7 +131,7 @@ def shingle_sets(docs: DataFrame, *, width: int = 5) -> DataFrame:
             parts = pa.array([part_sums(shingles[a:b]) for a, b in zip(begin.tolist(), begin[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([fingerprints(shingles, begin), sets.cast(pa.binary()), parts], ["node", "shingles", "parts"])
 
-    return map_arrow(docs, batch_sets, "node binary, shingles binary, parts binary")
+    return batch_sets
 
 
 def _attach(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -269,8 +274,8 @@ def near_duplicates(
     if not members.isEmpty():
         central = members.groupBy("id").agg(F.sum("size").alias("central"))
         members, candidates = cut(members.drop("least").join(central, "id")), members.select("least").distinct()
-        candidates = maybe_in(docs.filter("doc_id is not null"), "doc_id", candidates)
-        sets = cut(shingle_sets(candidates, width=width).dropDuplicates(["node"]))
+        sets = maybe_in(docs.filter("doc_id is not null"), "doc_id", candidates, then=shingle_sets(width), schema=SETS)
+        sets = cut(sets.dropDuplicates(["node"]))
         near = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
         # first, each member meets the most central of all leads of its buckets
         rank = F.struct("central", "id")
